@@ -1,4 +1,464 @@
-"""All queries by name, with the SQL that must give the same rows."""
+"""All queries by name, with the SQL that must give the same rows.
+
+The driver's tables hold no graph; nodes, edges, facts and questions are derived from them: suppliers, customers and
+parts are entities, order lines are financial records, conversations are argument chains, documents are sources and
+benchmark passages are quotes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions import values as vl
+from ..operators import agenda, blocks, evaluation, evidence, facts, graph, ranking, tables, validation, views
+from ..session import table
+from ..sources import landed, sinks
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(r"""
+with q as (select item_id, text quote, replace(regexp_replace(text, '\s+', '', 'g'), '，', ',') p from benchmark),
+d as (select doc_id, text, replace(regexp_replace(text, '\s+', '', 'g'), '，', ',') pt from documents),
+m as (select q.item_id, d.doc_id, case when contains(d.text, q.quote) then 'exact' else 'whitespace_normalized' end match_mode from q join d on contains(d.pt, q.p) where q.p <> '')
+select q.item_id, m.doc_id, m.match_mode, sha256(q.quote) quote_sha256,
+  case when trim(q.quote) = '' then 'empty quote' when m.doc_id is null then 'quote not in any source' end reject_reason from q left join m using (item_id)""")
+def evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
+    quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return evidence.gate(quotes, table(spark, sf, "documents"))
+
+
+@query(r"""
+with c as (select doc_id, item_id, doc_id * 1000 + item_id candidate_id, b.text quote from documents d, benchmark b where d.doc_id % 40 = b.item_id % 40),
+r as (select c.*, d.text t from c left join documents d using (doc_id))
+select candidate_id, bool_and(contains(t, quote) or contains(regexp_replace(t, '\s+', '', 'g'), regexp_replace(quote, '\s+', '', 'g'))) admitted, count(*) items from r group by 1""")
+def evidence_cited(spark: SparkSession, sf: str) -> DataFrame:
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    named = docs.select("doc_id", (F.col("doc_id") % 40).alias("k")).join(items.select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 40).alias("k")), "k")
+    named = named.select((F.col("doc_id") * 1000 + F.col("item_id")).alias("candidate_id"), "doc_id", "quote")
+    return evidence.admitted(evidence.cited(named, docs))
+
+
+_FOLD = r"""
+with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '') ls from documents),
+f as (select doc_id, list_reduce(ls, lambda a, x: case when length(string_split(a, chr(30))[-1]) + 1 + length(x) > {most} then a || chr(30) || x else a || chr(10) || x end) packed from l where len(ls) > 0),
+b as (select doc_id, string_split(packed, chr(30)) bs from f)
+"""
+
+
+@query(_FOLD.format(most=2800) + r""",
+e as (select doc_id, unnest(range(1, len(bs) + 1)) block, bs from b), r as (select doc_id, block::int block, bs[block] raw from e),
+n as (select *, trim(regexp_replace(regexp_replace(raw, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')) t from r),
+k as (select *, string_split(t, chr(10)) ls from n)
+select doc_id, block, format('SO_P001_B{:03d}', block) block_id, sha256(t) sha256, length(t)::bigint n_chars,
+  case when regexp_matches(t, '法律主体声明|版权声明|分析师声明|评级说明') then 'legal' when regexp_matches(t, '^(?:图表|图)\s*\d+') then 'figure_caption'
+       when len(ls) >= 2 and len(list_filter(ls, lambda s: len(regexp_extract_all(s, '[-+]?\d[\d,.]*(?:%|倍|元|亿|万)?')) >= 2)) >= greatest(1, len(ls) // 3) then 'table_like' else 'paragraph' end object_type from k""")
+def source_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return blocks.source_blocks(pages).select("doc_id", "block", "block_id", "sha256", F.length("normalized_text").cast("long").alias("n_chars"), "object_type")
+
+
+@query(_FOLD.format(most=2800) + r""",
+e as (select doc_id, unnest(range(1, len(bs) + 1)) block, bs from b),
+n as (select doc_id, block, length(trim(regexp_replace(regexp_replace(bs[block], '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'))) + 100 n from e),
+s as (select doc_id, list(n order by block) ns, list(block order by block) os from n group by doc_id),
+p as (select doc_id, os, list_reduce(list_transform(ns, lambda x: ['1', x::varchar, '1']), lambda a, x: case when a[2]::bigint + x[2]::bigint > 9000
+  then [(a[1]::bigint + 1)::varchar, x[2], a[3] || ',' || (a[1]::bigint + 1)::varchar] else [a[1], (a[2]::bigint + x[2]::bigint)::varchar, a[3] || ',' || a[1]] end) r from s)
+select doc_id, unnest(os)::bigint o, unnest(list_transform(string_split(r[3], ','), lambda x: x::bigint)) chunk from p""")
+def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    rows = blocks.source_blocks(pages).withColumn("n", F.length("normalized_text"))
+    return blocks.pack_chunks(rows, "doc_id", "block", "n", identity="block_id").select("doc_id", "o", "chunk")
+
+
+@query()
+def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    out = blocks.text_chunks(table(spark, sf, "documents"))
+    return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("chunk_text").cast("long").alias("n_chars"), tx.sha256("chunk_text").alias("sha256"))
+
+
+def _entities(spark, sf):
+    of = lambda t, c, kind: table(spark, sf, t).select(F.lit(kind).alias("entity_type"), F.col(c).alias("label"))
+    return of("supplier", "s_name", "company").union(of("customer", "c_name", "company")).union(of("part", "p_name", "product")).union(of("nation", "n_name", "region")).union(of("region", "r_name", "region"))
+
+
+@query(r"""
+with e as (select 'company' entity_type, s_name label from supplier union all select 'company', c_name from customer union all select 'product', p_name from part
+  union all select 'region', n_name from nation union all select 'region', r_name from region)
+select 'ENTITY_' || upper(substr(sha256(entity_type || chr(31) || trim(lower(label))), 1, 16)) id, entity_type, min(label) label, count(*) mentions from e group by entity_type, trim(lower(label))""")
+def stable_ids_entities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _entities(spark, sf).withColumn("id", tx.stable_id("ENTITY", "entity_type", F.lower("label")))
+    return rows.groupBy("id", "entity_type").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("mentions"))
+
+
+def _records(spark, sf):
+    """Quarterly revenue, discount, tax and quantity of each nation."""
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    dims = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(dims, F.col("o_custkey") == F.col("c_custkey"))
+    exact = lambda c, t: F.col(c).cast(t)  # noqa: E731  decimals before products: the same sums everywhere
+    price, off, tax = exact("l_extendedprice", "decimal(12,2)"), exact("l_discount", "decimal(4,2)"), exact("l_tax", "decimal(4,2)")
+    money = lambda x: F.sum(x).cast("double")
+    return rows.groupBy(F.col("n_name").alias("entity"), F.year("o_orderdate").cast("long").alias("year"), F.quarter("o_orderdate").cast("long").alias("quarter")).agg(money(price).alias("revenue"), money(price * off).alias("cost"), money(price * tax).alias("research"), money(exact("l_quantity", "decimal(12,2)")).alias("volume"))
+
+
+_RECORDS = """
+with rec as (select n_name entity, year(o_orderdate)::bigint "year", quarter(o_orderdate)::bigint "quarter", sum(l_extendedprice::decimal(12,2))::double revenue,
+  sum(l_extendedprice::decimal(12,2) * l_discount::decimal(4,2))::double "cost", sum(l_extendedprice::decimal(12,2) * l_tax::decimal(4,2))::double research, sum(l_quantity::decimal(12,2))::double volume
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)"""
+
+
+@query(_RECORDS + """ select entity, "year", "quarter", metric, round("value", 0) "value" from (unpivot rec on revenue, "cost", research, volume into name metric value "value")""")
+def financial_facts_unpivot(spark: SparkSession, sf: str) -> DataFrame:
+    return facts.unpivot(_records(spark, sf), ["entity", "year", "quarter"]).withColumn("value", F.round("value", 0))
+
+
+@query(_RECORDS + """ select a.entity, a."quarter", a."year", round((a.volume - b.volume) / abs(b.volume) * 100, 1) yoy_pct from rec a join rec b on a.entity = b.entity and a."quarter" = b."quarter" and a."year" = b."year" + 1
+  where b.volume <> 0 and a."year" = (select max("year") from rec c where c.entity = a.entity and c."quarter" = a."quarter")""")
+def yoy_by_nation_quarter(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _records(spark, sf).select("entity", "quarter", "year", F.col("volume").alias("value"))
+    out = facts.growth(rows, ["entity", "quarter"])
+    return out.select("entity", "quarter", "year", F.round((F.col("value") - F.col("prior")) / F.abs("prior") * 100, 1).alias("yoy_pct"))
+
+
+@query(_RECORDS + """ select entity, "year", "quarter", round(((volume * 3 - volume) / (volume * 3)) * 100, 2) gross_margin_pct, round(("quarter" * 10 / (volume * 3)) * 100, 2) research_ratio_pct from rec where volume <> 0""")
+def margin_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _records(spark, sf).select("entity", "year", "quarter", (F.col("volume") * 3).alias("revenue"), F.col("volume").alias("cost"), (F.col("quarter") * 10).alias("research"))
+    return facts.margins(rows, ["entity", "year", "quarter"])
+
+
+@query("""select user_id, event_type, event_id, ts, "value" as "close" from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id) n from events
+  where ts < timestamp '2024-01-20' and ts >= timestamp '2024-01-20' - interval 60 day and "value" is not null) where n = 1""")
+def latest_bar_asof(spark: SparkSession, sf: str) -> DataFrame:
+    bars = table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts", F.col("value").alias("close"))
+    return facts.latest_bar(bars, ["user_id", "event_type"], "ts", F.lit("2024-01-20").cast("timestamp_ntz"), tie="event_id")
+
+
+@query(_RECORDS + """, f as (select entity question_id, metric, "year", 'Q' || "quarter" fiscal_period, "year" * 10 + "quarter" period_end, entity || '|' || metric || '|' || "year" || '|' || "quarter" id
+  from (unpivot rec on revenue, volume into name metric value v)),
+n as (select * from (select *, row_number() over (partition by question_id, metric order by period_end desc, id) k from f) where k = 1),
+r as (select question_id, id, metric, 0 place from n union all select f.question_id, f.id, f.metric, 1 from f join n on f.question_id = n.question_id and f.metric = n.metric and f.fiscal_period = n.fiscal_period and f."year" = n."year" - 1)
+select question_id, id, metric, place, row_number() over (partition by question_id order by metric, place, id)::int as "rank" from r""")
+def metric_priority(spark: SparkSession, sf: str) -> DataFrame:
+    rows = facts.unpivot(_records(spark, sf), ["entity", "year", "quarter"], ["revenue", "volume"])
+    text = F.concat_ws("|", "entity", "metric", "year", "quarter")
+    rows = rows.select(F.col("entity").alias("question_id"), "metric", "year", F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("fiscal_period"), (F.col("year") * 10 + F.col("quarter")).alias("period_end"), text.alias("id"))
+    return facts.metric_priority(rows)
+
+
+@query("""select l_orderkey, l_linenumber, count(*) facts, count(distinct l_extendedprice) distinct_values from lineitem group by 1, 2 having count(distinct l_extendedprice) >= 2""")
+def structured_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return facts.conflicts(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "l_extendedprice")
+
+
+def _turns(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+
+
+def _chain(spark, sf):
+    """Each turn is a premise of the next one."""
+    c = _turns(spark, sf)
+    a = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("id").alias("source_id"))
+    return a.join(c.select("conv_id", "turn", F.col("id").alias("target_id")), ["conv_id", "turn"]).select("source_id", F.lit("SUPPORTS").alias("edge_type"), "target_id", "conv_id")
+
+
+_TURNS = """
+with recursive t as (select conv_id, turn, conv_id || ':' || turn id, role, text from conversations),
+ch as (select a.id source_id, b.id target_id, a.conv_id from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"""
+
+
+@query(_TURNS + """, cl as (select source_id, target_id, 1 "depth" from ch union select cl.source_id, ch.target_id, cl."depth" + 1 from cl join ch on cl.target_id = ch.source_id)
+select source_id, target_id, min("depth") "depth" from cl group by 1, 2""")
+def argument_closure(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.closure(_chain(spark, sf))
+
+
+@query(_TURNS + """, e as (select source_id, target_id, conv_id from ch union all select conv_id || ':2', conv_id || ':1', conv_id from conversations where conv_id % 5 = 0 group by conv_id having max(turn) >= 2),
+cl as (select source_id, target_id from e union select cl.source_id, e.target_id from cl join e on cl.target_id = e.source_id),
+cyc as (select source_id id from cl where source_id = target_id)
+select distinct id from (select id from cyc union all select cl.source_id from cl join cyc on cl.target_id = cyc.id)""")
+def dag_check(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").where("conv_id % 5 = 0").groupBy("conv_id").agg(F.max("turn").alias("t")).where("t >= 2")
+    back = c.select(F.concat_ws(":", "conv_id", F.lit(2)).alias("source_id"), F.concat_ws(":", "conv_id", F.lit(1)).alias("target_id"))
+    return graph.cyclic_nodes(_chain(spark, sf).select("source_id", "target_id").union(back))
+
+
+@query(_TURNS + """, p as (select target_id id, source_id parent from ch), n as (select t.*, t.turn = 0 leaf, (t.turn = 3 and t.conv_id % 4 = 0) broken from t)
+select n.id from n where not n.leaf and not n.broken and (exists (select 1 from n b where b.conv_id = n.conv_id and b.broken and b.turn < n.turn)
+  or not exists (select 1 from n z where z.conv_id = n.conv_id and z.leaf)
+  or (select count(*) from t x where x.conv_id = n.conv_id and x.turn < n.turn) < n.turn)""")
+def contested_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    broken = (F.col("turn") == 3) & (F.col("conv_id") % 4 == 0)
+    props = _turns(spark, sf).select("id", F.when(F.col("turn") == 0, "fact").otherwise("analysis").alias("kind"), (F.col("turn") == 0).alias("grounded"), F.when(broken, "contested").otherwise("reportable").alias("status"))
+    return facts.contested(props, _chain(spark, sf).select(F.col("target_id").alias("id"), F.col("source_id").alias("parent_id")))
+
+
+def _trade(spark, sf):
+    """Supplier to part edges of the order lines, with their dearest line's confidence."""
+    lines = table(spark, sf, "lineitem")
+    return lines.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"), (1 - F.min("l_discount")).alias("confidence")).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), F.lit("SUPPORTS").alias("edge_type"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_id"), "n", "confidence")
+
+
+_TRADE = """
+with tr as (select 's' || l_suppkey source_id, 'SUPPORTS' edge_type, 'p' || l_partkey target_id, count(*) n, 1 - min(l_discount) confidence from lineitem group by l_suppkey, l_partkey)"""
+
+
+@query(_TRADE + """, h1 as (select distinct target_id id from tr where source_id in ('s1', 's2')), h2 as (select distinct source_id id from tr where target_id in (select id from h1))
+select id, min(hops) hops from (select unnest(['s1', 's2']) id, 0 hops union all select id, 1 from h1 union all select id, 2 from h2) group by id""")
+def khop_neighborhood(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = spark.createDataFrame([("s1",), ("s2",)], "id string")
+    return graph.neighbourhood(_trade(spark, sf), seeds, 2, ["SUPPORTS"])
+
+
+def _geo(spark, sf):
+    n = table(spark, sf, "nation")
+    r = table(spark, sf, "region")
+    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
+    key = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
+    nodes = n.select(key("n", "n_nationkey").alias("id"), F.lit("Section").alias("node_type")).union(r.select(key("r", "r_regionkey"), F.lit("Source"))).union(s.select(key("s", "s_suppkey"), F.lit("Proposition"))).union(c.select(key("c", "c_custkey"), F.lit("Question")))
+    edges = s.select(key("s", "s_suppkey").alias("source_id"), F.lit("ABOUT").alias("edge_type"), key("n", "s_nationkey").alias("target_id")).union(c.select(key("c", "c_custkey"), F.lit("IN_SECTION"), key("n", "c_nationkey"))).union(n.select(key("n", "n_nationkey"), F.lit("CONTAINS"), key("r", "n_regionkey")))
+    return nodes, edges
+
+
+_GEO = """
+with nd as (select 'n' || n_nationkey id, 'Section' node_type from nation union all select 'r' || r_regionkey, 'Source' from region union all select 's' || s_suppkey, 'Proposition' from supplier union all select 'c' || c_custkey, 'Question' from customer),
+ed as (select 's' || s_suppkey source_id, 'ABOUT' edge_type, 'n' || s_nationkey target_id from supplier union all select 'c' || c_custkey, 'IN_SECTION', 'n' || c_nationkey from customer union all select 'n' || n_nationkey, 'CONTAINS', 'r' || n_regionkey from nation)"""
+
+
+@query(_GEO + """ select source_id, edge_type, target_id from ed where source_id in (select id from nd where node_type in ('Section', 'Question', 'Proposition')) and target_id in (select id from nd where node_type in ('Section', 'Question', 'Proposition'))""")
+def induced_view(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.view(*_geo(spark, sf), "agenda")[1].select("source_id", "edge_type", "target_id")
+
+
+@query(_GEO + """ select source_id, edge_type, target_id, 'mistyped' code from ed where edge_type in ('ABOUT', 'CONTAINS')
+union all select source_id, edge_type, target_id, 'EDGE_TARGET' from ed where target_id like 'r%' and target_id = 'r4'""")
+def edge_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _geo(spark, sf)
+    wrong = graph.mistyped(nodes, edges).select("source_id", "edge_type", "target_id", F.lit("mistyped").alias("code"))
+    return wrong.union(graph.dangling(nodes.where("id <> 'r4'"), edges).select("source_id", "edge_type", "target_id", "code"))
+
+
+@query(_TRADE + """ select source_id, edge_type, target_id, n from tr""")
+def distinct_edges(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), F.lit("SUPPORTS").alias("edge_type"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_id"), F.col("l_orderkey").alias("seq"))
+    kept = graph.distinct_edges(lines).select("edge_type", "source_id", "target_id")
+    return kept.join(_trade(spark, sf), ["edge_type", "source_id", "target_id"]).select("source_id", "edge_type", "target_id", "n")
+
+
+@query("""with own as (select distinct l_orderkey node_id, l_suppkey source_id from lineitem where l_returnflag <> 'R'), ed as (select distinct l_orderkey node_id, l_suppkey source_id from lineitem where l_linestatus = 'F' or l_returnflag <> 'R')
+select distinct node_id from (select * from own except select * from ed union all (select * from ed except select * from own))""")
+def evidence_edge_parity(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node_id"), F.col("l_suppkey").alias("source_id"), "l_returnflag", "l_linestatus")
+    own = rows.where("l_returnflag <> 'R'").select("node_id", "source_id").distinct()
+    linked = rows.where("l_linestatus = 'F' or l_returnflag <> 'R'").select("node_id", "source_id").distinct()
+    both = own.withColumn("o", F.lit(1)).join(linked.withColumn("l", F.lit(1)), ["node_id", "source_id"], "full_outer")
+    return both.where("o is null or l is null").select("node_id").distinct()
+
+
+@query("""with p as (select l_suppkey || '-' || l_partkey proposal_id, max(l_discount) d, max(l_tax) t from lineitem group by l_suppkey, l_partkey),
+v as (select proposal_id, case when t < 0.08 then 'accept' else 'reject' end verdict, 1 - d * 5 confidence from p where d > 0)
+select p.proposal_id, coalesce(v.verdict, 'reject') verdict, coalesce(v.verdict = 'accept' and v.confidence >= 0.65, false) accepted from p left join v using (proposal_id)""")
+def verification_gate(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "lineitem").groupBy(F.concat_ws("-", "l_suppkey", "l_partkey").alias("proposal_id")).agg(F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    v = p.where("d > 0").select("proposal_id", F.when(F.col("t") < 0.08, "accept").otherwise("reject").alias("verdict"), (1 - F.col("d") * 5).alias("confidence"))
+    return graph.verified(p.select("proposal_id"), v).select("proposal_id", "verdict", "accepted")
+
+
+@query(r"""with refs as (select doc_id, count(*) n from documents d join benchmark b on contains(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g')) group by 1),
+s as (select d.doc_id id, coalesce(n, 0) n, case when n > 0 then 'EXTRACTED' when l.quality = 0 then 'NO_CLAIM' else 'NEEDS_REVIEW' end st from documents d left join refs using (doc_id) left join labels l using (doc_id))
+select st processing_status, count(*) sources, sum(n)::bigint candidates, round_even(count(*) / sum(count(*)) over (), 6) coverage from s group by 1""")
+def coverage_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    refs = evidence.quote_matches(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), docs).select(F.col("doc_id").alias("source_id"))
+    reviews = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("source_id"), F.lit("administrative").alias("classification"))
+    rows = validation.dispositions(docs.select(F.col("doc_id").alias("id"), F.lit("paragraph").alias("object_type")), refs, reviews)
+    by = rows.groupBy("processing_status").agg(F.count(F.lit(1)).alias("sources"), F.sum("candidate_count").alias("candidates"))
+    return by.withColumn("coverage", validation.ratio(F.col("sources"), F.sum("sources").over(Window.partitionBy(F.lit(1)))))
+
+
+@query("""select id, count(*) n from (select s_suppkey::varchar id from supplier union all select p_partkey::varchar from part union all select n_nationkey::varchar from nation) group by 1 having count(*) > 1""")
+def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
+    of = lambda t, c: table(spark, sf, t).select(F.col(c).cast("string").alias("id"))
+    return validation.duplicates(of("supplier", "s_suppkey"), of("part", "p_partkey"), of("nation", "n_nationkey"))
+
+
+@query(_TRADE + """, g as (select id, sum(o)::bigint out_degree, sum(i)::bigint in_degree, count(*) "degree" from (select source_id id, 1 o, 0 i from tr union all select target_id, 0, 1 from tr) group by 1),
+k as (select *, substr(id, 1, 1) bucket from g)
+select id, bucket, out_degree, in_degree, "degree", "rank" from (select *, row_number() over (partition by bucket order by "degree" desc, id)::int "rank" from k) where "rank" <= 12""")
+def degree_rank(spark: SparkSession, sf: str) -> DataFrame:
+    deg = graph.degree(_trade(spark, sf)).withColumn("bucket", F.substring("id", 1, 1))
+    return views.label_ranks(deg, "bucket", "degree", "id", 12)
+
+
+_TERMS = (("q1", ["the", "tion"]), ("q2", ["pour", "elle"]), ("q3", ["und", "der"]))
+
+
+@query(r"""with q as (select * from (values ('q1', ['the', 'tion']), ('q2', ['pour', 'elle']), ('q3', ['und', 'der'])) v(question_id, terms)),
+s as (select question_id, doc_id chunk_id, list_sum(list_transform(terms, lambda t: (3 + length(t)) * least((length(lower(text)) - length(replace(lower(text), t, ''))) // length(t), 4)))
+  + 0.3::double * len(list_intersect(terms, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]+')))) score from documents, q)
+select question_id, chunk_id, round(score, 4) score, "rank" from (select *, row_number() over (partition by question_id order by round(score, 4) desc, chunk_id)::int "rank" from s where score > 0) where "rank" <= 16""")
+def relevance_topk(spark: SparkSession, sf: str) -> DataFrame:
+    questions = spark.createDataFrame(list(_TERMS), "question_id string, terms array<string>")
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    rows = ranking.scored(chunks, questions).withColumn("score", F.round("score", 4))
+    return ranking.top(rows, 16, ["question_id"], F.desc("score"), "chunk_id")
+
+
+@query(r"""with x as (select doc_id, list_transform(list_filter(regexp_extract_all(text, '[A-Za-z]?\d[\d,]*(?:\.\d+)?'), lambda m: regexp_matches(m, '^\d')), lambda m: replace(m, ',', '')) ns from documents)
+select doc_id, array_to_string(list_sort(list_distinct(ns)), '|') numbers, len(list_distinct(ns))::bigint n from x where doc_id not in (select doc_id from documents where regexp_matches(text, '[A-Za-z]\d'))""")
+def number_support(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where(~F.col("text").rlike(r"[A-Za-z]\d"))
+    n = tx.number_tokens("text")
+    return docs.select("doc_id", F.array_join(F.array_sort(n), "|").alias("numbers"), F.size(n).cast("long").alias("n"))
+
+
+@query(r"""with v as (select event_id, case event_id % 7 when 0 then round("value", 1) || '%' when 1 then round("value", 1) || '亿元' when 2 then round("value", 1) || '百万元' when 3 then round("value", 1) || '万元' when 4 then round("value", 1) || '元/股'
+    when 5 then round("value", 1) || 'GB' else round("value", 1) || '' end raw from events),
+u as (select event_id, raw, case when contains(raw, '%') then 'percent' when contains(raw, '亿元') or contains(raw, '百万元') or contains(raw, '万元') then 'CNY' when contains(raw, '元/股') then 'CNY/share' when contains(raw, 'GB') then 'GB' end unit,
+  case when contains(raw, '%') then '0.01' when contains(raw, '亿元') then '100000000' when contains(raw, '百万元') then '1000000' when contains(raw, '万元') then '10000' when contains(raw, '元/股') or contains(raw, 'GB') then '1' end "scale",
+  regexp_extract(raw, '[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?') number from v)
+select event_id, unit, "scale", number::double number from u""")
+def unit_canonicalize(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.round("value", 1).cast("string")
+    k = F.col("event_id") % 7
+    raw = F.concat(n, F.when(k == 0, "%").when(k == 1, "亿元").when(k == 2, "百万元").when(k == 3, "万元").when(k == 4, "元/股").when(k == 5, "GB").otherwise(""))
+    rows = table(spark, sf, "events").select("event_id", raw.alias("raw"))
+    value = vl.canonical_value(F.lit("scalar"), "raw", F.regexp_extract("raw", tx.NUMBER, 0), F.lit(None), F.lit(None), F.lit(None))
+    return rows.select("event_id", vl.value_unit("raw", F.lit("")).alias("u"), value.alias("v")).select("event_id", "u.unit", "u.scale", F.col("v.normalized").cast("double").alias("number"))
+
+
+@query(r"""with sp as (select p_type spec_id, split_part(p_type, ' ', 1) w, 'data' category from part group by 1 union all select 'none', 'no such words', 'data'),
+m as (select sp.spec_id, p.p_partkey from sp join part p on contains(regexp_replace(lower(p.p_type), '\s+', '', 'g'), regexp_replace(lower(sp.w), '\s+', '', 'g'))),
+r as (select sp.spec_id, sp.category, count(distinct p_partkey) n from sp left join m using (spec_id) group by 1, 2)
+select category, count(*) filter (n > 0) passed, count(*) total, round_even(count(*) filter (n > 0) / count(*), 6) recall from r group by 1""")
+def gold_recall(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "part")
+    kinds = parts.select(F.col("p_type").alias("spec_id")).distinct().select("spec_id", F.split_part("spec_id", F.lit(" "), F.lit(1)).alias("w")).union(spark.createDataFrame([("none", "no such words")], "spec_id string, w string"))
+    null = F.lit(None)
+    specs = kinds.select("spec_id", F.lit("data").alias("category"), null.cast("array<string>").alias("node_types"), F.array("w").alias("all_terms"), null.cast("array<array<string>>").alias("any_term_groups"))
+    hits = evaluation.match_nodes(parts.select(F.col("p_partkey").alias("id"), F.lit("Entity").alias("node_type"), F.col("p_type").alias("text")), specs)
+    return evaluation.recall(evaluation.verdicts(specs, hits))
+
+
+@query("""select p_partkey id, p_name label from part where contains(lower(p_name || ' ' || p_type), 'widg') order by p_partkey limit 8""")
+def search_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "part")
+    return ranking.search(parts, F.concat_ws(" ", "p_name", "p_type"), " WIDG ", 8, "p_partkey").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+
+
+@query()
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return landed.page_text(table(spark, sf, "pages")).select("page_id", F.length("text").cast("long").alias("n_chars"), tx.sha256("text").alias("sha256"), "published")
+
+
+def _announcements(spark, sf):
+    o = table(spark, sf, "orders")
+    day = F.date_format(F.add_months("o_orderdate", 240), "yyyy-MM-dd")  # paths hold dates of this century
+    k = F.col("o_orderkey") % 10
+    told = F.unix_millis(F.to_timestamp(F.concat(day, F.lit(" 04:00:00"))))
+    return o.select(F.col("o_orderkey").alias("seq"), F.when(k == 1, "X").otherwise("600").alias("secCode"), F.lit("org").alias("orgId"), F.when(k == 2, "bad.html").otherwise(F.concat(F.lit("finalpage/"), day, F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".PDF"))).alias("adjunctUrl"), F.when(k == 3, "0").otherwise(F.col("o_orderkey").cast("string")).alias("announcementId"), F.when(k == 4, None).when(k == 5, told + 86400000).otherwise(told).alias("announcementTime"), F.when(k == 6, "").otherwise(F.lit("title")).alias("announcementTitle"))
+
+
+@query("""select case o_orderkey % 10 when 1 then 'identity_mismatch' when 2 then 'unsupported_pdf_path' when 3 then 'announcement_id_mismatch' when 4 then 'invalid_publication_time' when 5 then 'publication_date_mismatch'
+  else case when o_orderdate not between timestamp '1996-01-01' and timestamp '2000-12-31' then 'publication_date_mismatch' when o_orderkey % 10 = 6 then 'missing_title' else 'usable' end end reason, count(*) n from orders group by 1""")
+def reject_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    rows = landed.announcement_reasons(_announcements(spark, sf), F.lit("600"), F.lit("org"), F.lit("2016-01-01").cast("date"), F.lit("2020-12-31").cast("date"))
+    return rows.groupBy(F.coalesce("reason", F.lit("usable")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with q as (select c_custkey question_id, case when c_custkey % 3 = 0 then 'fact' else 'analysis' end answer_mode, case when c_custkey % 2 = 0 then 'required' else 'optional' end priority from customer),
+a as (select o_custkey question_id, count(*) n, bool_or(o_orderstatus = 'F') ok from orders group by 1),
+s as (select q.*, case when n > 0 and answer_mode = 'fact' and ok then 'answered' when n > 0 then 'partial' else 'unanswered' end status, least(coalesce(n, 0), 12) n_answers from q left join a using (question_id))
+select question_id, status, n_answers::bigint n_answers, case when priority = 'required' then 0 else 1 end a, case when status = 'unanswered' then 0 else 1 end b from s where status <> 'answered'""")
+def question_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"), F.when(F.col("c_custkey") % 3 == 0, "fact").otherwise("analysis").alias("answer_mode"), F.when(F.col("c_custkey") % 2 == 0, "required").otherwise("optional").alias("priority"))
+    answers = table(spark, sf, "orders").select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("place"), (F.col("o_orderstatus") == "F").alias("sufficient"))
+    aligned = agenda.align(c, answers).join(c.select("question_id", "priority"), "question_id")
+    open_ = agenda.gaps(aligned, spark.createDataFrame([], "ref string"))
+    return open_.join(aligned.select(F.col("question_id").cast("string").alias("ref"), "question_id", "status", "n_answers"), "ref").select("question_id", "status", "n_answers", "a", "b")
+
+
+@query(_TURNS + """ select t.conv_id section_id, t.turn seq, coalesce(string_agg(r.ref::varchar, ',' order by r.ref), '') refs from t left join (select distinct b.conv_id, b.turn, a.turn * 10 ref from t a join t b on a.conv_id = b.conv_id and a.turn <= b.turn) r
+  on r.conv_id = t.conv_id and r.turn = t.turn group by 1, 2""")
+def section_citations(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "conversations")
+    spans = t.select(F.col("conv_id").alias("section_id"), F.col("turn").alias("seq"), "text", F.array(F.concat_ws(":", "conv_id", "turn")).alias("claims"))
+    b = t.select("conv_id", F.col("turn").alias("upto"))
+    ev = t.join(b, "conv_id").where("turn <= upto").select(F.concat_ws(":", "conv_id", "upto").alias("claim_id"), (F.col("turn") * 10).alias("evidence_id"))
+    return agenda.sentences(spans, ev).select("section_id", "seq", F.array_join(F.transform("refs", lambda r: r.cast("string")), ",").alias("refs"))
+
+
+@query()
+def admit_acyclic(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    rel = lines.select((F.col("l_orderkey") % 200).alias("graph_id"), (F.col("l_partkey") % 40).alias("source_id"), (F.col("l_suppkey") % 40).alias("target_id"), (F.col("l_returnflag") == "R").alias("explicit"), (1 - F.col("l_discount")).alias("confidence"))
+    rel = rel.where("source_id <> target_id").groupBy("graph_id", "source_id", "target_id").agg(F.bool_or("explicit").alias("explicit"), F.max("confidence").alias("confidence"))
+    return graph.admit_acyclic(rel.withColumn("proposal_id", F.concat_ws("-", "source_id", "target_id")))
+
+
+@query(r"""with h as (select substr(s, 1, 3) b, s from (select sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') s from nation)),
+p as (select b, sha256(string_agg(s, '' order by s)) h from h group by b) select sha256(string_agg(h, '' order by b)) state_hash from p""")
+def state_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return validation.state_hash(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query()
+def periodic_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Quarter tables written out per nation as text and read back by the table expansion."""
+    years = _records(spark, sf).where("year between 1995 and 1999").groupBy("entity", "year").agg(F.sum("volume").alias("v"))
+    ordered = years.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("year", "v"))).alias("x"))
+    head = F.array_join(F.transform("x", lambda r: F.concat((r["year"] + 25).cast("string"), F.lit("E"))), " ")
+    row = F.concat(F.lit("营业收入 "), F.array_join(F.transform("x", lambda r: r["v"].cast("long").cast("string")), " "))
+    doc = ordered.select(F.col("entity").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("sequence"), F.lit("table_like").alias("object_type"), F.concat(head, F.lit("\n"), row).alias("text"))
+    return tables.periodic(doc).select("doc_id", "metric", "period", "raw", F.col("number").cast("double").alias("number"), "qualifier", "unit")
+
+
+@query("""select conv_id, string_agg('## ' || n || '. ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) order by turn, role, text) markdown from
+  (select *, row_number() over (partition by conv_id order by turn, role, text) n from conversations) group by 1""")
+def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.conversation_markdown(table(spark, sf, "conversations"))
+
+
+@query(_GEO + """ select 'node' kind, node_type name, count(*) n from nd group by 2 union all select 'edge', edge_type, count(*) from ed group by 2""")
+def payload_counts(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _geo(spark, sf)
+    count = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return count(nodes, "node", "node_type").union(count(edges, "edge", "edge_type"))
+
+
+@query(r"""select doc_id, case when length(t) > 88 then substr(t, 1, 87) || '…' else t end label, replace(replace(replace(replace(replace(substr(t, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') escaped
+from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) t from documents)""")
+def labels_escaped(spark: SparkSession, sf: str) -> DataFrame:
+    t = tx.strip(F.regexp_replace("text", r"(?U)\s+", " "))
+    return table(spark, sf, "documents").select("doc_id", tx.truncate("text").alias("label"), tx.escape_html(F.substring(t, 1, 200)).alias("escaped"))
+
+
+@query("""select event_id, case when v >= 0 and v <= 1 then v end confidence from (select event_id, "value" / 100 v from events)""")
+def confidence_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", vl.confidence((F.col("value") / 100).cast("string")).alias("confidence"))
+
+
+@query("""select c_mktsegment section_id, c_custkey question_id, ((row_number() over (partition by c_mktsegment order by c_custkey) - 1) // 4 + 1)::bigint batch from customer""")
+def question_batches(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("section_id"), F.col("c_custkey").alias("question_id"))
+    return ranking.batches(c, ["section_id"], 4, "question_id")
+
+
+@query("""select o_orderkey, (o_orderdate + interval 20 hour + interval 8 hour)::date shanghai_day, make_date(greatest(2000, year(o_orderdate)::int - 4), 1, 1) window_start from orders""")
+def shanghai_days(spark: SparkSession, sf: str) -> DataFrame:
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp")) + 20 * 3600 * 1000
+    return table(spark, sf, "orders").select("o_orderkey", vl.shanghai_date(ms).alias("shanghai_day"), vl.window_start(F.year("o_orderdate")).alias("window_start"))
