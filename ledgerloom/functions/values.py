@@ -91,7 +91,7 @@ def clamp(x: Column | str) -> Column:
 def display_number(value, unit) -> Column:
     """T17."""
     v, u = _c(value).cast(DECIMAL), _c(unit)
-    two = lambda x: F.format_string("%.2f", F.bround(x, 2))
+    two = lambda x: F.bround(x, 2).cast("decimal(38,2)").cast("string")
     cny = F.when(F.abs(v) >= 100000000, F.concat(two(v / 100000000), F.lit("亿元"))).when(F.abs(v) >= 10000, F.concat(two(v / 10000), F.lit("万元"))).otherwise(F.concat(two(v), F.lit("元")))
     return F.when(u == "CNY", cny).when(u == "CNY/share", F.concat(two(v), F.lit("元/股"))).when(u == "%", F.concat(two(v), F.lit("%"))).otherwise(F.concat(_c(value).cast("string"), u))
 

@@ -64,13 +64,11 @@ def sentences(spans: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def gap_hits(hits: DataFrame, seen: DataFrame, domains: list[str], as_of: str, per_query: int = 3, most: int = 4) -> DataFrame:
     """Landed search hits (query, place, url): PDFs of official domains dated by as_of, not seen; capped per query and in all."""
-    day = F.to_date(F.regexp_extract("url", r"/(20\d\d-\d\d-\d\d)/", 1))
     host = F.parse_url("url", F.lit("HOST"))
     official = F.lit(False)
     for d in domains:
         official = official | (host == d) | host.endswith("." + d)
     fit = hits.where(F.lower("url").endswith(".pdf") & official & (F.try_to_date(F.regexp_extract("url", r"/(20\d\d-\d\d-\d\d)/", 1)) <= F.lit(as_of).cast("date")))
-    del day
     fresh = fit.join(seen.select("url"), "url", "left_anti")
     n = F.row_number().over(Window.partitionBy("query").orderBy("place", "url"))
     return fresh.withColumn("n", n).where(F.col("n") <= per_query).drop("n").groupBy("url").agg(F.min("place").alias("place"), F.min("query").alias("query")).orderBy("query", "place", "url").limit(most)
