@@ -83,10 +83,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def exact_cosine(q: np.ndarray, v: np.ndarray) -> float:
-    """Cosine in double precision; components that would overflow or vanish when squared are scaled first."""
-    q, v = (x if 1e-100 < (m := np.abs(x).max()) < 1e100 else x / m for x in (q, v))
-    return float(np.dot(q, v) / (np.sqrt(np.dot(q, q)) * np.sqrt(np.dot(v, v))))
+def exact_cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Cosines in double precision, row by row, so that equal vectors score alike wherever they stand.
+
+    Components that would overflow or vanish when squared are scaled first.
+    """
+    m = np.abs(rows).max(axis=1, keepdims=True)
+    rows = np.where((m > 1e-100) & (m < 1e100), rows, rows / m)
+    q = q if 1e-100 < (x := np.abs(q).max()) < 1e100 else q / x
+    dot = np.einsum("ij,j->i", rows, q)
+    return dot / (np.sqrt(np.einsum("j,j->", q, q)) * np.sqrt(np.einsum("ij,ij->i", rows, rows)))
 
 
 class _Best:
@@ -114,11 +120,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUER
     spark, base = vectors.sparkSession, _usable(vectors)
     asked = materialize(_usable(queries).dropDuplicates(["vec_id"]), "queries")
     blocks = max(1, math.ceil(asked.count() / block))
-    asked = materialize(asked.repartition(blocks, "vec_id").withColumn("b", F.spark_partition_id()), "queries")
     parts = []
-    for b in [r.b for r in asked.select("b").distinct().sort("b").toLocalIterator()]:
+    for b in range(blocks):
         groups: dict[int, list] = {}
-        for r in asked.where(F.col("b") == b).select("vec_id", "v").toLocalIterator():
+        mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b  # about `block` queries, whatever the partitions
+        for r in asked.where(mine).select("vec_id", "v").collect():
             groups.setdefault(len(r.v), []).append((r.vec_id, r.v))
         held = spark.sparkContext.broadcast({d: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows])) for d, rows in groups.items()})
 
@@ -143,16 +149,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUER
                                     top = np.argpartition(-g, min(4 * k, len(g) - 1))[: 4 * k]
                                     top = top[ids[top] != q_ids[i]]
                                     if len(top) >= k:
-                                        floor = np.sort([exact_cosine(q_raw[i], raw[j]) for j in top])[-k]
+                                        floor = np.sort(exact_cosines(q_raw[i], raw[top]))[-k]
                                 near = np.flatnonzero((g + a >= floor) & (ids != q_ids[i]))
                                 if len(near):
-                                    fast = _unit(q_raw[i : i + 1]) @ _unit(raw[near]).T
-                                    near = near[np.flatnonzero(fast[0] >= floor - 1e-9)]
-                                    if len(near) > 4 * k:
-                                        order = np.argsort(-fast[0][fast[0] >= floor - 1e-9])
-                                        edge = np.sort(fast[0][fast[0] >= floor - 1e-9])[-k] - 1e-9
-                                        near = near[order[: int((fast[0] >= edge).sum())]]
-                                    best.add(i, np.array([exact_cosine(q_raw[i], raw[j]) for j in near]), ids[near])
+                                    best.add(i, exact_cosines(q_raw[i], raw[near]), ids[near])
             for q_ids, _, _, best in sides.values():
                 at = np.argwhere(best.scores > -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[:, 0]]), pa.array(best.ids[at[:, 0], at[:, 1]]), pa.array(best.scores[at[:, 0], at[:, 1]])], ["query_id", "vec_id", "score"])
