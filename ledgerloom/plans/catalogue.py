@@ -187,13 +187,14 @@ def argument_closure(spark: SparkSession, sf: str) -> DataFrame:
     return graph.closure(_chain(spark, sf))
 
 
-@query(_TURNS + """, e as (select source_id, target_id, conv_id from ch union all select conv_id || ':2', conv_id || ':1', conv_id from conversations where conv_id % 5 = 0 group by conv_id having max(turn) >= 2),
+@query(_TURNS + """, e as (select source_id, target_id, conv_id from ch union all select b.id, a.id, a.conv_id from t a join t b on a.conv_id = b.conv_id and a.turn = 1 and b.turn = 2 where length(b.text) < length(a.text)),
 cl as (select source_id, target_id from e union select cl.source_id, e.target_id from cl join e on cl.target_id = e.source_id),
 cyc as (select source_id id from cl where source_id = target_id)
 select distinct id from (select id from cyc union all select cl.source_id from cl join cyc on cl.target_id = cyc.id)""")
 def dag_check(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where("conv_id % 5 = 0").groupBy("conv_id").agg(F.max("turn").alias("t")).where("t >= 2")
-    back = c.select(F.concat_ws(":", "conv_id", F.lit(2)).alias("source_id"), F.concat_ws(":", "conv_id", F.lit(1)).alias("target_id"))
+    c = _turns(spark, sf).select("conv_id", "turn", "id", F.length("text").alias("n"))
+    a = c.where("turn = 1").select("conv_id", F.col("id").alias("target_id"), F.col("n").alias("before"))
+    back = c.where("turn = 2").join(a, "conv_id").where("n < before").select(F.col("id").alias("source_id"), "target_id")
     return graph.cyclic_nodes(_chain(spark, sf).select("source_id", "target_id").union(back))
 
 
@@ -318,12 +319,11 @@ def relevance_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.top(rows, 16, ["question_id"], F.desc("score"), "chunk_id")
 
 
-@query(r"""with x as (select doc_id, list_transform(list_filter(regexp_extract_all(text, '[A-Za-z]?\d[\d,]*(?:\.\d+)?'), lambda m: regexp_matches(m, '^\d')), lambda m: replace(m, ',', '')) ns from documents)
-select doc_id, array_to_string(list_sort(list_distinct(ns)), '|') numbers, len(list_distinct(ns))::bigint n from x where doc_id not in (select doc_id from documents where regexp_matches(text, '[A-Za-z]\d'))""")
+@query(r"""with x as (select doc_id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z]\d|\d[\d,]*(?:\.\d+)?'), lambda m: regexp_matches(m, '^\d')), lambda m: replace(m, ',', '')))) ns from documents)
+select doc_id, array_to_string(ns, '|') numbers, len(ns)::bigint n from x""")
 def number_support(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where(~F.col("text").rlike(r"[A-Za-z]\d"))
     n = tx.number_tokens("text")
-    return docs.select("doc_id", F.array_join(F.array_sort(n), "|").alias("numbers"), F.size(n).cast("long").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(n), "|").alias("numbers"), F.size(n).cast("long").alias("n"))
 
 
 @query(r"""with v as (select event_id, case event_id % 7 when 0 then round("value", 1) || '%' when 1 then round("value", 1) || '亿元' when 2 then round("value", 1) || '百万元' when 3 then round("value", 1) || '万元' when 4 then round("value", 1) || '元/股'
@@ -419,7 +419,7 @@ def state_hash(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def periodic_table(spark: SparkSession, sf: str) -> DataFrame:
     """Quarter tables written out per nation as text and read back by the table expansion."""
-    years = _records(spark, sf).where("year between 1995 and 1999").groupBy("entity", "year").agg(F.sum("volume").alias("v"))
+    years = _records(spark, sf).groupBy("entity", "year").agg(F.sum("volume").alias("v"))
     ordered = years.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("year", "v"))).alias("x"))
     head = F.array_join(F.transform("x", lambda r: F.concat((r["year"] + 25).cast("string"), F.lit("E"))), " ")
     row = F.concat(F.lit("营业收入 "), F.array_join(F.transform("x", lambda r: r["v"].cast("long").cast("string")), " "))
@@ -440,11 +440,11 @@ def payload_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count(nodes, "node", "node_type").union(count(edges, "edge", "edge_type"))
 
 
-@query(r"""select doc_id, case when length(t) > 88 then substr(t, 1, 87) || '…' else t end label, replace(replace(replace(replace(replace(substr(t, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') escaped
+@query(r"""select doc_id, case when length(t) > 88 then substr(t, 1, 87) || '…' else t end label, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') escaped
 from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) t from documents)""")
 def labels_escaped(spark: SparkSession, sf: str) -> DataFrame:
     t = tx.strip(F.regexp_replace("text", r"(?U)\s+", " "))
-    return table(spark, sf, "documents").select("doc_id", tx.truncate("text").alias("label"), tx.escape_html(F.substring(t, 1, 200)).alias("escaped"))
+    return table(spark, sf, "documents").select("doc_id", tx.truncate("text").alias("label"), tx.escape_html(t).alias("escaped"))
 
 
 @query("""select event_id, case when v >= 0 and v <= 1 then v end confidence from (select event_id, "value" / 100 v from events)""")
