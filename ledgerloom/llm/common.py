@@ -86,23 +86,24 @@ def global_rank(df: DataFrame, key: str) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of undirected edges (a, b): one row (v, c) per vertex, c being the component's smallest vertex.
 
-    Alternating large-star and small-star contractions; each round is written to the shared folder. A vertex of high
-    degree only meets its minimum, which is pre-aggregated before the shuffle.
+    Alternating large-star and small-star contractions; each round is written to the shared folder. Towards the end the
+    smallest vertex of a large component meets all the others, so every join by vertex treats hot vertices apart.
     """
-    spark = edges.sparkSession
     current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    mark, count = None, current.count()
     while True:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(current.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, large.a == least.u).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = lookup(both.where("v > u"), low, "u", "n", 2 * count).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.where("a <> b").distinct(), "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = lookup(large, least, "a", "n", large.count()).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = materialize(small, "edges")
         drop_materialized(current)
+        drop_materialized(large)
         stars = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        current = after
-        if mark == stars or stars[0] == 0:
+        current, count = after, stars[0]
+        if mark == stars or count == 0:
             break
         mark = stars
     vertices = current.select(F.col("a").alias("v"), F.col("b").alias("c"))

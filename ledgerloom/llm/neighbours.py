@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shared_dir, unique_name
 
 #: Queries that are held by every task at once; more are searched block after block.
 QUERY_BLOCK = 4096
@@ -115,12 +115,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUER
     Unusable vectors (null, empty, zero, or with null or non-finite components) take no part on either side; vectors of
     another length than a query's aren't compared with it. Rows with equal ids count once (the first of equal scores).
     Ties go to the smaller vec_id; with fewer candidates than k, all are returned. Every row is coded and compared; the
-    queries are taken in blocks of a fixed size, each held by all tasks while they pass over the codes.
+    queries are taken in blocks of a fixed size, each held by all tasks while they pass over the codes, and each block's
+    ranks are appended to one table, so neither plan nor intermediates grow with the number of blocks.
     """
     spark, base = vectors.sparkSession, _usable(vectors)
     asked = materialize(_usable(queries).dropDuplicates(["vec_id"]), "queries")
     blocks = max(1, math.ceil(asked.count() / block))
-    parts = []
+    path = f"{shared_dir(spark)}/ledgerloom/{unique_name('nearest')}"
     for b in range(blocks):
         groups: dict[int, list] = {}
         mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b  # about `block` queries, whatever the partitions
@@ -157,13 +158,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUER
                 at = np.argwhere(best.scores > -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[:, 0]]), pa.array(best.ids[at[:, 0], at[:, 1]]), pa.array(best.scores[at[:, 0], at[:, 1]])], ["query_id", "vec_id", "score"])
 
-        parts.append(materialize(base.mapInArrow(each, "query_id long, vec_id long, score double"), "nearest"))
+        found = base.mapInArrow(each, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked.write.mode("append").parquet(path)
         held.destroy()
-    if not parts:
-        parts = [spark.createDataFrame([], "query_id long, vec_id long, score double")]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema("query_id long, rank int, vec_id long, score double").parquet(path)

@@ -77,20 +77,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
+def _runs(texts: list[np.ndarray], most: int = 1 << 21):
+    """The texts in runs of about `most` words, so that what the vectors are summed from stays small."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def _word_vectors(texts: list[np.ndarray], size: int) -> np.ndarray:
     rng = np.random.default_rng(3)
     index = np.zeros((size, DIM), np.float32)
     for row in index:
         row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice((-1.0, 1.0), NONZERO)
     sums = np.zeros((size, DIM))
-    ids = np.concatenate([np.concatenate((t, np.zeros(WINDOW, t.dtype))) for t in texts] or [np.zeros(1, np.int32)])
     index[0] = 0  # between documents
-    for d in range(DIM):
-        own, near = index[:, d][ids], np.zeros(len(ids), np.float32)
-        for k in range(1, WINDOW + 1):
-            near[k:] += own[:-k]
-            near[:-k] += own[k:]
-        sums[:, d] = np.bincount(ids, near, size)
+    for run in _runs(texts):
+        ids = np.concatenate([np.concatenate((t, np.zeros(WINDOW, t.dtype))) for t in run])
+        for d in range(DIM):
+            own, near = index[:, d][ids], np.zeros(len(ids), np.float32)
+            for k in range(1, WINDOW + 1):
+                near[k:] += own[:-k]
+                near[:-k] += own[k:]
+            sums[:, d] += np.bincount(ids, near, size)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     vectors = sums / np.where(norm > 0, norm, 1)
     vectors[0] = 0
@@ -102,19 +116,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     counts, rows = labelled(docs, labels, "quality", per_class)
     if len(counts) < 2:
         return Model()
-    texts, y, seen, shaped = [], [], Counter(), Counter()
+    texts, y, number = [], [], {}  # texts as numbers of words in order of appearance, four bytes a word
     for _, text, label in rows:
         words = text.split()
-        texts.append(words)
+        texts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
         y.append(label)
-        seen.update(words)
+    times, shaped = np.zeros(len(number), np.int64), Counter()
+    for t in texts:
+        np.add.at(times, t, 1)
+    seen = Counter(dict(zip(number, times.tolist(), strict=True)))
     words = {w: i for i, (w, n) in enumerate(seen.most_common(WORDS), 1) if n >= MIN_COUNT}
     for w, n in seen.items():
         shaped[shape(w)] += n
     shapes = {s: i for i, (s, _) in enumerate(shaped.most_common(SHAPES), 1 + len(words))}
     ids = _Ids(words, shapes)
-    coded = [np.fromiter(map(ids.__getitem__, t), np.int32, len(t)) for t in texts]
-    # A rare word teaches its shape; so does a third of the others, lest shapes know nothing of common words' contexts.
+    code = np.fromiter(map(ids.__getitem__, number), np.int32, len(number))
+    coded = [code[t] for t in texts]  # a word too rare for a vector of its own teaches its shape
     model = Model(words, shapes, _word_vectors(coded, 1 + len(words) + len(shapes)))
     x, y = np.array([model.pooled(c) for c in coded]), np.array(y, float)
     rng = np.random.default_rng(5)
