@@ -114,11 +114,12 @@ def reportable(nodes: DataFrame, parents: DataFrame, leaves: DataFrame) -> DataF
     leaves (id) hold by themselves. A derived node holds once all its parents hold and they are at least `least`; so
     cycles never do. Least fix-point, a round per level.
     """
-    needs = written(parents.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(nodes, "id").where("n >= least").select("id", "n"))
+    parents = written(parents.select("id", "parent_id").distinct())
+    needs = written(parents.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(nodes, "id").where("n >= least").select("id", "n"))
     held = written(leaves.select("id").distinct())
     count = held.count()
     while True:
-        ready = parents.distinct().join(held.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("have"))
+        ready = parents.join(held.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("have"))
         held = written(held.union(needs.join(ready, "id").where("have = n").select("id")).distinct())
         after = held.count()
         if after == count:
