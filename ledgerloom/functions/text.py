@@ -44,6 +44,11 @@ def norm_quote(x: Column | str) -> Column:
     return F.translate(F.regexp_replace(_c(x), r"(?U)\s+", ""), "，", ",")
 
 
+def squeezed(x: Column | str) -> Column:
+    """No white space."""
+    return F.regexp_replace(_c(x), r"(?U)\s+", "")
+
+
 def compact(x: Column | str) -> Column:
     """No white space, case folded (sharp s as ss); null gives an empty string."""
     return F.replace(F.lower(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"(?U)\s+", "")), F.lit("ß"), F.lit("ss"))

@@ -15,7 +15,7 @@ STATUSES = ("EXTRACTED", "NO_CLAIM", "OPAQUE", "NEEDS_REVIEW")
 #: Roles of core claims that should be argued for.
 ARGUED = ("recommendation", "valuation", "forecast", "interpretation")
 SEMANTIC = ("Claim", "DataPoint", "Event")
-ROOT_FIELDS = ("schema_version", "state_hash", "documents", "source_objects", "nodes", "edges")
+ROOT_FIELDS = ("schema_version", "graph_id", "state_hash", "document", "source_objects", "nodes", "edges", "extraction_run", "coverage_manifest", "rejected_candidates")
 
 
 def issue(rows: DataFrame, code: str | Column, message: str, object_id: str | Column) -> DataFrame:
@@ -113,6 +113,47 @@ def errors(documents: DataFrame, sources: DataFrame, nodes: DataFrame, edges: Da
     return reduce(DataFrame.unionByName, rules)
 
 
+def header_rules(headers: DataFrame, version: str, hashes: DataFrame) -> list[DataFrame]:
+    """headers: graph_id, json (root document), schema_version, state_hash; hashes: graph_id, computed (state_hash of its tables)."""
+    both = headers.join(hashes, "graph_id", "left")
+    return [
+        issue(headers.where(~F.col("schema_version").eqNullSafe(F.lit(version))), "SCHEMA_VERSION", "other schema version", "graph_id"),
+        issue(headers.where(F.coalesce(F.size(missing_fields(F.col("json"))) != 0, F.lit(True))), "ROOT_FIELDS", "root fields missing", "graph_id"),
+        issue(both.where(~F.col("state_hash").eqNullSafe(F.col("computed"))), "STATE_HASH", "state hash and content differ", "graph_id"),
+    ]
+
+
+def file_rules(documents: DataFrame, files: DataFrame) -> list[DataFrame]:
+    """documents: id, local_path, sha256; files: local_path, content (binary) of what has landed."""
+    landed = documents.join(files.select("local_path", F.sha2("content", 256).alias("actual")), "local_path", "left")
+    return [
+        issue(landed.where("actual is null"), "SOURCE_FILE_EXISTS", "file missing", "id"),
+        issue(landed.where(F.col("actual").isNotNull() & ~F.col("sha256").eqNullSafe(F.col("actual"))), "SOURCE_FILE_HASH", "file and digest differ", "id"),
+    ]
+
+
+def coverage_rules(sources: DataFrame, nodes: DataFrame, evidence: DataFrame, manifest: DataFrame) -> list[DataFrame]:
+    """manifest, one row: graph_id, status_counts (map of status to count), terminal, evidence_coverage."""
+    counts = sources.groupBy("processing_status").agg(F.count(F.lit(1)).alias("n"))
+    told = manifest.select(F.explode("status_counts").alias("processing_status", "told"))
+    apart = counts.join(told, "processing_status", "full_outer").where(~F.col("n").eqNullSafe(F.col("told")))
+    total = sources.agg(F.count(F.lit(1)).alias("total"))
+    semantic = nodes.where(F.col("node_type").isin(*SEMANTIC)).select("id")
+    backed = semantic.join(evidence.select(F.col("node_id").alias("id")), "id", "left_semi").agg(F.count(F.lit(1)).alias("backed"))
+    share = semantic.agg(F.count(F.lit(1)).alias("semantic")).join(F.broadcast(backed))  # one row each
+    return [
+        issue(apart, "COVERAGE_STATUS_COUNTS", "status counts differ", "processing_status"),
+        issue(manifest.join(F.broadcast(total)).where("not terminal <=> total"), "COVERAGE_TERMINAL", "not every source has a status", "graph_id"),
+        issue(manifest.join(F.broadcast(share)).where(~F.col("evidence_coverage").eqNullSafe(ratio(F.col("backed"), F.col("semantic")))), "COVERAGE_EVIDENCE", "evidence coverage differs", "graph_id"),
+    ]
+
+
+def report(errors: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row with status (PASS iff there is no error) and the numbers of errors and warnings."""
+    n = errors.agg(F.count(F.lit(1)).alias("errors")).join(F.broadcast(warnings.agg(F.count(F.lit(1)).alias("warnings"))))
+    return n.select(F.when(F.col("errors") == 0, "PASS").otherwise("FAIL").alias("status"), "errors", "warnings")
+
+
 def missing_fields(json: Column) -> Column:
     """Root fields that a graph document lacks."""
     return F.array_except(F.array(*map(F.lit, ROOT_FIELDS)), F.json_object_keys(json))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
-from ..operators import agenda, blocks, evaluation, evidence, facts, graph, ranking, tables, validation, views
+from ..operators import agenda, blocks, candidates, evaluation, evidence, facts, graph, ranking, tables, validation, views
 from ..session import table
 from ..sources import landed, sinks
 
@@ -462,3 +462,23 @@ def question_batches(spark: SparkSession, sf: str) -> DataFrame:
 def shanghai_days(spark: SparkSession, sf: str) -> DataFrame:
     ms = F.unix_millis(F.col("o_orderdate").cast("timestamp")) + 20 * 3600 * 1000
     return table(spark, sf, "orders").select("o_orderkey", vl.shanghai_date(ms).alias("shanghai_day"), vl.window_start(F.year("o_orderdate")).alias("window_start"))
+
+
+@query("""with c as (select p_partkey k, p_brand b, p_retailprice::decimal(12,2)::varchar v, case when p_size % 5 = 0 then 'quote not in source' when p_size % 7 = 0 then 'metric or period missing' end reason from part),
+g as (select * from c where reason is null), d as (select distinct b from c where reason is null or reason like 'metric%'), x as (select distinct b, v from g)
+select 'node' kind, 'DataPoint' name, count(*) n from x union all select 'node', 'Entity', count(*) from d union all select 'node', 'Metric', 1 from d having count(*) > 0 union all select 'node', 'Period', 1 from g having count(*) > 0
+union all select 'edge', t, count(*) from x, (select unnest(['ABOUT', 'MEASURES', 'VALID_DURING']) t) group by t union all select 'edge', 'EVIDENCED_BY', count(*) from (select distinct b, v, k from g)
+union all select 'rejected', reason, count(*) from c where reason is not null group by reason""")
+def candidate_registration(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part is a source that states its price, and a data point that quotes it (some wrongly, some without a period)."""
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("source_id"), price.alias("price"), "p_brand", "p_size", "p_name")
+    sources = parts.select("source_id", F.concat("p_name", F.lit(" at a price of "), "price").alias("text"))
+    quote = F.concat(F.when(F.col("p_size") % 5 == 0, "cost of ").otherwise("price of "), F.col("price"))
+    value = F.from_json(F.to_json(F.struct(F.col("price").alias("raw"), F.col("price").alias("normalized_decimal"))), candidates.VALUE)
+    own = {"seq": F.col("seq"), "chunk_id": F.col("source_id"), "kind": F.lit("data_point"), "local_id": F.lit("d1"), "subject_name": F.col("p_brand"), "metric_name": F.lit("Price"), "period_label": F.when(F.col("p_size") % 7 != 0, "2024A"), "value": value, "evidence": F.array(F.struct(F.col("source_id").alias("source_object_id"), quote.alias("quote")))}
+    empty = spark.createDataFrame([], candidates.CANDIDATE)
+    rows = empty.unionByName(parts.select(*[c.alias(n) for n, c in own.items()]), allowMissingColumns=True)
+    made = candidates.register(rows, spark.createDataFrame([], candidates.RELATION), sources, parts.select(F.col("source_id").alias("chunk_id"), "source_id"))
+    count = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return count(made.nodes, "node", "node_type").union(count(made.edges, "edge", "edge_type")).union(count(made.rejected, "rejected", "reason"))
