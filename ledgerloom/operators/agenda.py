@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_in, unsupported_numbers
+from .graph import mistyped
 
 #: Sentence ends that a report sentence may hold once.
 ENDS = "[。！？]"
@@ -72,3 +73,54 @@ def gap_hits(hits: DataFrame, seen: DataFrame, domains: list[str], as_of: str, p
     fresh = fit.join(seen.select("url"), "url", "left_anti")
     n = F.row_number().over(Window.partitionBy("query").orderBy("place", "url"))
     return fresh.withColumn("n", n).where(F.col("n") <= per_query).drop("n").groupBy("url").agg(F.min("place").alias("place"), F.min("query").alias("query")).orderBy("query", "place", "url").limit(most)
+
+
+def listed(entities: DataFrame, as_of: str) -> DataFrame:
+    """Entities (id, listed_on); an error if one wasn't listed by the day as_of."""
+    early = F.coalesce(F.col("listed_on") <= F.lit(as_of).cast("date"), F.lit(False))
+    name = F.when(early, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("not listed by then: "), F.coalesce(F.col("id").cast("string"), F.lit("?"))))).alias("id")
+    return entities.select(name, *[c for c in entities.columns if c != "id"])
+
+
+def graph_errors(nodes: DataFrame, edges: DataFrame, held: DataFrame) -> DataFrame:
+    """(code, id) of mistyped edges, reportable propositions that don't hold, and spans without claims that all hold.
+
+    nodes: id, node_type, status; held: ids that `graph.reportable` gives.
+    """
+    typed = mistyped(nodes, edges).select(F.lit("edge type").alias("code"), F.concat_ws(" ", "source_id", "edge_type", "target_id").alias("id"))
+    loose = nodes.where("node_type = 'Proposition' and status = 'reportable'").join(held, "id", "left_anti").select(F.lit("not traceable"), "id")
+    spans = nodes.where("node_type = 'ReportSpan'").select("id")
+    says = edges.where("edge_type = 'EXPRESSES'").select(F.col("source_id").alias("id"), F.col("target_id").alias("claim_id"))
+    mute = spans.join(says, "id", "left_anti").select(F.lit("span without claim"), "id")
+    wrong = spans.join(says, "id").join(held.select(F.col("id").alias("claim_id")), "claim_id", "left_anti").select(F.lit("span of a claim that does not hold"), "id").distinct()
+    return typed.union(loose).union(mute).union(wrong)
+
+
+def report_lines(sections: DataFrame, spoken: DataFrame, citations: DataFrame) -> DataFrame:
+    """Markdown lines (part, place, seq, line) of a report: titles, sentences with references, then the citations.
+
+    sections: section_id, title, place; spoken: what `sentences` gives; citations: evidence_id, title, url, quote. Only
+    evidence that a sentence refers to is listed. Sorting by (part, place, seq) gives the document.
+    """
+    titles = sections.select(F.lit(1).alias("part"), F.col("place").cast("long").alias("place"), F.lit(-1).cast("long").alias("seq"), F.concat(F.lit("## "), F.col("title")).alias("line"))
+    body = spoken.join(sections.select("section_id", "place"), "section_id").select(F.lit(1), F.col("place").cast("long"), F.col("seq").cast("long"), F.col("rendered"))
+    used = spoken.select(F.explode("refs").alias("evidence_id")).distinct()
+    listing = F.concat_ws(" ", F.concat(F.lit("["), F.col("evidence_id").cast("string"), F.lit("]")), "title", "url", "quote")
+    tail = citations.join(used, "evidence_id", "left_semi").select(F.lit(2), F.lit(0).cast("long"), F.col("evidence_id").cast("long"), listing)
+    return titles.union(body).union(tail)
+
+
+def question_facts(scores: DataFrame, most: int = 16) -> DataFrame:
+    """Per question the first facts: priority ones, then by score, documents before records, newest first.
+
+    scores: question_id, id, priority, score, is_document, period_end.
+    """
+    order = (F.desc("priority"), F.desc("score"), F.desc("is_document"), F.desc("period_end"), "id")
+    n = F.row_number().over(Window.partitionBy("question_id").orderBy(*order))
+    return scores.where("priority or score > 0").withColumn("rank", n).where(F.col("rank") <= most)
+
+
+def call_totals(calls: DataFrame) -> DataFrame:
+    """Calls, seconds and tokens by stage of the calls of all runs (stage, seconds, tokens); null counts as nothing."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return calls.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), total("seconds"), total("tokens"))

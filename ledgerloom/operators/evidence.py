@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_quote, sha256, strip
+from ..functions.text import sha256, squeezed, strip
 
 QUOTE_BLOCK = 1000
 
 
 def quote_matches(quotes: DataFrame, sources: DataFrame, block: int = QUOTE_BLOCK) -> DataFrame:
     """(item_id, doc_id, match_mode) of quotes (item_id, quote) that sources (doc_id, text) hold, exactly or white space aside."""
-    good = quotes.where(strip("quote") != "").select("item_id", "quote", norm_quote("quote").alias("packed"))
-    texts = sources.select("doc_id", "text", norm_quote("text").alias("packed_text"))
+    good = quotes.where(strip("quote") != "").select("item_id", "quote", squeezed("quote").alias("packed"))
+    texts = sources.select("doc_id", "text", squeezed("text").alias("packed_text"))
     blocks = max(1, -(-good.count() // block))
     parts = []
     for b in range(blocks):
@@ -36,7 +36,7 @@ def cited(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """J01 and C05 for evidence that names its source (candidate_id, doc_id, quote): match_mode or reject_reason per item."""
     rows = evidence.join(sources.select("doc_id", "text"), "doc_id", "left")
     exact = F.col("text").contains(F.col("quote"))
-    loose = norm_quote("text").contains(norm_quote("quote"))
+    loose = squeezed("text").contains(squeezed("quote"))
     reason = F.when(F.col("text").isNull(), "unknown source").when(strip("quote") == "", "empty quote").when(~exact & ~loose, "quote not in source")
     return rows.select("candidate_id", "doc_id", "quote", F.when(reason.isNull(), F.when(exact, "exact").otherwise("whitespace_normalized")).alias("match_mode"), sha256("quote").alias("quote_sha256"), reason.alias("reject_reason"))
 

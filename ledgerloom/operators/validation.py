@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import glyphs_present, norm_quote, sha256, strip
+from ..functions.text import glyphs_present, sha256, squeezed, strip
 from ..functions.values import value_errors
 from .graph import ACCEPT_AT, ARGUMENT_TYPES, EDGE_TYPES, NODE_TYPES, cyclic_nodes, dangling
 
@@ -57,7 +57,7 @@ def evidence_rules(nodes: DataFrame, edges: DataFrame, sources: DataFrame, evide
     """evidence: node_id, source_id, quote, quote_sha256."""
     texts = sources.select(F.col("id").alias("source_id"), "normalized_text")
     found = evidence.join(texts, "source_id", "left")
-    inside = F.col("normalized_text").contains(F.col("quote")) | norm_quote("normalized_text").contains(norm_quote("quote"))
+    inside = F.col("normalized_text").contains(F.col("quote")) | squeezed("normalized_text").contains(squeezed("quote"))
     own = evidence.select("node_id", "source_id").distinct()
     linked = edges.where("edge_type = 'EVIDENCED_BY'").select(F.col("source_id").alias("node_id"), F.col("target_id").alias("source_id")).distinct()
     apart = own.exceptAll(linked).union(linked.exceptAll(own)).select("node_id").distinct()

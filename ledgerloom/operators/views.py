@@ -38,6 +38,12 @@ def node_evidence(own: DataFrame, edge_evidence: DataFrame) -> DataFrame:
     return own.unionByName(edge_evidence).dropDuplicates(["node_id", "source_id", "quote"])
 
 
+def nodes_of_sources(evidence: DataFrame) -> DataFrame:
+    """The distinct (source_id, node_id) pairs with each node's place among its source's, instead of one list a source."""
+    pairs = evidence.select("source_id", "node_id").distinct()
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("node_id")))
+
+
 def page_source(sources: DataFrame) -> DataFrame:
     """The source shown for each page: the first opaque one, else the one with most candidates."""
     order = Window.partitionBy("page").orderBy(F.desc(F.col("processing_status") == "OPAQUE"), F.when(F.col("processing_status") == "OPAQUE", 0).otherwise(-F.col("candidate_count")), "sequence")

@@ -31,8 +31,8 @@ def query(sql: str | None = None):
 
 
 @query(r"""
-with q as (select item_id, text quote, replace(regexp_replace(text, '\s+', '', 'g'), '，', ',') p from benchmark),
-d as (select doc_id, text, replace(regexp_replace(text, '\s+', '', 'g'), '，', ',') pt from documents),
+with q as (select item_id, text quote, regexp_replace(text, '\s+', '', 'g') p from benchmark),
+d as (select doc_id, text, regexp_replace(text, '\s+', '', 'g') pt from documents),
 m as (select q.item_id, d.doc_id, case when contains(d.text, q.quote) then 'exact' else 'whitespace_normalized' end match_mode from q join d on contains(d.pt, q.p) where q.p <> '')
 select q.item_id, m.doc_id, m.match_mode, sha256(q.quote) quote_sha256,
   case when trim(q.quote) = '' then 'empty quote' when m.doc_id is null then 'quote not in any source' end reject_reason from q left join m using (item_id)""")

@@ -87,6 +87,12 @@ def recovered_json(x: Column) -> Column:
     return F.when(F.try_parse_json(bare).isNotNull(), bare).when(F.try_parse_json(outer).isNotNull(), outer)
 
 
+def search_hits(rows: DataFrame) -> DataFrame:
+    """Landed web-search hits (query, place, url or link, title, ...): one url column; hits without any go."""
+    has = [F.nullif(F.trim(c), F.lit("")) for c in ("url", "link") if c in rows.columns]
+    return rows.withColumn("url", F.coalesce(*has, F.lit(None).cast("string"))).drop("link").where("url is not null")
+
+
 class _Page(HTMLParser):
     """Text with line feeds at blocks, less hidden subtrees; dates of metadata and <time>."""
 

@@ -1,4 +1,4 @@
-"""Registration of chunk candidates, and the validator's header, file and coverage rules."""
+"""Registration of chunk candidates, the validator's header, file and coverage rules, agenda checks and report."""
 
 import hashlib
 from functools import reduce
@@ -6,7 +6,8 @@ from functools import reduce
 import pytest
 from pyspark.sql import DataFrame
 
-from ledgerloom.operators import candidates, validation
+from ledgerloom.operators import agenda, candidates, validation, views
+from ledgerloom.sources import landed
 
 TEXT = "Revenue rose to 1,200 in 2024, so we say buy."
 
@@ -80,3 +81,25 @@ def test_header_file_and_coverage_rules(spark):
     assert codes(validation.coverage_rules(sources, nodes, ev, spark.createDataFrame([("g", {"OPAQUE": 2}, 1, 1.0)], schema))) == ["COVERAGE_EVIDENCE", "COVERAGE_STATUS_COUNTS", "COVERAGE_STATUS_COUNTS", "COVERAGE_TERMINAL"]
     errors, warnings = spark.createDataFrame([], "code string"), spark.createDataFrame([("w",)], "code string")
     assert tuple(validation.report(errors, warnings).first()) == ("PASS", 0, 1)
+
+
+def test_agenda_checks_and_report(spark):
+    e = spark.createDataFrame
+    nodes = e([("p", "Proposition", "reportable"), ("q", "Proposition", "reportable"), ("x", "ReportSpan", None), ("y", "ReportSpan", None), ("z", "ReportSpan", None), ("s", "Section", None)], "id string, node_type string, status string")
+    edges = e([("x", "EXPRESSES", "p"), ("y", "EXPRESSES", "p"), ("y", "EXPRESSES", "q"), ("p", "ANSWERS", "s")], "source_id string, edge_type string, target_id string")
+    held = e([("p",)], "id string")
+    assert sorted(map(tuple, agenda.graph_errors(nodes, edges, held).collect())) == [("edge type", "p ANSWERS s"), ("not traceable", "q"), ("span of a claim that does not hold", "y"), ("span without claim", "z")]
+    spoken = agenda.sentences(e([("a", 1, "One.", ["p"]), ("b", 1, "Two.", ["q", "p"])], "section_id string, seq int, text string, claims array<string>"), e([("p", 7), ("q", 3), ("q", 7)], "claim_id string, evidence_id int"))
+    lines = agenda.report_lines(e([("b", "Second", 2), ("a", "First", 1)], "section_id string, title string, place int"), spoken, e([(3, "t", "u", "q3"), (7, "t", None, "q7"), (9, "t", "u", "unused")], "evidence_id int, title string, url string, quote string"))
+    assert [r.line for r in lines.orderBy("part", "place", "seq").collect()] == ["## First", "One.[7]", "## Second", "Two.[3][7]", "[3] t u q3", "[7] t q7"]
+    facts = e([("q", "a", False, 9.0, True, 1), ("q", "b", True, 0.0, False, 1), ("q", "c", False, 9.0, False, 5), ("q", "d", False, 0.0, True, 9)], "question_id string, id string, priority boolean, score double, is_document boolean, period_end int")
+    assert [r.id for r in agenda.question_facts(facts).orderBy("rank").collect()] == ["b", "a", "c"]
+    calls = e([("verify", 1.5, 10), ("verify", None, 5)], "stage string, seconds double, tokens long")
+    assert tuple(agenda.call_totals(calls).first()) == ("verify", 2, 1.5, 15)
+    firms = e([("f", "2020-01-01")], "id string, day string").selectExpr("id", "cast(day as date) listed_on")
+    assert agenda.listed(firms, "2020-01-01").count() == 1
+    with pytest.raises(Exception, match="not listed"):
+        agenda.listed(firms, "2019-12-31").collect()
+    hits = e([("u", None), (" ", "l"), (None, "")], "url string, link string")
+    assert [r.url for r in landed.search_hits(hits).collect()] == ["u", "l"]
+    assert sorted(map(tuple, views.nodes_of_sources(e([("s", "n"), ("s", "m"), ("s", "n")], "source_id string, node_id string")).collect())) == [("s", "m", 1), ("s", "n", 2)]

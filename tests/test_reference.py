@@ -62,9 +62,9 @@ def test_folds(spark):
 
 def test_gate(spark):
     src = spark.createDataFrame([("s", "ab  cd，e")], "doc_id string, text string")
-    ev = spark.createDataFrame([("1", "s", "ab  cd"), ("2", "s", "abcd,e"), ("3", "s", "zz"), ("4", "t", "ab"), ("5", "s", " "), ("1", "s", "zz")], "candidate_id string, doc_id string, quote string")
+    ev = spark.createDataFrame([("1", "s", "ab  cd"), ("2", "s", "abcd，e"), ("6", "s", "abcd,e"), ("3", "s", "zz"), ("4", "t", "ab"), ("5", "s", " "), ("1", "s", "zz")], "candidate_id string, doc_id string, quote string")
     rows = {(r.candidate_id, r.quote): r.match_mode or r.reject_reason for r in evidence.cited(ev, src).collect()}
-    assert list(rows[k] for k in sorted(rows)) == ["exact", "quote not in source", "whitespace_normalized", "quote not in source", "unknown source", "empty quote"]
+    assert list(rows[k] for k in sorted(rows)) == ["exact", "quote not in source", "whitespace_normalized", "quote not in source", "unknown source", "empty quote", "quote not in source"]
     assert {r.candidate_id for r in evidence.admitted(evidence.cited(ev, src)).where("admitted").collect()} == {"2"}
 
 
