@@ -78,6 +78,7 @@ def _tree(page: str) -> _Node:
                 skip[1] += -1 if closing else 1
                 if not skip[1]:
                     skip = None
+                continue  # the end tag was the unwanted element's own
             elif closing and tag in ("body", "html", "article", "main") and skip[0] != "head":
                 skip = None  # an unwanted element that was never closed ends with its container
             elif not closing and skip[0] == "head" and tag == "body":
