@@ -32,28 +32,34 @@ _ROOTS = frozenset("html body main article".split())
 
 
 class _Node:
-    __slots__ = ("chars", "kids", "links", "parent", "points", "tag")
+    __slots__ = ("chars", "doubt", "kids", "links", "parent", "points", "tag")
 
-    def __init__(self, tag, parent):
+    def __init__(self, tag, parent, doubt=0.0):
         self.tag, self.parent, self.kids, self.points, self.chars, self.links = tag, parent, [], 0.0, 0, 0
+        self.doubt = doubt  # the share of the page's text up to which the element is left out
 
 
-def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
+def _unwanted(tag: str, attrs: str, inside: bool) -> float:
+    """1 for what is never content, 0 for what may be; else the share of the page's text up to which its class words refuse it."""
     if tag in _DROP or (tag == "header" and not inside):
-        return True
+        return 1.0
     if not attrs:
-        return False
+        return 0.0
     words: set[str] = set()
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if (name == "hidden" or (name == "aria-hidden" and value.lower() == "true")) and tag not in _ROOTS:
-            return True
+            return 1.0
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) and tag not in _ROOTS:
-                return True
+                return 1.0
         elif name != "hidden":
             words.update(w.lower() for w in _WORDS.findall(value))
-    return bool(words & (_COMMENT if tag == "article" else _BAD)) and tag not in ("html", "body", "main")
+    if tag in ("html", "body", "main") or not words & (_COMMENT if tag == "article" else _BAD):
+        return 0.0
+    if not words - _BAD:
+        return 2.0  # named for nothing else
+    return 0.9 if words & _COMMENT else 0.5
 
 
 def _tree(page: str) -> _Node:
@@ -100,7 +106,8 @@ def _tree(page: str) -> _Node:
             continue
         if tag in ("html", "body") and tag == "html":
             continue
-        if _unwanted(tag, attrs, bool(inside)):
+        doubt = _unwanted(tag, attrs, bool(inside))
+        if doubt and (doubt == 1 or tag in _VOID or tag in ("p", "li")):
             if tag not in _VOID:
                 skip = [tag, 1]
                 if tag in ("p", "li"):
@@ -121,7 +128,7 @@ def _tree(page: str) -> _Node:
                 node = up.parent
                 if tag == "tr" and node.tag == "tr":
                     node = node.parent
-        new = _Node(tag, node)
+        new = _Node(tag, node, doubt)
         node.kids.append(new)
         if tag not in _VOID:
             node = new
@@ -156,15 +163,11 @@ def _blocks(roots: list[_Node], leave: set[int]) -> str:
     return " ".join("".join(parts).split())
 
 
-def main_text(page: str | None) -> str:
-    """The article's text; empty if the page has none."""
-    if not page:
-        return ""
-    root = _tree(page)
-    nodes = _all(root)
+def _measure(nodes: list[_Node]) -> dict[int, int]:
+    """Sets chars and links of the nodes; their commas."""
     commas: dict[int, int] = {}
     for n in reversed(nodes):  # children before parents
-        own = commas.get(id(n), 0)
+        n.chars, n.links, own = 0, 0, 0
         for k in n.kids:
             if type(k) is str:
                 n.chars += len(k) - k.count("\n") if not k.isspace() else 0
@@ -176,11 +179,45 @@ def main_text(page: str | None) -> str:
         if n.tag == "a":
             n.links = n.chars
         commas[id(n)] = own
+    return commas
+
+
+def _worth(n: _Node, commas: dict[int, int]) -> float:
+    """The points a paragraph passes on; 0 for other nodes."""
+    text = n.tag in _SCORED or (n.tag in ("div", "section", "article", "main", "body", "html", "center") and any(type(k) is str and len(k.strip()) >= 25 for k in n.kids))
+    if not text or n.chars < 25 or n.parent is None and n.tag != "html":
+        return 0.0
+    return 1 + commas[id(n)] + min(n.chars / 100, 3)
+
+
+def _prune(nodes: list[_Node]) -> None:
+    """Takes out elements in doubt, unless they hold an article or much of the page's text: then they are wrappers of the layout."""
+    holds: set[int] = set()
+    for n in reversed(nodes):
+        if n.parent is not None and (n.tag in ("main", "article") and not n.doubt or id(n) in holds):
+            holds.add(id(n.parent))
+    most = nodes[0].chars - nodes[0].links
+    for n in nodes:
+        if n.doubt and id(n) not in holds and n.chars - n.links <= n.doubt * most:
+            n.parent.kids.remove(n)
+
+
+def main_text(page: str | None) -> str:
+    """The article's text; empty if the page has none."""
+    if not page:
+        return ""
+    root = _tree(page)
+    nodes = _all(root)
+    commas = _measure(nodes)
+    if any(n.doubt for n in nodes):
+        _prune(nodes)
+        nodes = _all(root)
+        commas = _measure(nodes)
     for n in nodes:
-        text = n.tag in _SCORED or (n.tag in ("div", "section", "article", "main", "body", "html", "center") and any(type(k) is str and len(k.strip()) >= 25 for k in n.kids))
-        if not text or n.chars < 25 or n.parent is None and n.tag != "html":
+        points = _worth(n, commas)
+        if not points:
             continue
-        points, up, level = 1 + commas[id(n)] + min(n.chars / 100, 3), n if n.tag not in _SCORED else n.parent, 1
+        up, level = n if n.tag not in _SCORED else n.parent, 1
         while up is not None and level <= 4:
             up.points += points / (1 if level == 1 else 2 if level == 2 else level * 3)
             up, level = up.parent, level + 1

@@ -13,3 +13,10 @@ def test_an_unwanted_element_closes_nothing_else(tag):
     unwanted = f'<{tag} class="ad">x<{tag}>y</{tag}></{tag}>'
     assert html_text.main_text(f"<{tag} class=page><article><p>{A}</p>{unwanted}<p>{B}</p></article></{tag}>") == f"{A} {B}"
     assert html_text.main_text(f"<body><{tag} class=content><p>{A}</p>{unwanted}<ul><li>one</ul><p>{B}</p></{tag}></body>") == f"{A} one {B}"
+
+
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', 'div class="site no-sidebar"', 'section class="post share-enabled"', 'div id="search-result-page"', 'div class="post comments-open"'])
+def test_a_wrapper_with_an_unwanted_word_is_kept(wrapper):
+    tag, side = wrapper.split()[0], '<div class="sidebar"><p>Side text that is long enough to count.</p></div>'
+    assert html_text.main_text(f"<body><{wrapper}><p>{A}</p><p>{B}</p>{side}</{tag}></body>") == f"{A} {B}"
+    assert html_text.main_text(f"<body><{wrapper}><article><p>{A}</p></article>{side}</{tag}></body>") == A
