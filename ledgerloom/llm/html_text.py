@@ -107,11 +107,11 @@ def _tree(page: str) -> _Node:
         if tag in ("html", "body") and tag == "html":
             continue
         doubt = _unwanted(tag, attrs, bool(inside))
-        if doubt and (doubt == 1 or tag in _VOID or tag in ("p", "li")):
+        if doubt and tag in ("p", "li"):
+            doubt = 1.0  # a node like others, since its end tag may be implied
+        elif doubt == 1 or doubt and tag in _VOID:
             if tag not in _VOID:
                 skip = [tag, 1]
-                if tag in ("p", "li"):
-                    skip = None
             continue
         if tag in _ENDS_P:
             up = node
@@ -198,7 +198,7 @@ def _prune(nodes: list[_Node]) -> None:
             holds.add(id(n.parent))
     most = nodes[0].chars - nodes[0].links
     for n in nodes:
-        if n.doubt and id(n) not in holds and n.chars - n.links <= n.doubt * most:
+        if n.doubt and (n.doubt == 1 or id(n) not in holds and n.chars - n.links <= n.doubt * most):
             n.parent.kids.remove(n)
 
 

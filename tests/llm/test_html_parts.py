@@ -20,3 +20,9 @@ def test_a_wrapper_with_an_unwanted_word_is_kept(wrapper):
     tag, side = wrapper.split()[0], '<div class="sidebar"><p>Side text that is long enough to count.</p></div>'
     assert html_text.main_text(f"<body><{wrapper}><p>{A}</p><p>{B}</p>{side}</{tag}></body>") == f"{A} {B}"
     assert html_text.main_text(f"<body><{wrapper}><article><p>{A}</p></article>{side}</{tag}></body>") == A
+
+
+@pytest.mark.parametrize("unwanted", ['<p class="advert">Buy this.', "<p hidden>Not to be seen.</p>", '<ul><li>one<li class="cookie-notice">We use cookies.<li>two</ul>'])
+def test_unwanted_paragraphs_and_items_are_left_out(unwanted):
+    between = "one two " if "<ul>" in unwanted else ""
+    assert html_text.main_text(f"<article><p>{A}</p>{unwanted}<p>{B}</p></article>") == f"{A} {between}{B}"
