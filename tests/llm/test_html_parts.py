@@ -26,3 +26,9 @@ def test_a_wrapper_with_an_unwanted_word_is_kept(wrapper):
 def test_unwanted_paragraphs_and_items_are_left_out(unwanted):
     between = "one two " if "<ul>" in unwanted else ""
     assert html_text.main_text(f"<article><p>{A}</p>{unwanted}<p>{B}</p></article>") == f"{A} {between}{B}"
+
+
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_what_follows_an_unwanted_element_stays_in_the_article(tag):
+    page = f'<{tag} class=page><article><p>{A}</p><p>{A}</p><p>{A}</p><{tag} class="ad">x</{tag}><p>Short, but the article\'s own end.</p></article></{tag}>'
+    assert html_text.main_text(page) == f"{A} {A} {A} Short, but the article's own end."
