@@ -1,20 +1,41 @@
-"""Written rounds of iterative plans."""
+"""Written intermediates and rounds of iterative plans."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir (a temporary one only if that is unset) and read back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    If it is unset, a local session takes a temporary folder; on a cluster that is an error, since executors don't share one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/ledgerloom/round-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame, label: str = "round") -> DataFrame:
+    """df written to the shared folder and read back: cuts lineage, and a lost executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession)}/ledgerloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the files of a written intermediate that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        delete(df.sparkSession, file.rsplit("/", 1)[0])
