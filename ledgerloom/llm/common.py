@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rounds import delete, shared_dir
+from ..plans.rounds import drop_written as drop_materialized
+from ..plans.rounds import written as materialize
+
+__all__ = ["delete", "drop_materialized", "materialize", "shared_dir"]
 #: Keys with more rows than this share of all rows are looked up by broadcast; there can be at most its inverse of them.
 HOT_SHARE = 1 / 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only if unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/ledgerloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files of a written intermediate that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Places of rows (16 bytes each) up to which they are broadcast; more meet the rows in a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -52,16 +34,42 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """docs with columns __file and __row, which tell even fully equal rows apart and stay the same in every read.
+    """Columns doc (the whole row as a struct, so that no name can clash), file and row.
 
-    A file source supplies them; any other DataFrame is written to the shared folder first.
+    file (a 64-bit hash of the path) and row (the place in that file) tell even fully equal rows apart and stay the same
+    in every read. A plain read of files, filtered or not, supplies them; anything else is written to the shared folder
+    first.
     """
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except Exception as e:  # a DataFrame without file metadata
-        if "_metadata" not in str(e):
-            raise
-    return materialize(docs, "rows").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    if not _plain_read(docs):
+        held = materialize(docs.select(F.struct("*").alias("doc")), "rows")
+        return held.select("doc", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = docs.metadataColumn("_metadata")
+    return docs.select(F.struct("*").alias("doc"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
+
+
+def _plain_read(docs: DataFrame) -> bool:
+    """Whether docs is a file source below nothing but filters, so that each row of it is one row of a file."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Filter":
+        plan = plan.child()
+    return plan.nodeName().startswith("LogicalRelation") or plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def rows_without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of with_row_key's `keyed` whose file and row are not in `dropped`; whole rows are shuffled only if those are many."""
+    return _by_place(keyed, dropped, "left_anti")
+
+
+def rows_with(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of with_row_key's `keyed` whose file and row are in `kept`."""
+    return _by_place(keyed, kept, "left_semi")
+
+
+def _by_place(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    places = materialize(places.select("file", "row"), "places")
+    if places.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    return keyed.join(places, ["file", "row"], how)
 
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Fingerprints of distinct texts are masked with 2^(r+1) - 1 structured bit masks: bit i carries a vector m(i) of r + 1
 bits, and mask v keeps the bits whose vector has odd overlap with v. Any r differing bits leave some v orthogonal to all
 of them, so every pair within the radius agrees on some mask: no link is lost. A masked bucket with more than
-MAX_BUCKET fingerprints is masked again over the bits it leaves free; when few bits are free a bucket cannot be large,
-so no task ever holds an unbounded group.
+MAX_BUCKET fingerprints is masked again over the bits it leaves free, of which every mask then fixes at least one; with
+FEW_BITS or fewer free bits it is compared as it is, since it cannot hold more than 2^FEW_BITS fingerprints. So no task
+holds an unbounded group, and the rounds end.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_materialized, fresh, lookup, materialize, with_row_key
+from .common import connected_components, drop_materialized, fresh, lookup, materialize, rows_without, with_row_key
 
 SHINGLE, RADIUS, BITS = 4, 4, 64
 MAX_BUCKET = 2048
+#: Free bits up to which a bucket is compared whole: 32768 fingerprints at most.
+FEW_BITS = 15
 _CHUNK = 1 << 16
 
 
@@ -58,10 +61,14 @@ def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), shingle:
 
 @lru_cache(None)
 def covering_masks(free: int, radius: int = RADIUS) -> tuple[int, ...]:
-    """Masks over the set bits of `free` such that any `radius` of them are all left out by some mask."""
+    """Masks over the set bits of `free` such that any `radius` of them are all left out by some mask.
+
+    Bits take the unit vectors first, so that every mask keeps some bit if there are more than `radius`.
+    """
     bits = [i for i in range(BITS) if free >> i & 1]
-    vectors = (1 << (radius + 1)) - 1
-    return tuple(sum(1 << i for k, i in enumerate(bits) if bin((k % vectors + 1) & v).count("1") % 2) for v in range(1, vectors + 1))
+    units = [1 << j for j in range(radius + 1)]
+    vectors = units + [x for x in range(1, 1 << (radius + 1)) if x not in units]
+    return tuple(sum(1 << i for k, i in enumerate(bits) if (vectors[k % len(vectors)] & v).bit_count() % 2) for v in range(1, len(vectors) + 1))
 
 
 def _signed(x: int) -> int:
@@ -87,8 +94,11 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def _bucket_edges(radius: int):
     """Rows (fixed, k, fp), sorted by bucket, to edges (a, b) or, from buckets that are too large, rows to mask again."""
 
+    def too_large(fixed, size):
+        return size > MAX_BUCKET and BITS - (fixed & ((1 << BITS) - 1)).bit_count() > max(FEW_BITS, radius)
+
     def flush(fps, fixed, key, edges, over):
-        if len(fps) > MAX_BUCKET:
+        if too_large(fixed, len(fps)):
             over.append((fixed, key, fps))
         elif len(fps) > 1:
             u = fps.view(np.uint64)
@@ -127,7 +137,7 @@ def _bucket_edges(radius: int):
                         spilling = False
                 if g == last:
                     at, held = group, mine
-                    if spilling or len(held) > MAX_BUCKET:
+                    if spilling or too_large(group[0], len(held)):
                         over.append((*group, held))
                         held, spilling = np.empty(0, np.int64), True
                 elif spilling and g == first and group == at:
@@ -156,8 +166,10 @@ def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 fixed, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1))
                 for f in np.unique(fixed):
                     mine = fp[fixed == f]
-                    for mask in covering_masks(~int(f) & ((1 << BITS) - 1), radius):
-                        mask = _signed(mask) | int(f)
+                    for added in covering_masks(~int(f) & ((1 << BITS) - 1), radius):
+                        if not added:
+                            raise ValueError("a bucket that no mask divides")
+                        mask = _signed(added) | int(f)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), mask, np.int64)), pa.array(mine & np.int64(mask)), pa.array(mine)], ["fixed", "k", "fp"])
 
         keyed = rows.mapInArrow(masked, "fixed long, k long, fp long")
@@ -192,10 +204,13 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component left: that with the smallest doc_id (of several, the first as stored)."""
+    """docs with one row of each component left: that with the smallest doc_id (of several, the first as stored).
+
+    Nulls, empty and long texts and empty tables as in components; every column of docs stays, whatever its name.
+    """
     keyed = with_row_key(docs)
-    fps = materialize(fingerprints(keyed, ("doc_id", "__file", "__row"), shingle), "docs")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__file", "__row")).alias("best")
+    fps = materialize(fingerprints(keyed.select("doc.doc_id", "file", "row", "doc.text"), ("doc_id", "file", "row"), shingle), "docs")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")).alias("best")
     firsts = fps.groupBy("fp").agg(best)  # pre-aggregated, so that a hot fingerprint costs one row a task
-    kept = firsts.join(classes(fps, radius).select("fp", "c"), "fp").groupBy("c").agg(F.min("best").alias("best")).select("best.__file", "best.__row")
-    return keyed.join(kept, ["__file", "__row"], "left_semi").select(*docs.columns)
+    kept = firsts.join(classes(fps, radius).select("fp", "c"), "fp").groupBy("c").agg(F.min("best").alias("best")).select("best.file", "best.row")
+    return rows_without(keyed, fps.select("file", "row").join(kept, ["file", "row"], "left_anti")).select("doc.*")

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import exact_dedup, simhash
 
@@ -164,3 +165,59 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch, largest):
         root[find(a)] = find(b)
     mine, theirs = [find(x) for x in signed], brute_components(fps)
     assert len(set(mine)) == len(set(theirs)) == len(set(zip(mine, theirs, strict=True)))
+
+
+@pytest.mark.parametrize(("bits", "largest"), [(12, 100), (12, simhash.MAX_BUCKET), (15, simhash.MAX_BUCKET)])
+def test_dense_buckets_end(spark, monkeypatch, bits, largest):
+    """All fingerprints over a few bits: one component, and another far away."""
+    monkeypatch.setattr(simhash, "MAX_BUCKET", largest)
+    far = 1 << 62 | 0b1010101 << 40
+    fps = spark.range(1 << bits).select("id").union(spark.range(far, far + 4)).toDF("fp")
+    edges = [(r.a, r.b) for r in simhash.linked(fps).collect()]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root.setdefault(root[x], root[x])
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    assert len({find(x) for x in range(1 << bits)}) == 1
+    assert len({find(far + i) for i in range(4)}) == 1
+    assert find(0) != find(far)
+
+
+CLASHES = ("file", "row", "doc", "v", "k", "c", "best", "digest", "group_size", "is_new", "__file", "__row", "_metadata", "fp", "bands")
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_extra_columns_of_any_name(spark, tmp_path, stored):
+    from ledgerloom.llm import near_copies
+
+    docs = frame(spark, ROWS).select("doc_id", "text", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(CLASHES)])
+    if stored:
+        docs.repartition(2).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert exact_dedup.dedup(docs).count() == len(ROWS)
+    for keep, count in ((exact_dedup.keep_first, 6), (simhash.keep_one, 3), (near_copies.keep_one, 3)):
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert len(rows) == count
+        assert all(r["_metadata"] == f"x{CLASHES.index('_metadata')}" and r["row"] == "x1" for r in rows)
+
+
+def test_a_batch_added_again_keeps_the_same_rows(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    first = sorted(tuple(r) for r in exact_dedup.dedup(frame(spark, ROWS[:3]), index, "monday").collect())
+    again = sorted(tuple(r) for r in exact_dedup.dedup(frame(spark, ROWS[:3]), index, "monday").collect())
+    assert first == again and index.table().count() == 2
+    other = exact_dedup.dedup(frame(spark, [ROWS[1], ROWS[9]]), index, "tuesday").collect()
+    assert sorted((r.doc_id, r.kept) for r in other) == [(2, False), (8, True)]
+    small = index.compact()
+    assert sorted(map(tuple, small.table().collect())) == sorted(map(tuple, index.table().collect()))
+    assert len(small.table().inputFiles()) <= 4
+    again = sorted(tuple(r) for r in exact_dedup.dedup(frame(spark, ROWS[:3]), small, "monday").collect())
+    assert first == again
