@@ -2,7 +2,8 @@
 
 A page becomes a light tree; paragraphs pass points for length and commas to their ancestors, a container's points are
 discounted by its link density, and the best container and the siblings that read like it are kept, less menus, forms,
-notices, adverts, comments and link lists inside.
+notices, adverts, comments and link lists inside. Class words only weigh against an element: it stays if it holds the
+article or most of the page's text. So does one whose end tag is missing.
 """
 
 from __future__ import annotations
@@ -19,33 +20,52 @@ _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
-_DROP = frozenset("head script style noscript template nav footer aside form button select textarea iframe object embed svg canvas dialog menu input label audio video map noembed noframes title xmp".split())
+_HIDE = frozenset("head script style noscript template button select textarea iframe object embed svg canvas input label audio video map noembed noframes title xmp datalist".split())
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
+_APART = frozenset("nav footer aside menu dialog".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul br".split())
 _ENDS_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "html", "body", "legend"}
 _SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _SAME = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in _SAME.items()}
 _SCORED = frozenset("p pre td blockquote li dd h2 h3".split())
-#: Words of class, id and role that mark what isn't the article.
-_BAD = frozenset("comment comments disqus respond reply replies sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs footer masthead banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup promo promotion promoted ad ads adsense advert adverts advertisement advertising sponsor sponsored social share sharing related recommended recommendations pagination pager toolbar login search hidden skip copyright disclaimer alert complementary contentinfo alertdialog paywall outbrain taboola".split())
-_COMMENT = frozenset("comment comments disqus reply replies respond".split())
+#: Words of class and id that mark what isn't the article, first or last in a name.
+_BAD = frozenset("comment comments disqus respond replies feedback sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr newsletter subscribe subscription signup promo promotion promoted popup modal adsense advert adverts advertisement advertising sponsor sponsored related recommended recommendations pagination pager paywall outbrain taboola".split())
+#: Words that do so only among themselves and with words of place and form.
+_WEAK = frozenset("ad ads alert banner copyright disclaimer hidden login notice notices notification overlay reply search share sharing skip social toolbar".split())
+_FORM = frozenset("a area b bar block bottom box buttons button center col column container content form global header icons inline inner items item left link links list main message page panel post posts right row section site slot text the to top unit wrap wrapper".split())
+#: Words that make a name one of a layout around.
+_AROUND = frozenset("has with without no is show hide enable enabled disabled layout".split())
+_COMMENT = frozenset("comment comments disqus replies respond feedback".split())
+_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar".split())
 _ROOTS = frozenset("html body main article".split())
 
 
 class _Node:
-    __slots__ = ("chars", "doubt", "kids", "links", "parent", "points", "tag")
+    __slots__ = ("anchors", "chars", "closed", "doubt", "kids", "links", "parent", "points", "tag")
 
     def __init__(self, tag, parent, doubt=0.0):
-        self.tag, self.parent, self.kids, self.points, self.chars, self.links = tag, parent, [], 0.0, 0, 0
+        self.tag, self.parent, self.kids, self.points, self.chars, self.links, self.anchors = tag, parent, [], 0.0, 0, 0, 0
         self.doubt = doubt  # the share of the page's text up to which the element is left out
+        self.closed = False  # whether it had an end tag of its own
+
+
+def _refused(name: str) -> set[str]:
+    """The words for which one class or id is refused; none if it isn't."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    bad = set(words) & (_BAD | _WEAK)
+    if not bad or _AROUND & set(words):
+        return set()
+    return bad if words[0] in _BAD or words[-1] in _BAD or not set(words) - _BAD - _WEAK - _FORM else set()
 
 
 def _unwanted(tag: str, attrs: str, inside: bool) -> float:
-    """1 for what is never content, 0 for what may be; else the share of the page's text up to which its class words refuse it."""
-    if tag in _DROP or (tag == "header" and not inside):
+    """1 for what is never content, 0 for what may be; else the share of the page's text up to which the element is refused."""
+    if tag in _APART or (tag == "header" and not inside):
         return 1.0
+    doubt = 0.5 if tag == "form" else 0.0
     if not attrs:
-        return 0.0
-    words: set[str] = set()
+        return doubt
+    names, words, others = set(), set(), False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if (name == "hidden" or (name == "aria-hidden" and value.lower() == "true")) and tag not in _ROOTS:
@@ -53,17 +73,21 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> float:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) and tag not in _ROOTS:
                 return 1.0
-        elif name != "hidden":
-            words.update(w.lower() for w in _WORDS.findall(value))
-    if tag in ("html", "body", "main") or not words & (_COMMENT if tag == "article" else _BAD):
-        return 0.0
-    if not words - _BAD:
-        return 2.0  # named for nothing else
-    return 0.9 if words & _COMMENT else 0.5
+        elif name == "role":
+            words |= {value.lower()} & _ROLES
+        elif name in ("class", "id"):
+            names.update(value.split())
+    for name in names:
+        found = _refused(name)
+        words |= found
+        others |= not found
+    if tag in ("html", "body", "main") or not (words & _COMMENT if tag == "article" else words):
+        return doubt
+    return 2.0 if not others else 0.9 if words & _COMMENT else 0.5  # 2: named for nothing else
 
 
 def _tree(page: str) -> _Node:
-    """The page without what is never content; text is kept undecoded until it is read."""
+    """The page without what has no text of its own; text is decoded, elements in doubt are marked."""
     root = node = _Node("html", None)
     at, skip, inside = 0, None, 0
     while m := _TAG.search(page, at):
@@ -79,40 +103,41 @@ def _tree(page: str) -> _Node:
         if not closing and tag in _RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
-        if skip is not None:  # (tag, depth) of the unwanted element around
+        if skip is not None:  # (tag, depth) of the element around that is left out
             if tag == skip[0]:
                 skip[1] += -1 if closing else 1
                 if not skip[1]:
                     skip = None
-                continue  # the end tag was the unwanted element's own
-            elif closing and tag in ("body", "html", "article", "main") and skip[0] != "head":
-                skip = None  # an unwanted element that was never closed ends with its container
-            elif not closing and skip[0] == "head" and tag == "body":
-                skip = None
-            else:
                 continue
-            if skip is not None or tag in _DROP:
+            if skip[0] == "head":
+                if closing or tag in _IN_HEAD:
+                    continue
+            elif not closing or tag not in ("body", "html", "article", "main"):
                 continue
+            skip = None  # one that was never closed ends with its container, a head with what it can't hold
         if closing:
             up = node
             while up is not None and up.tag != tag:
                 up = up.parent
             if up is not None and up.parent is not None:
+                up.closed = True
                 while node is not up:
                     inside -= node.tag in ("article", "main")
                     node = node.parent
                 inside -= node.tag in ("article", "main")
                 node = node.parent
             continue
-        if tag in ("html", "body") and tag == "html":
+        if tag == "html":
             continue
-        doubt = _unwanted(tag, attrs, bool(inside))
-        if doubt and tag in ("p", "li"):
-            doubt = 1.0  # a node like others, since its end tag may be implied
-        elif doubt == 1 or doubt and tag in _VOID:
+        if tag in _HIDE:
             if tag not in _VOID:
                 skip = [tag, 1]
             continue
+        doubt = _unwanted(tag, attrs, bool(inside))
+        if doubt and tag in _VOID:
+            continue
+        if doubt and tag in ("p", "li"):
+            doubt = 3.0  # out for certain, also without an end tag
         if tag in _ENDS_P:
             up = node
             while up is not None and up.tag != "p" and (up.tag not in _BLOCK):
@@ -164,10 +189,10 @@ def _blocks(roots: list[_Node], leave: set[int]) -> str:
 
 
 def _measure(nodes: list[_Node]) -> dict[int, int]:
-    """Sets chars and links of the nodes; their commas."""
+    """Sets chars, links (chars inside links) and anchors (links) of the nodes; their commas."""
     commas: dict[int, int] = {}
     for n in reversed(nodes):  # children before parents
-        n.chars, n.links, own = 0, 0, 0
+        n.chars, n.links, n.anchors, own = 0, 0, 0, 0
         for k in n.kids:
             if type(k) is str:
                 n.chars += len(k) - k.count("\n") if not k.isspace() else 0
@@ -175,9 +200,10 @@ def _measure(nodes: list[_Node]) -> dict[int, int]:
             else:
                 n.chars += k.chars
                 n.links += k.links
+                n.anchors += k.anchors
                 own += commas[id(k)]
         if n.tag == "a":
-            n.links = n.chars
+            n.links, n.anchors = n.chars, 1
         commas[id(n)] = own
     return commas
 
@@ -190,16 +216,61 @@ def _worth(n: _Node, commas: dict[int, int]) -> float:
     return 1 + commas[id(n)] + min(n.chars / 100, 3)
 
 
-def _prune(nodes: list[_Node]) -> None:
-    """Takes out elements in doubt, unless they hold an article or much of the page's text: then they are wrappers of the layout."""
-    holds: set[int] = set()
-    for n in reversed(nodes):
-        if n.parent is not None and (n.tag in ("main", "article") and not n.doubt or id(n) in holds):
-            holds.add(id(n.parent))
-    most = nodes[0].chars - nodes[0].links
+def _without(root: _Node, nodes: list[_Node], out: set[int]) -> tuple[list[_Node], dict[int, int]]:
+    """The tree without the nodes `out`, measured again."""
     for n in nodes:
-        if n.doubt and (n.doubt == 1 or id(n) not in holds and n.chars - n.links <= n.doubt * most):
+        if id(n) in out:
             n.parent.kids.remove(n)
+    nodes = _all(root)
+    return nodes, _measure(nodes)
+
+
+def _prune(root: _Node, nodes: list[_Node]) -> tuple[list[_Node], dict[int, int]]:
+    """Takes out what is never content, then elements in doubt unless they hold the article or much of the page's text."""
+    certain = {id(n) for n in nodes if n.doubt == 3 or (n.doubt == 1 and n.closed)}
+    nodes, commas = _without(root, nodes, certain)
+    most, holds = root.chars - root.links, set()
+    for n in reversed(nodes):
+        large = n.tag in ("main", "article") and not n.doubt and n.chars - n.links >= 0.3 * most
+        if n.parent is not None and (large or id(n) in holds):
+            holds.add(id(n.parent))
+    share = lambda n: 0.5 if n.doubt == 1 else n.doubt  # noqa: E731  1 here: its end tag is missing
+    return _without(root, nodes, {id(n) for n in nodes if n.doubt and id(n) not in holds and n.chars - n.links <= share(n) * most}) if any(n.doubt for n in nodes) else (nodes, commas)
+
+
+def _density(n: _Node) -> float:
+    return n.links / n.chars if n.chars else 0.0
+
+
+def _link_list(n: _Node) -> bool:
+    """A block of links: nearly nothing else, or mostly links of a few words (a list of references isn't one)."""
+    return n.tag in ("ul", "ol", "div", "section", "table", "dl") and (n.links > 0.9 * n.chars or (n.links > 0.5 * n.chars and n.chars < 40 * n.anchors))
+
+
+def _kept(nodes: list[_Node]) -> list[_Node]:
+    """The best container and the siblings that read like it, or the article around if those are most of it."""
+    worth = lambda n: n.points * (1 - _density(n))
+    own = lambda n: n.chars - n.links
+    best = max(nodes, key=worth)
+    if best.points <= 0:
+        return [nodes[0]] if _density(nodes[0]) < 0.5 else []
+    kept = [best]
+    if best.parent is not None:
+        bar, kept = max(10.0, 0.2 * worth(best)), []
+        for k in best.parent.kids:
+            if type(k) is str:
+                continue
+            prose = k.tag in ("p", "pre", "blockquote") and k.chars > 80 and _density(k) < 0.25
+            if k is best or worth(k) >= bar or prose or (k.tag in ("h1", "h2", "p") and 0 < k.chars and not k.links):
+                kept.append(k)
+    for tag in ("article", "main"):
+        up = best
+        while up is not None and up.tag != tag:
+            up = up.parent
+        if up is not None:
+            inner = best is up or best.parent is up or any(k is up for k in kept) or 2 * sum(map(own, kept)) >= own(up)
+            return [up] if inner and _density(up) < 0.5 else kept
+    return kept
 
 
 def main_text(page: str | None) -> str:
@@ -210,9 +281,7 @@ def main_text(page: str | None) -> str:
     nodes = _all(root)
     commas = _measure(nodes)
     if any(n.doubt for n in nodes):
-        _prune(nodes)
-        nodes = _all(root)
-        commas = _measure(nodes)
+        nodes, commas = _prune(root, nodes)
     for n in nodes:
         points = _worth(n, commas)
         if not points:
@@ -221,40 +290,17 @@ def main_text(page: str | None) -> str:
         while up is not None and level <= 4:
             up.points += points / (1 if level == 1 else 2 if level == 2 else level * 3)
             up, level = up.parent, level + 1
-    density = lambda n: n.links / n.chars if n.chars else 0.0
-    best = max(nodes, key=lambda n: n.points * (1 - density(n)))
-    if best.points <= 0:
-        kept = [root] if density(root) < 0.5 else []
-    else:
-        up = best
-        while up is not None and up.tag != "article":
-            up = up.parent
-        if up is None:
-            up = best
-            while up is not None and up.tag != "main":
-                up = up.parent
-        if up is not None and density(up) < 0.5:
-            kept = [up]
-        elif best.parent is None:
-            kept = [best]
-        else:
-            bar, kept = max(10.0, 0.2 * best.points * (1 - density(best))), []
-            for k in best.parent.kids:
-                if type(k) is str:
-                    continue
-                like = k.points * (1 - density(k)) >= bar
-                prose = k.tag in ("p", "pre", "blockquote") and k.chars > 80 and density(k) < 0.25
-                if k is best or like or prose or (k.tag in ("h1", "h2", "p") and 0 < k.chars and not k.links):
-                    kept.append(k)
-    lists = {id(n) for n in nodes if n.tag in ("ul", "ol", "div", "section", "table", "dl") and n.links > 0.5 * n.chars and n not in kept}
-    return _blocks(kept, lists)
+    kept = _kept(nodes)
+    chosen = {id(n) for n in kept}
+    return _blocks(kept, {id(n) for n in nodes if n.links and id(n) not in chosen and _link_list(n)})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
-    Null html counts as empty and gives an empty text; repeated rows come out as often as they came in; an empty table
-    gives an empty result; null ids and urls are passed on.
+    Null html counts as empty and gives an empty text; pages of any length are read whole; of equally good containers the
+    first in page order is taken; repeated rows come out as often as they came in; an empty table gives an empty result;
+    null ids and urls are passed on; extra columns of any name are left out.
     """
     picked = pages.select("page_id", "url", "html")
 

@@ -1,5 +1,7 @@
 """Unwanted elements inside articles and wrappers."""
 
+import random
+
 import pytest
 
 from ledgerloom.llm import html_text
@@ -32,3 +34,134 @@ def test_unwanted_paragraphs_and_items_are_left_out(unwanted):
 def test_what_follows_an_unwanted_element_stays_in_the_article(tag):
     page = f'<{tag} class=page><article><p>{A}</p><p>{A}</p><p>{A}</p><{tag} class="ad">x</{tag}><p>Short, but the article\'s own end.</p></article></{tag}>'
     assert html_text.main_text(page) == f"{A} {A} {A} Short, but the article's own end."
+
+
+WRAPPERS = ('<form id="aspnetForm">{}</form>', '<div class="page with-sidebar">{}</div>', '<div class="overflow-hidden">{}</div>', '<div id="social-app">{}</div>', '<div class="market-share">{}</div>', '<div class=alert-level>{}</div>', "<nav><a href=x>menu</a><div>{}</div>", "<head><title>t</title>{}", '<div class="sidebar"><main>{}</main></div>')
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_a_wrapped_page_is_whole(wrapper):
+    assert html_text.main_text(wrapper.format(f"<p>{A}</p><p>{B}</p>")).removeprefix("menu ") == f"{A} {B}"
+
+
+def test_what_is_beside_the_article_goes():
+    for beside in ('<div class="reader-feedback"><p>I liked this article, really, it was very good.</p></div>', '<div class="related"><article><p>Teaser of another article, short and nice.</p></article></div>', "<form><p>Sign up for our news letter, now, please do.</p><input></form>"):
+        assert html_text.main_text(f"<body><article><p>{A}</p><p>{B}</p></article>{beside}</body>") == f"{A} {B}"
+        assert html_text.main_text(f"<article><p>{A}</p>{beside}<p>{B}</p></article>") == f"{A} {B}"
+
+
+def test_references_stay_and_link_lists_go():
+    references = "<ol><li>Smith, J. (2019). <a href=x>On the origin of the long titles of papers</a><li>Jones, K. (2020). <a href=y>A reply to the origin of the long titles</a></ol>"
+    links = "<ul><li><a href=x>Sport</a><li><a href=y>Money</a></ul>"
+    text = html_text.main_text(f"<article><p>{A}</p>{links}<p>{B}</p>{references}</article>")
+    assert text == f"{A} {B} Smith, J. (2019). On the origin of the long titles of papers Jones, K. (2020). A reply to the origin of the long titles"
+
+
+#: Class and the share of the page's text up to which it is refused.
+CLASSES = {"": 0, "ad": 2, "comments": 2, "page with-sidebar": 0, "story ad": 0.5, "story comments": 0.9, "market-share": 0}
+
+
+def _random_tree(rng, depth=0):
+    tag = rng.choice(["div", "div", "section", "p", "p", "a", "nav", "form", "footer", "header", "ul", "main"] if depth else ["body"])
+    if tag == "main" and rng.random() < 0.5:
+        tag = "article"
+    cls = rng.choice(list(CLASSES)) if rng.random() < 0.3 and tag not in ("a", "body", "main", "article") else ""
+    if tag in ("p", "a"):
+        return tag, cls, [" ".join(rng.choice(["alpha", "beta,", "gamma", "delta"]) for _ in range(rng.randrange(1, 40 if tag == "p" else 6)))]
+    kids = [_random_tree(rng, depth + 1) for _ in range(rng.randrange(1, 6))] if depth < 4 else [("p", "", ["the end"])]
+    if tag == "ul":
+        kids = [("li", "", [k if k[0] == "a" else "item of a list"]) for k in kids]
+    return tag, cls, kids
+
+
+def _written(n):
+    return n if isinstance(n, str) else f'<{n[0]} class="{n[1]}">' + "".join(map(_written, n[2])) + f"</{n[0]}>"
+
+
+def _slow_main_text(tree):
+    """The rules by plain recursion: everything is measured anew wherever it is asked for."""
+    kids = lambda n: [k for k in n[2] if not isinstance(k, str)]
+    walk = lambda n: [n] + [x for k in kids(n) for x in walk(k)]
+    text = lambda n: n if isinstance(n, str) else "".join(map(text, n[2]))
+    links = lambda n: len(text(n)) if n[0] == "a" else sum(map(links, kids(n)))
+    anchors = lambda n: 1 if n[0] == "a" else sum(map(anchors, kids(n)))
+    own = lambda n: len(text(n)) - links(n)
+    density = lambda n: links(n) / len(text(n)) if text(n) else 0.0
+
+    def certain(n, inside=False):
+        out = []
+        for k in n[2]:
+            if not isinstance(k, str):
+                if k[0] in ("nav", "footer") or (k[0] == "header" and not inside) or (k[0] in ("p", "li") and CLASSES[k[1]]):
+                    continue
+                k = certain(k, inside or k[0] in ("article", "main"))
+            out.append(k)
+        return n[0], n[1], out
+
+    def doubtful(n, most):
+        out = []
+        for k in n[2]:
+            if not isinstance(k, str):
+                share = max(CLASSES[k[1]], 0.5 if k[0] == "form" else 0)
+                holds = any(x is not k and x[0] in ("main", "article") and own(x) >= 0.3 * most for x in walk(k))
+                if share and not holds and own(k) <= share * most:
+                    continue
+                k = doubtful(k, most)
+            out.append(k)
+        return n[0], n[1], out
+
+    root = ("html", "", [certain(tree)])
+    root = doubtful(root, own(root))
+    nodes, parent = [root], {}
+    for n in nodes:
+        for k in kids(n):
+            parent[id(k)] = n
+            nodes.append(k)
+
+    def points(n):
+        total = 0.0
+        for x in nodes:
+            size = len(text(x))
+            if size < 25 or x[0] not in ("p", "li") and not (x[0] in ("div", "section", "article", "main", "body", "html") and any(isinstance(k, str) and len(k.strip()) >= 25 for k in x[2])):
+                continue
+            up, level = parent.get(id(x)) if x[0] in ("p", "li") else x, 1
+            while up is not None and level <= 4:
+                if up is n:
+                    total += (1 + text(x).count(",") + min(size / 100, 3)) / {1: 1, 2: 2, 3: 9, 4: 12}[level]
+                up, level = parent.get(id(up)), level + 1
+        return total
+
+    worth = lambda n: points(n) * (1 - density(n))
+    best = max(nodes, key=worth)
+    if points(best) <= 0:
+        kept = [root] if density(root) < 0.5 else []
+    else:
+        kept, around = [best], parent.get(id(best))
+        if around is not None:
+            near = lambda k: worth(k) >= max(10.0, 0.2 * worth(best)) or (k[0] == "p" and (len(text(k)) > 80 and density(k) < 0.25 or text(k) and not links(k)))
+            kept = [k for k in kids(around) if k is best or near(k)]
+        for tag in ("article", "main"):
+            up = best
+            while up is not None and up[0] != tag:
+                up = parent.get(id(up))
+            if up is not None:
+                if density(up) < 0.5 and (best is up or around is up or any(k is up for k in kept) or 2 * sum(map(own, kept)) >= own(up)):
+                    kept = [up]
+                break
+
+    def shown(n, chosen=False):
+        if isinstance(n, str):
+            return n
+        if not chosen and links(n) and n[0] in ("ul", "div", "section") and (density(n) > 0.9 or density(n) > 0.5 and len(text(n)) < 40 * anchors(n)):
+            return ""
+        inner = "".join(map(shown, n[2]))
+        return inner if n[0] == "a" else f" {inner} "
+
+    return " ".join("".join(shown(n, True) for n in kept).split())
+
+
+def test_random_trees_against_plain_recursion():
+    rng = random.Random(11)
+    for _ in range(400):
+        tree = _random_tree(rng)
+        assert html_text.main_text(_written(tree)) == _slow_main_text(tree), _written(tree)
