@@ -65,6 +65,20 @@ def test_mix_follows_targets(spark):
     assert mixing.mixed_rows(docs(spark, rows)).columns == docs(spark, rows).columns
 
 
+def test_rows_that_share_a_hash_reach_the_target(spark):
+    rows = [(None, "w " * 10, "a") for _ in range(100)] + [(7, "w " * 10, "b") for _ in range(100)] + [(i, "w " * 10, "c") for i in range(100)]
+    size, target = plain_mix(rows)
+    out = mixing.mix(docs(spark, rows)).collect()
+    for t, s in zip((target["a"], target["b"]), ("a", "b"), strict=True):
+        mine = [r for r in out if r.doc_id == {"a": None, "b": 7}[s]]
+        mine = [r for r in mine if r.target == pytest.approx(t)]
+        assert abs(sum(r.taken for r in mine) - t) <= 5
+    kept = mixing.mixed_rows(docs(spark, rows)).groupBy("source").count().collect()
+    assert all(abs(10 * r["count"] - target[r.source]) <= 5 for r in kept)
+    nulls = [(None, "w " * 3, None) for _ in range(40)]
+    assert sum(r.taken for r in mixing.mix(docs(spark, nulls)).collect()) == pytest.approx(180, abs=2)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(docs(spark, [(1, None, None), (2, "", "a")])).collect()] == [0, 0]
