@@ -2,7 +2,9 @@
 
 A unit vector is rotated and only the signs of its components are kept, packed into bits, with one correction scalar (the
 inner product of the vector with its code). The inner product with a query, quantised to a few bits, is estimated from
-popcounts; its error bound decides which vectors are scored again on the original data.
+popcounts; its error bound decides which vectors are scored again on the original data, in the same pass: with the exact
+score of the k-th best so far as floor, a tenth of the vectors is scored again at 64 components. (Bounds alone, over codes
+without the vectors, would leave half of them.)
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, unique_name
 
-#: Queries that are held by every task at once; more are searched block after block.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that are held by every task at once; more are searched block after block.
+QUERY_BYTES = 16 << 20
 #: Bits of a quantised query component, and deviations of the estimate that the error bound spans.
 QUERY_BITS, DEVIATIONS = 4, 2.5
 _ROWS, _QUERIES = 4096, 256
@@ -109,25 +111,27 @@ class _Best:
         self.scores[i, : len(order)], self.ids[i, : len(order)] = s[order], d[order]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each query row, other rows than its own (by vec_id).
 
     Unusable vectors (null, empty, zero, or with null or non-finite components) take no part on either side; vectors of
     another length than a query's aren't compared with it. Rows with equal ids count once (the first of equal scores).
-    Ties go to the smaller vec_id; with fewer candidates than k, all are returned. Every row is coded and compared; the
-    queries are taken in blocks of a fixed size, each held by all tasks while they pass over the codes, and each block's
-    ranks are appended to one table, so neither plan nor intermediates grow with the number of blocks.
+    Ties go to the smaller vec_id; with fewer candidates than k, all are returned; an empty table on either side gives an
+    empty result; extra columns of any name are left out. Every row is coded and compared; the queries are taken in blocks
+    of QUERY_BYTES (or `block` rows), each held by all tasks while they pass over the vectors, and each block's ranks are
+    appended to one table, so neither plan nor intermediates grow with the number of blocks.
     """
     spark, base = vectors.sparkSession, _usable(vectors)
     asked = materialize(_usable(queries).dropDuplicates(["vec_id"]), "queries")
-    blocks = max(1, math.ceil(asked.count() / block))
+    count, floats = asked.agg(F.count(F.lit(1)), F.sum(F.size("v"))).first()
+    blocks = max(1, math.ceil(count / block if block else 8 * (floats or 0) / QUERY_BYTES))
     path = f"{shared_dir(spark)}/ledgerloom/{unique_name('nearest')}"
     for b in range(blocks):
-        groups: dict[int, list] = {}
-        mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b  # about `block` queries, whatever the partitions
-        for r in asked.where(mine).select("vec_id", "v").collect():
-            groups.setdefault(len(r.v), []).append((r.vec_id, r.v))
-        held = spark.sparkContext.broadcast({d: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows])) for d, rows in groups.items()})
+        mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b  # about a block, whatever the partitions
+        rows = asked.where(mine).select("vec_id", "v").toArrow()
+        ids, units = rows.column(0).to_numpy(), [v for c in rows.column(1).chunks for v in _matrix(c)]
+        groups = {d: [i for i, v in enumerate(units) if len(v) == d] for d in {len(v) for v in units}}
+        held = spark.sparkContext.broadcast({d: (ids[at].astype(np.int64), np.stack([units[i] for i in at])) for d, at in groups.items()})
 
         def each(batches: Iterator[pa.RecordBatch], held=held):
             sides = {d: (ids, raw, QueryCodes(_unit(raw)), _Best(len(ids), k)) for d, (ids, raw) in held.value.items()}
