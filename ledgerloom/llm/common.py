@@ -55,21 +55,15 @@ def _plain_read(docs: DataFrame) -> bool:
     return plan.nodeName().startswith("LogicalRelation") or plan.getClass().getSimpleName() == "LogicalRelation"
 
 
-def rows_without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of with_row_key's `keyed` whose file and row are not in `dropped`; whole rows are shuffled only if those are many."""
-    return _by_place(keyed, dropped, "left_anti")
-
+def places(rows: DataFrame) -> DataFrame:
+    """rows (file, row, ...), written, to be joined with with_row_key's rows: those are shuffled only if places are many."""
+    held = materialize(rows, "places")
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
-def rows_with(keyed: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of with_row_key's `keyed` whose file and row are in `kept`."""
-    return _by_place(keyed, kept, "left_semi")
 
-
-def _by_place(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    places = materialize(places.select("file", "row"), "places")
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    return keyed.join(places, ["file", "row"], how)
+def rows_without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of with_row_key's `keyed` whose file and row are not in `dropped`."""
+    return keyed.join(places(dropped.select("file", "row")), ["file", "row"], "left_anti")
 
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:
