@@ -7,15 +7,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.rounds import delete, shared_dir
+from ..plans.rounds import delete, shared_dir, written
 from ..plans.rounds import drop_written as drop_materialized
-from ..plans.rounds import written as materialize
 
 __all__ = ["delete", "drop_materialized", "materialize", "shared_dir"]
 #: Keys with more rows than this share of all rows are looked up by broadcast; there can be at most its inverse of them.
 HOT_SHARE = 1 / 1000
 #: Places of rows (16 bytes each) up to which they are broadcast; more meet the rows in a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of whole texts or shingle sets that go to a Python worker at once; what they take is held outside of the heap.
+ARROW_ROWS = 500
+
+
+def materialize(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
+    """plans.rounds.written; arrow_rows: rows of the Arrow batches that this write sends to Python."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, arrow_rows or before)
+    try:
+        return written(df, label)
+    finally:
+        conf.set(name, before)
 
 
 def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, running_offsets
+from .common import ARROW_ROWS, materialize, running_offsets
 
 LENGTH, END = 1024, 0
 #: Words whose ids a worker remembers.
@@ -88,17 +88,15 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         encode, dtype = encoder(path)
         last, at, part = np.array([end], dtype).tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, batch.num_rows, 1000):
-                ids = [encode(t or "") + last for t in texts.slice(lo, 1000).to_pylist()]
-                n = np.array([len(x) // dtype.itemsize for x in ids], np.int64)
-                local = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1000), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), part, np.int32)), pa.array(local), pa.array(n)], ["doc_id", "ids", "part", "local", "n"])
+            ids = [encode(t or "") + last for t in batch.column(1).to_pylist()]
+            n = np.array([len(x) // dtype.itemsize for x in ids], np.int64)
+            local = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), part, np.int32)), pa.array(local), pa.array(n)], ["doc_id", "ids", "part", "local", "n"])
 
     picked = docs.select("doc_id", "text")
     schema = picked.select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("ids", "binary"), ("part", "int"), ("local", "long"), ("n", "long")))).schema
-    return materialize(picked.mapInArrow(each, schema), "tokens")
+    return materialize(picked.mapInArrow(each, schema), "tokens", ARROW_ROWS)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
