@@ -21,6 +21,10 @@ METRIC_NAMES = """营业总收入 营业收入增速 营业收入 同比增长
 资产负债率 净负债比率 流动比率 速动比率 总资产周转率 应收账款周转率 存货周转率""".split()
 
 
+#: Steps that repair the spacing of a text, in order; look-around makes the repair of Han text a fix-point in one pass.
+NORM_STEPS = (("\u00a0", " "), ("\r\n?", "\n"), (r"[ \t]+", " "), (rf"(?<=[{CJK}])[ \t]+(?=[{CJK}])", ""), (rf"(?<=[{CJK}])[ \t]+(?=[，。；：、！？）】])", ""), (rf"(?<=[（【])[ \t]+(?=[{CJK}])", ""), (" *\n *", "\n"), ("\n{3,}", "\n\n"))
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -31,10 +35,9 @@ def strip(x: Column | str) -> Column:
 
 
 def norm_text(x: Column | str) -> Column:
-    """Repaired spacing with line boundaries kept. Look-around makes the CJK repair a fix-point in one pass."""
-    steps = ((" ", " "), ("\r\n?", "\n"), (r"[ \t]+", " "), (rf"(?<=[{CJK}])[ \t]+(?=[{CJK}])", ""), (rf"(?<=[{CJK}])[ \t]+(?=[，。；：、！？）】])", ""), (rf"(?<=[（【])[ \t]+(?=[{CJK}])", ""), (" *\n *", "\n"), ("\n{3,}", "\n\n"))
+    """Repaired spacing with line boundaries kept."""
     out = _c(x)
-    for pattern, by in steps:
+    for pattern, by in NORM_STEPS:
         out = F.regexp_replace(out, pattern, by)
     return strip(out)
 
@@ -125,6 +128,18 @@ def metric_occurrences(x: Column | str) -> Column:
     return F.regexp_extract_all(_c(x), F.lit(f"(?i){names}"), F.lit(0))
 
 
+def decimal_text(x: Column | str) -> Column:
+    """A number's text without an exponent, all its digits kept; null if it is no finite number."""
+    part = lambda i: F.regexp_extract(F.trim(_c(x).cast("string")), r"^([-+]?)(\d*)\.?(\d*)(?:[eE]([-+]?\d+))?$", i)
+    digits = F.concat(part(2), part(3))
+    point = F.length(part(2)) + F.coalesce(F.nullif(part(4), F.lit("")).try_cast("int"), F.lit(0))  # digits before the point
+    n = F.length(digits)
+    whole = F.when(point <= 0, "0").otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, "0"))
+    rest = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).when(point < n, F.substring(digits, point + 1, n))
+    whole = F.coalesce(F.nullif(F.regexp_replace(whole, "^0+(?=.)", ""), F.lit("")), F.lit("0"))
+    return F.when(n > 0, F.concat(F.when(part(1) == "-", "-").otherwise(""), whole, F.when(F.length(rest) > 0, F.concat(F.lit("."), rest)).otherwise("")))
+
+
 def truncate(x: Column | str, n: int = 88) -> Column:
     """T15."""
     text = strip(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"(?U)\s+", " "))

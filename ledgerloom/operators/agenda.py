@@ -111,13 +111,13 @@ def report_lines(sections: DataFrame, spoken: DataFrame, citations: DataFrame) -
 
 
 def question_facts(scores: DataFrame, most: int = 16) -> DataFrame:
-    """Per question the first facts: priority ones, then by score, documents before records, newest first.
+    """Per question the first facts: priority ones, then by score (0 as well), documents before records, newest first.
 
     scores: question_id, id, priority, score, is_document, period_end.
     """
     order = (F.desc("priority"), F.desc("score"), F.desc("is_document"), F.desc("period_end"), "id")
     n = F.row_number().over(Window.partitionBy("question_id").orderBy(*order))
-    return scores.where("priority or score > 0").withColumn("rank", n).where(F.col("rank") <= most)
+    return scores.withColumn("rank", n).where(F.col("rank") <= most)
 
 
 def call_totals(calls: DataFrame) -> DataFrame:

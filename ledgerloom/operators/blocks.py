@@ -1,11 +1,16 @@
-"""Greedy folds: blocks, views, chunks. Each is an aggregate over one row's array, so none of them shuffles."""
+"""Greedy folds: blocks, views, chunks. Each works on one row's text or array, so none of them shuffles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_text, object_type, sha256, strip
+from ..functions.text import LEGAL_MARKERS, LOOSE_NUMBER, NORM_STEPS, strip
 
 
 def fold_lines(lines: Column, most: int) -> Column:
@@ -22,18 +27,81 @@ def fold_lines(lines: Column, most: int) -> Column:
     return F.aggregate(lines, start, add, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
 
 
+_STEPS = tuple((re.compile(p), by) for p, by in NORM_STEPS)
+_GAP, _LOOSE = re.compile(r"\n\s*\n"), re.compile(LOOSE_NUMBER)
+_LEGAL, _FIGURE = re.compile("|".join(LEGAL_MARKERS)), re.compile(r"(?:图表|图)\s*\d+")
+
+
+def normalised(text: str) -> str:
+    """T01 of one string, as `norm_text` of a column."""
+    for pattern, by in _STEPS:
+        text = pattern.sub(by, text)
+    return text.strip()
+
+
+def kind_of(text: str) -> str:
+    """T14 of one normalised string, as `object_type` of a column."""
+    if _LEGAL.search(text):
+        return "legal"
+    if _FIGURE.match(text):
+        return "figure_caption"
+    lines = [s for s in text.splitlines() if s.strip()]
+    loaded = sum(len(_LOOSE.findall(s)) >= 2 for s in lines)
+    return "table_like" if len(lines) >= 2 and loaded >= max(1, len(lines) // 3) else "paragraph"
+
+
+def page_blocks(page: str, most: int) -> Iterator[tuple[str, str, int | None]]:
+    """(raw, normalised, start) of a page's blocks: groups between blank lines, their lines packed up to `most` characters.
+
+    start is where the block's first line is found from the end of the last found block on; none if it isn't.
+    """
+    cursor = 0
+    for group in _GAP.split(page):
+        packs: list[list[str]] = []
+        for line in filter(None, map(str.rstrip, group.splitlines())):
+            if packs and sum(map(len, packs[-1])) + len(packs[-1]) + len(line) <= most:
+                packs[-1].append(line)
+            else:
+                packs.append([line])
+        for pack in packs:
+            raw = "\n".join(pack).strip()
+            if text := normalised(raw):
+                found = page.find(raw.partition("\n")[0], cursor)
+                if found >= 0:
+                    cursor = found + len(raw)
+                yield raw, text, found if found >= 0 else None
+
+
 def source_blocks(pages: DataFrame, most: int = 2800) -> DataFrame:
-    """Pages (doc_id, page, text) to citeable blocks: block, block_id, object_type, normalized_text, sha256, char_start."""
-    lines = lambda b: F.filter(F.split(b, "\n"), lambda s: strip(s) != "")
-    parts = F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), r"\n[ \t]*\n"), lambda b: strip(b) != "")
-    blocks = F.flatten(F.transform(parts, lambda b: fold_lines(lines(b), most)))
-    rows = pages.select("doc_id", "page", "text", F.posexplode(blocks).alias("i", "raw_text"))
-    block = F.col("i") + 1
-    first = F.element_at(F.split("raw_text", "\n"), 1)
-    return rows.select(
-        "doc_id", "page", block.alias("block"), F.format_string("SO_P%03d_B%03d", F.col("page"), block).alias("block_id"), object_type("raw_text").alias("object_type"),
-        "raw_text", norm_text("raw_text").alias("normalized_text"), sha256(norm_text("raw_text")).alias("sha256"), F.nullif(F.instr(F.col("text"), first) - 1, F.lit(-1)).alias("char_start"),
-    )
+    """Pages (doc_id, page, text) to citeable blocks.
+
+    Columns: block (from 1 in its page), block_id, object_type, raw_text, normalized_text, sha256 (of the raw text),
+    char_start and char_end (null if the block isn't found in the page). Texts are worked on page by page in Arrow batches.
+    """
+
+    def each(batches):
+        for batch in batches:
+            rows = []
+            for i, (page, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for n, (raw, norm, start) in enumerate(page_blocks(text or "", most), 1):
+                    end = None if start is None else start + len(raw)
+                    rows.append((i, n, f"SO_P{page or 0:03d}_B{n:03d}", kind_of(norm), raw, norm, hashlib.sha256(raw.encode("utf-8", "surrogatepass")).hexdigest(), start, end))
+            if rows:
+                at, *cols = zip(*rows, strict=True)
+                keys = batch.select([0, 1]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
+
+    kinds = [pa.int32(), *[pa.string()] * 5, pa.int32(), pa.int32()]
+    names = ["doc_id", "page", "block", "block_id", "object_type", "raw_text", "normalized_text", "sha256", "char_start", "char_end"]
+    picked = pages.select("doc_id", "page", "text")
+    ddl = ["int", *["string"] * 5, "int", "int"]
+    schema = picked.select("doc_id", "page", *[F.lit(None).cast(t).alias(n) for n, t in zip(names[2:], ddl, strict=True)]).schema
+    return picked.mapInArrow(each, schema)
+
+
+def sequenced(blocks: DataFrame) -> DataFrame:
+    """Blocks with their place (sequence, from 1) in the document."""
+    return blocks.withColumn("sequence", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block")))
 
 
 def extraction_views(blocks: DataFrame, most: int = 2400) -> DataFrame:

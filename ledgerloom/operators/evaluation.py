@@ -14,20 +14,43 @@ SPEC_BLOCK = 500
 
 
 def _all(text: Column, words: Column) -> Column:
-    return words.isNull() | F.forall(words, lambda w: text.contains(compact(w)))
+    return words.isNull() | F.forall(words, text.contains)
 
 
 def _any(text: Column, words: Column) -> Column:
-    return words.isNull() | F.exists(words, lambda w: text.contains(compact(w)))
+    return words.isNull() | F.exists(words, text.contains)
 
 
 def _is(text: Column, words: Column) -> Column:
-    return words.isNull() | F.exists(words, lambda w: text == compact(w))
+    return words.isNull() | F.exists(words, lambda w: text == w)
+
+
+def _packed(specs: DataFrame) -> DataFrame:
+    """The specifications with the white space and case of their terms taken off, once."""
+    terms = {c: F.transform(c, compact) for c, t in specs.dtypes if t == "array<string>" and c != "node_types"}
+    groups = {c: F.transform(c, lambda g: F.transform(g, compact)) for c, t in specs.dtypes if t == "array<array<string>>"}
+    return specs.withColumns(terms | groups)
+
+
+def labelled_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, node_type, label, object_text, predicate, subject_ref, metric_ref, period_ref, ...) with text and labels.
+
+    subject, metric and period are the labels of the nodes that the references name; text is all that `match_nodes` reads.
+    """
+    out, labels = nodes, nodes.select("id", "label")
+    for c in ("subject", "metric", "period"):
+        out = out.join(labels.select(F.col("id").alias(f"{c}_ref"), F.col("label").alias(c)), f"{c}_ref", "left")
+    return out.withColumn("text", F.concat_ws(" ", "label", "object_text", "predicate", "subject", "metric", "period"))
+
+
+def data_points(labelled: DataFrame) -> DataFrame:
+    """The points that `match_data` reads, of labelled_nodes' rows with value (raw, scale)."""
+    return labelled.where("node_type = 'DataPoint'").select("id", "subject", "metric", "period", F.col("value.raw").alias("raw"), F.col("value.scale").alias("point_scale"))
 
 
 def _matched(nodes: DataFrame, specs: DataFrame, condition: Column) -> DataFrame:
     """Specifications in blocks of a fixed size against all nodes; a row per spec with the ids that match."""
-    blocks = max(1, -(-specs.count() // SPEC_BLOCK))
+    blocks, specs = max(1, -(-specs.count() // SPEC_BLOCK)), _packed(specs)
     parts = [nodes.join(F.broadcast(specs.where(F.pmod(F.xxhash64("spec_id"), F.lit(blocks)) == b)), condition).select("spec_id", "id") for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rounds import written
 from .graph import reportable
 
 
@@ -59,21 +60,39 @@ def conflicts(facts: DataFrame, keys: Sequence[str], value: str = "value") -> Da
 
 
 def contested(props: DataFrame, parents: DataFrame) -> DataFrame:
-    """Ids of derived propositions (id, kind, grounded, status) that are no longer reportable."""
+    """Ids of derived propositions that no longer hold, though they are marked reportable.
+
+    props: id, kind, grounded, status, formula, review; parents: id, parent_id (inputs of computed ones, premises of the
+    others). A computed one needs a formula and two inputs, an analysis or forecast an accepted review and a premise, and
+    all that they rest on must hold.
+    """
     live = props.where("status = 'reportable'")
     leaves = live.where("kind in ('fact', 'attributed') and grounded").select("id")
     derived = live.where("kind in ('computed', 'analysis', 'forecast')")
-    need = derived.select("id", F.when(F.col("kind") == "computed", 2).otherwise(1).alias("least"))
+    fit = derived.where("if(kind = 'computed', coalesce(formula, '') <> '', review <=> 'accepted')")
+    need = fit.select("id", F.when(F.col("kind") == "computed", 2).otherwise(1).alias("least"))
     return derived.select("id").join(reportable(need, parents, leaves), "id", "left_anti")
 
 
-def metric_priority(facts: DataFrame, metric: str = "metric", limit: int = 16) -> DataFrame:
-    """Per question and metric the newest fact, then the same fiscal period a year before; first places first."""
-    by = Window.partitionBy("question_id", metric).orderBy(F.desc("period_end"), "id")
-    newest = facts.withColumn("n", F.row_number().over(by)).where("n = 1").drop("n")
-    before = newest.select("question_id", metric, "fiscal_period", (F.col("year") - 1).alias("year"))
-    prior = facts.join(before, ["question_id", metric, "fiscal_period", "year"]).select(*facts.columns)
-    ranked = newest.withColumn("place", F.lit(0)).unionByName(prior.withColumn("place", F.lit(1)))
-    once = ranked.groupBy("question_id", "id", metric).agg(F.min("place").alias("place"))
-    order = Window.partitionBy("question_id").orderBy(metric, "place", "id")
+def metric_priority(facts: DataFrame, requested: DataFrame | None = None, limit: int = 16) -> DataFrame:
+    """Per question and requested metric the newest fact, the same fiscal period a year before, and its growth.
+
+    facts: question_id, id, metric, year, fiscal_period, period_end; requested: question_id, metric (all metrics that are
+    no growth rates if none are named). The growth of a metric is the fact named `<metric>_yoy` at the newest one's period
+    end. Places 0, 1 and 2 within a metric, metrics by name; a fact counts once.
+    """
+    facts = written(facts.select("question_id", "id", "metric", "year", "fiscal_period", "period_end"))  # read several times
+    wanted = facts.where(~F.col("metric").endswith("_yoy")) if requested is None else facts.join(requested.select("question_id", "metric").distinct(), ["question_id", "metric"], "left_semi")
+    newest = wanted.groupBy("question_id", "metric").agg(F.max_by(F.struct("fiscal_period", "year", "period_end"), "period_end").alias("x"), F.max("period_end").alias("period_end"))
+    first = lambda rows, place: rows.groupBy("question_id", F.col("of").alias("metric"), F.lit(place).alias("place")).agg(F.min("id").alias("id"))
+    now = first(facts.join(newest.select("question_id", "metric", "period_end"), ["question_id", "metric", "period_end"]).withColumn("of", F.col("metric")), 0)
+    chosen = facts.join(now.select("question_id", "id"), ["question_id", "id"], "left_semi").join(now.select("question_id", "metric"), ["question_id", "metric"], "left_semi")
+    before = chosen.select("question_id", "metric", "fiscal_period", (F.col("year") - 1).alias("year"))
+    prior = facts.join(before, ["question_id", "metric", "fiscal_period", "year"])
+    latest = prior.groupBy("question_id", "metric").agg(F.max("period_end").alias("period_end"))
+    prior = first(prior.join(latest, ["question_id", "metric", "period_end"]).withColumn("of", F.col("metric")), 1)
+    grown = chosen.select("question_id", F.concat("metric", F.lit("_yoy")).alias("metric"), F.col("metric").alias("of"), "period_end")
+    yoy = first(facts.join(grown, ["question_id", "metric", "period_end"]), 2)
+    once = now.unionByName(prior).unionByName(yoy).groupBy("question_id", "id").agg(F.min(F.struct("metric", "place")).alias("x")).select("question_id", "id", "x.*")
+    order = Window.partitionBy("question_id").orderBy("metric", "place", "id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

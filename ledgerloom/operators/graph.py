@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,7 +67,7 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, types: Iterable[str] | None = None) -> DataFrame:
-    """(id, hops) of all nodes within `depth` undirected steps of the seeds."""
+    """(id, hops) of all nodes within `depth` undirected steps of the seeds. Every hop is written, so the plan doesn't grow."""
     if types is not None:
         edges = edges.where(F.col("edge_type").isin(*types))
     both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).union(edges.select("target_id", "source_id")).distinct()
@@ -74,25 +75,31 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, types: Iterabl
     for hop in range(1, depth + 1):
         new = both.join(seen.where(F.col("hops") == hop - 1).select("id"), "id").select(F.col("next").alias("id"), F.lit(hop).alias("hops"))
         seen = seen.union(new).groupBy("id").agg(F.min("hops").alias("hops"))
+        seen = written(seen) if hop < depth else seen
     return seen
 
 
-def closure(edges: DataFrame, start: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """Distinct (source_id, target_id, depth) reachable pairs, safe on cycles; depth is the shortest.
 
-    Each round joins only the pairs found last with the edges and is written, so the lineage stays short.
+    start: ids from which pairs are wanted; without it, pairs from every node. Each round joins only the pairs found last
+    with the edges, until one finds no new pair. What was found is kept in tables each of which is more than twice as large
+    as the next, so neither the plan nor the number of files grows with the depth.
     """
-    steps = edges.select("source_id", "target_id").distinct()
+    steps = written(edges.select("source_id", "target_id").distinct())
+    hop = steps.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("far"))
     first = steps if start is None else steps.join(start.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
-    known = new = written(first.withColumn("depth", F.lit(1)))
-    for depth in range(2, most_rounds):
-        hop = steps.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("far"))
+    new, depth, known = written(first.withColumn("depth", F.lit(1))), 1, []
+    while size := new.count():
+        known.append((size, new))
+        while len(known) > 1 and known[-2][0] <= 2 * known[-1][0]:
+            (m, late), (n, early) = known.pop(), known.pop()
+            known.append((m + n, written(early.union(late))))
+        depth += 1
         reach = new.join(hop, "target_id").select("source_id", F.col("far").alias("target_id")).distinct()
-        new = written(reach.join(known, ["source_id", "target_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            return known
-        known = known.union(new)
-    return known
+        found = reduce(DataFrame.union, [x for _, x in known])
+        new = written(reach.join(found, ["source_id", "target_id"], "left_anti").withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.union, [x for _, x in known]) if known else new
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:

@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import relevance
+#: Questions that every task holds at once.
+QUESTION_BLOCK = 5000
+_LATIN, _HAN = re.compile("[a-zA-Z][a-zA-Z0-9_]+"), re.compile("[一-鿿]{2,}")
 
-QUESTION_BLOCK = 200
+
+def term_set(text: str) -> set[str]:
+    """T07 of one string, as `terms` of a column."""
+    return {*_LATIN.findall(text.lower()), *(run[i : i + 2] for run in _HAN.findall(text) for i in range(len(run) - 1))}
+
+
+class _Questions:
+    """The terms of questions, every distinct one counted once a text."""
+
+    def __init__(self, rows: list[list[str] | None]):
+        self.words = sorted({t.lower() for terms in rows for t in terms or () if len(t) >= 2})
+        number = {w: i for i, w in enumerate(self.words)}
+        self.rows = [([(number[t.lower()], len(t) + 3) for t in terms or () if len(t) >= 2], set().union(*map(term_set, terms or ()))) for terms in rows]
+
+    def scores(self, text: str):
+        """(place of the question, score) of the questions that score above 0."""
+        low, own = text.lower(), term_set(text)
+        counts = [min(low.count(w), 4) for w in self.words]
+        weight = 0.1 if text.count(".") > 30 and "目录" in text else 1.0
+        for i, (words, shared) in enumerate(self.rows):
+            if score := (sum(counts[w] * n for w, n in words) + 0.3 * len(own & shared)) * weight:
+                yield i, score
 
 
 def scored(chunks: DataFrame, questions: DataFrame, block: int = QUESTION_BLOCK) -> DataFrame:
-    """Score > 0 of chunks (chunk_id, text) for questions (question_id, terms), questions in blocks of a fixed size."""
-    blocks, parts = max(1, -(-questions.count() // block)), []
+    """Score > 0 of chunks (chunk_id, text) for questions (question_id, terms), questions in blocks of a fixed size.
+
+    A chunk is lowered and split once a block, and each distinct term of a block is counted once a chunk.
+    """
+    spark, blocks, parts = chunks.sparkSession, max(1, -(-questions.count() // block)), []
+    texts, asked = chunks.select("chunk_id", "text").where("text is not null"), questions.select("question_id", "terms")
+    schema = asked.select("question_id").join(texts.select("chunk_id")).select("question_id", "chunk_id", F.lit(0.0).alias("score")).schema
     for b in range(blocks):
-        part = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
-        rows = chunks.join(F.broadcast(part), F.exists("terms", lambda t: F.lower("text").contains(F.lower(t))) | F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9_]+"), F.transform("terms", F.lower)))
-        parts.append(rows.select("question_id", "chunk_id", relevance("text", "terms").alias("score")).where("score > 0"))
+        held = spark.sparkContext.broadcast(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).toArrow().combine_chunks())
+
+        def each(batches, held=held):
+            ids, index = held.value.column(0), _Questions(held.value.column(1).to_pylist())
+            for batch in batches:
+                rows = [(q, i, score) for i, text in enumerate(batch.column(1).to_pylist()) for q, score in index.scores(text)]
+                if rows:
+                    q, at, score = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)).combine_chunks(), batch.column(0).take(pa.array(at)), pa.array(score)], ["question_id", "chunk_id", "score"])
+
+        parts.append(texts.mapInArrow(each, schema))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -38,19 +38,19 @@ def periodic(blocks: DataFrame) -> DataFrame:
 
 
 def capacity(blocks: DataFrame) -> DataFrame:
-    """Blocks (doc_id, sequence, text) to points: subject, metric, period, raw, number, endpoint.
+    """Blocks (doc_id, sequence, text) to points: subject, metric, period, raw, number, endpoint, mentions.
 
-    A row gives reported memory and storage; a change of capacity gives the point before it to the first row above or
-    around it and the point after it to the last, in order of sequence and line.
+    A row's line gives its reported memory and storage; each change of capacity in the same line gives the point before it
+    and the point after it, of the same subject and period. A point named several times keeps its first endpoint; mentions
+    counts its distinct lines by block.
     """
-    rows = blocks.select("doc_id", "sequence", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    rows = blocks.select("doc_id", "sequence", F.posexplode(F.transform(F.split("text", "\n"), strip)).alias("n", "line")).where(F.col("line").rlike(ROW))
     part = lambda i: F.regexp_extract("line", ROW, i)
-    models = rows.where(F.col("line").rlike(ROW)).select("doc_id", "sequence", "n", part(1).alias("subject"), part(2).alias("period"), part(3).alias("memory"), part(4).alias("storage"))
-    reported = models.select("doc_id", "subject", "period", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.upper(c).alias("raw")) for m, c in (("内存容量", "memory"), ("存储容量", "storage"))])).alias("x"), F.lit("reported").alias("endpoint")).select("doc_id", "subject", "x.metric", "period", "x.raw", "endpoint")
-    ends = models.groupBy("doc_id").agg(F.min_by(F.struct("subject", "period"), F.struct("sequence", "n")).alias("first"), F.max_by(F.struct("subject", "period"), F.struct("sequence", "n")).alias("last"))
-    change = lambda i: F.regexp_extract("line", CHANGE, i)
-    moved = rows.where(F.col("line").rlike(CHANGE)).join(ends, "doc_id").select("doc_id", "first", "last", change(1).alias("metric"), change(2).alias("before"), change(3).alias("after"))
-    pair = F.explode(F.array(F.struct(F.col("first.subject"), F.col("first.period"), F.upper("before").alias("raw"), F.lit("before").alias("endpoint")), F.struct(F.col("last.subject"), F.col("last.period"), F.upper("after").alias("raw"), F.lit("after").alias("endpoint"))))
-    points = reported.unionByName(moved.select("doc_id", "metric", pair.alias("x")).select("doc_id", "x.subject", "metric", "x.period", "x.raw", "x.endpoint"))
-    number = F.regexp_extract("raw", r"\d+", 0).cast("long")
-    return points.groupBy("doc_id", "subject", "metric", "period", "raw").agg(F.min_by("endpoint", F.when(F.col("endpoint") == "reported", 0).otherwise(1)).alias("endpoint"), F.count(F.lit(1)).alias("mentions")).withColumn("number", number)
+    point = lambda metric, raw, endpoint: F.struct(metric.alias("metric"), raw.alias("raw"), F.lit(endpoint).alias("endpoint"))
+    own = F.array(point(F.lit("内存容量"), part(3), "reported"), point(F.lit("存储容量"), part(4), "reported"))
+    change = lambda c, i: F.regexp_extract(c, CHANGE, i)
+    moved = F.flatten(F.transform(F.regexp_extract_all("line", F.lit(CHANGE), F.lit(0)), lambda c: F.array(point(change(c, 1), change(c, 2), "before"), point(change(c, 1), change(c, 3), "after"))))
+    points = rows.select("doc_id", "sequence", "n", "line", part(1).alias("subject"), part(2).alias("period"), F.posexplode(F.concat(own, moved)).alias("i", "x")).select("*", "x.*")
+    order = F.struct("sequence", "n", "i")
+    out = points.groupBy("doc_id", "subject", "metric", "period", "raw").agg(F.min_by("endpoint", order).alias("endpoint"), F.count_distinct("sequence", "line").alias("mentions"))
+    return out.withColumn("number", F.regexp_extract("raw", r"\d+", 0).cast("long"))

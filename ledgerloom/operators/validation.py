@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import glyphs_present, sha256, squeezed, strip
+from ..functions.text import glyphs_present, norm_text, sha256, squeezed, strip
 from ..functions.values import value_errors
 from .graph import ACCEPT_AT, ARGUMENT_TYPES, EDGE_TYPES, NODE_TYPES, cyclic_nodes, dangling
 
@@ -25,15 +25,20 @@ def issue(rows: DataFrame, code: str | Column, message: str, object_id: str | Co
 
 
 def duplicates(*frames: DataFrame) -> DataFrame:
-    """Ids that occur more than once over all frames (column id), with their count."""
-    ids = reduce(DataFrame.union, [f.select("id") for f in frames])
+    """Ids that occur more than once over all frames (column id), with their count; rows without an id don't count."""
+    ids = reduce(DataFrame.union, [f.select("id") for f in frames]).where("id <> ''")
     return ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def id_rule(rows: DataFrame, code: str) -> DataFrame:
+    """Rows without an id, and ids of several rows of one kind."""
+    return issue(rows.where("coalesce(id, '') = ''").select("id").union(duplicates(rows).select("id")), code, "not every row has an id of its own", "id")
+
+
 def source_rules(documents: DataFrame, sources: DataFrame) -> list[DataFrame]:
     return [
         issue(sources.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_anti"), "SOURCE_DOCUMENT", "unknown document", "id"),
-        issue(sources.where(~sha256("normalized_text").eqNullSafe(F.col("sha256"))), "SOURCE_HASH", "text and digest differ", "id"),
+        issue(sources.where(~sha256(F.coalesce("raw_text", F.lit(""))).eqNullSafe(F.col("sha256"))), "SOURCE_HASH", "raw text and digest differ", "id"),
         issue(sources.where(~F.coalesce(F.col("processing_status").isin(*STATUSES, "ERROR"), F.lit(False))), "SOURCE_STATUS", "unknown status", "id"),
         issue(sources.where("processing_status = 'ERROR'"), "SOURCE_ERROR", "processing failed", "id"),
     ]
@@ -53,14 +58,22 @@ def edge_rules(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> list[D
     ]
 
 
+def parity(own: DataFrame, linked: DataFrame) -> DataFrame:
+    """node_id of the nodes whose evidence (node_id, source_id) and evidence edges name different sources."""
+    both = own.select("node_id", "source_id", F.lit(1).alias("o"), F.lit(0).alias("l")).union(linked.select("node_id", "source_id", F.lit(0), F.lit(1)))
+    return both.groupBy("node_id", "source_id").agg(F.max("o").alias("o"), F.max("l").alias("l")).where("o <> l").select("node_id").distinct()
+
+
 def evidence_rules(nodes: DataFrame, edges: DataFrame, sources: DataFrame, evidence: DataFrame) -> list[DataFrame]:
-    """evidence: node_id, source_id, quote, quote_sha256."""
+    """evidence: node_id, source_id, quote, quote_sha256, match_mode (null counts as exact)."""
     texts = sources.select(F.col("id").alias("source_id"), "normalized_text")
+    evidence = evidence.withColumn("quote", norm_text(F.coalesce("quote", F.lit(""))))
     found = evidence.join(texts, "source_id", "left")
-    inside = F.col("normalized_text").contains(F.col("quote")) | squeezed("normalized_text").contains(squeezed("quote"))
-    own = evidence.select("node_id", "source_id").distinct()
-    linked = edges.where("edge_type = 'EVIDENCED_BY'").select(F.col("source_id").alias("node_id"), F.col("target_id").alias("source_id")).distinct()
-    apart = own.exceptAll(linked).union(linked.exceptAll(own)).select("node_id").distinct()
+    mode, text = F.coalesce("match_mode", F.lit("exact")), F.coalesce("normalized_text", F.lit(""))
+    inside = F.when(mode == "exact", text.contains(F.col("quote"))).when(mode == "whitespace_normalized", squeezed(text).contains(squeezed("quote"))).otherwise(False)
+    own = evidence.select("node_id", "source_id")
+    linked = edges.where("edge_type = 'EVIDENCED_BY'").select(F.col("source_id").alias("node_id"), F.col("target_id").alias("source_id"))
+    apart = parity(own, linked.join(nodes.where(F.col("node_type").isin(*SEMANTIC)).select(F.col("id").alias("node_id")), "node_id", "left_semi"))
     bare = nodes.where(F.col("node_type").isin(*SEMANTIC) & (F.col("assertion_level") == "EXPLICIT")).join(evidence.select(F.col("node_id").alias("id")), "id", "left_anti")
     return [
         issue(found.where("normalized_text is null"), "NODE_EVIDENCE_REF", "unknown source", "node_id"),
@@ -82,6 +95,7 @@ def node_rules(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> list[
     premises = steps.select("id", F.explode("premise_node_ids").alias("p"))
     ends = steps.select("id", F.explode("conclusion_claim_ids").alias("c"))
     has = lambda t, a, b: edges.where(F.col("edge_type") == t).select(F.col("source_id").alias(a), F.col("target_id").alias(b))
+    lacking = lambda rows, linked, c, known: rows.join(known.select(F.col("id").alias(c)).join(linked, c).select("id", c), ["id", c], "left_anti")
     empty = (F.coalesce(F.size("premise_node_ids"), F.lit(0)) < 1) | (F.coalesce(F.size("conclusion_claim_ids"), F.lit(0)) < 1)
     return [
         issue(nodes.where(~F.col("node_type").isin(*NODE_TYPES)), "NODE_TYPE", "unknown node type", "id"),
@@ -90,8 +104,8 @@ def node_rules(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> list[
         issue(errors, F.col("code"), "value not valid", "id"),
         issue(raw, "DATA_RAW_EVIDENCE", "number not in evidence", "id"),
         issue(steps.where(empty), "REASONING_SHAPE", "premise or conclusion missing", "id"),
-        issue(premises.join(has("PREMISE_OF", "p", "id"), ["p", "id"], "left_anti"), "REASONING_PREMISE", "premise without edge", "id"),
-        issue(ends.join(has("CONCLUDES", "id", "c"), ["id", "c"], "left_anti"), "REASONING_CONCLUSION", "conclusion without edge", "id"),
+        issue(lacking(premises, has("PREMISE_OF", "p", "id"), "p", nodes), "REASONING_PREMISE", "premise unknown or without edge", "id"),
+        issue(lacking(ends, has("CONCLUDES", "id", "c"), "c", nodes.where("node_type = 'Claim'")), "REASONING_CONCLUSION", "conclusion no claim or without edge", "id"),
     ]
 
 
@@ -101,7 +115,7 @@ def dag_rule(edges: DataFrame) -> DataFrame:
 
 
 def warnings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    backed = edges.where(F.col("edge_type").isin(*ARGUMENT_TYPES)).select(F.col("target_id").alias("id"))
+    backed = edges.where(F.col("edge_type").isin(*ARGUMENT_TYPES) & (F.col("status") == "active")).select(F.col("target_id").alias("id"))
     core = nodes.where((F.col("node_type") == "Claim") & (F.col("importance") == "core") & F.col("claim_role").isin(*ARGUED))
     return issue(core.join(backed, "id", "left_anti"), "CORE_CLAIM_WITHOUT_ARGUMENT", "core claim without argument", "id")
 
@@ -109,7 +123,8 @@ def warnings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def errors(documents: DataFrame, sources: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
     """All errors of one graph; PASS iff there is none."""
     twice = issue(duplicates(documents, sources, nodes, edges), "UNIQUE_IDS", "id repeated", "id")
-    rules = [twice, *source_rules(documents, sources), *edge_rules(nodes, edges, sources), *evidence_rules(nodes, edges, sources, evidence), *node_rules(nodes, edges, evidence), dag_rule(edges)]
+    named = [id_rule(sources, "SOURCE_IDS"), id_rule(nodes, "NODE_IDS"), id_rule(edges, "EDGE_IDS")]
+    rules = [twice, *named, *source_rules(documents, sources), *edge_rules(nodes, edges, sources), *evidence_rules(nodes, edges, sources, evidence), *node_rules(nodes, edges, evidence), dag_rule(edges)]
     return reduce(DataFrame.unionByName, rules)
 
 
@@ -159,11 +174,16 @@ def missing_fields(json: Column) -> Column:
     return F.array_except(F.array(*map(F.lit, ROOT_FIELDS)), F.json_object_keys(json))
 
 
-def state_hash(table: DataFrame, *order: str) -> DataFrame:
-    """One digest of a table's rows in order, independent of partitioning: digests of rows, then of their list by bucket."""
+def state_hash(table: DataFrame) -> DataFrame:
+    """One digest of a table's rows, whatever their order and partitions.
+
+    The digests of the rows are added up word by word (32 bits each), so that a task holds no more than eight sums; the
+    digest is that of the row count and the sums.
+    """
     row = F.sha2(F.to_json(F.struct(*sorted(table.columns))).cast("binary"), 256)
-    part = table.select(F.substring(row, 1, 3).alias("b"), row.alias("h")).groupBy("b").agg(sha256(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("h"))
-    return part.agg(sha256(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")).alias("state_hash"))
+    words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = table.select(row.alias("h")).agg(F.count(F.lit(1)).cast("string").alias("n"), *[F.coalesce(F.sum(w), F.lit(0)).cast("string").alias(f"w{i}") for i, w in enumerate(words)])
+    return sums.select(sha256(F.concat_ws(":", "n", *[f"w{i}" for i in range(8)])).alias("state_hash"))
 
 
 def dispositions(sources: DataFrame, references: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -56,6 +56,12 @@ def with_benchmarks(nodes: DataFrame, matches: DataFrame) -> DataFrame:
     return nodes.join(items, "id", "left").withColumn("benchmark_items", F.coalesce("benchmark_items", F.array().cast("array<string>")))
 
 
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Kind (node or edge), name (its type) and n."""
+    count = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return count(nodes, "node", "node_type").union(count(edges, "edge", "edge_type"))
+
+
 def compact_json(rows: DataFrame, keep: list[str], key: str = "id") -> DataFrame:
     """Whitelisted fields as JSON, nulls left out."""
     return rows.select(key, F.to_json(F.struct(*[c for c in keep if c in rows.columns])).alias("json"))

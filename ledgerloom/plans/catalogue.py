@@ -7,6 +7,8 @@ benchmark passages are quotes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,38 +44,49 @@ def evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-with c as (select doc_id, item_id, doc_id * 1000 + item_id candidate_id, b.text quote from documents d, benchmark b where d.doc_id % 40 = b.item_id % 40),
-r as (select c.*, d.text t from c left join documents d using (doc_id))
-select candidate_id, bool_and(contains(t, quote) or contains(regexp_replace(t, '\s+', '', 'g'), regexp_replace(quote, '\s+', '', 'g'))) admitted, count(*) items from r group by 1""")
+with p as (select regexp_replace(text, '\s+', '', 'g') p, text quote, item_id from benchmark), d as (select doc_id, text t, regexp_replace(text, '\s+', '', 'g') pt from documents),
+m as (select d.doc_id, p.item_id from p join d on contains(d.pt, p.p) where p.p <> ''),
+c as (select doc_id, item_id from m union all select d.doc_id, b.item_id from d join benchmark b on d.doc_id = b.item_id union all select -1, item_id from benchmark),
+r as (select c.doc_id || '-' || c.item_id candidate_id, d.t, d.pt, p.quote, p.p from c join p using (item_id) left join d on d.doc_id = c.doc_id)
+select candidate_id, bool_and(coalesce(p <> '' and (contains(t, quote) or contains(pt, p)), false)) admitted, count(*) items from r group by 1""")
 def evidence_cited(spark: SparkSession, sf: str) -> DataFrame:
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    named = docs.select("doc_id", (F.col("doc_id") % 40).alias("k")).join(items.select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 40).alias("k")), "k")
-    named = named.select((F.col("doc_id") * 1000 + F.col("item_id")).alias("candidate_id"), "doc_id", "quote")
+    """Each passage cites all documents that hold it, the document of its own number and an unknown one."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    held = evidence.quote_matches(items, docs).select("doc_id", "item_id")
+    own = items.select(F.col("item_id").alias("doc_id"), "item_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    named = held.union(own).union(items.select(F.lit(-1).cast("long"), "item_id")).join(items, "item_id")
+    named = named.select(F.concat_ws("-", "doc_id", "item_id").alias("candidate_id"), "doc_id", "quote")
     return evidence.admitted(evidence.cited(named, docs))
 
 
 _FOLD = r"""
-with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '') ls from documents),
-f as (select doc_id, list_reduce(ls, lambda a, x: case when length(string_split(a, chr(30))[-1]) + 1 + length(x) > {most} then a || chr(30) || x else a || chr(10) || x end) packed from l where len(ls) > 0),
-b as (select doc_id, string_split(packed, chr(30)) bs from f)
+with pg as (select doc_id, text, string_split_regex(text, '\n\s*\n') gs from documents),
+l as (select doc_id, unnest(range(1, len(gs) + 1)) g, unnest(list_transform(gs, lambda x: list_filter(list_transform(string_split_regex(x, '\n'), lambda y: rtrim(y, E' \t\r\n')), lambda y: trim(y) <> ''))) ls from pg),
+f as (select doc_id, g, list_reduce(ls, lambda a, x: case when length(string_split(a, chr(30))[-1]) + 1 + length(x) > {most} then a || chr(30) || x else a || chr(10) || x end) packed from l where len(ls) > 0),
+u as (select doc_id, g, unnest(range(1, len(string_split(packed, chr(30))) + 1)) i, trim(unnest(string_split(packed, chr(30))), E' \t\n') raw from f),
+b as (select doc_id, row_number() over (partition by doc_id order by g, i) block, raw from u)
 """
 
 
 @query(_FOLD.format(most=2800) + r""",
-e as (select doc_id, unnest(range(1, len(bs) + 1)) block, bs from b), r as (select doc_id, block::int block, bs[block] raw from e),
-n as (select *, trim(regexp_replace(regexp_replace(raw, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')) t from r),
-k as (select *, string_split(t, chr(10)) ls from n)
-select doc_id, block, format('SO_P001_B{:03d}', block) block_id, sha256(t) sha256, length(t)::bigint n_chars,
+n as (select *, trim(regexp_replace(regexp_replace(raw, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')) t from b),
+k as (select *, string_split(t, chr(10)) ls from n),
+st as (select doc_id, list(struct_pack(first := split_part(raw, chr(10), 1), n := length(raw)) order by block) bs from b group by doc_id),
+c as (select doc_id, list_reduce(list_prepend('0|', list_transform(bs, lambda x: x.first || chr(30) || x.n)), lambda a, x: case when strpos(substr(text, split_part(a, '|', 1)::int + 1), split_part(x, chr(30), 1)) > 0
+    then (split_part(a, '|', 1)::int + strpos(substr(text, split_part(a, '|', 1)::int + 1), split_part(x, chr(30), 1)) - 1 + split_part(x, chr(30), 2)::int) || '|' || split_part(a, '|', 2) || ',' || (split_part(a, '|', 1)::int + strpos(substr(text, split_part(a, '|', 1)::int + 1), split_part(x, chr(30), 1)) - 1)
+    else a || ',' end) o from st join pg using (doc_id)),
+w as (select doc_id, string_split(split_part(o, '|', 2), ',') starts from c)
+select doc_id, block::int block, format('SO_P001_B{:03d}', block) block_id, sha256(raw) sha256, length(t)::bigint n_chars, try_cast(starts[block + 1] as int) char_start, try_cast(starts[block + 1] as int) + length(raw)::int char_end, block::int as "sequence",
   case when regexp_matches(t, '法律主体声明|版权声明|分析师声明|评级说明') then 'legal' when regexp_matches(t, '^(?:图表|图)\s*\d+') then 'figure_caption'
-       when len(ls) >= 2 and len(list_filter(ls, lambda s: len(regexp_extract_all(s, '[-+]?\d[\d,.]*(?:%|倍|元|亿|万)?')) >= 2)) >= greatest(1, len(ls) // 3) then 'table_like' else 'paragraph' end object_type from k""")
+       when len(ls) >= 2 and len(list_filter(ls, lambda s: len(regexp_extract_all(s, '[-+]?\d[\d,.]*(?:%|倍|元|亿|万)?')) >= 2)) >= greatest(1, len(ls) // 3) then 'table_like' else 'paragraph' end object_type from k join w using (doc_id)""")
 def source_blocks(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text")
-    return blocks.source_blocks(pages).select("doc_id", "block", "block_id", "sha256", F.length("normalized_text").cast("long").alias("n_chars"), "object_type")
+    rows = blocks.sequenced(blocks.source_blocks(pages))
+    return rows.select("doc_id", "block", "block_id", "sha256", F.length("normalized_text").cast("long").alias("n_chars"), "char_start", "char_end", "sequence", "object_type")
 
 
 @query(_FOLD.format(most=2800) + r""",
-e as (select doc_id, unnest(range(1, len(bs) + 1)) block, bs from b),
-n as (select doc_id, block, length(trim(regexp_replace(regexp_replace(bs[block], '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'))) + 100 n from e),
+n as (select doc_id, block, length(trim(regexp_replace(regexp_replace(raw, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'))) + 100 n from b),
 s as (select doc_id, list(n order by block) ns, list(block order by block) os from n group by doc_id),
 p as (select doc_id, os, list_reduce(list_transform(ns, lambda x: ['1', x::varchar, '1']), lambda a, x: case when a[2]::bigint + x[2]::bigint > 9000
   then [(a[1]::bigint + 1)::varchar, x[2], a[3] || ',' || (a[1]::bigint + 1)::varchar] else [a[1], (a[2]::bigint + x[2]::bigint)::varchar, a[3] || ',' || a[1]] end) r from s)
@@ -84,7 +97,10 @@ def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.pack_chunks(rows, "doc_id", "block", "n", identity="block_id").select("doc_id", "o", "chunk")
 
 
-@query()
+@query(r"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\r\n')), lambda x: x <> '') ls from documents),
+c as (select doc_id, flatten(list_transform(ls, lambda x: list_transform(range(0, ((length(x) - 1) // 2600 + 1)::bigint), lambda i: substr(x, (i * 2600 + 1)::bigint, 2600)))) cs from l where len(ls) > 0),
+f as (select doc_id, string_split(list_reduce(cs, lambda a, x: case when length(string_split(a, chr(30))[-1]) + 1 + length(x) > 2600 then a || chr(30) || x else a || chr(10) || x end), chr(30)) ts from c)
+select doc_id, i - 1 chunk, length(ts[i])::bigint n_chars, sha256(ts[i]) sha256 from (select doc_id, ts, unnest(range(1, len(ts) + 1)) i from f)""")
 def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
     out = blocks.text_chunks(table(spark, sf, "documents"))
     return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("chunk_text").cast("long").alias("n_chars"), tx.sha256("chunk_text").alias("sha256"))
@@ -126,18 +142,16 @@ def financial_facts_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     return facts.unpivot(_records(spark, sf), ["entity", "year", "quarter"]).withColumn("value", F.round("value", 0))
 
 
-@query(_RECORDS + """ select a.entity, a."quarter", a."year", round((a.volume - b.volume) / abs(b.volume) * 100, 1) yoy_pct from rec a join rec b on a.entity = b.entity and a."quarter" = b."quarter" and a."year" = b."year" + 1
+@query(_RECORDS + """ select a.entity, a."quarter", a."year", a.volume "value", b.volume prior, round_even((a.volume - b.volume) / abs(b.volume) * 100, 2) yoy_pct from rec a join rec b on a.entity = b.entity and a."quarter" = b."quarter" and a."year" = b."year" + 1
   where b.volume <> 0 and a."year" = (select max("year") from rec c where c.entity = a.entity and c."quarter" = a."quarter")""")
 def yoy_by_nation_quarter(spark: SparkSession, sf: str) -> DataFrame:
     rows = _records(spark, sf).select("entity", "quarter", "year", F.col("volume").alias("value"))
-    out = facts.growth(rows, ["entity", "quarter"])
-    return out.select("entity", "quarter", "year", F.round((F.col("value") - F.col("prior")) / F.abs("prior") * 100, 1).alias("yoy_pct"))
+    return facts.growth(rows, ["entity", "quarter"]).select("entity", "quarter", "year", "value", "prior", "yoy_pct")
 
 
-@query(_RECORDS + """ select entity, "year", "quarter", round(((volume * 3 - volume) / (volume * 3)) * 100, 2) gross_margin_pct, round(("quarter" * 10 / (volume * 3)) * 100, 2) research_ratio_pct from rec where volume <> 0""")
+@query(_RECORDS + """ select entity, "year", "quarter", round_even((revenue - "cost") / revenue * 100, 2) gross_margin_pct, round_even(research / revenue * 100, 2) research_ratio_pct from rec where revenue <> 0""")
 def margin_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _records(spark, sf).select("entity", "year", "quarter", (F.col("volume") * 3).alias("revenue"), F.col("volume").alias("cost"), (F.col("quarter") * 10).alias("research"))
-    return facts.margins(rows, ["entity", "year", "quarter"])
+    return facts.margins(_records(spark, sf), ["entity", "year", "quarter"])
 
 
 @query("""select user_id, event_type, event_id, ts, "value" as "close" from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id) n from events
@@ -147,16 +161,19 @@ def latest_bar_asof(spark: SparkSession, sf: str) -> DataFrame:
     return facts.latest_bar(bars, ["user_id", "event_type"], "ts", F.lit("2024-01-20").cast("timestamp_ntz"), tie="event_id")
 
 
-@query(_RECORDS + """, f as (select entity question_id, metric, "year", 'Q' || "quarter" fiscal_period, "year" * 10 + "quarter" period_end, entity || '|' || metric || '|' || "year" || '|' || "quarter" id
-  from (unpivot rec on revenue, volume into name metric value v)),
-n as (select * from (select *, row_number() over (partition by question_id, metric order by period_end desc, id) k from f) where k = 1),
-r as (select question_id, id, metric, 0 place from n union all select f.question_id, f.id, f.metric, 1 from f join n on f.question_id = n.question_id and f.metric = n.metric and f.fiscal_period = n.fiscal_period and f."year" = n."year" - 1)
+@query(_RECORDS + """, o as (select entity question_id, metric, "year", 'Q' || "quarter" fiscal_period, "year" * 10 + "quarter" period_end from (unpivot rec on revenue, volume into name metric value v)),
+f as (select *, question_id || '|' || metric || '|' || period_end id from (select * from o union all select a.question_id, a.metric || '_yoy', a."year", a.fiscal_period, a.period_end from o a join o b on a.question_id = b.question_id and a.metric = b.metric and a.fiscal_period = b.fiscal_period and a."year" = b."year" + 1)),
+n as (select * from (select *, row_number() over (partition by question_id, metric order by period_end desc, id) k from f where metric not like '%_yoy') where k = 1),
+r as (select question_id, id, metric, 0 place from n union all select f.question_id, f.id, f.metric, 1 from f join n on f.question_id = n.question_id and f.metric = n.metric and f.fiscal_period = n.fiscal_period and f."year" = n."year" - 1
+  union all select f.question_id, f.id, n.metric, 2 from f join n on f.question_id = n.question_id and f.metric = n.metric || '_yoy' and f.period_end = n.period_end)
 select question_id, id, metric, place, row_number() over (partition by question_id order by metric, place, id)::int as "rank" from r""")
 def metric_priority(spark: SparkSession, sf: str) -> DataFrame:
     rows = facts.unpivot(_records(spark, sf), ["entity", "year", "quarter"], ["revenue", "volume"])
-    text = F.concat_ws("|", "entity", "metric", "year", "quarter")
-    rows = rows.select(F.col("entity").alias("question_id"), "metric", "year", F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("fiscal_period"), (F.col("year") * 10 + F.col("quarter")).alias("period_end"), text.alias("id"))
-    return facts.metric_priority(rows)
+    rows = rows.select(F.col("entity").alias("question_id"), "metric", "year", F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("fiscal_period"), (F.col("year") * 10 + F.col("quarter")).alias("period_end"))
+    before = rows.select("question_id", "metric", (F.col("year") + 1).alias("year"), "fiscal_period")
+    grown = rows.join(before, ["question_id", "metric", "year", "fiscal_period"], "left_semi").withColumn("metric", F.concat("metric", F.lit("_yoy")))
+    every = rows.unionByName(grown)
+    return facts.metric_priority(every.withColumn("id", F.concat_ws("|", "question_id", "metric", "period_end"))).select("question_id", "id", "metric", "place", "rank")
 
 
 @query("""select l_orderkey, l_linenumber, count(*) facts, count(distinct l_extendedprice) distinct_values from lineitem group by 1, 2 having count(distinct l_extendedprice) >= 2""")
@@ -198,13 +215,14 @@ def dag_check(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cyclic_nodes(_chain(spark, sf).select("source_id", "target_id").union(back))
 
 
-@query(_TURNS + """, p as (select target_id id, source_id parent from ch), n as (select t.*, t.turn = 0 leaf, (t.turn = 3 and t.conv_id % 4 = 0) broken from t)
-select n.id from n where not n.leaf and not n.broken and (exists (select 1 from n b where b.conv_id = n.conv_id and b.broken and b.turn < n.turn)
+@query(_TURNS + """, p as (select target_id id, source_id parent from ch), n as (select t.*, t.turn = 0 leaf, (t.turn = 3 and t.conv_id % 4 = 0) broken, (t.turn = 2 and t.conv_id % 5 = 0) unread from t)
+select n.id from n where not n.leaf and not n.broken and (n.unread or exists (select 1 from n b where b.conv_id = n.conv_id and (b.broken or b.unread) and b.turn < n.turn)
   or not exists (select 1 from n z where z.conv_id = n.conv_id and z.leaf)
   or (select count(*) from t x where x.conv_id = n.conv_id and x.turn < n.turn) < n.turn)""")
 def contested_propagation(spark: SparkSession, sf: str) -> DataFrame:
     broken = (F.col("turn") == 3) & (F.col("conv_id") % 4 == 0)
-    props = _turns(spark, sf).select("id", F.when(F.col("turn") == 0, "fact").otherwise("analysis").alias("kind"), (F.col("turn") == 0).alias("grounded"), F.when(broken, "contested").otherwise("reportable").alias("status"))
+    unread = (F.col("turn") == 2) & (F.col("conv_id") % 5 == 0)
+    props = _turns(spark, sf).select("id", F.when(F.col("turn") == 0, "fact").otherwise("analysis").alias("kind"), (F.col("turn") == 0).alias("grounded"), F.when(broken, "contested").otherwise("reportable").alias("status"), F.lit(None).cast("string").alias("formula"), F.when(~unread, "accepted").alias("review"))
     return facts.contested(props, _chain(spark, sf).select(F.col("target_id").alias("id"), F.col("source_id").alias("parent_id")))
 
 
@@ -253,21 +271,17 @@ def edge_integrity(spark: SparkSession, sf: str) -> DataFrame:
     return wrong.union(graph.dangling(nodes.where("id <> 'r4'"), edges).select("source_id", "edge_type", "target_id", "code"))
 
 
-@query(_TRADE + """ select source_id, edge_type, target_id, n from tr""")
+@query("""select 's' || l_suppkey source_id, 'SUPPORTS' edge_type, 'p' || l_partkey target_id, min(l_orderkey) seq from lineitem group by l_suppkey, l_partkey""")
 def distinct_edges(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), F.lit("SUPPORTS").alias("edge_type"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_id"), F.col("l_orderkey").alias("seq"))
-    kept = graph.distinct_edges(lines).select("edge_type", "source_id", "target_id")
-    return kept.join(_trade(spark, sf), ["edge_type", "source_id", "target_id"]).select("source_id", "edge_type", "target_id", "n")
+    return graph.distinct_edges(lines).select("source_id", "edge_type", "target_id", "seq")
 
 
 @query("""with own as (select distinct l_orderkey node_id, l_suppkey source_id from lineitem where l_returnflag <> 'R'), ed as (select distinct l_orderkey node_id, l_suppkey source_id from lineitem where l_linestatus = 'F' or l_returnflag <> 'R')
 select distinct node_id from (select * from own except select * from ed union all (select * from ed except select * from own))""")
 def evidence_edge_parity(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node_id"), F.col("l_suppkey").alias("source_id"), "l_returnflag", "l_linestatus")
-    own = rows.where("l_returnflag <> 'R'").select("node_id", "source_id").distinct()
-    linked = rows.where("l_linestatus = 'F' or l_returnflag <> 'R'").select("node_id", "source_id").distinct()
-    both = own.withColumn("o", F.lit(1)).join(linked.withColumn("l", F.lit(1)), ["node_id", "source_id"], "full_outer")
-    return both.where("o is null or l is null").select("node_id").distinct()
+    return validation.parity(rows.where("l_returnflag <> 'R'"), rows.where("l_linestatus = 'F' or l_returnflag <> 'R'"))
 
 
 @query("""with p as (select l_suppkey || '-' || l_partkey proposal_id, max(l_discount) d, max(l_tax) t from lineitem group by l_suppkey, l_partkey),
@@ -404,21 +418,24 @@ def section_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def admit_acyclic(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem")
-    rel = lines.select((F.col("l_orderkey") % 200).alias("graph_id"), (F.col("l_partkey") % 40).alias("source_id"), (F.col("l_suppkey") % 40).alias("target_id"), (F.col("l_returnflag") == "R").alias("explicit"), (1 - F.col("l_discount")).alias("confidence"))
+    """A graph for each customer: parts lead to suppliers, whose numbers overlap, so some lines would close a cycle."""
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("graph_id"))
+    rel = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("graph_id", F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), (F.col("l_returnflag") == "R").alias("explicit"), (1 - F.col("l_discount")).alias("confidence"))
     rel = rel.where("source_id <> target_id").groupBy("graph_id", "source_id", "target_id").agg(F.bool_or("explicit").alias("explicit"), F.max("confidence").alias("confidence"))
     return graph.admit_acyclic(rel.withColumn("proposal_id", F.concat_ws("-", "source_id", "target_id")))
 
 
-@query(r"""with h as (select substr(s, 1, 3) b, s from (select sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') s from nation)),
-p as (select b, sha256(string_agg(s, '' order by s)) h from h group by b) select sha256(string_agg(h, '' order by b)) state_hash from p""")
+@query("""with h as (select sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') h from orders)
+select sha256(count(*) || ':' || list_aggregate([sum(('0x' || substr(h, 1, 8))::bigint), sum(('0x' || substr(h, 9, 8))::bigint), sum(('0x' || substr(h, 17, 8))::bigint), sum(('0x' || substr(h, 25, 8))::bigint),
+  sum(('0x' || substr(h, 33, 8))::bigint), sum(('0x' || substr(h, 41, 8))::bigint), sum(('0x' || substr(h, 49, 8))::bigint), sum(('0x' || substr(h, 57, 8))::bigint)], 'string_agg', ':')) state_hash from h""")
 def state_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.state_hash(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    return validation.state_hash(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
 
 
-@query()
+@query(_RECORDS + """, y as (select entity, "year", sum(volume) v from rec group by 1, 2), x as (select *, row_number() over (partition by entity order by "year") n, count(*) over (partition by entity) c from y)
+select entity doc_id, '营业收入' metric, ("year" + 25) || 'E' period, v::bigint::varchar raw, v::bigint::double number, 'forecast' qualifier, 'CNY' unit from x where n <= 5 and c >= 5""")
 def periodic_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Quarter tables written out per nation as text and read back by the table expansion."""
+    """Year tables written out per nation as text and read back by the table expansion."""
     years = _records(spark, sf).groupBy("entity", "year").agg(F.sum("volume").alias("v"))
     ordered = years.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("year", "v"))).alias("x"))
     head = F.array_join(F.transform("x", lambda r: F.concat((r["year"] + 25).cast("string"), F.lit("E"))), " ")
@@ -427,6 +444,104 @@ def periodic_table(spark: SparkSession, sf: str) -> DataFrame:
     return tables.periodic(doc).select("doc_id", "metric", "period", "raw", F.col("number").cast("double").alias("number"), "qualifier", "unit")
 
 
+_CAPACITY = """
+with p as (select p_partkey k, 'iPhone ' || p_size subject, '20' || (10 + p_partkey % 90) || '.' || lpad((p_partkey % 12 + 1)::varchar, 2, '0') period, p_size % 7 + 1 m, p_size % 9 + 64 s, p_size % 5 + 1 b, p_size % 7 + p_partkey % 2 + 1 a, p_partkey % 3 = 0 moved from part),
+x as (select k, subject, period, '内存容量' metric, m n, 0 i, 'reported' endpoint from p union all select k, subject, period, '存储容量', s, 1, 'reported' from p
+  union all select k, subject, period, '内存容量', b, 2, 'before' from p where moved union all select k, subject, period, '内存容量', a, 3, 'after' from p where moved)"""
+
+
+@query(_CAPACITY + """ select k doc_id, subject, metric, period, n || 'GB' raw, arg_min(endpoint, i) endpoint, 1::bigint mentions, n::bigint number from x group by k, subject, metric, period, n""")
+def capacity_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part is a phone with a capacity row, every third one with a change of capacity; a change outside a row counts nothing."""
+    k, size, gb = F.col("p_partkey"), F.col("p_size"), F.lit("GB")
+    period = F.concat(F.lit("20"), (k % 90 + 10).cast("string"), F.lit("."), F.lpad((k % 12 + 1).cast("string"), 2, "0"))
+    row = F.concat_ws(" ", F.lit("iPhone"), size, period, F.concat(size % 7 + 1, gb), F.concat(size % 9 + 64, gb))
+    moved = F.concat(F.lit(" 内存容量：从 "), size % 5 + 1, gb, F.lit(" 向 "), size % 7 + k % 2 + 1, gb, F.lit("升级"))
+    text = F.concat(F.lit("机型\n"), row, F.when(k % 3 == 0, moved).otherwise(""), F.lit("\n存储容量：从 1GB 向 2GB 升级"))
+    return tables.capacity(table(spark, sf, "part").select(k.alias("doc_id"), F.lit(1).alias("sequence"), text.alias("text")))
+
+
+@query("""select question_id, id, "rank" from (select o_custkey question_id, o_orderkey id, row_number() over (partition by o_custkey order by o_orderstatus = 'F' and o_orderkey % 7 = 0 desc, o_orderkey % 5 desc, o_orderkey % 2 = 0 desc, o_orderdate desc, o_orderkey)::int "rank" from orders) where "rank" <= 16""")
+def question_facts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("question_id"), k.alias("id"), ((F.col("o_orderstatus") == "F") & (k % 7 == 0)).alias("priority"), (k % 5).alias("score"), (k % 2 == 0).alias("is_document"), F.col("o_orderdate").alias("period_end"))
+    return agenda.question_facts(rows).select("question_id", "id", "rank")
+
+
+@query("""select conv_id page_id, row_number() over (partition by conv_id order by turn, role, text) - 1 place, conv_id || ':' || turn id, role, turn::double create_time, text from conversations where text <> ''""")
+def shared_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations written as flattened arrays into script calls of pages, and read back."""
+    of = lambda *c: F.struct(*c)
+    message = of(F.concat_ws(":", "conv_id", "turn").alias("id"), of("role").alias("author"), F.col("turn").cast("double").alias("create_time"), of(F.array("text").alias("parts")).alias("content"))
+    turns = table(spark, sf, "conversations").where("text <> ''").select("conv_id", F.struct("turn", "role", "text").alias("at"), F.struct(message.alias("message")).alias("node"))
+    flat = turns.groupBy("conv_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("at", "node"))), lambda x: x["node"])).alias("nodes"))
+    array = F.concat(F.lit('[{"_1":2},"linear_conversation",'), "nodes", F.lit("]"))
+    literal = F.regexp_extract(F.to_json(F.struct(array.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
+    pages = flat.select(F.col("conv_id").alias("page_id"), F.concat(F.lit("<html><script>enqueue("), literal, F.lit(")</script></html>")).alias("html"))
+    return landed.shared_messages(pages)
+
+
+_CLAIMS = r"""
+with d as (select doc_id k, coalesce(text, '') t, coalesce(regexp_extract(text, '[A-Za-z]{3,}'), '') w, lead(doc_id) over (partition by doc_id // 10 order by doc_id) nx from documents),
+ev as (select *, case when k % 7 = 0 then 'no such words at all' else w end q, case k % 3 when 0 then 'exact' when 1 then 'whitespace_normalized' else 'fuzzy' end m from d)"""
+
+
+@query(_CLAIMS + r""",
+e as (select 'SOURCE_HASH' code from d where k % 5 = 0 union all select 'SOURCE_STATUS' from d where k % 4 = 2 union all select 'SOURCE_ERROR' from d where k % 4 = 3 union all select 'NODE_LABEL' from d where k % 6 = 0
+  union all select 'EVIDENCE_QUOTE' from ev where m = 'fuzzy' or (m = 'exact' and not contains(t, q)) or (m <> 'exact' and not contains(regexp_replace(t, '\s+', '', 'g'), regexp_replace(q, '\s+', '', 'g')))
+  union all select 'EVIDENCE_EDGE_PARITY' from d where k % 10 = 1 union all select 'UNVERIFIED_INFERRED_EDGE' from d where nx is not null and k % 2 = 0 and k % 8 = 0
+  union all select 'EXPLICIT_RELATION_EVIDENCE' from d where nx is not null and k % 2 = 1 and k % 9 = 0
+  union all select 'EDGE_TARGET' from d where k % 11 = 0)
+select code, count(*) errors from e group by code""")
+def validator(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as sources and as claims on their first word, each claim supporting the next of its ten; with faults by number."""
+    k, word = F.col("doc_id"), F.coalesce(F.regexp_extract("text", "[A-Za-z]{3,}", 0), F.lit(""))
+    docs = table(spark, sf, "documents")
+    name = lambda prefix, c=k: F.concat(F.lit(prefix), c.cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    sources = docs.select(name("S").alias("id"), F.lit("D").alias("document_id"), text.alias("raw_text"), text.alias("normalized_text"), F.when(k % 5 == 0, "0").otherwise(tx.sha256(text)).alias("sha256"), F.element_at(F.array(*map(F.lit, ("EXTRACTED", "NO_CLAIM", "ODD", "ERROR"))), (k % 4 + 1).cast("int")).alias("processing_status"))
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    value = "struct<kind:string,raw:string,normalized_decimal:string,range_low:string,range_high:string,scale:string>"
+    nodes = docs.select(name("C").alias("id"), F.lit("Claim").alias("node_type"), F.when(k % 6 == 0, " ").otherwise("says").alias("label"), F.lit("EXPLICIT").alias("assertion_level"), *[none("string", c) for c in ("subject_ref", "metric_ref", "period_ref")], none(value, "value"), none("array<string>", "premise_node_ids"), none("array<string>", "conclusion_claim_ids"))
+    quote = F.when(k % 7 == 0, "no such words at all").otherwise(word)
+    proof = docs.select(name("C").alias("node_id"), name("S").alias("source_id"), quote.alias("quote"), tx.sha256(quote).alias("quote_sha256"), F.element_at(F.array(*map(F.lit, ("exact", "whitespace_normalized", "fuzzy"))), (k % 3 + 1).cast("int")).alias("match_mode"))
+    following = docs.select("doc_id", F.lead("doc_id").over(Window.partitionBy(F.floor(k / 10)).orderBy("doc_id")).alias("next")).where("next is not null")
+    edge = lambda rows, i, t, a, b, level="EXPLICIT", verdict=none("string", "verdict"), sure=none("double", "verdict_confidence"), backed=F.lit(True): rows.select(i.alias("id"), F.lit(t).alias("edge_type"), a.alias("source_id"), b.alias("target_id"), (F.lit(level) if isinstance(level, str) else level).alias("assertion_level"), F.lit("active").alias("status"), verdict, sure, backed.alias("has_evidence"))
+    edges = edge(docs.where(k % 10 != 1), name("e"), "EVIDENCED_BY", name("C"), name("S"))
+    edges = edges.union(edge(following, name("s"), "SUPPORTS", name("C"), name("C", F.col("next")), F.when(k % 2 == 0, "INFERRED").otherwise("EXPLICIT"), F.lit("accept").alias("verdict"), F.when(k % 8 == 0, 0.6).otherwise(0.7).alias("verdict_confidence"), k % 9 != 0))
+    edges = edges.union(edge(docs.where(k % 11 == 0), name("a"), "ASSUMES", name("C"), name("lost")))
+    found = validation.errors(spark.createDataFrame([("D",)], "id string"), sources, nodes, edges, proof)
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("errors"))
+
+
+@query("""with sp as (select p_brand spec_id, lower(p_brand) b, split_part(min(p_type), ' ', 1) w from part group by 1),
+m as (select spec_id, count(*) n from sp join part on contains(lower(replace(p_brand, ' ', '')), replace(b, ' ', '')) and contains(lower(replace(p_type, ' ', '')), lower(w)) and p_size <= 25 group by 1)
+select spec_id, coalesce(n, 0) matches, case when n > 0 then 'PASS' else 'MISS' end status from sp left join m using (spec_id)""")
+def data_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as points whose labels stand on other nodes (brands, types); a specification per brand asks for one kind of it."""
+    parts = table(spark, sf, "part")
+    null = lambda t: F.lit(None).cast(t)
+    label = lambda c, kind: parts.select(F.concat(F.lit(kind), c).alias("id"), F.lit(kind).alias("node_type"), F.col(c).alias("label")).distinct()
+    ends = label("p_brand", "Entity").union(label("p_type", "Metric"))
+    points = parts.select(F.col("p_partkey").cast("string").alias("id"), F.lit("DataPoint").alias("node_type"), F.col("p_name").alias("label"), F.concat(F.lit("Entity"), "p_brand").alias("subject_ref"), F.concat(F.lit("Metric"), "p_type").alias("metric_ref"), F.struct(F.col("p_size").cast("string").alias("raw"), F.when(F.col("p_size") <= 25, "1").otherwise("1000").alias("scale")).alias("value"))
+    nodes = points.unionByName(ends, allowMissingColumns=True).withColumns({c: null("string") for c in ("period_ref", "object_text", "predicate")})
+    kinds = parts.groupBy(F.col("p_brand").alias("spec_id")).agg(F.split_part(F.min("p_type"), F.lit(" "), F.lit(1)).alias("w"))
+    specs = kinds.select("spec_id", F.array("spec_id").alias("subject_terms"), *[null("array<string>").alias(c) for c in ("subject_any", "metric_any", "period_any", "raw_any")], F.array("w").alias("metric_terms"), F.lit("1").alias("scale"))
+    return evaluation.verdicts(specs, evaluation.match_data(evaluation.data_points(evaluation.labelled_nodes(nodes)), specs))
+
+
+@query("""with p as (select l_orderkey || '-' || l_linenumber proposal_id, 's' || l_suppkey source_id, 'p' || l_partkey target_id, case l_returnflag when 'R' then 'SUPPORTS' when 'A' then 'CAUSES' else 'ODD' end relation_type, 1.05 - l_discount * 5 confidence, l_partkey % 3 batch from lineitem),
+g as (select p.* from p join part on target_id = 'p' || p_partkey and p_size > 10 and batch = p_partkey % 3 where l_ok(source_id) and relation_type <> 'ODD' and confidence between 0 and 1)
+select source_id, relation_type, target_id, min(proposal_id) proposal_id from g group by 1, 2, 3""".replace("l_ok(source_id)", "substr(source_id, 2)::bigint % 4 <> 0"))
+def proposals_ok(spark: SparkSession, sf: str) -> DataFrame:
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    kind = F.when(F.col("l_returnflag") == "R", "SUPPORTS").when(F.col("l_returnflag") == "A", "CAUSES").otherwise("ODD")
+    proposals = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("proposal_id"), key("s", "l_suppkey").alias("source_id"), key("p", "l_partkey").alias("target_id"), kind.alias("relation_type"), (1.05 - F.col("l_discount") * 5).alias("confidence"), (F.col("l_partkey") % 3).alias("batch"))
+    nodes = table(spark, sf, "supplier").where("s_suppkey % 4 <> 0").select(key("s", "s_suppkey").alias("id"))
+    targets = table(spark, sf, "part").where("p_size > 10").select(key("p", "p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("batch"))
+    return views.proposals_ok(proposals, nodes, targets, ["SUPPORTS", "CAUSES"]).select("source_id", "relation_type", "target_id", "proposal_id")
+
+
 @query("""select conv_id, string_agg('## ' || n || '. ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) order by turn, role, text) markdown from
   (select *, row_number() over (partition by conv_id order by turn, role, text) n from conversations) group by 1""")
 def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -436,8 +551,7 @@ def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
 @query(_GEO + """ select 'node' kind, node_type name, count(*) n from nd group by 2 union all select 'edge', edge_type, count(*) from ed group by 2""")
 def payload_counts(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _geo(spark, sf)
-    count = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return count(nodes, "node", "node_type").union(count(edges, "edge", "edge_type"))
+    return views.counts(nodes, edges)
 
 
 @query(r"""select doc_id, case when length(t) > 88 then substr(t, 1, 87) || '…' else t end label, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') escaped
@@ -464,21 +578,27 @@ def shanghai_days(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", vl.shanghai_date(ms).alias("shanghai_day"), vl.window_start(F.year("o_orderdate")).alias("window_start"))
 
 
-@query("""with c as (select p_partkey k, p_brand b, p_retailprice::decimal(12,2)::varchar v, case when p_size % 5 = 0 then 'quote not in source' when p_size % 7 = 0 then 'metric or period missing' end reason from part),
-g as (select * from c where reason is null), d as (select distinct b from c where reason is null or reason like 'metric%'), x as (select distinct b, v from g)
-select 'node' kind, 'DataPoint' name, count(*) n from x union all select 'node', 'Entity', count(*) from d union all select 'node', 'Metric', 1 from d having count(*) > 0 union all select 'node', 'Period', 1 from g having count(*) > 0
-union all select 'edge', t, count(*) from x, (select unnest(['ABOUT', 'MEASURES', 'VALID_DURING']) t) group by t union all select 'edge', 'EVIDENCED_BY', count(*) from (select distinct b, v, k from g)
-union all select 'rejected', reason, count(*) from c where reason is not null group by reason""")
+@query("""with c as (select p_partkey k, p_brand b, p_retailprice::decimal(12,2)::varchar v, p_size, case when p_size % 5 = 0 then 'quote not in source' when p_size % 7 = 0 then 'metric or period missing' end reason, p_size % 3 <> 0 said from part),
+g as (select * from c where reason is null), d as (select distinct b from c where reason is null or reason like 'metric%' or said), x as (select distinct b, v from g), k as (select * from c where said),
+rel as (select *, case when p_size % 4 = 0 or reason is not null or not said then 'unknown relation type, reference or loop' when p_size % 11 = 0 then 'confidence is not a number from 0 to 1' end fault from c)
+select 'node' kind, 'DataPoint' name, count(*) n from x union all select 'node', 'Claim', count(*) from k union all select 'node', 'Entity', count(*) from d union all select 'node', 'Metric', 1 from d having count(*) > 0 union all select 'node', 'Period', 1 from g having count(*) > 0
+union all select 'edge', t, count(*) from x, (select unnest(['MEASURES', 'VALID_DURING']) t) group by t union all select 'edge', 'ABOUT', (select count(*) from x) + (select count(*) from k)
+union all select 'edge', 'EVIDENCED_BY', (select count(*) from (select distinct b, v, k from g)) + (select count(*) from k) union all select 'edge', 'HAS_DATA', count(*) from k where reason is null
+union all select 'rejected', reason, count(*) from (select reason from c where reason is not null union all select 'quote not in source' from c where not said union all select fault from rel where fault is not null) group by reason
+union all select 'proposal', 'SUPPORTS', count(*) from rel where fault is null""")
 def candidate_registration(spark: SparkSession, sf: str) -> DataFrame:
-    """Each part is a source that states its price, and a data point that quotes it (some wrongly, some without a period)."""
-    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("source_id"), price.alias("price"), "p_brand", "p_size", "p_name")
+    """Each part is a source that states its price, a data point that quotes it (some wrongly, some without a period), a
+    claim on it and a relation between the two (some of an unknown type, some with a confidence that is no number)."""
+    price, size = F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.col("p_size")
+    parts = table(spark, sf, "part").select((F.col("p_partkey") * 2).alias("seq"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("source_id"), price.alias("price"), "p_brand", "p_size", "p_name")
     sources = parts.select("source_id", F.concat("p_name", F.lit(" at a price of "), "price").alias("text"))
-    quote = F.concat(F.when(F.col("p_size") % 5 == 0, "cost of ").otherwise("price of "), F.col("price"))
+    proof = lambda quote: F.array(F.struct(F.col("source_id").alias("source_object_id"), quote.alias("quote")))
     value = F.from_json(F.to_json(F.struct(F.col("price").alias("raw"), F.col("price").alias("normalized_decimal"))), candidates.VALUE)
-    own = {"seq": F.col("seq"), "chunk_id": F.col("source_id"), "kind": F.lit("data_point"), "local_id": F.lit("d1"), "subject_name": F.col("p_brand"), "metric_name": F.lit("Price"), "period_label": F.when(F.col("p_size") % 7 != 0, "2024A"), "value": value, "evidence": F.array(F.struct(F.col("source_id").alias("source_object_id"), quote.alias("quote")))}
-    empty = spark.createDataFrame([], candidates.CANDIDATE)
-    rows = empty.unionByName(parts.select(*[c.alias(n) for n, c in own.items()]), allowMissingColumns=True)
-    made = candidates.register(rows, spark.createDataFrame([], candidates.RELATION), sources, parts.select(F.col("source_id").alias("chunk_id"), "source_id"))
+    quote = F.concat(F.when(size % 5 == 0, "cost of ").otherwise("price of "), F.col("price"))
+    own = {"seq": F.col("seq"), "chunk_id": F.col("source_id"), "kind": F.lit("data_point"), "local_id": F.lit("d1"), "subject_name": F.col("p_brand"), "metric_name": F.lit("Price"), "period_label": F.when(size % 7 != 0, "2024A"), "value": value, "evidence": proof(quote)}
+    says = {"seq": F.col("seq") + 1, "chunk_id": F.col("source_id"), "kind": F.lit("claim"), "local_id": F.lit("k1"), "text": F.concat("p_name", F.lit(" is dear")), "subject_name": F.col("p_brand"), "data_point_local_ids": F.array(F.lit("d1")), "evidence": proof(F.when(size % 3 == 0, "no such words").otherwise(F.lit("at a price")))}
+    link = {"seq": F.col("seq"), "chunk_id": F.col("source_id"), "source_local_id": F.lit("d1"), "target_local_id": F.lit("k1"), "relation_type": F.when(size % 4 == 0, "LIKES").otherwise("SUPPORTS"), "confidence": F.when(size % 11 == 0, '"high"').otherwise("0.8")}
+    of = lambda schema, *kinds: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [parts.select(*[c.alias(n) for n, c in k.items()]) for k in kinds], spark.createDataFrame([], schema))
+    made = candidates.register(of(candidates.CANDIDATE, own, says), of(candidates.RELATION, link), sources, parts.select(F.col("source_id").alias("chunk_id"), "source_id"))
     count = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return count(made.nodes, "node", "node_type").union(count(made.edges, "edge", "edge_type")).union(count(made.rejected, "rejected", "reason"))
+    return count(made.nodes, "node", "node_type").union(count(made.edges, "edge", "edge_type")).union(count(made.rejected, "rejected", "reason")).union(count(made.proposals, "proposal", "relation_type"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import json
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -93,33 +93,30 @@ def search_hits(rows: DataFrame) -> DataFrame:
     return rows.withColumn("url", F.coalesce(*has, F.lit(None).cast("string"))).drop("link").where("url is not null")
 
 
-class _Page(HTMLParser):
-    """Text with line feeds at blocks, less hidden subtrees; dates of metadata and <time>."""
-
-    HIDDEN, BREAKS = frozenset("script style nav footer".split()), frozenset("p div h1 h2 h3 li tr br".split())
-    DATES = ("article:published_time", "article:modified_time")
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.parts, self.dates = 0, [], []
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        self.depth += tag in self.HIDDEN
-        if tag in self.BREAKS:
-            self.parts.append("\n")
-        if tag == "meta" and (a.get("property") or a.get("name")) in self.DATES:
-            self.dates.append(a.get("content", "")[:10])
-        if tag == "time" and a.get("datetime"):
-            self.dates.append(a["datetime"][:10])
-
-    def handle_endtag(self, tag):
-        if tag in self.HIDDEN and self.depth:
-            self.depth -= 1
-
-    def handle_data(self, data):
-        if not self.depth:
-            self.parts.append(data)
+# Elements whose text is hidden, elements that begin a line, properties that date a page.
+HIDDEN = "script style nav footer".split()
+LINE_STARTS = "p div h1 h2 h3 li tr br".split()
+DATED_BY = ("article:published_time", "article:modified_time")
+_PIECE = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)")
+_VALUE = re.compile(r"""(?i)\b(property|content|datetime)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+
+
+def readable(page: str) -> tuple[str, str | None]:
+    """The lines of a page without hidden subtrees, and the earliest valid day among those it is dated by."""
+    out, days, hidden = [], [], 0
+    for m in _PIECE.finditer(page):
+        tag = (m["tag"] or "").lower()
+        if m["text"] is not None:
+            out.append("" if hidden else html.unescape(m["text"]))
+        elif tag in HIDDEN:
+            hidden = max(0, hidden + (-1 if m["end"] else 1))
+        elif tag in LINE_STARTS and not m["end"]:
+            out.append("\n")
+        if tag in ("meta", "time"):
+            has = {k.lower(): "".join(v) for k, *v in _VALUE.findall(m["rest"])}
+            days.append(has.get("datetime" if tag == "time" else "content" if has.get("property") in DATED_BY else "", "")[:10])
+    lines = filter(None, (" ".join(line.split()) for line in "".join(out).split("\n")))
+    return "\n".join(lines), min((d for d in days if re.fullmatch(r"\d{4}-\d\d-\d\d", d)), default=None)
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -127,77 +124,57 @@ def page_text(pages: DataFrame) -> DataFrame:
 
     def read(frames):
         for pdf in frames:
-            texts, days = [], []
-            for page in pdf.html:
-                p = _Page()
-                p.feed(page or "")
-                p.close()
-                lines = (" ".join(line.split()) for line in "".join(p.parts).split("\n"))
-                texts.append("\n".join(line for line in lines if line))
-                days.append(min((d for d in p.dates if re.fullmatch(r"\d{4}-\d\d-\d\d", d)), default=None))
+            texts, days = zip(*map(readable, pdf.html.fillna("")), strict=True) if len(pdf) else ((), ())
             yield pd.DataFrame({"page_id": pdf.page_id, "text": texts, "published": days})
 
     return pages.select("page_id", "html").mapInPandas(read, "page_id long, text string, published string")
 
 
+def _part(part) -> str:
+    match part:
+        case str():
+            return part
+        case {"text": str(text)}:
+            return text
+        case {"content_type": "image_asset_pointer"}:
+            return f"[Image attachment: {part.get('asset_pointer', 'attachment')}]"
+    return ""
+
+
 def content_text(content) -> str:
-    """Plain string, {parts: [string or {text}]}, or {text}; parts apart by a blank line."""
-    if isinstance(content, str):
-        return content
-    if not isinstance(content, dict):
-        return ""
-    if isinstance(content.get("parts"), list):
-        texts = (p if isinstance(p, str) else p.get("text") if isinstance(p, dict) else None for p in content["parts"])
-        return "\n\n".join(t for t in texts if isinstance(t, str) and t.strip())
-    return content["text"] if isinstance(content.get("text"), str) else ""
+    """A plain string, {text}, or {parts}, whose strings, texts and image pointers stand apart by a blank line."""
+    match content:
+        case str():
+            return content
+        case {"parts": list(parts)}:
+            return "\n\n".join(filter(None, map(_part, parts))).strip()
+        case {"text": str(text)}:
+            return text
+    return ""
 
 
 #: Negative references of a flattened array that stand for values: fixed.
-SENTINELS = {-1: None, -2: None, -3: float("nan"), -4: float("inf"), -5: float("-inf"), -6: -0.0, -7: None}
+SENTINELS = {-1: None, -2: None, -3: float("nan"), -4: float("inf"), -5: None, -6: -0.0}
 
 
-def hydrate(flat: list):
-    """The value of a flattened array whose numbers refer to its own places; shared and cyclic references stay shared."""
-    made: dict[int, object] = {}
+def hydrate(flat: list) -> list:
+    """The values at all places of a flattened array whose numbers refer to places; shared and cyclic ones stay shared.
 
-    def value(i):
-        if not isinstance(i, int) or isinstance(i, bool):
+    Containers are made empty first and then filled, so that no reference is followed twice and none too early.
+    """
+    made = [type(x)() if isinstance(x, (list, dict)) else x for x in flat]
+
+    def at(i):
+        if isinstance(i, bool) or not isinstance(i, int) or i >= len(made):
             return i
-        if i < 0 or i >= len(flat):
-            return SENTINELS.get(i)
-        if i in made:
-            return made[i]
-        x = flat[i]
-        if isinstance(x, list):
-            made[i] = out = []
-            out.extend(value(j) for j in x)
-        elif isinstance(x, dict):
-            made[i] = out = {}
-            for k, j in x.items():
-                name = flat[int(k[1:])] if re.fullmatch(r"_\d+", k) and int(k[1:]) < len(flat) else k
-                out[name] = value(j)
-        else:
-            made[i] = out = x
-        return out
-
-    return value(0)
-
-
-def _conversation(x):
-    """The first dict that holds a linear conversation, depth first."""
-    todo, seen = [x], set()
-    while todo:
-        y = todo.pop()
-        if id(y) in seen:
-            continue
-        seen.add(id(y))
-        if isinstance(y, dict):
-            if isinstance(y.get("linear_conversation"), list):
-                return y
-            todo.extend(reversed(list(y.values())))
-        elif isinstance(y, list):
-            todo.extend(reversed(y))
-    return None
+        return SENTINELS.get(i) if i < 0 else made[i]
+
+    for x, source in zip(made, flat, strict=True):
+        if isinstance(source, list):
+            x.extend(map(at, source))
+        elif isinstance(source, dict):
+            x.update((str(made[int(k[1:])]) if re.fullmatch(r"_\d+", k) and int(k[1:]) < len(made) else k, at(j)) for k, j in source.items())
+    return made
 
 
 def shared_messages(pages: DataFrame) -> DataFrame:
@@ -211,11 +188,12 @@ def shared_messages(pages: DataFrame) -> DataFrame:
             except ValueError:
                 continue
             if isinstance(flat, list) and flat:
-                found = _conversation(hydrate(flat))
-                for node in (found or {}).get("linear_conversation", []):
-                    msg = node.get("message") if isinstance(node, dict) else None
-                    if isinstance(msg, dict) and (text := content_text(msg.get("content"))).strip():
-                        yield msg.get("id") or node.get("id"), (msg.get("author") or {}).get("role"), msg.get("create_time"), text
+                turns = (x["linear_conversation"] for x in hydrate(flat) if isinstance(x, dict) and isinstance(x.get("linear_conversation"), list))
+                for node in next(turns, []):
+                    match node:
+                        case {"message": dict(msg)} if text := content_text(msg.get("content")):
+                            author = msg.get("author")
+                            yield msg.get("id") or node.get("id"), author.get("role", "unknown") if isinstance(author, dict) else "unknown", msg.get("create_time"), text
                 return
 
     def read(frames):

@@ -93,7 +93,7 @@ def test_agenda_checks_and_report(spark):
     lines = agenda.report_lines(e([("b", "Second", 2), ("a", "First", 1)], "section_id string, title string, place int"), spoken, e([(3, "t", "u", "q3"), (7, "t", None, "q7"), (9, "t", "u", "unused")], "evidence_id int, title string, url string, quote string"))
     assert [r.line for r in lines.orderBy("part", "place", "seq").collect()] == ["## First", "One.[7]", "## Second", "Two.[3][7]", "[3] t u q3", "[7] t q7"]
     facts = e([("q", "a", False, 9.0, True, 1), ("q", "b", True, 0.0, False, 1), ("q", "c", False, 9.0, False, 5), ("q", "d", False, 0.0, True, 9)], "question_id string, id string, priority boolean, score double, is_document boolean, period_end int")
-    assert [r.id for r in agenda.question_facts(facts).orderBy("rank").collect()] == ["b", "a", "c"]
+    assert [r.id for r in agenda.question_facts(facts).orderBy("rank").collect()] == ["b", "a", "c", "d"]  # a score of 0 is no reason to leave a fact out
     calls = e([("verify", 1.5, 10), ("verify", None, 5)], "stage string, seconds double, tokens long")
     assert tuple(agenda.call_totals(calls).first()) == ("verify", 2, 1.5, 15)
     firms = e([("f", "2020-01-01")], "id string, day string").selectExpr("id", "cast(day as date) listed_on")

@@ -60,6 +60,51 @@ def test_folds(spark):
     assert [(r.o, r.chunk) for r in blocks.pack_chunks(b, "doc_id", "o", "n", 100, 0, "id").collect()] == [(1, 1), (2, 1), (3, 2), (4, 2)]
 
 
+def test_block_places(spark):
+    page = "  Head \nrow one  \n \n\n中 文 text\n\n \t\n  Head \n"
+    rows = blocks.sequenced(blocks.source_blocks(spark.createDataFrame([(1, 1, page), (1, 2, None), (1, 3, "x")], "doc_id long, page int, text string"))).orderBy("sequence").collect()
+    raws = ["Head\nrow one", "中 文 text", "Head", "x"]
+    assert [(r.raw_text, r.normalized_text, r.sha256) for r in rows] == [(t, n, hashlib.sha256(t.encode()).hexdigest()) for t, n in zip(raws, ["Head\nrow one", "中文 text", "Head", "x"], strict=True)]
+    assert [(r.page, r.block, r.sequence, r.char_start, r.char_end) for r in rows] == [(1, 1, 1, 2, 14), (1, 2, 2, page.index("中"), page.index("中") + 8), (1, 3, 3, page.rindex("Head"), page.rindex("Head") + 4), (3, 1, 4, 0, 1)]
+
+
+def test_quotes_of_all_lengths(spark):
+    texts = [(i, t) for i, t in enumerate(["the quick  brown fox jumps over the lazy dog and runs away", "brownfox", "x", None, "éè 中文 text"])]
+    quotes = [(i, q) for i, q in enumerate(["quick brown fox jumps over", "brown fox", "x", " ", "中文", "quick  brown", "away from"])]
+    got = evidence.quote_matches(spark.createDataFrame(quotes, "item_id int, quote string"), spark.createDataFrame(texts, "doc_id int, text string"), 20).collect()
+    want = {(i, d, "exact" if q in t else "whitespace_normalized") for i, q in quotes for d, t in texts if t and q.strip() and "".join(q.split()) in "".join(t.split())}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_scores_follow_the_expression(spark):
+    chunks = [(1, "Alpha beta alpha 营业收入 x"), (2, "目录 alpha" + "." * 40), (3, "none"), (4, None), (5, "ALPHABET 业收")]
+    asked = [("a", ["alpha", "x"]), ("b", ["营业收入", "beta"]), ("c", [])]
+    c, q = spark.createDataFrame(chunks, "chunk_id int, text string"), spark.createDataFrame(asked, "question_id string, terms array<string>")
+    want = c.crossJoin(q).select("question_id", "chunk_id", tx.relevance("text", "terms").alias("score")).where("score > 0").collect()
+    got = ranking.scored(c, q, 1).collect()
+    assert {(r.question_id, r.chunk_id): round(r.score, 9) for r in got} == {(r.question_id, r.chunk_id): round(r.score, 9) for r in want} and len(want) > 3
+
+
+def test_propositions_need_formula_and_review(spark):
+    props = spark.createDataFrame([("f", "fact", None, None), ("g", "fact", None, None), ("ok", "computed", "f-g", None), ("bare", "computed", None, None), ("one", "computed", "f", None), ("said", "analysis", None, "accepted"), ("open", "analysis", None, "pending"), ("on", "forecast", None, "accepted")], "id string, kind string, formula string, review string")
+    props = props.withColumns({"grounded": F.lit(True), "status": F.lit("reportable")})
+    parents = spark.createDataFrame([("ok", "f"), ("ok", "g"), ("bare", "f"), ("bare", "g"), ("one", "f"), ("said", "ok"), ("open", "f"), ("on", "open")], "id string, parent_id string")
+    assert {r.id for r in facts.contested(props, parents).collect()} == {"bare", "one", "open", "on"}
+
+
+def test_labels_join_before_matching(spark):
+    rows = [("E", "Entity", "ACME Inc", None, None, None, None), ("M", "Metric", "Net Profit", None, None, None, None), ("P", "Period", "2025E", None, None, None, None), ("D", "DataPoint", "d", "E", "M", "P", ("1,200", "1000000")), ("D2", "DataPoint", "d2", "E", "X", "P", ("1,200", "1"))]
+    nodes = spark.createDataFrame(rows, "id string, node_type string, label string, subject_ref string, metric_ref string, period_ref string, value struct<raw:string,scale:string>").withColumns({"object_text": F.lit(None).cast("string"), "predicate": F.lit("grew")})
+    full = evaluation.labelled_nodes(nodes)
+    assert {r.id: r.text for r in full.collect()}["D"] == "d grew ACME Inc Net Profit 2025E"
+    assert {(r.id, r.metric, r.point_scale) for r in evaluation.data_points(full).collect()} == {("D", "Net Profit", "1000000"), ("D2", None, "1")}
+
+
+def test_decimal_text(spark):
+    told = {"1E+3": "1000", "1.50": "1.50", "-0.00e2": "-0", "1.5e-3": "0.0015", "12.34e1": "123.4", ".5": "0.5", "x": None, "NaN": None, "007": "7"}
+    assert {k: one(spark, tx.decimal_text(s(k)))[0] for k in told} == told
+
+
 def test_gate(spark):
     src = spark.createDataFrame([("s", "ab  cd，e")], "doc_id string, text string")
     ev = spark.createDataFrame([("1", "s", "ab  cd"), ("2", "s", "abcd，e"), ("6", "s", "abcd,e"), ("3", "s", "zz"), ("4", "t", "ab"), ("5", "s", " "), ("1", "s", "zz")], "candidate_id string, doc_id string, quote string")
@@ -74,9 +119,9 @@ def test_tables(spark):
     got = tables.periodic(spark.createDataFrame(rows, "doc_id int, page int, sequence int, object_type string, text string")).collect()
     assert len(got) == 10 and {(r.metric, r.unit) for r in got} == {("营业收入", "CNY"), ("毛利率", "percent")}
     assert {(r.period, r.raw, r.qualifier) for r in got if r.metric == "营业收入"} >= {("2023A", "1,000", "actual"), ("2027E", "5", "forecast")}
-    cap = [(1, 1, "iPhone 15 2023.09 6GB 128GB"), (1, 2, "iPhone 16 2024.09 6GB 128GB\n内存容量：从 4GB 向 6GB 升级")]
+    cap = [(1, 1, "iPhone 14 2022.09 6GB 128GB 内存容量：从 4GB 向 6GB 升级"), (1, 2, "iPhone 15 2023.09 6GB 128GB\n内存容量：从 1GB 向 2GB 升级")]
     pts = tables.capacity(spark.createDataFrame(cap, "doc_id int, sequence int, text string")).where("metric = '内存容量'").collect()
-    assert {(r.subject, r.raw, r.mentions) for r in pts} == {("iPhone 15", "6GB", 1), ("iPhone 15", "4GB", 1), ("iPhone 16", "6GB", 2)}
+    assert {(r.subject, r.raw, r.endpoint, r.mentions) for r in pts} == {("iPhone 14", "6GB", "reported", 1), ("iPhone 14", "4GB", "before", 1), ("iPhone 15", "6GB", "reported", 1)}
 
 
 def edges(spark, pairs, kind="SUPPORTS"):
@@ -88,6 +133,9 @@ def test_graph_fix_points(spark):
     assert {r.id for r in graph.cyclic_nodes(loop).collect()} == {"a", "b", "c"}
     assert graph.cyclic_nodes(edges(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")])).count() == 0
     assert graph.closure(loop).count() == 12
+    assert graph.closure(loop.limit(0)).count() == 0
+    chain = graph.closure(edges(spark, [(f"n{i}", f"n{i + 1}") for i in range(30)]), spark.createDataFrame([("n0",)], "id string"))
+    assert sorted(r.depth for r in chain.collect()) == list(range(1, 31))
     assert {(r.id, r.hops) for r in graph.neighbourhood(loop, spark.createDataFrame([("d",)], "id string"), 2).collect()} == {("d", 0), ("c", 1), ("a", 2), ("b", 2)}
     need = spark.createDataFrame([("x", 2), ("y", 1), ("z", 1), ("w", 1), ("o", 2)], "id string, least int")
     parents = spark.createDataFrame([("x", "f"), ("x", "g"), ("y", "x"), ("z", "w"), ("w", "z"), ("o", "f")], "id string, parent_id string")
@@ -103,28 +151,28 @@ def test_graph_fix_points(spark):
 VALUE = "struct<kind:string,raw:string,normalized_decimal:string,range_low:string,range_high:string,scale:string>"
 
 
-def tiny_graph(spark, quote="revenue was 12", level="EXPLICIT", period="P"):
+def tiny_graph(spark, quote="revenue was 12", level="EXPLICIT", period="P", mode=None, concludes="C"):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     text = "The revenue was 12 in 2024, so buy."
     doc = spark.createDataFrame([("D",)], "id string")
-    src = spark.createDataFrame([("S", "D", text, sha(text), "EXTRACTED")], "id string, document_id string, normalized_text string, sha256 string, processing_status string")
+    src = spark.createDataFrame([("S", "D", text + " ", text, sha(text + " "), "EXTRACTED")], "id string, document_id string, raw_text string, normalized_text string, sha256 string, processing_status string")
     rows = [("E", "Entity", "e"), ("M", "Metric", "m"), ("P", "Period", "p"), ("X", "DataPoint", "x"), ("C", "Claim", "c"), ("R", "ReasoningStep", "r")]
-    full = [(i, t, n, "EXPLICIT" if t in ("DataPoint", "Claim") else None, "E" if t == "DataPoint" else None, "M" if t == "DataPoint" else None, period if t == "DataPoint" else None, ("scalar", "12", "12", None, None, "1") if t == "DataPoint" else None, ["X"] if t == "ReasoningStep" else None, ["C"] if t == "ReasoningStep" else None, "core", "forecast") for i, t, n in rows]
+    full = [(i, t, n, "EXPLICIT" if t in ("DataPoint", "Claim") else None, "E" if t == "DataPoint" else None, "M" if t == "DataPoint" else None, period if t == "DataPoint" else None, ("scalar", "12", "12", None, None, "1") if t == "DataPoint" else None, ["X"] if t == "ReasoningStep" else None, [concludes] if t == "ReasoningStep" else None, "core", "forecast") for i, t, n in rows]
     nodes = spark.createDataFrame(full, f"id string, node_type string, label string, assertion_level string, subject_ref string, metric_ref string, period_ref string, value {VALUE}, premise_node_ids array<string>, conclusion_claim_ids array<string>, importance string, claim_role string")
-    ev = spark.createDataFrame([("X", "S", quote, sha(quote)), ("C", "S", "so buy", sha("so buy"))], "node_id string, source_id string, quote string, quote_sha256 string")
-    e = [("e1", "EVIDENCED_BY", "X", "S"), ("e2", "EVIDENCED_BY", "C", "S"), ("e3", "PREMISE_OF", "X", "R"), ("e4", "CONCLUDES", "R", "C"), ("e5", "SUPPORTS", "X", "C")]
+    ev = spark.createDataFrame([("X", "S", quote, sha(quote), mode), ("C", "S", "sobuy", sha("sobuy"), "whitespace_normalized")], "node_id string, source_id string, quote string, quote_sha256 string, match_mode string")
+    e = [("e1", "EVIDENCED_BY", "X", "S"), ("e2", "EVIDENCED_BY", "C", "S"), ("e3", "PREMISE_OF", "X", "R"), ("e4", "CONCLUDES", "R", concludes), ("e5", "SUPPORTS", "X", "C")]
     eg = spark.createDataFrame([(i, t, a, b, level if t == "SUPPORTS" else "EXPLICIT", "active", None, None, True) for i, t, a, b in e], "id string, edge_type string, source_id string, target_id string, assertion_level string, status string, verdict string, verdict_confidence double, has_evidence boolean")
     return doc, src, nodes, eg, ev
 
 
-@pytest.mark.parametrize(("change", "codes"), [({}, set()), ({"quote": "made up 12"}, {"EVIDENCE_QUOTE"}), ({"level": "INFERRED"}, {"UNVERIFIED_INFERRED_EDGE"}), ({"period": "nowhere"}, {"DATA_CONTEXT"}), ({"quote": "revenue was"}, {"DATA_RAW_EVIDENCE"})])
+@pytest.mark.parametrize(("change", "codes"), [({}, set()), ({"quote": "made up 12"}, {"EVIDENCE_QUOTE"}), ({"level": "INFERRED"}, {"UNVERIFIED_INFERRED_EDGE"}), ({"period": "nowhere"}, {"DATA_CONTEXT"}), ({"quote": "revenue was"}, {"DATA_RAW_EVIDENCE"}), ({"mode": "fuzzy"}, {"EVIDENCE_QUOTE"}), ({"quote": "revenuewas 12"}, {"EVIDENCE_QUOTE"}), ({"quote": "revenuewas 12", "mode": "whitespace_normalized"}, set()), ({"concludes": "X"}, {"REASONING_CONCLUSION"})])
 def test_validator_mutations(spark, change, codes):
     g = tiny_graph(spark, **change)
     assert {r.code for r in validation.errors(*g).collect()} == codes
     if not change:
         assert validation.warnings(g[2], g[3]).count() == 0
         back = g[3].union(spark.createDataFrame([("e6", "SUPPORTS", "C", "X", "EXPLICIT", "active", None, None, True), ("e5", "SUPPORTS", "X", "C", "EXPLICIT", "active", None, None, True)], g[3].schema))
-        assert {r.code for r in validation.errors(g[0], g[1], g[2], back, g[4]).collect()} == {"ARGUMENT_DAG", "DUPLICATE_EDGE", "UNIQUE_IDS"}
+        assert {r.code for r in validation.errors(g[0], g[1], g[2], back, g[4]).collect()} == {"ARGUMENT_DAG", "DUPLICATE_EDGE", "UNIQUE_IDS", "EDGE_IDS"}
 
 
 def test_state_hash_ignores_partitions(spark):
@@ -176,7 +224,10 @@ def test_sources(spark, tmp_path):
     html = f'<script>enqueue("not json")</script><script>enqueue("{flat}")</script>'
     msg = landed.shared_messages(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
     assert [(m.id, m.text) for m in msg] == [("m1", "hello")]
-    assert landed.content_text({"parts": ["a", {"text": "b"}, {"image": 1}]}) == "a\n\nb"
+    assert landed.content_text({"parts": ["a", {"text": "b"}, {"image": 1}, {"content_type": "image_asset_pointer", "asset_pointer": "f"}, " "]}) == "a\n\nb\n\n[Image attachment: f]"
+    made = landed.hydrate([{"_3": 1, "self": 0, "_9": -5}, [2, -3, -4, -6, True, 99], "x", "key"])
+    assert made[0]["key"] is made[1] and made[0]["self"] is made[0] and made[0]["_9"] is None
+    assert made[1][0] == "x" and made[1][1] != made[1][1] and made[1][2:] == [float("inf"), -0.0, True, 99]
     cp = spark.createDataFrame([("m", "d1", "stop"), ("m", "d2", "length")], "model string, digest string, finish_reason string")
     good, miss = landed.reusable(cp, spark.createDataFrame([("m", "d1"), ("m", "d2")], "model string, digest string"))
     assert (good.count(), miss.first().digest) == (1, "d2")
