@@ -103,8 +103,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents follow each other in the order in which they are stored and are cut where a sequence is full, so only the
-    last sequence needs padding. Null and empty texts are one id (`end`); repeated rows are packed as often as they come;
-    an empty table gives no pieces.
+    last sequence needs padding. Null and empty texts are one id (`end`), long texts as many pieces as they fill; repeated
+    rows are packed as often as they come; an empty table gives no pieces; extra columns of any name are left out.
     """
     rows = tokenised(docs, path, end)
     totals = rows.groupBy("part").agg(F.max(F.col("local") + F.col("n")).alias("total"))

@@ -91,7 +91,8 @@ def _spans(text: Column, rank: int, kind: str) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of start, rank, end, kind, match, score by start, then kind as listed) of every row.
 
-    Null text counts as empty; repeated rows are treated alike; an empty table gives an empty result.
+    Null text counts as empty; texts of any length are read whole; repeated rows are treated alike; matches of two kinds at
+    one place are both given, in the order of KINDS; an empty table gives an empty result; extra columns are left out.
     """
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     each = text.select("doc_id", *(_spans(F.col("text"), i, k).alias(k) for i, k in enumerate(KINDS)))
@@ -99,7 +100,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans as kind:start:end joined by commas, of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans as kind:start:end joined by commas, of every row; cases as in find."""
     found = find(docs)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))

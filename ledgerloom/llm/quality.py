@@ -164,7 +164,8 @@ def _train(m: Model, x, y, weight, rng, steps=400, rate=0.02, decay=1e-3) -> Non
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; only the text is an input.
 
-    Null text counts as empty and has a score too; repeated rows score alike; an empty table gives an empty result.
+    Null text counts as empty and has a score too; texts of any length are read whole; repeated rows score alike; an empty
+    table gives an empty result; extra columns of any name are left out.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

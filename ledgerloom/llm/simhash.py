@@ -195,8 +195,9 @@ def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
-    Null and blank texts have fingerprint zero and link like any other; repeated rows come out as often as they came in;
-    rows with a null doc_id are kept and do not lend their id to a component; an empty table gives an empty result.
+    Null and blank texts have fingerprint zero and link like any other; texts of any length are read whole; repeated rows
+    come out as often as they came in; rows with a null doc_id are kept and do not lend their id to a component; a bit that
+    exactly half of the hashes have is 0; an empty table gives an empty result; extra columns of any name are left out.
     """
     fps = materialize(fingerprints(docs, ("doc_id",), shingle), "docs")
     out = lookup(fps, classes(fps, radius), "fp", "n", fps.count())

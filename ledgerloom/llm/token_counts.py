@@ -100,7 +100,9 @@ def counter(path: str) -> Counter:
 def counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and n_chars of every row's whole text.
 
-    Null and empty texts have no tokens; repeated rows count alike; an empty table gives an empty result.
+    Null and empty texts have no tokens; texts of any length are counted whole; of segmentations with equal scores the
+    tokenizer's own rule decides; repeated rows count alike; an empty table gives an empty result; extra columns of any
+    name are left out.
     """
 
     def each(batches):

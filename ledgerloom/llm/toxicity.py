@@ -124,7 +124,8 @@ def _ordinal(x, grade, weight, steps=400, rate=0.1, decay=2e-5):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, severity (expected grade, 0 to 3), p_toxic, grade (likeliest) and toxic of every row.
 
-    Null text counts as empty and isn't toxic; repeated rows score alike; an empty table gives an empty result.
+    Null text counts as empty and isn't toxic; texts of any length are read whole; of equally likely grades the lower is
+    given; repeated rows score alike; an empty table gives an empty result; extra columns of any name are left out.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

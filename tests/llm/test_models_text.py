@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, token counts and PII against plain Python, HTML, neighbours, the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import html_text, neighbours, pii, quality, token_counts, toxicity
 
@@ -40,6 +42,39 @@ def test_quality_on_held_out_rows(spark, small):
     assert [r.score for r in quality.score(docs(spark, ODD[:1]), blank).collect()] == [0.5]
 
 
+def test_quality_scores_by_hand(spark, small):
+    """Pooling, network and temperature once more, word by word and unit by unit."""
+    model = quality.fit(*small)
+    rows = small[0].orderBy("doc_id").limit(25).select("doc_id", "text").collect() + [(-i, t) for i, t in enumerate(("", "word", "two words", None, "Zx9- Zx9- 12.5 \u00df"), 1)]
+    got = {r.doc_id: r.score for r in quality.score(docs(spark, [tuple(r) for r in rows]), model).collect()}
+    vector = lambda w: [float(x) for x in model.vectors[model.words.get(w) or model.shapes.get(quality.shape(w), 0)]]
+    for i, text in rows:
+        v = [vector(w) for w in (text or "").split()]
+        n, dim = len(v), quality.DIM
+        mean = [sum(x[d] for x in v) / max(1, n) for d in range(dim)]
+        pair = [sum(a[d] * b[d] for a, b in zip(v, v[1:], strict=False)) / max(1, n - 1) * dim for d in range(dim)]
+        x = [(f - m) / s for f, m, s in zip([*mean, *pair, math.log(1 + n)], model.mean, model.scale, strict=True)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(x, model.w1[:, h], strict=True)) + model.b1[h]) for h in range(quality.HIDDEN)]
+        z = sum(a * w for a, w in zip(hidden, model.w2, strict=True)) + model.b2
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z / model.temperature)), rel=1e-3, abs=1e-6)
+
+
+def test_toxicity_by_hand(spark, small):
+    """Features, shared weight and ordered thresholds once more, feature by feature."""
+    model = toxicity.fit(*small)
+    toxic = [r.doc_id for r in small[1].where("toxic = 1").collect()]
+    rows = small[0].where(F.col("doc_id").isin(toxic)).limit(20).union(small[0].limit(20)).select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, [tuple(r) for r in rows]), model).collect()}
+    for i, text in rows:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        count = Counter(f for w in words for f in [w, *(w[:k] + "-" for k in (4, 5, 6) if len(w) > k)] if f in model.known)
+        z = sum(model.weights[model.known[f]] * math.log(1 + n) for f, n in count.items())
+        p = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        steps = [1 - p[0], p[0] - p[1], p[1] - p[2], p[2]]
+        assert got[i].p_toxic == pytest.approx(p[0], abs=1e-9) and got[i].severity == pytest.approx(sum(k * x for k, x in enumerate(steps)), abs=1e-9)
+        assert got[i].grade == steps.index(max(steps)) and got[i].toxic == (p[0] >= 0.5)
+
+
 def test_toxicity_on_held_out_rows(spark, small):
     model = toxicity.fit(*small)
     assert all(np.diff(model.thresholds) > 0)
@@ -166,8 +201,8 @@ def test_neighbours_recall_and_hostile_vectors(spark):
 
 def test_pipeline_against_plain_python(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    from test_copies import brute_components, brute_fp
     from test_mixing_packing import hash_of, plain_mix, reference_ids
+    from test_near_copies import brute_kept
 
     sf = "/root/testdata/sf0.001"
     table = spark.read.parquet(f"{sf}/documents.parquet")
@@ -178,11 +213,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     for r in rows:
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), r)
     rows = sorted(first.values())
-    groups, kept = set(), []
-    for r, c in zip(rows, brute_components([brute_fp(t) for _, t, _ in rows]), strict=True):
-        if c not in groups:
-            groups.add(c)
-            kept.append(r)
+    kept = [rows[i] for i in brute_kept(rows)]  # near copies: five words, a similarity of 0.8 or more
     size, target = plain_mix(kept)
     tokens = Counter()
     for s in size:
