@@ -45,18 +45,19 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return near.unionByName(far)
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """Columns doc (the whole row as a struct, so that no name can clash), file and row.
+def with_row_key(docs: DataFrame, path: bool = False) -> DataFrame:
+    """Columns doc (the whole row as a struct, so that no name can clash), file, row and, if asked for, path.
 
     file (a 64-bit hash of the path) and row (the place in that file) tell even fully equal rows apart and stay the same
     in every read. A plain read of files, filtered or not, supplies them; anything else is written to the shared folder
     first.
     """
-    if not _plain_read(docs):
-        held = materialize(docs.select(F.struct("*").alias("doc")), "rows")
-        return held.select("doc", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    if not (plain := _plain_read(docs)):
+        docs = materialize(docs.select(F.struct("*").alias("doc")), "rows")
     place = docs.metadataColumn("_metadata")
-    return docs.select(F.struct("*").alias("doc"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
+    doc = F.struct("*") if plain else F.col("doc")
+    own = [place["file_path"].alias("path")] if path else []
+    return docs.select(doc.alias("doc"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"), *own)
 
 
 def _plain_read(docs: DataFrame) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, mixing, neighbours, packing, pii, quality, simhash, token_counts, toxicity
+from . import centroids, exact_dedup, fim, html_text, mixing, neighbours, packing, pii, quality, sharding, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,41 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_simhash, op4_packing, op5_neighbours, op6_pii, op7_toxicity, op8_token_counts, op9_exact_dedup, op10_html_text)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+_OPS = (
+    op1_quality,
+    op2_mixing,
+    op3_simhash,
+    op4_packing,
+    op5_neighbours,
+    op6_pii,
+    op7_toxicity,
+    op8_token_counts,
+    op9_exact_dedup,
+    op10_html_text,
+    op11_sharding,
+    op12_fim,
+    op13_centroids,
+)
+QUERIES = {f.__name__: f for f in _OPS}
+
+#: Of the clustering: one round (assignment of all vectors, new centroids), {i} and {j} being its numbers.
+_ROUND = """
+a{j} as materialized (select v.k, v.x, arg_min(c.c, struct_pack(d := {d}, c := c.c)) c, min({d}) d from v, c{i} c group by v.k, v.x),
+c{j} as materialized (select c.c, case when s.n is null then c.x else list_transform(s.x, lambda t: (t - ((t % s.n) + s.n) % s.n) // s.n) end x
+  from c{i} c left join (select c, max(n)::bigint n, list(t order by j) x from (select c, j, count(*) n, sum(x[j])::bigint t from a{j}, (select unnest(range(1, 65)) j) group by c, j) group by c) s using (c))"""
+_FAR = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
 
 ORACLES = {
     "op2_mixing": r"""
@@ -109,5 +143,24 @@ select d.doc_id, coalesce(n_email, 0) n_email, coalesce(n_ip, 0) n_ip, coalesce(
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) text_sha256 from documents)
 select doc_id, min(doc_id) over w keep_id, (count(*) over w)::bigint group_size, doc_id = min(doc_id) over w kept, text_sha256
 from d window w as (partition by text_sha256)
+""",
+    "op12_fim": r"""
+with d as (select doc_id, coalesce(text, '') t, sha256('42:' || coalesce(doc_id::varchar, '')) h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') u from documents),
+n as (select *, len(u)::bigint n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::bigint) hs from d),
+k as (select *, least(hs[1] % (n + 1), hs[2] % (n + 1)) lo, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) hi,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or hs[3] % 100 >= 50 then 'plain' when hs[4] % 100 < 80 then 'spm' else 'psm' end form from n),
+p as (select *, array_to_string(u[1:lo], '') a, array_to_string(u[lo + 1:hi], '') m, array_to_string(u[hi + 1:], '') b from k)
+select doc_id, n, form, case when form <> 'plain' then length(a) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || b || '<M>' || m else '<S>' || b || '<P>' || a || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from p
+""",
+    "op13_centroids": """
+with v as materialized (select row_number() over () k, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (select row_number() over (order by sha256('2:' || vec_id), x) - 1 c, x from v where vec_id is not null order by c limit 40),"""
+    + ",".join(_ROUND.format(i=i, j=i + 1, d=_FAR) for i in range(6))
+    + """,
+i as (select c, sum(d)::bigint n from a6 group by c)
+select v.vec_id, a.c::int as "cluster", a.d distance, i.n cluster_inertia, (select sum(d) from a6)::bigint inertia, sha256(array_to_string(c.x, ',')) centroid_sha256
+from a6 a join v using (k) join c5 c on a.c = c.c join i on a.c = i.c
 """,
 }
