@@ -19,7 +19,7 @@ from .common import shared_dir, with_row_key
 
 SHARDS, SEED = 8, 42
 #: Rows of a file that are permuted together, and rows of a shard that are.
-CHUNK_ROWS, BLOCK_ROWS = 1 << 20, 1 << 15
+CHUNK_ROWS, BLOCK_ROWS = 1 << 20, 1 << 14
 #: Numpy draws hypergeometric numbers for fewer rows than this; beyond, `_drawn` does.
 NUMPY_ROWS = 1_000_000_000
 
@@ -173,5 +173,5 @@ def report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     A null text has no bytes and their crc32, 0. Equal texts are dealt apart like any rows: the method keeps no groups.
     """
     text = F.coalesce("doc.text", F.lit(""))
-    out = sharded(docs.select("doc_id", "text"), shards, seed)
+    out = sharded(docs, shards, seed)
     return out.select("doc.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

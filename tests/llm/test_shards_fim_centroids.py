@@ -69,7 +69,7 @@ def test_every_way_to_deal_is_as_likely():
     assert sum((n - 1000) ** 2 / 1000 for n in ways.values()) < 20
 
 
-@pytest.mark.parametrize(("chunk", "block"), [(1 << 20, 1 << 15), (4, 3)])
+@pytest.mark.parametrize(("chunk", "block"), [(1 << 20, 1 << 14), (4, 3)])
 def test_shards_hold_every_row_once(spark, chunk, block):
     rows = rows_of(5)
     made = sharding.sharded(docs(spark, rows), 8, 42, chunk, block).select("shard", "slot", "doc.doc_id", "doc.text").collect()
