@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
-from ..operators import agenda, blocks, candidates, evaluation, evidence, facts, graph, ranking, tables, validation, views
+from ..operators import agenda, audit, blocks, candidates, closure, evaluation, evidence, facts, graph, ranking, tables, validation, views
 from ..session import table
 from ..sources import landed, sinks
 
@@ -602,3 +602,152 @@ def candidate_registration(spark: SparkSession, sf: str) -> DataFrame:
     made = candidates.register(of(candidates.CANDIDATE, own, says), of(candidates.RELATION, link), sources, parts.select(F.col("source_id").alias("chunk_id"), "source_id"))
     count = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return count(made.nodes, "node", "node_type").union(count(made.edges, "edge", "edge_type")).union(count(made.rejected, "rejected", "reason")).union(count(made.proposals, "proposal", "relation_type"))
+
+
+#: Orders as propositions in chains of 64, each resting on the one before it, each 16th one on the one five before as well.
+_CHAINS = """
+with recursive o as (select o_orderkey k, o_custkey, o_orderstatus, o_orderkey // 64 g, row_number() over (partition by o_orderkey // 64 order by o_orderkey) p from orders),
+e as (select a.k id, b.k parent from o a join o b on a.g = b.g and (b.p = a.p - 1 or (a.p % 16 = 0 and b.p = a.p - 5))),
+r as (select k id, k anc from o union select r.id, e.parent from r join e on r.anc = e.id),
+ln as (select distinct l_orderkey k, l_orderkey * 10 + l_linenumber evidence_id from lineitem)"""
+
+
+def _chains(spark, sf):
+    """(id, parent_id) of the orders' chains, and (id, evidence_id) of their lines."""
+    g = F.floor(F.col("o_orderkey") / 64)
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), g.alias("g"))
+    o = o.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    back = F.explode(F.when(F.col("p") % 16 == 0, F.array(F.lit(1), F.lit(5))).otherwise(F.array(F.lit(1)))).alias("back")
+    rests = o.select(F.col("k").alias("id"), "g", "p", back).select("id", "g", (F.col("p") - F.col("back")).alias("p"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"))
+    return rests.join(o.select("g", "p", F.col("k").alias("parent_id")), ["g", "p"]).select("id", "parent_id"), lines
+
+
+@query(_CHAINS + """ select r.id, count(distinct evidence_id) n from r join ln on r.anc = ln.k group by r.id""")
+def evidence_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pieces of evidence each proposition of chains 64 deep rests on."""
+    rests, lines = _chains(spark, sf)
+    return closure.sizes(closure.evidence_sets(rests, closure.numbered(lines)[0]))
+
+
+@query(_CHAINS + """, c as (select * from (select c_nationkey section_id, k id, row_number() over (partition by c_nationkey order by o_custkey, k) n from o join customer on o_custkey = c_custkey where o_orderstatus <> 'P') where n <= 16),
+v as (select distinct section_id, evidence_id from c join r using (id) join ln on r.anc = ln.k)
+select section_id, evidence_id, place from (select *, row_number() over (partition by section_id order by evidence_id)::int place from v) where place <= 20""")
+def section_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence baseline of sections (nations): the first claims (orders) that hold and answer its questions (customers)."""
+    rests, lines = _chains(spark, sf)
+    own, numbers = closure.numbered(lines)
+    asked = table(spark, sf, "customer").select(F.col("c_nationkey").alias("section_id"), F.col("c_custkey").alias("question_id"), F.col("c_custkey").alias("place"))
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"), "o_orderstatus")
+    claims = closure.section_claims(asked, orders.drop("o_orderstatus"), orders.where("o_orderstatus <> 'P'").select("id"))
+    return closure.section_evidence(closure.evidence_sets(rests, own), numbers, claims)
+
+
+#: Graphs of ten documents each, with faults by number: the tables of the validator, as SQL.
+_AUDITED = r"""
+with d as (select doc_id k, doc_id // 10 g, coalesce(text, '') t, coalesce(regexp_extract(text, '[A-Za-z]{3,}'), '') w, lead(doc_id) over (partition by doc_id // 10 order by doc_id) nx from documents),
+src as (select g, case when k % 97 <> 5 then 'S' || k end id, case when k % 13 = 0 then 'DX' else 'D' || g end document_id, t, case when k % 5 = 0 then '0' else sha256(t) end sha, ['EXTRACTED', 'NO_CLAIM', 'ODD', 'ERROR'][k % 4 + 1] st from d),
+ev as (select g, k, 'C' || k node, case when k % 14 = 1 then 'Snone' else 'S' || k end source, case when k % 7 = 0 then 'no such words at all' else w end q, k % 15 <> 2 hash_ok, case k % 3 when 0 then 'exact' when 1 then 'whitespace_normalized' else 'fuzzy' end m from d where k % 12 <> 11),
+nd as (select g, 'C' || k id, 'Claim' ty, case when k % 6 = 0 then ' ' else 'says' end label, 'EXPLICIT' lv, k from d union all select g, 'P' || k, 'DataPoint', 'point', 'INFERRED', k from d union all select g, 'R' || k, 'ReasoningStep', 'step', 'INFERRED', k from d
+  union all select g, 'O' || k, 'Thing', '', 'EXPLICIT', k from d where k % 21 = 8 union all select distinct g, unnest(['E', 'M', 'T']) || g, unnest(['Entity', 'Metric', 'Period']), 'x', 'EXPLICIT', null::bigint from d
+  union all select distinct g, null, 'Entity', 'x', 'EXPLICIT', null::bigint from d where g % 12 = 0),
+ed as (select g, 'e' || k id, 'EVIDENCED_BY' ty, 'C' || k a, 'S' || k b, 'EXPLICIT' lv, null::double sure, true backed from d where k % 10 <> 1
+  union all select g, 'p' || k, 'PREMISE_OF', 'P' || k, 'R' || k, 'EXPLICIT', null, true from d where k % 22 <> 9 union all select g, 'r' || k, 'CONCLUDES', 'R' || k, 'C' || k, 'EXPLICIT', null, true from d
+  union all select g, 's' || k, 'SUPPORTS', 'C' || k, 'C' || nx, case when k % 2 = 0 then 'INFERRED' else 'EXPLICIT' end, case when k % 8 = 0 then 0.6 else 0.7 end, k % 9 <> 0 from d where nx is not null
+  union all select g, 'S' || k, 'ASSUMES', 'C' || k, 'lost', 'EXPLICIT', null, true from d where k % 11 = 0 union all select g, 'v' || k, 'EVIDENCED_BY', 'C' || k, 'Slost', 'EXPLICIT', null, true from d where k % 23 = 10
+  union all select g, case when k % 2 = 0 then 'l' || k end, 'LIKES', 'C' || k, 'P' || k, 'EXPLICIT', null, true from d where k % 24 = 11 union all select g, 'g' || k, 'ABOUT', 'gone', 'E' || g, 'EXPLICIT', null, true from d where k % 25 = 12
+  union all select g, 'q' || k, 'CONCLUDES', 'R' || k, 'C' || k, 'EXPLICIT', null, true from d where k % 26 = 13
+  union all select g, 'b' || k, 'SUPPORTS', 'C' || nx, 'C' || k, 'EXPLICIT', null, true from d where nx is not null and k % 10 = 4 and g % 13 = 0),
+gs as (select distinct g from d)"""
+
+
+@query(_AUDITED + r""",
+cl as (select g, a, b from ed where ty = 'SUPPORTS'), cyc as (select distinct g from d where nx is not null and k % 10 = 4 and g % 13 = 0),
+semantic as (select * from nd where ty in ('Claim', 'DataPoint')), x as (
+select g, 'SCHEMA_VERSION' code from gs where g % 7 = 0 union all select g, 'ROOT_FIELDS' from gs where g % 5 = 0 union all select g, 'STATE_HASH' from gs where g % 6 = 0 union all select g, 'SOURCE_FILE_EXISTS' from gs where g % 4 = 0
+union all select g, 'SOURCE_FILE_HASH' from gs where g % 4 <> 0 and g % 9 = 1 union all select g, 'COVERAGE_STATUS_COUNTS' from gs where g % 8 = 0 union all select g, 'COVERAGE_TERMINAL' from gs where g % 10 = 3 union all select g, 'COVERAGE_EVIDENCE' from gs where g % 11 = 0
+union all (select g, 'UNIQUE_IDS' from (select g, id from src union all select g, id from nd union all select g, id from ed union all select g, 'D' || g from gs) where id is not null group by g, id having count(*) > 1)
+union all (select g, 'SOURCE_IDS' from src group by g, id having count(*) > 1 or id is null) union all (select g, 'NODE_IDS' from nd group by g, id having count(*) > 1 or id is null) union all (select g, 'EDGE_IDS' from ed group by g, id having count(*) > 1 or id is null)
+union all select g, 'SOURCE_DOCUMENT' from src where document_id = 'DX' union all select g, 'SOURCE_HASH' from src where sha = '0' union all select g, 'SOURCE_STATUS' from src where st = 'ODD' union all select g, 'SOURCE_ERROR' from src where st = 'ERROR'
+union all select g, 'EDGE_TYPE' from ed where ty = 'LIKES' union all select g, 'EDGE_SOURCE' from ed where a not in (select id from nd where id is not null) union all select g, 'EVIDENCE_TARGET' from ed where ty = 'EVIDENCED_BY' and b not in (select id from src where id is not null)
+union all select g, 'EDGE_TARGET' from ed where ty <> 'EVIDENCED_BY' and b not in (select id from nd where id is not null) union all (select g, 'DUPLICATE_EDGE' from ed group by g, ty, a, b having count(*) > 1)
+union all select g, 'UNVERIFIED_INFERRED_EDGE' from ed where ty = 'SUPPORTS' and lv = 'INFERRED' and sure < 0.65 union all select g, 'EXPLICIT_RELATION_EVIDENCE' from ed where ty = 'SUPPORTS' and lv = 'EXPLICIT' and not backed
+union all select ev.g, 'NODE_EVIDENCE_REF' from ev where source not in (select id from src where id is not null)
+union all select ev.g, 'EVIDENCE_QUOTE_HASH' from ev where source in (select id from src where id is not null) and not hash_ok
+union all select ev.g, 'EVIDENCE_QUOTE' from ev join src on source = id where m = 'fuzzy' or (m = 'exact' and not contains(t, q)) or (m <> 'exact' and not contains(regexp_replace(t, '\s+', '', 'g'), regexp_replace(q, '\s+', '', 'g')))
+union all (select g, 'EVIDENCE_EDGE_PARITY' from (select distinct coalesce(o.g, l.g) g, coalesce(o.node, l.a) n from ev o full join (select * from ed where ty = 'EVIDENCED_BY') l on o.node = l.a and o.source = l.b where o.node is null or l.a is null))
+union all select g, 'NODE_TYPE' from nd where ty = 'Thing' union all select g, 'NODE_LABEL' from nd where ty <> 'Thing' and trim(label) = '' union all select g, 'EXPLICIT_NODE_EVIDENCE' from nd where ty = 'Claim' and k % 12 = 11
+union all select g, 'DATA_CONTEXT' from d where k % 16 = 3 union all select g, 'DATA_CONTEXT' from d where k % 17 = 4 union all select g, 'DATA_RANGE' from d where k % 5 = 1 union all select g, 'DATA_VALUE_KIND' from d where k % 5 = 2 union all select g, 'DATA_DECIMAL' from d where k % 5 = 3
+union all select g, 'DATA_RAW_EVIDENCE' from d where k % 2 = 0 union all select g, 'REASONING_SHAPE' from d where k % 18 = 5
+union all select g, 'REASONING_PREMISE' from d where k % 18 <> 5 and (k % 19 = 6 or k % 22 = 9) union all select g, 'REASONING_CONCLUSION' from d where k % 20 = 7
+union all select d.g, 'ARGUMENT_DAG' from d join cyc using (g) where k % 10 <= 5
+union all select g, 'CORE_CLAIM_WITHOUT_ARGUMENT' from d where k % 3 = 0 and 'C' || k not in (select b from cl))
+select code, count(*) n, count(distinct g) graphs from x group by code""")
+def audit_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole validator over a graph for each ten documents, with faults of 35 kinds by number."""
+    k = F.col("doc_id")
+    d = table(spark, sf, "documents").select(k.alias("k"), F.floor(k / 10).alias("g"), F.coalesce("text", F.lit("")).alias("t"), F.coalesce(F.regexp_extract("text", "[A-Za-z]{3,}", 0), F.lit("")).alias("w"))
+    d = d.withColumn("nx", F.lead("k").over(Window.partitionBy("g").orderBy("k")))
+    k, g = F.col("k"), F.col("g")
+    of = lambda prefix, c=k: F.concat(F.lit(prefix), c.cast("string"))
+    null, graph_id = F.lit(None).cast("string"), F.col("g").cast("string").alias("graph_id")
+    pick = lambda by, *values: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+
+    status = pick(k % 4, "EXTRACTED", "NO_CLAIM", "ODD", "ERROR").alias("processing_status")
+    sources = d.select(graph_id, F.when(k % 97 != 5, of("S")).alias("id"), F.when(k % 13 == 0, "DX").otherwise(of("D", g)).alias("document_id"), F.col("t").alias("raw_text"), F.col("t").alias("normalized_text"), F.when(k % 5 == 0, "0").otherwise(tx.sha256("t")).alias("sha256"), status)
+
+    told = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.count_if((k % 97 != 5) & (k % 4 == i)).alias(f"s{i}") for i in range(4)], F.count_if(k % 12 != 11).alias("backed"))
+    counts = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(s), (F.col(f"s{i}") + F.when(g % 8 == 0, 1).otherwise(0)).alias("n")) for i, s in enumerate(("EXTRACTED", "NO_CLAIM", "ODD", "ERROR"))]), lambda e: e["n"] > 0))
+    root = F.to_json(F.struct(*[F.lit(1).alias(f) for f in validation.ROOT_FIELDS if f != "coverage_manifest"], F.when(g % 5 != 0, 1).alias("coverage_manifest")))
+    body = tx.sha256(of("body", g))
+    headers = told.select(
+        graph_id,
+        root.alias("json"),
+        F.when(g % 7 == 0, "old").otherwise("v1").alias("schema_version"),
+        F.when(g % 6 == 0, "x").otherwise(body).alias("state_hash"),
+        body.alias("computed"),
+        of("D", g).alias("document_id"),
+        of("f", g).alias("local_path"),
+        F.when(g % 9 == 1, "x").otherwise(body).alias("sha256"),
+        counts.alias("status_counts"),
+        (F.col("n") + F.when(g % 10 == 3, 1).otherwise(0)).alias("terminal"),
+        F.when(g % 11 == 0, 0.25).otherwise(F.bround(F.col("backed") / (2 * F.col("n")), 6)).alias("evidence_coverage"),
+    )
+    files = told.where("g % 4 <> 0").select(of("f", g).alias("local_path"), of("body", g).cast("binary").alias("content"))
+
+    quote = F.when(k % 7 == 0, "no such words at all").otherwise(F.col("w"))
+    proof = F.struct(F.when(k % 14 == 1, "Snone").otherwise(of("S")).alias("source_object_id"), quote.alias("quote"), F.when(k % 15 == 2, "x").otherwise(tx.sha256(quote)).alias("quote_sha256"), pick(k % 3, "exact", "whitespace_normalized", "fuzzy").alias("match_mode"))
+    value = F.struct(pick(k % 5, "scalar", "range", "odd", "scalar", "text").alias("kind"), F.when(k % 2 == 0, "12").otherwise("some").alias("raw"), F.when(k % 5 == 3, "abc").otherwise("12").alias("normalized_decimal"), F.lit("5").alias("range_low"), F.lit("3").alias("range_high"), F.lit("1").alias("scale"))
+    node = lambda rows, i, ty, label, level, **more: rows.select(graph_id, i.alias("id"), F.lit(ty).alias("node_type"), label.alias("label"), F.lit(level).alias("assertion_level"), *[c.alias(n) for n, c in more.items()])
+    once = d.select("g").distinct()
+    kinds = [
+        node(d, of("C"), "Claim", F.when(k % 6 == 0, " ").otherwise("says"), "EXPLICIT", importance=F.when(k % 3 == 0, "core"), claim_role=F.lit("forecast"), evidence=F.when(k % 12 != 11, F.array(proof))),
+        node(d, of("P"), "DataPoint", F.lit("point"), "INFERRED", subject_ref=of("E", g), metric_ref=F.when(k % 16 == 3, of("E", g)).otherwise(of("M", g)), period_ref=F.when(k % 17 != 4, of("T", g)), value=value),
+        node(d, of("R"), "ReasoningStep", F.lit("step"), "INFERRED", premise_node_ids=F.when(k % 18 == 5, F.array().cast("array<string>")).otherwise(F.array(F.when(k % 19 == 6, "lost").otherwise(of("P")))), conclusion_claim_ids=F.array(F.when(k % 20 == 7, of("P")).otherwise(of("C")))),
+        node(d.where("k % 21 = 8"), of("O"), "Thing", F.lit(""), "EXPLICIT"),
+        *[node(once, of(t[0] if t != "Period" else "T", g), t, F.lit("x"), "EXPLICIT") for t in ("Entity", "Metric", "Period")],
+        node(once.where("g % 12 = 0"), null, "Entity", F.lit("x"), "EXPLICIT"),
+    ]
+    nodes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
+
+    def edge(rows, i, ty, a, b, level=F.lit("EXPLICIT"), sure=F.lit(None).cast("double"), backed=F.lit(True)):
+        return rows.select(graph_id, i.alias("id"), F.lit(ty).alias("edge_type"), a.alias("source_id"), b.alias("target_id"), level.alias("assertion_level"), F.lit("active").alias("status"), F.lit("accept").alias("verdict"), sure.alias("verdict_confidence"), backed.alias("has_evidence"))
+
+    following = d.where("nx is not null")
+    edges = reduce(
+        DataFrame.union,
+        [
+            edge(d.where(k % 10 != 1), of("e"), "EVIDENCED_BY", of("C"), of("S")),
+            edge(d.where(k % 22 != 9), of("p"), "PREMISE_OF", of("P"), of("R")),
+            edge(d, of("r"), "CONCLUDES", of("R"), of("C")),
+            edge(following, of("s"), "SUPPORTS", of("C"), of("C", F.col("nx")), F.when(k % 2 == 0, "INFERRED").otherwise("EXPLICIT"), F.when(k % 8 == 0, 0.6).otherwise(0.7), k % 9 != 0),
+            edge(d.where(k % 11 == 0), of("S"), "ASSUMES", of("C"), F.lit("lost")),
+            edge(d.where(k % 23 == 10), of("v"), "EVIDENCED_BY", of("C"), F.lit("Slost")),
+            edge(d.where(k % 24 == 11), F.when(k % 2 == 0, of("l")), "LIKES", of("C"), of("P")),
+            edge(d.where(k % 25 == 12), of("g"), "ABOUT", F.lit("gone"), of("E", g)),
+            edge(d.where(k % 26 == 13), of("q"), "CONCLUDES", of("R"), of("C")),
+            edge(following.where((k % 10 == 4) & (g % 13 == 0)), of("b"), "SUPPORTS", of("C", F.col("nx")), of("C")),
+        ],
+    )
+    found, _ = audit.audit(headers, files, sources, nodes, edges, "v1")
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("graph_id").alias("graphs"))

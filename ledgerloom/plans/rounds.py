@@ -22,10 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, label: str = "round") -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, and a lost executor costs no recomputation."""
+def written(df: DataFrame, label: str = "round", by: str | None = None) -> DataFrame:
+    """df written to the shared folder and read back: cuts lineage, and a lost executor costs no recomputation.
+
+    by: a column with few values, each of which gets a folder, so that readers of one value skip the others.
+    """
     path = f"{shared_dir(df.sparkSession)}/ledgerloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
