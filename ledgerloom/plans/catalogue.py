@@ -7,16 +7,20 @@ benchmark passages are quotes.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import registered
 from ..functions import text as tx
 from ..functions import values as vl
-from ..operators import agenda, audit, blocks, candidates, closure, evaluation, evidence, facts, graph, ranking, tables, validation, views
+from ..functions import variants as vr
+from ..operators import agenda, audit, blocks, candidates, closure, evaluation, evidence, facts, graph, payload, ranking, tables, validation, views
 from ..session import table
-from ..sources import landed, sinks
+from ..plans.rounds import shared_dir
+from ..sources import announcements, landed, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -751,3 +755,118 @@ def audit_codes(spark: SparkSession, sf: str) -> DataFrame:
     )
     found, _ = audit.audit(headers, files, sources, nodes, edges, "v1")
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("graph_id").alias("graphs"))
+
+
+@query(_TRADE + r""", nodes as (select 's' || s_suppkey id, 'Entity' node_type, s_name "label", 'company' entity_type from supplier union all select 'p' || p_partkey, 'Entity', p_name, 'product' from part),
+edges as (select source_id || '-' || target_id id, edge_type, source_id, target_id, 'EXPLICIT' assertion_level from tr),
+ev as (select 'p' || l_partkey id, l_orderkey seq, {'source_object_id': 'o' || l_orderkey, 'quote': 'line ' || l_linenumber || ' of order ' || l_orderkey} x from lineitem),
+m as (select 'p' || p_partkey id, {'id': p_brand, 'description': p_type, 'status': 'PASS'} x from part where p_size <= 25 union all select 'p' || p_partkey, {'id': 'size', 'description': p_size::varchar, 'status': 'MISS'} from part where p_size % 2 = 0),
+le as (select id, count(*) n, list(x order by seq, to_json(x)) xs from ev group by id), lm as (select id, count(*) n, list(x order by x.id) xs from m group by id),
+lk as (select e.id, count(*) n, list(x order by x.id) xs from (select unnest([source_id, target_id]) id, {'id': id, 'edge_type': edge_type, 'source_id': source_id, 'target_id': target_id, 'assertion_level': assertion_level} x from edges) e group by e.id)
+select nodes.id, '{' || array_to_string(list_filter([substr(to_json({'id': nodes.id, 'node_type': node_type, 'label': "label", 'entity_type': entity_type})::varchar, 2, length(to_json({'id': nodes.id, 'node_type': node_type, 'label': "label", 'entity_type': entity_type})::varchar) - 2),
+  '"n_evidence":' || coalesce(le.n, 0), '"n_benchmark_matches":' || coalesce(lm.n, 0), '"n_edges":' || coalesce(lk.n, 0),
+  '"evidence":' || to_json(le.xs[1:3])::varchar, '"benchmark_matches":' || to_json(lm.xs[1:1])::varchar, '"edges":' || to_json(lk.xs[1:5])::varchar], lambda x: x is not null), ',') || '}' "json"
+from nodes left join le on nodes.id = le.id left join lm on nodes.id = lm.id left join lk on nodes.id = lk.id""")
+def payload_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers and parts as nodes of the viewer, with lines as evidence, brands as benchmark items and trade as edges."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    suppliers, parts = table(spark, sf, "supplier"), table(spark, sf, "part")
+    node = lambda rows, i, label, kind: rows.select(i.alias("id"), F.lit("Entity").alias("node_type"), F.col(label).alias("label"), F.lit(kind).alias("entity_type"))
+    nodes = node(suppliers, key("s", "s_suppkey"), "s_name", "company").union(node(parts, key("p", "p_partkey"), "p_name", "product"))
+    edges = _trade(spark, sf).select(F.concat_ws("-", "source_id", "target_id").alias("id"), "edge_type", "source_id", "target_id", F.lit("EXPLICIT").alias("assertion_level"))
+    quote = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(" of order "), F.col("l_orderkey").cast("string"))
+    proof = table(spark, sf, "lineitem").select(key("p", "l_partkey").alias("node_id"), F.col("l_orderkey").alias("seq"), key("o", "l_orderkey").alias("source_object_id"), quote.alias("quote"))
+    item = lambda rows, i, description, status: rows.select(key("p", "p_partkey").alias("object_id"), i.alias("item_id"), description.alias("description"), F.lit(status).alias("status"))
+    matches = item(parts.where("p_size <= 25"), F.col("p_brand"), F.col("p_type"), "PASS").union(item(parts.where("p_size % 2 = 0"), F.lit("size"), F.col("p_size").cast("string"), "MISS"))
+    return payload.node_documents(nodes, proof, matches, edges, {"evidence": 3, "benchmark_matches": 1, "edges": 5})
+
+
+@query("""with o as (select *, row_number() over (partition by c_nationkey order by o_orderkey) n, count(*) over (partition by c_nationkey) total from orders join customer on o_custkey = c_custkey),
+r as (select c_nationkey nation, total, n, (n - 1) // 30 + 1 page, case o_orderkey % 10 when 1 then 'identity_mismatch' when 2 then 'unsupported_pdf_path' when 3 then 'announcement_id_mismatch' when 4 then 'invalid_publication_time' when 5 then 'publication_date_mismatch'
+  else case when o_orderdate not between timestamp '1996-01-01' and timestamp '2000-12-31' then 'publication_date_mismatch' when o_orderkey % 10 = 6 then 'missing_title' end end reason from o),
+e as (select nation, max(total) total, case when nation % 7 = 3 and max(page) > 1 then 'total changed between pages' when nation % 7 = 4 and max(page) > 1 then 'announcements have an unexpected shape' when nation % 7 = 5 then 'response is no object' when nation % 7 = 6 and max(page) > 1 then 'page was not landed' end error,
+  least(max(page), 20) pages, count(*) filter (page <= 20 and reason is null) usable, count(*) filter (page <= 20 and reason is not null) unusable from r group by nation)
+select nation::int nation, case when error is null then total end total_hits, case when error is null then pages end pages_read, case when error is null then pages * 30 < total end truncated, error,
+  case when error is null then usable else 0 end usable, case when error is null then unusable else 0 end unusable from e""")
+def announcement_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as announcements of nations, landed as pages of 30 (some nations' searches gone wrong), read back and checked."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    by = Window.partitionBy("c_nationkey")
+    at = F.row_number().over(by.orderBy("o_orderkey"))
+    o = o.withColumn("n", at).withColumn("total", F.count(F.lit(1)).over(by)).withColumn("page", F.floor((F.col("n") - 1) / announcements.PAGE_SIZE) + 1)
+    hit = _announcements(spark, sf).withColumnRenamed("seq", "o_orderkey")
+    k, code = F.col("c_nationkey"), F.lpad(F.col("c_nationkey").cast("string"), 6, "0")
+    hit = o.select("o_orderkey", "c_nationkey", "n", "page", "total").join(hit, "o_orderkey").withColumn("secCode", F.when(F.col("secCode") == "X", "X").otherwise(code))
+    fields = F.struct("secCode", "orgId", "adjunctUrl", "announcementId", "announcementTime", "announcementTitle")
+    pages = hit.groupBy("c_nationkey", "page", "total").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", fields.alias("hit")))), lambda x: x["hit"]).alias("announcements"))
+    second = F.col("page") == 2
+    total = F.when(second & (k % 7 == 3), F.col("total") + 1).otherwise(F.col("total")).alias("totalAnnouncement")
+    body = F.when(k % 7 == 5, F.lit("[]")).when(second & (k % 7 == 4), F.to_json(F.struct(total, F.lit("none").alias("announcements")))).otherwise(F.to_json(F.struct(total, "announcements")))
+    form = F.to_json(F.struct(F.col("page").cast("string").alias("pageNum"), F.concat(code, F.lit(",org")).alias("stock"), F.lit("2016-01-01~2020-12-31").alias("seDate")))
+    path = f"{shared_dir(spark)}/ledgerloom/landed-{uuid.uuid4().hex}"
+    pages.where(~(second & (k % 7 == 6))).select(announcements.landed_line(form, body)).write.text(path)
+    searches, found = announcements.scan(announcements.read_pages(spark, path), 20)
+    n = found.groupBy("search").agg(F.count_if(F.col("reason").isNull()).alias("usable"), F.count_if(F.col("reason").isNotNull()).alias("unusable"))
+    nation = F.get_json_object("search", "$.stock").substr(1, 6).cast("int").alias("nation")
+    return searches.join(n, "search", "left").select(nation, "total_hits", "pages_read", "truncated", "error", F.coalesce("usable", F.lit(0)).alias("usable"), F.coalesce("unusable", F.lit(0)).alias("unusable"))
+
+
+@query(r"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\r\n')), lambda x: x <> '') ls from documents),
+c as (select doc_id, flatten(list_transform(ls, lambda x: list_transform(range(0, ((length(x) - 1) // 2600 + 1)::bigint), lambda i: substr(x, (i * 2600 + 1)::bigint, 2600)))) cs from l where len(ls) > 0),
+f as (select doc_id, string_split(list_reduce(cs, lambda a, x: case when length(string_split(a, chr(30))[-1]) + 1 + length(x) > 2600 then a || chr(30) || x else a || chr(10) || x end), chr(30)) ts from c),
+t as (select doc_id, i - 1 chunk, ts[i] x from (select doc_id, ts, unnest(range(1, len(ts) + 1)) i from f))
+select 'SO_' || upper(substr(sha256(doc_id || chr(31) || chunk), 1, 16)) id, doc_id, chunk::int chunk, length(trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')))::int n_chars,
+  len(list_distinct(list_transform(list_filter(regexp_extract_all(x, '[A-Za-z]\d|\d[\d,]*(?:\.\d+)?'), lambda m: regexp_matches(m, '^\d')), lambda m: replace(m, ',', ''))))::int numbers,
+  round(list_sum(list_transform(['the', 'tion'], lambda q: (3 + length(q)) * least((length(lower(x)) - length(replace(lower(x), q, ''))) // length(q), 4))) + 0.3::double * len(list_intersect(['the', 'tion'], list_distinct(regexp_extract_all(lower(x), '[a-z][a-z0-9_]+')))), 4) score from t""")
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all documents with their id, length, numbers and relevance, as SQL text over the registered functions."""
+    registered.register(spark)
+    return spark.sql(
+        """select stable_id('SO', array(cast(doc_id as string), cast(chunk as string))) id, doc_id, chunk, length(norm_text(chunk_text)) n_chars, size(number_tokens(chunk_text)) numbers,
+           round(relevance_score(chunk_text, array('the', 'tion')), 4) score from {documents} d, lateral text_chunks(d.text, 2600)""",
+        documents=table(spark, sf, "documents"),
+    )
+
+
+@query(_FOLD.format(most=2800) + r""" select doc_id, block::int block, format('SO_P001_B{:03d}', block) block_id, sha256(raw) sha256 from b""")
+def sql_source_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Source blocks of all documents by the table function."""
+    registered.register(spark)
+    return spark.sql("select doc_id, block, block_id, sha256 from {documents} d, lateral source_blocks(1, d.text, 2800)", documents=table(spark, sf, "documents"))
+
+
+#: Turns as messages of six shapes (a string, a text, parts, a list, a number, null) in answers of four: bare, in a fence, in prose, cut off.
+_SHAPES = r"""with m as (select conv_id, turn, role, text, (turn % 6)::int shape, (conv_id % 4)::int wrap from conversations)"""
+
+
+def _answers(spark, sf):
+    k, wrap = F.col("turn") % 6, F.col("conv_id") % 4
+    whole = F.to_json(F.struct(F.col("text").alias("a")))
+    q = F.substring(whole, F.lit(6), F.length(whole) - 6)
+    pointer = ',{"text":"more"},{"content_type":"image_asset_pointer","asset_pointer":"p1"},{"content_type":"audio"},7]}'
+    shapes = (q, F.concat(F.lit('{"text":'), q, F.lit("}")), F.concat(F.lit('{"parts":['), q, F.lit(","), q, F.lit(pointer)), F.concat(F.lit("["), q, F.lit("]")), F.col("turn").cast("string"), F.lit("null"))
+    content = F.coalesce(*[F.when(k == i, x) for i, x in enumerate(shapes)])
+    body = F.concat(F.lit('{"id":"'), F.concat_ws(":", "conv_id", "turn"), F.lit('","content":'), content)
+    forms = (("", "}"), ("```json\n", "}\n```"), ('As {asked} [1, see "x{": ', "} {end}"), ("no {braces that close: ", ""))
+    answer = F.coalesce(*[F.when(wrap == i, F.concat(F.lit(a), body, F.lit(b))) for i, (a, b) in enumerate(forms)])
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.try_parse_json(vr.first_json(answer)).alias("v"))
+
+
+@query(_SHAPES + r""" select conv_id, turn, role, case when wrap = 3 then [null, 'OBJECT', 'OBJECT', 'ARRAY', null, null][shape + 1] else ['STRING', 'OBJECT', 'OBJECT', 'ARRAY', 'NUMBER', 'VOID'][shape + 1] end kind,
+  case when shape = 1 or (shape = 0 and wrap <> 3) then text when shape = 2 then trim(text || chr(10) || chr(10) || text || chr(10) || chr(10) || 'more' || chr(10) || chr(10) || '[Image attachment: p1]', E' \t\r\n') else '' end text from m""")
+def variant_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The kind and the text of what answers hold as content; of an answer cut off, the first value in it that is whole."""
+    content = F.coalesce(F.try_variant_get("v", "$.content", "variant"), F.col("v"))
+    rows = _answers(spark, sf).select("conv_id", "turn", "role", content.alias("c"))
+    return rows.select("conv_id", "turn", "role", vr.kind("c").alias("kind"), vr.content_text("c").alias("text"))
+
+
+@query(_SHAPES + r""", p(shape, path, kind) as (values (0, '$.content', 'STRING'), (1, '$.content', 'OBJECT'), (2, '$.content', 'OBJECT'), (3, '$.content', 'ARRAY'), (4, '$.content', 'NUMBER'), (5, '$.content', 'VOID'),
+  (1, '$.content.text', 'STRING'), (2, '$.content.parts', 'ARRAY'), (3, '$.content[0]', 'STRING'), (2, '$.content.parts[0]', 'STRING'), (2, '$.content.parts[1]', 'STRING'), (2, '$.content.parts[2]', 'OBJECT'), (2, '$.content.parts[3]', 'OBJECT'), (2, '$.content.parts[4]', 'OBJECT'), (2, '$.content.parts[5]', 'NUMBER')),
+x as (select shape, '$.id' path, 'STRING' kind, conv_id || ':' || turn scalar from m where wrap <> 3 union all
+  select shape, path, kind, case when kind = 'STRING' then text when path = '$.content' and kind = 'NUMBER' then turn::varchar when kind = 'NUMBER' then '7' end from m join p using (shape) where wrap <> 3)
+select path, kind, count(*) n, sum(length(scalar))::bigint chars from x group by path, kind""")
+def variant_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """What stands at each path of the whole answers, three levels deep."""
+    rows = vr.entries(_answers(spark, sf).where("conv_id % 4 <> 3"), "v", 3)
+    return rows.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("scalar")).alias("chars"))

@@ -42,8 +42,8 @@ def checked_manifest(rows: DataFrame, as_of: str) -> DataFrame:
     return rows.select(url.alias("url"), "title", "publisher", "published_at", *[c for c in ("source_role",) if c in rows.columns])
 
 
-def announcement_reasons(rows: DataFrame, code: Column, org: Column, first: Column, last: Column) -> DataFrame:
-    """Rows with url and the first reason to reject them (null: usable); a url counts once, the earliest by seq."""
+def announcement_reasons(rows: DataFrame, code: Column, org: Column, first: Column, last: Column, by: list[str] | None = None) -> DataFrame:
+    """Rows with url and the first reason to reject them (null: usable); a url counts once (for each of `by`), the earliest by seq."""
     path = F.coalesce("adjunctUrl", F.lit(""))
     day = F.regexp_extract(path, PDF_PATH, 1)
     told = F.when(F.col("announcementTime").isNotNull(), shanghai_date("announcementTime"))
@@ -57,7 +57,7 @@ def announcement_reasons(rows: DataFrame, code: Column, org: Column, first: Colu
     marked = rows.select("*", path.alias("url"), reason.alias("reason"))
     titled = F.coalesce(F.col("announcementTitle"), F.lit("")) != ""
     fine = F.col("reason").isNull()
-    turn = F.row_number().over(Window.partitionBy(F.when(fine & titled, F.col("url")).otherwise(F.concat(F.lit("#"), F.col("seq").cast("string")))).orderBy("seq"))
+    turn = F.row_number().over(Window.partitionBy(*(by or []), F.when(fine & titled, F.col("url")).otherwise(F.concat(F.lit("#"), F.col("seq").cast("string")))).orderBy("seq"))
     return marked.withColumn("reason", F.when(fine & ~titled, "missing_title").otherwise(F.col("reason"))).withColumn("n", turn).where((F.col("n") == 1) | F.col("reason").isNotNull()).drop("n")
 
 
@@ -130,6 +130,10 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(read, "page_id long, text string, published string")
 
 
+#: Fixed form of the line that stands for an image.
+IMAGE_LINE = "[Image attachment: {}]"
+
+
 def _part(part) -> str:
     match part:
         case str():
@@ -137,7 +141,7 @@ def _part(part) -> str:
         case {"text": str(text)}:
             return text
         case {"content_type": "image_asset_pointer"}:
-            return f"[Image attachment: {part.get('asset_pointer', 'attachment')}]"
+            return IMAGE_LINE.format(part.get("asset_pointer", "attachment"))
     return ""
 
 
@@ -177,8 +181,25 @@ def hydrate(flat: list) -> list:
     return made
 
 
+def conversation(root) -> list:
+    """The turns of the first dict that holds a linear conversation, depth first from the root; none if there is no such dict."""
+    todo, seen = [root], set()
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, (dict, list)) or id(x) in seen:
+            continue
+        seen.add(id(x))
+        if isinstance(x, dict) and isinstance(x.get("linear_conversation"), list):
+            return x["linear_conversation"]
+        todo.extend(reversed(list(x.values()) if isinstance(x, dict) else x))
+    return []
+
+
 def shared_messages(pages: DataFrame) -> DataFrame:
-    """page_id, place, id, role, create_time, text of the messages in shared conversation pages (page_id, html)."""
+    """page_id, place, id, role, create_time, text of the messages in shared conversation pages (page_id, html).
+
+    A page's flattened array is read from its first value, the root.
+    """
     chunk = re.compile(r'enqueue\("((?:[^"\\]|\\.)*)"\)')
 
     def messages(page: str):
@@ -188,8 +209,7 @@ def shared_messages(pages: DataFrame) -> DataFrame:
             except ValueError:
                 continue
             if isinstance(flat, list) and flat:
-                turns = (x["linear_conversation"] for x in hydrate(flat) if isinstance(x, dict) and isinstance(x.get("linear_conversation"), list))
-                for node in next(turns, []):
+                for node in conversation(hydrate(flat)[0]):
                     match node:
                         case {"message": dict(msg)} if text := content_text(msg.get("content")):
                             author = msg.get("author")
