@@ -17,7 +17,7 @@ from ..functions import registered
 from ..functions import text as tx
 from ..functions import values as vl
 from ..functions import variants as vr
-from ..operators import agenda, audit, blocks, candidates, closure, evaluation, evidence, facts, graph, payload, ranking, tables, validation, views
+from ..operators import agenda, audit, blocks, candidates, closure, evaluation, evidence, facts, graph, payload, ranking, statements, tables, validation, views
 from ..session import table
 from ..plans.rounds import shared_dir
 from ..sources import announcements, landed, sinks
@@ -870,3 +870,40 @@ def variant_entries(spark: SparkSession, sf: str) -> DataFrame:
     """What stands at each path of the whole answers, three levels deep."""
     rows = vr.entries(_answers(spark, sf).where("conv_id % 4 <> 3"), "v", 3)
     return rows.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("scalar")).alias("chars"))
+
+
+_STATEMENTS = _RECORDS + r""",
+t as (select entity, "year", "quarter", make_date("year"::int, ("quarter" * 3)::int, 1) pe, revenue, "cost", research, volume from rec),
+ok as (select *, case when "quarter" = 2 then 2 when "quarter" = 4 then 4 else 1 end k from t where not ("quarter" = 1 and "year" % 3 = 0) and pe + interval 40 day < timestamp '2000-07-01' - interval 8 hour),
+v as (select entity, pe, "year", 'Q' || "quarter" fp, 'operating_income' metric, revenue::decimal(18,2) x, 0 r from ok union all select entity, pe, "year", 'Q' || "quarter", 'operating_income', revenue::decimal(18,2) + 1000000, 1 from ok where "quarter" = 2
+  union all select entity, pe, "year", 'Q' || "quarter", 'operating_costs', round("cost")::decimal(18,2), 0 from ok union all select entity, pe, "year", 'Q' || "quarter", 'research_and_development_expenses', round(research)::decimal(18,2), 0 from ok where entity < 'M'
+  union all select entity, pe, "year", 'Q' || "quarter", 'total_assets', volume::decimal(18,2), 0 from ok),
+f as (select *, 'fact' kind from v),
+g as (select a.entity, a.pe, a."year", a.fp, 'total_assets_yoy' metric, round_even((a.x - b.x)::double / abs(b.x)::double * 100, 2) x, 'computed' kind from v a join v b on a.entity = b.entity and a.metric = b.metric and a.fp = b.fp and a."year" = b."year" + 1 where a.metric = 'total_assets'
+  and a."year" = (select max("year") from v c where c.entity = a.entity and c.fp = a.fp and c.metric = 'total_assets')),
+l as (select entity, pe, "year", fp, metric, arg_max(x, r) x from v group by all),
+m as (select a.entity, a.pe, a."year", a.fp, 'gross_margin' metric, round_even((a.x - b.x)::double / a.x::double * 100, 2) x, 'computed' kind from l a join l b using (entity, pe) where a.metric = 'operating_income' and b.metric = 'operating_costs'
+  union all select a.entity, a.pe, a."year", a.fp, 'rd_expense_ratio', round_even(b.x::double / a.x::double * 100, 2), 'computed' from l a join l b using (entity, pe) where a.metric = 'operating_income' and b.metric = 'research_and_development_expenses')"""
+
+
+@query(_STATEMENTS + r"""
+select entity, metric, kind, pe::varchar period_end, fp fiscal_period, "year"::bigint fiscal_year, x::double "value", case when metric in ('operating_income', 'gross_margin', 'rd_expense_ratio') and fp = 'Q2' then 'contested' else 'reportable' end status, 1::bigint evidence, 0::bigint inputs from f
+union all select entity, metric, kind, pe::varchar, fp, "year", x, case when metric <> 'total_assets_yoy' and fp = 'Q2' then 'contested' else 'reportable' end, 0, 2 from (select * from g union all select * from m)""")
+def statement_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Quarters of nations as three statement tables (second quarters restated, some undisclosed) to facts, growth and ratios."""
+    money = lambda c: (F.round(c) if c in ("cost", "research") else F.col(c)).cast("decimal(18,2)")
+    end = F.make_date(F.col("year").cast("int"), (F.col("quarter") * 3).cast("int"), F.lit(1))
+    ms = F.unix_date(end).cast("long") * statements.DAY_MS
+    late = F.when((F.col("quarter") == 1) & (F.col("year") % 3 == 0), None).otherwise(ms + 40 * statements.DAY_MS)
+    head = ["entity", F.col("year").alias("fiscal_year"), F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("fiscal_period"), late.alias("report_date_ms"), ms.alias("period_end_ms")]
+    base = _records(spark, sf)
+    income = base.select(*head, money("revenue").alias("operating_income"), money("cost").alias("operating_costs"), F.when(F.col("entity") < "M", money("research")).alias("research_and_development_expenses"), F.lit(0).alias("record_index"))
+    again = base.where("quarter = 2").select(*head, (money("revenue") + 1000000).alias("operating_income"), F.lit(None).cast("decimal(18,2)").alias("operating_costs"), F.lit(None).cast("decimal(18,2)").alias("research_and_development_expenses"), F.lit(1).alias("record_index"))
+    income = income.withColumn("record_index", F.col("period_end_ms") * 2).unionByName(again.withColumn("record_index", F.col("period_end_ms") * 2 + 1))
+    balance = base.select(*head, money("volume").alias("total_assets"), F.lit("see notes").alias("remark"), F.lit(True).alias("audited"))
+    cash = base.select(*head, money("volume").alias("net_cash_flow_from_operating_activities"))
+    plans = base.select("entity").distinct().select("entity", F.lit("q1").alias("question_id"), F.array(F.lit("total_assets"), F.lit("remark"), F.lit("unknown")).alias("metric_ids"), F.array(F.lit("gross_margin"), F.lit("rd_expense_ratio"), F.lit("total_assets_yoy"), F.lit("remark_yoy")).alias("derived_ids"))
+    made, _, _ = statements.ingest([statements.records(n, t) for n, t in (("income", income), ("balance", balance), ("cashflow", cash))], plans, "2000-06-30")
+    count = lambda t: made.edges.where(F.col("edge_type") == t).groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias(t))
+    rows = made.propositions.join(count("GROUNDED_IN"), "id", "left").join(count("CALCULATED_FROM"), "id", "left")
+    return rows.select("entity", "metric", "kind", "period_end", "fiscal_period", "fiscal_year", F.col("value").cast("double").alias("value"), "status", F.coalesce("GROUNDED_IN", F.lit(0)).alias("evidence"), F.coalesce("CALCULATED_FROM", F.lit(0)).alias("inputs"))
