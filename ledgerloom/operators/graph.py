@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.rounds import written
+from .cycles import weak_parts
 
 #: Fixed vocabularies.
 NODE_TYPES = ("Entity", "Metric", "Period", "DataPoint", "Claim", "Event", "ReasoningStep", "Assumption")
@@ -141,31 +142,78 @@ def verified(proposals: DataFrame, verdicts: DataFrame, least: float = ACCEPT_AT
     return joined.withColumn("verdict", verdict).withColumn("accepted", (verdict == "accept") & F.coalesce(F.col("confidence") >= least, F.lit(False)))
 
 
-def admit_acyclic(relations: DataFrame) -> DataFrame:
+class Topological:
+    """A topological order that is kept while edges come one by one; an edge that would close a cycle is refused.
+
+    Only an edge against the order is searched for, and only between the places of its two ends, which then change places
+    with what lies between them (Pearce and Kelly's way). New nodes go to the end or, if they lead to known ones, to the front.
+    """
+
+    def __init__(self):
+        self.place: dict[object, int] = {}
+        self.down: dict[object, list] = {}
+        self.up: dict[object, list] = {}
+        self.first, self.last = 0, 0
+
+    def _new(self, node, front: bool) -> None:
+        if front:
+            self.first -= 1
+        else:
+            self.last += 1
+        self.place[node] = self.first if front else self.last
+        self.down[node], self.up[node] = [], []
+
+    def _reached(self, start, near: dict[object, list], low: int, high: int) -> list:
+        seen, todo = {start}, [start]
+        while todo:
+            for x in near[todo.pop()]:
+                if x not in seen and low <= self.place[x] <= high:
+                    seen.add(x)
+                    todo.append(x)
+        return list(seen)
+
+    def add(self, source, target) -> bool:
+        if source == target:
+            return False
+        if source not in self.place:
+            self._new(source, target in self.place)
+        if target not in self.place:
+            self._new(target, False)
+        high, low = self.place[source], self.place[target]
+        if high > low:
+            after = self._reached(target, self.down, low, high)
+            if source in after:
+                return False
+            moved = [sorted(part, key=self.place.__getitem__) for part in (self._reached(source, self.up, low, high), after)]
+            for node, at in zip(moved[0] + moved[1], sorted(self.place[x] for part in moved for x in part), strict=True):
+                self.place[node] = at
+        self.down[source].append(target)
+        self.up[target].append(source)
+        return True
+
+
+def admit_acyclic(relations: DataFrame, split: bool = False) -> DataFrame:
     """Relations (graph_id, proposal_id, source_id, target_id, explicit, confidence) with column admitted.
 
     Within each graph they are admitted one by one (explicit first, then by confidence, then by id) unless they would
-    close a cycle. The order is the meaning, so this is a grouped pandas function; graphs are the unit of parallelism.
+    close a cycle. The order is the meaning, so this is a grouped pandas function with an order of the nodes that is kept
+    as edges come. Graphs are the unit of parallelism; split: weakly connected parts of graphs are, which decide nothing
+    about each other, for graphs too large for a task.
     """
     schema = f"{relations.select('graph_id', 'proposal_id', 'source_id', 'target_id').schema.simpleString()[7:-1]},admitted:boolean"
 
     def admit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["explicit", "confidence", "proposal_id"], ascending=[False, False, True], kind="stable")
-        out: dict[object, set] = {}
-        flags = []
-        for s, t in zip(pdf.source_id, pdf.target_id, strict=True):
-            seen, todo = {t}, [t]
-            while todo and s not in seen:
-                for x in out.get(todo.pop(), ()):
-                    if x not in seen:
-                        seen.add(x)
-                        todo.append(x)
-            flags.append(s not in seen)
-            if flags[-1]:
-                out.setdefault(s, set()).add(t)
+        order = Topological()
+        flags = [order.add(s, t) for s, t in zip(pdf.source_id, pdf.target_id, strict=True)]
         return pdf.assign(admitted=flags)[["graph_id", "proposal_id", "source_id", "target_id", "admitted"]]
 
-    return relations.groupBy("graph_id").applyInPandas(admit, schema)
+    if not split:
+        return relations.groupBy("graph_id").applyInPandas(admit, schema)
+    end = lambda c: F.struct("graph_id", F.col(c).alias("id"))
+    parts = weak_parts(relations.select(end("source_id").alias("source_id"), end("target_id").alias("target_id")))
+    held = relations.join(parts.select("id.graph_id", F.col("id.id").alias("source_id"), F.col("part.id").alias("part")), ["graph_id", "source_id"])
+    return held.groupBy("graph_id", "part").applyInPandas(admit, schema)
 
 
 def reasoning_steps(admitted: DataFrame) -> DataFrame:

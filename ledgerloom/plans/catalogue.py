@@ -17,7 +17,7 @@ from ..functions import registered
 from ..functions import text as tx
 from ..functions import values as vl
 from ..functions import variants as vr
-from ..operators import agenda, audit, blocks, candidates, closure, evaluation, evidence, facts, graph, payload, ranking, statements, tables, validation, views
+from ..operators import agenda, audit, blocks, candidates, closure, cycles, evaluation, evidence, facts, graph, payload, ranking, statements, tables, validation, views
 from ..session import table
 from ..plans.rounds import shared_dir
 from ..sources import announcements, landed, sinks
@@ -420,7 +420,13 @@ def section_citations(spark: SparkSession, sf: str) -> DataFrame:
     return agenda.sentences(spans, ev).select("section_id", "seq", F.array_join(F.transform("refs", lambda r: r.cast("string")), ",").alias("refs"))
 
 
-@query()
+@query("""with recursive r as (select o_custkey graph_id, l_partkey s, l_suppkey t, bool_or(l_returnflag = 'R') ex, max(1 - l_discount) cf from lineitem join orders on l_orderkey = o_orderkey where l_partkey <> l_suppkey group by 1, 2, 3),
+n as (select *, row_number() over (partition by graph_id order by ex desc, cf desc, s || '-' || t) i from r),
+st as (select graph_id, 0::bigint i, [{'a': 0::bigint, 'b': 0::bigint}] cl, true ok from n group by graph_id union all
+  select n.graph_id, n.i, case when list_contains(cl, {'a': n.t, 'b': n.s}) then cl else list_distinct(list_concat(cl, flatten(list_transform(list_append(list_transform(list_filter(cl, lambda p: p.b = n.s), lambda p: p.a), n.s),
+    lambda x: list_transform(list_append(list_transform(list_filter(cl, lambda p: p.a = n.t), lambda p: p.b), n.t), lambda y: {'a': x, 'b': y}))))) end, not list_contains(cl, {'a': n.t, 'b': n.s})
+  from st join n on n.graph_id = st.graph_id and n.i = st.i + 1)
+select n.graph_id, n.s || '-' || n.t proposal_id, n.s source_id, n.t target_id, st.ok admitted from st join n using (graph_id, i)""")
 def admit_acyclic(spark: SparkSession, sf: str) -> DataFrame:
     """A graph for each customer: parts lead to suppliers, whose numbers overlap, so some lines would close a cycle."""
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("graph_id"))
@@ -907,3 +913,18 @@ def statement_facts(spark: SparkSession, sf: str) -> DataFrame:
     count = lambda t: made.edges.where(F.col("edge_type") == t).groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias(t))
     rows = made.propositions.join(count("GROUNDED_IN"), "id", "left").join(count("CALCULATED_FROM"), "id", "left")
     return rows.select("entity", "metric", "kind", "period_end", "fiscal_period", "fiscal_year", F.col("value").cast("double").alias("value"), "status", F.coalesce("GROUNDED_IN", F.lit(0)).alias("evidence"), F.coalesce("CALCULATED_FROM", F.lit(0)).alias("inputs"))
+
+
+@query(_TURNS + """, e as (select source_id, target_id, conv_id from ch union all select b.id, a.id, a.conv_id from t a join t b on a.conv_id = b.conv_id and a.turn = 1 and b.turn = 2 where length(b.text) < length(a.text)
+  union all select b.id, a.id, a.conv_id from t a join t b on a.conv_id = b.conv_id and a.turn = 3 and b.turn = 5 where a.conv_id % 3 = 0 union all select id, id, conv_id from t where turn = 4 and conv_id % 5 = 0),
+cl as (select source_id, target_id from e union select cl.source_id, e.target_id from cl join e on cl.target_id = e.source_id),
+cyc as (select source_id id from cl where source_id = target_id)
+select id, (select min(b.target_id) from cl b join cl c on b.source_id = c.target_id and b.target_id = c.source_id where b.source_id = cyc.id) component from cyc""")
+def cycle_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The cycles among turns of conversations, some of which lead back, with their members."""
+    c = _turns(spark, sf).select("conv_id", "turn", "id", F.length("text").alias("n"))
+    at = lambda turn, i: c.where(F.col("turn") == turn).select("conv_id", F.col("id").alias(i), F.col("n").alias(f"n_{i}"))
+    back = lambda a, b: at(b, "source_id").join(at(a, "target_id"), "conv_id")
+    edges = _chain(spark, sf).select("source_id", "target_id")
+    edges = edges.union(back(1, 2).where("n_source_id < n_target_id").select("source_id", "target_id")).union(back(3, 5).where("conv_id % 3 = 0").select("source_id", "target_id"))
+    return cycles.components(edges.union(c.where("turn = 4 and conv_id % 5 = 0").select("id", "id")))
