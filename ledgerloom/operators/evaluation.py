@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compact
+from ..plans.rounds import appended
 from .validation import ratio
 
 SPEC_BLOCK = 500
@@ -51,8 +50,10 @@ def data_points(labelled: DataFrame) -> DataFrame:
 def _matched(nodes: DataFrame, specs: DataFrame, condition: Column) -> DataFrame:
     """Specifications in blocks of a fixed size against all nodes; a row per spec with the ids that match."""
     blocks, specs = max(1, -(-specs.count() // SPEC_BLOCK)), _packed(specs)
-    parts = [nodes.join(F.broadcast(specs.where(F.pmod(F.xxhash64("spec_id"), F.lit(blocks)) == b)), condition).select("spec_id", "id") for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    part = lambda held: nodes.join(F.broadcast(held), condition).select("spec_id", "id")
+    if blocks == 1:
+        return part(specs)
+    return appended((part(specs.where(F.pmod(F.xxhash64("spec_id"), F.lit(blocks)) == b)) for b in range(blocks)), "matched")
 
 
 def match_nodes(nodes: DataFrame, specs: DataFrame) -> DataFrame:

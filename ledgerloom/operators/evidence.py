@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sha256, squeezed, strip
+from ..plans.rounds import appended
 
 #: Characters of quotes that every task holds at once, and of a quote's beginning that is looked up in the texts.
 QUOTE_CHARS, ANCHOR = 16 << 20, 16
@@ -53,18 +53,17 @@ def quote_matches(quotes: DataFrame, sources: DataFrame, block: int = QUOTE_CHAR
     """(item_id, doc_id, match_mode) of quotes (item_id, quote) that sources (doc_id, text) hold, exactly or white space aside.
 
     Every text is read once for each block of quotes: the hash of each of its runs of characters is looked up among the
-    beginnings of all quotes of the block, and what is found is compared whole. Nothing but matches is shuffled.
+    beginnings of all quotes of the block, and what is found is compared whole. Nothing but matches is shuffled. If there
+    are several blocks, their matches are written one after another, so that the tasks hold one block at a time.
     """
     spark, good = sources.sparkSession, quotes.where(strip("quote") != "").select("item_id", "quote")
     blocks = max(1, math.ceil((good.agg(F.sum(F.length("quote"))).first()[0] or 0) / block))
     texts = sources.select("doc_id", "text").where("text is not null")
     modes = F.lit("").alias("match_mode")
-    schema, parts = good.select("item_id").join(texts.select("doc_id")).select("item_id", "doc_id", modes).schema, []
-    for b in range(blocks):
-        part = good.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == b) if blocks > 1 else good
-        held = spark.sparkContext.broadcast(part.toArrow().combine_chunks())  # QUOTE_CHARS at most, or so
+    schema = good.select("item_id").join(texts.select("doc_id")).select("item_id", "doc_id", modes).schema
 
-        def each(batches, held=held):
+    def found(held) -> DataFrame:
+        def each(batches):
             ids, index = held.value.column(0), _Quotes(held.value.column(1).to_pylist())
             for batch in batches:
                 items, at, mode = [], [], []
@@ -77,8 +76,19 @@ def quote_matches(quotes: DataFrame, sources: DataFrame, block: int = QUOTE_CHAR
                     own = ids.take(pa.array(items)).combine_chunks()
                     yield pa.RecordBatch.from_arrays([own, batch.column(0).take(pa.array(at)), pa.array(mode)], ["item_id", "doc_id", "match_mode"])
 
-        parts.append(texts.mapInArrow(each, schema))
-    return reduce(DataFrame.unionByName, parts)
+        return texts.mapInArrow(each, schema)
+
+    send = lambda part: spark.sparkContext.broadcast(part.toArrow().combine_chunks())  # noqa: E731  QUOTE_CHARS at most, or so
+    if blocks == 1:
+        return found(send(good))
+
+    def one_by_one():
+        for b in range(blocks):
+            held = send(good.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == b))
+            yield found(held)
+            held.destroy()
+
+    return appended(one_by_one(), "matches")
 
 
 def gate(quotes: DataFrame, sources: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rounds import appended
+
 #: Questions that every task holds at once.
 QUESTION_BLOCK = 5000
 _LATIN, _HAN = re.compile("[a-zA-Z][a-zA-Z0-9_]+"), re.compile("[一-鿿]{2,}")
@@ -40,15 +41,15 @@ class _Questions:
 def scored(chunks: DataFrame, questions: DataFrame, block: int = QUESTION_BLOCK) -> DataFrame:
     """Score > 0 of chunks (chunk_id, text) for questions (question_id, terms), questions in blocks of a fixed size.
 
-    A chunk is lowered and split once a block, and each distinct term of a block is counted once a chunk.
+    A chunk is lowered and split once a block, and each distinct term of a block is counted once a chunk. The scores of
+    several blocks are written one after another, so that the tasks hold one block at a time.
     """
-    spark, blocks, parts = chunks.sparkSession, max(1, -(-questions.count() // block)), []
+    spark, blocks = chunks.sparkSession, max(1, -(-questions.count() // block))
     texts, asked = chunks.select("chunk_id", "text").where("text is not null"), questions.select("question_id", "terms")
     schema = asked.select("question_id").join(texts.select("chunk_id")).select("question_id", "chunk_id", F.lit(0.0).alias("score")).schema
-    for b in range(blocks):
-        held = spark.sparkContext.broadcast(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).toArrow().combine_chunks())
 
-        def each(batches, held=held):
+    def found(held) -> DataFrame:
+        def each(batches):
             ids, index = held.value.column(0), _Questions(held.value.column(1).to_pylist())
             for batch in batches:
                 rows = [(q, i, score) for i, text in enumerate(batch.column(1).to_pylist()) for q, score in index.scores(text)]
@@ -56,8 +57,19 @@ def scored(chunks: DataFrame, questions: DataFrame, block: int = QUESTION_BLOCK)
                     q, at, score = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)).combine_chunks(), batch.column(0).take(pa.array(at)), pa.array(score)], ["question_id", "chunk_id", "score"])
 
-        parts.append(texts.mapInArrow(each, schema))
-    return reduce(DataFrame.unionByName, parts)
+        return texts.mapInArrow(each, schema)
+
+    send = lambda part: spark.sparkContext.broadcast(part.toArrow().combine_chunks())  # noqa: E731  `block` questions, or so
+    if blocks == 1:
+        return found(send(asked))
+
+    def one_by_one():
+        for b in range(blocks):
+            held = send(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b))
+            yield found(held)
+            held.destroy()
+
+    return appended(one_by_one(), "scores")
 
 
 def top(df: DataFrame, n: int, by: list[str], *order: Column | str) -> DataFrame:

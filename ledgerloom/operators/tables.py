@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import METRIC_NAMES, PERIOD, TABLE_NUMBER, strip
+from ..functions.text import METRIC_NAMES, PERIOD, TABLE_NUMBER, sha256, stable_id, strip
 from ..functions.values import DECIMAL, table_unit
+from .lexicon import occurrences, segments
 
 PERIODS = 5
 #: Fixed patterns of a capacity row and of a change of capacity.
@@ -14,11 +15,17 @@ ROW = r"(?i)^(iPhone\s+\S+)\s+(20\d{2}\.\d{2})\s+(\d+GB)\s+(\d+GB)(?:\s+.*)?$"
 CHANGE = r"(?i)(内存容量|存储容量)\s*[：:]\s*从\s*(\d+GB)\s*向\s*(\d+GB)\s*升级"
 
 
-def periodic(blocks: DataFrame) -> DataFrame:
+def metric_names(spark: SparkSession) -> DataFrame:
+    """The built-in lexicon of metrics."""
+    return spark.createDataFrame([(n,) for n in METRIC_NAMES], "name string")
+
+
+def periodic(blocks: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Blocks (doc_id, page, sequence, object_type, text) to points: metric, period, raw, number, qualifier, unit, currency, scale, quote.
 
     A line of five or more periods heads its page from its block on, until another one; each metric name of a line takes
-    the numbers up to the next name, if there is one for every period.
+    the numbers up to the next name, if there is one for every period. lexicon: names of metrics (`metric_names` without
+    one), of any number; a metric is spelt as there.
     """
     lines = F.split("text", "\n")
     header = F.element_at(F.filter(F.transform(lines, lambda s: F.regexp_extract_all(s, F.lit(PERIOD), F.lit(0))), lambda p: F.size(p) >= PERIODS), 1)
@@ -26,17 +33,41 @@ def periodic(blocks: DataFrame) -> DataFrame:
     found = F.when(F.size(F.filter(F.transform(lines, lambda s: F.regexp_count(s, F.lit(PERIOD))), lambda n: n >= PERIODS)) > 0, F.slice(header, 1, PERIODS))
     order = Window.partitionBy("doc_id", "page").orderBy("sequence")
     headed = fit.withColumn("periods", F.last(found, True).over(order)).where("periods is not null")
-    names = "|".join(sorted(METRIC_NAMES, key=len, reverse=True))
     rows = headed.select("doc_id", "page", "sequence", "periods", F.explode(lines).alias("line"))
-    tails = F.split("line", f"(?i){names}", -1)
-    pairs = F.zip_with(F.regexp_extract_all("line", F.lit(f"(?i){names}"), F.lit(0)), F.slice(tails, F.lit(2), F.size(tails)), lambda m, t: F.struct(m.alias("metric"), t.alias("rest")))
-    cells = rows.select("*", F.explode(pairs).alias("p")).select("doc_id", "page", "sequence", "periods", "p.metric", strip(F.concat("p.metric", "p.rest")).alias("quote"), F.regexp_extract_all("p.rest", F.lit(TABLE_NUMBER), F.lit(0)).alias("raws"))
+    named = occurrences(rows, "line", lexicon if lexicon is not None else metric_names(blocks.sparkSession))
+    cells = named.select("*", F.explode(segments("line", "found")).alias("p"))
+    cells = cells.select("doc_id", "page", "sequence", "periods", F.col("p.name").alias("metric"), strip("p.quote").alias("quote"), F.regexp_extract_all("p.rest", F.lit(TABLE_NUMBER), F.lit(0)).alias("raws"))
     cells = cells.where(F.size("raws") >= F.size("periods")).withColumn("raws", F.slice("raws", F.lit(1), F.size("periods"))).withColumn("u", table_unit("metric", "raws"))
     points = cells.select("doc_id", "page", "sequence", "metric", "quote", "u.*", F.explode(F.arrays_zip("periods", "raws")).alias("x"))
-    number = F.replace(F.regexp_replace("x.raws", "%$", ""), F.lit(","), F.lit("")).try_cast(DECIMAL)
+    number = _plain("x.raws").try_cast(DECIMAL)
     return points.select("doc_id", "page", "sequence", "metric", F.col("x.periods").alias("period"), F.col("x.raws").alias("raw"), number.alias("number"), F.when(F.col("x.periods").endswith("E"), "forecast").otherwise("actual").alias("qualifier"), "unit", "currency", "scale", "quote").distinct()
 
 
+def _plain(raw: str) -> Column:
+    """A cell's number as text: no grouping commas, no percent sign, no plus."""
+    return F.regexp_replace(F.replace(F.regexp_replace(raw, "%$", ""), F.lit(","), F.lit("")), r"^\+", "")
+
+
+def periodic_nodes(points: DataFrame, issuers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points of `periodic` as (nodes, evidence); issuers: doc_id, issuer.
+
+    A point that stands in several lines is one node (id, node_type, label, subject_ref, metric_ref, period_ref, qualifier,
+    value, mentions) with a row of evidence (node_id, doc_id, page, sequence, quote, quote_sha256) for each block and quote.
+    A document without an issuer has points without a subject.
+    """
+    low = lambda c: F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    subject = F.when(F.col("issuer").isNotNull(), stable_id("ENT", F.lit("company"), low("issuer")))
+    rows = points.join(issuers, "doc_id", "left").withColumns({"subject_ref": subject, "metric_ref": stable_id("MET", low("metric")), "period_ref": stable_id("PER", low("period")), "plain": _plain("raw")})
+    none = F.lit(None).cast("string")
+    rows = rows.withColumn("id", stable_id("DATA", "subject_ref", "metric_ref", "period_ref", F.lit("scalar"), "raw", "plain", none, none, "qualifier")).withColumn("quote_sha256", sha256("quote"))
+    value = F.struct(F.lit("scalar").alias("kind"), "raw", F.col("plain").alias("normalized_decimal"), none.alias("range_low"), none.alias("range_high"), "unit", "currency", "scale")
+    label = F.concat("metric", F.lit(" "), "period", F.lit(" = "), "raw")
+    node = F.struct(F.lit("DataPoint").alias("node_type"), label.alias("label"), "subject_ref", "metric_ref", "period_ref", "qualifier", value.alias("value"))
+    proof = ["doc_id", "page", "sequence", "quote_sha256"]
+    nodes = rows.groupBy("id").agg(F.min_by(node, F.struct("doc_id", "page", "sequence", "quote")).alias("n"), F.count_distinct(*proof).alias("mentions")).select("id", "n.*", "mentions")
+    return nodes, rows.select(F.col("id").alias("node_id"), "doc_id", "page", "sequence", "quote", "quote_sha256").distinct()
+
+
 def capacity(blocks: DataFrame) -> DataFrame:
     """Blocks (doc_id, sequence, text) to points: subject, metric, period, raw, number, endpoint, mentions.
 

@@ -17,7 +17,7 @@ from ..functions import registered
 from ..functions import text as tx
 from ..functions import values as vl
 from ..functions import variants as vr
-from ..operators import agenda, audit, blocks, candidates, closure, cycles, evaluation, evidence, facts, graph, payload, ranking, statements, tables, validation, views
+from ..operators import agenda, audit, blocks, candidates, closure, cycles, evaluation, evidence, facts, graph, lexicon, payload, ranking, statements, tables, validation, views
 from ..session import table
 from ..plans.rounds import shared_dir
 from ..sources import announcements, landed, sinks
@@ -928,3 +928,19 @@ def cycle_components(spark: SparkSession, sf: str) -> DataFrame:
     edges = _chain(spark, sf).select("source_id", "target_id")
     edges = edges.union(back(1, 2).where("n_source_id < n_target_id").select("source_id", "target_id")).union(back(3, 5).where("conv_id % 3 = 0").select("source_id", "target_id"))
     return cycles.components(edges.union(c.where("turn = 4 and conv_id % 5 = 0").select("id", "id")))
+
+
+@query(r"""with w as (select unnest(list_concat(regexp_extract_all(text, '[A-Za-z]{4,}'), regexp_extract_all(text, '[A-Za-z]{4,} [A-Za-z]{4,}'), list_transform(regexp_extract_all(text, '[A-Za-z]{7,}'), lambda x: substr(x, 1, 4)))) n from benchmark),
+l as (select lower(n) low, min(n) n from w group by 1), p as (select '(?i)' || string_agg(low, '|' order by length(low) desc, low) p from l),
+m as (select doc_id, list_transform(regexp_extract_all(text, (select p from p)), lambda x: lower(x)) ms from documents),
+e as (select doc_id, unnest(ms) low, unnest(range(1, len(ms) + 1)) i from m),
+j as (select doc_id, count(*) hits, count(distinct n) names, sum(length(n))::bigint chars, sha256(string_agg(n, '|' order by i)) digest from e join l using (low) group by doc_id)
+select doc_id, coalesce(hits, 0) hits, coalesce(names, 0) names, coalesce(chars, 0) chars, coalesce(digest, sha256('')) digest from documents left join j using (doc_id)""")
+def lexicon_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """Words, pairs of words and beginnings of words of all benchmark passages, as a lexicon, in all documents."""
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    heads = F.transform(found("[A-Za-z]{7,}"), lambda x: F.substring(x, F.lit(1), F.lit(4)))
+    names = table(spark, sf, "benchmark").select(F.explode(F.concat(found("[A-Za-z]{4,}"), found("[A-Za-z]{4,} [A-Za-z]{4,}"), heads)).alias("name"))
+    rows = lexicon.occurrences(table(spark, sf, "documents").select("doc_id", "text"), "text", names)
+    spelt = F.transform("found", lambda m: m["name"])
+    return rows.select("doc_id", F.size("found").cast("long").alias("hits"), F.size(F.array_distinct(spelt)).cast("long").alias("names"), F.aggregate("found", F.lit(0).cast("long"), lambda a, m: a + m["end"] - m["start"]).alias("chars"), tx.sha256(F.array_join(spelt, "|")).alias("digest"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,22 @@ def written(df: DataFrame, label: str = "round", by: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def appended(frames: Iterator[DataFrame], label: str) -> DataFrame:
+    """Frames of one schema written one after another into one folder, and read back.
+
+    A generator that makes each frame's broadcast before it yields it, and destroys it afterwards, holds one at a time; the
+    plan of what is read back doesn't grow with their number.
+    """
+    path, first = "", None
+    for frame in frames:
+        path = path or f"{shared_dir(frame.sparkSession)}/ledgerloom/{label}-{uuid.uuid4().hex}"
+        frame.write.mode("append").parquet(path)
+        first = first or frame
+    if first is None:
+        raise ValueError("there is no frame to write")
+    return first.sparkSession.read.schema(first.schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
