@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.rounds import written
 from .graph import reportable
 
 
@@ -81,18 +80,21 @@ def metric_priority(facts: DataFrame, requested: DataFrame | None = None, limit:
     no growth rates if none are named). The growth of a metric is the fact named `<metric>_yoy` at the newest one's period
     end. Places 0, 1 and 2 within a metric, metrics by name; a fact counts once.
     """
-    facts = written(facts.select("question_id", "id", "metric", "year", "fiscal_period", "period_end"))  # read several times
-    wanted = facts.where(~F.col("metric").endswith("_yoy")) if requested is None else facts.join(requested.select("question_id", "metric").distinct(), ["question_id", "metric"], "left_semi")
-    newest = wanted.groupBy("question_id", "metric").agg(F.max_by(F.struct("fiscal_period", "year", "period_end"), "period_end").alias("x"), F.max("period_end").alias("period_end"))
-    first = lambda rows, place: rows.groupBy("question_id", F.col("of").alias("metric"), F.lit(place).alias("place")).agg(F.min("id").alias("id"))
-    now = first(facts.join(newest.select("question_id", "metric", "period_end"), ["question_id", "metric", "period_end"]).withColumn("of", F.col("metric")), 0)
-    chosen = facts.join(now.select("question_id", "id"), ["question_id", "id"], "left_semi").join(now.select("question_id", "metric"), ["question_id", "metric"], "left_semi")
-    before = chosen.select("question_id", "metric", "fiscal_period", (F.col("year") - 1).alias("year"))
-    prior = facts.join(before, ["question_id", "metric", "fiscal_period", "year"])
-    latest = prior.groupBy("question_id", "metric").agg(F.max("period_end").alias("period_end"))
-    prior = first(prior.join(latest, ["question_id", "metric", "period_end"]).withColumn("of", F.col("metric")), 1)
-    grown = chosen.select("question_id", F.concat("metric", F.lit("_yoy")).alias("metric"), F.col("metric").alias("of"), "period_end")
-    yoy = first(facts.join(grown, ["question_id", "metric", "period_end"]), 2)
-    once = now.unionByName(prior).unionByName(yoy).groupBy("question_id", "id").agg(F.min(F.struct("metric", "place")).alias("x")).select("question_id", "id", "x.*")
+    own = facts.select("question_id", "id", "metric", "year", "fiscal_period", "period_end", F.col("metric").alias("of"), F.lit(False).alias("growth"))
+    grown = own.where(F.col("metric").endswith("_yoy")).withColumns({"of": F.regexp_replace("metric", "_yoy$", ""), "growth": F.lit(True)})
+    if requested is None:
+        roles = own.where(~F.col("metric").endswith("_yoy")).union(grown)
+    else:
+        roles = own.union(grown).join(requested.select("question_id", F.col("metric").alias("of")).distinct(), ["question_id", "of"], "left_semi").select(*own.columns)
+    by = Window.partitionBy("question_id", "of")
+    at = lambda c, when: F.max(F.when(when, F.col(c))).over(by)
+    roles = roles.withColumn("newest", at("period_end", ~F.col("growth")))
+    now = ~F.col("growth") & (F.col("period_end") == F.col("newest"))
+    roles = roles.withColumn("top", F.min(F.when(now, F.struct("id", "fiscal_period", "year"))).over(by))
+    prior = ~F.col("growth") & (F.col("fiscal_period") == F.col("top.fiscal_period")) & (F.col("year") == F.col("top.year") - 1)
+    roles = roles.withColumn("last", at("period_end", prior))
+    place = F.when(now & (F.col("id") == F.col("top.id")), 0).when(prior & (F.col("period_end") == F.col("last")), 1).when(F.col("growth") & (F.col("period_end") == F.col("newest")), 2)
+    first = roles.withColumn("place", place).where("place is not null").groupBy("question_id", "of", "place").agg(F.min("id").alias("id"))
+    once = first.groupBy("question_id", "id").agg(F.min(F.struct(F.col("of").alias("metric"), "place")).alias("x")).select("question_id", "id", "x.*")
     order = Window.partitionBy("question_id").orderBy("metric", "place", "id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

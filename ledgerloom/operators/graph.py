@@ -68,16 +68,23 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, types: Iterable[str] | None = None) -> DataFrame:
-    """(id, hops) of all nodes within `depth` undirected steps of the seeds. Every hop is written, so the plan doesn't grow."""
+    """(id, hops) of all nodes within `depth` undirected steps of the seeds.
+
+    The edges are written once, and each hop follows only from the nodes that were new in the last, so a hop costs its
+    frontier's edges and the plan doesn't grow.
+    """
     if types is not None:
         edges = edges.where(F.col("edge_type").isin(*types))
-    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).union(edges.select("target_id", "source_id")).distinct()
-    seen = seeds.select("id", F.lit(0).alias("hops")).distinct()
+    held = written(edges.select("source_id", "target_id"), "edges") if depth > 1 else edges.select("source_id", "target_id")
+    new, found = seeds.select("id", F.lit(0).alias("hops")).distinct(), []
     for hop in range(1, depth + 1):
-        new = both.join(seen.where(F.col("hops") == hop - 1).select("id"), "id").select(F.col("next").alias("id"), F.lit(hop).alias("hops"))
-        seen = seen.union(new).groupBy("id").agg(F.min("hops").alias("hops"))
-        seen = written(seen) if hop < depth else seen
-    return seen
+        found.append(new)
+        seen, ids = reduce(DataFrame.union, found).select("id"), new.select("id")
+        down = held.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("target_id").alias("id"))
+        up = held.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(F.col("source_id").alias("id"))
+        new = down.union(up).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hops"))
+        new = written(new, "hop") if hop < depth else new
+    return reduce(DataFrame.union, [*found, new])
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:

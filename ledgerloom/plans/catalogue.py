@@ -174,9 +174,10 @@ select question_id, id, metric, place, row_number() over (partition by question_
 def metric_priority(spark: SparkSession, sf: str) -> DataFrame:
     rows = facts.unpivot(_records(spark, sf), ["entity", "year", "quarter"], ["revenue", "volume"])
     rows = rows.select(F.col("entity").alias("question_id"), "metric", "year", F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("fiscal_period"), (F.col("year") * 10 + F.col("quarter")).alias("period_end"))
-    before = rows.select("question_id", "metric", (F.col("year") + 1).alias("year"), "fiscal_period")
-    grown = rows.join(before, ["question_id", "metric", "year", "fiscal_period"], "left_semi").withColumn("metric", F.concat("metric", F.lit("_yoy")))
-    every = rows.unionByName(grown)
+    years = Window.partitionBy("question_id", "metric", "fiscal_period").orderBy("year").rangeBetween(-1, -1)
+    grown = F.when(F.count(F.lit(1)).over(years) > 0, F.concat("metric", F.lit("_yoy")))  # a growth where there is the year before
+    both = rows.withColumn("names", F.array_compact(F.array("metric", grown)))
+    every = both.withColumn("metric", F.explode("names")).drop("names")
     return facts.metric_priority(every.withColumn("id", F.concat_ws("|", "question_id", "metric", "period_end"))).select("question_id", "id", "metric", "place", "rank")
 
 
