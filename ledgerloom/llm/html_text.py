@@ -3,13 +3,16 @@
 A page becomes a light tree; paragraphs pass points for length and commas to their ancestors, a container's points are
 discounted by its link density, and the best container and the siblings that read like it are kept, less menus, forms,
 notices, adverts, comments and link lists inside. Class words only weigh against an element: it stays if it holds the
-article or most of the page's text. So does one whose end tag is missing.
+article or most of the page's text. So does one whose end tag is missing. Words that articles use as well weigh only
+together with the form of what they name: short or full of links, or a row of like elements, as comments are. If one
+article element (or else one main) holds prose, it is judged by itself, so that many comments beside it don't outweigh it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,22 +31,28 @@ _ENDS_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "option",
 _SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _SAME = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in _SAME.items()}
 _SCORED = frozenset("p pre td blockquote li dd h2 h3".split())
-#: Words of class and id that mark what isn't the article, first or last in a name.
-_BAD = frozenset("comment comments disqus respond replies feedback sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr newsletter subscribe subscription signup promo promotion promoted popup modal adsense advert adverts advertisement advertising sponsor sponsored related recommended recommendations pagination pager paywall outbrain taboola".split())
+#: Words of class and id that mark what isn't the article, anywhere in a name.
+_BAD = frozenset("ad ads adsbygoogle adsense advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus feedback footer gdpr masthead menu modal nav navbar navigation newsletter outbrain pager pagination paywall popup promo promoted promotion recommendations recommended related replies respond sidebar signup sponsor sponsored subscribe subscription taboola talkback widget widgets".split())
 #: Words that do so only among themselves and with words of place and form.
-_WEAK = frozenset("ad ads alert banner copyright disclaimer hidden login notice notices notification overlay reply search share sharing skip social toolbar".split())
-_FORM = frozenset("a area b bar block bottom box buttons button center col column container content form global header icons inline inner items item left link links list main message page panel post posts right row section site slot text the to top unit wrap wrapper".split())
+_WEAK = frozenset("alert banner copyright disclaimer discussion discussions hidden login notice notices notification opinions overlay reactions reply responses search share sharing skip social thread threads toolbar".split())
+_FORM = frozenset("a area article b bar block bottom box buttons button c center col column container content form global header icons inline inner items item js left link links list main message page panel post posts reader readers right row section site slot sticky story text the to top unit user users visitor visitors wrap wrapper".split())
+#: Weak words that need a form: what is short or full of links, and what is a row of like elements.
+_SHORT = frozenset("alert reply search share sharing skip social".split())
+_ROW = frozenset("discussion discussions opinions reactions responses thread threads".split())
+#: Own characters from which on an element is not short.
+_LONG = 160
 #: Words that make a name one of a layout around.
 _AROUND = frozenset("has with without no is show hide enable enabled disabled layout".split())
-_COMMENT = frozenset("comment comments disqus replies respond feedback".split())
+_COMMENT = frozenset("comment comments disqus replies respond feedback talkback".split()) | _ROW
 _ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar".split())
 _ROOTS = frozenset("html body main article".split())
 
 
 class _Node:
-    __slots__ = ("anchors", "chars", "closed", "doubt", "kids", "links", "parent", "points", "tag")
+    __slots__ = ("anchors", "attrs", "chars", "closed", "doubt", "form", "kids", "links", "parent", "points", "tag")
 
-    def __init__(self, tag, parent, doubt=0.0):
+    def __init__(self, tag, parent, doubt=0.0, form="", attrs=""):
+        self.form, self.attrs = form, attrs  # the form that doubt needs: short or row
         self.tag, self.parent, self.kids, self.points, self.chars, self.links, self.anchors = tag, parent, [], 0.0, 0, 0, 0
         self.doubt = doubt  # the share of the page's text up to which the element is left out
         self.closed = False  # whether it had an end tag of its own
@@ -55,24 +64,27 @@ def _refused(name: str) -> set[str]:
     bad = set(words) & (_BAD | _WEAK)
     if not bad or _AROUND & set(words):
         return set()
-    return bad if words[0] in _BAD or words[-1] in _BAD or not set(words) - _BAD - _WEAK - _FORM else set()
+    return bad if bad & _BAD or not set(words) - _WEAK - _FORM else set()
 
 
-def _unwanted(tag: str, attrs: str, inside: bool) -> float:
-    """1 for what is never content, 0 for what may be; else the share of the page's text up to which the element is refused."""
+def _unwanted(tag: str, attrs: str, inside: bool) -> tuple[float, str]:
+    """1 for what is never content, 0 for what may be; else the share of the page's text up to which the element is refused.
+
+    And the form that it must have to be refused, if any.
+    """
     if tag in _APART or (tag == "header" and not inside):
-        return 1.0
+        return 1.0, ""
     doubt = 0.5 if tag == "form" else 0.0
     if not attrs:
-        return doubt
+        return doubt, ""
     names, words, others = set(), set(), False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if (name == "hidden" or (name == "aria-hidden" and value.lower() == "true")) and tag not in _ROOTS:
-            return 1.0
+            return 1.0, ""
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) and tag not in _ROOTS:
-                return 1.0
+                return 1.0, ""
         elif name == "role":
             words |= {value.lower()} & _ROLES
         elif name in ("class", "id"):
@@ -82,8 +94,9 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> float:
         words |= found
         others |= not found
     if tag in ("html", "body", "main") or not (words & _COMMENT if tag == "article" else words):
-        return doubt
-    return 2.0 if not others else 0.9 if words & _COMMENT else 0.5  # 2: named for nothing else
+        return doubt, ""
+    form = "" if doubt or words - _SHORT - _ROW else "row" if words & _ROW else "short"
+    return (2.0 if not others else 0.9 if words & _COMMENT else 0.5), form  # 2: named for nothing else
 
 
 def _tree(page: str) -> _Node:
@@ -133,10 +146,10 @@ def _tree(page: str) -> _Node:
             if tag not in _VOID:
                 skip = [tag, 1]
             continue
-        doubt = _unwanted(tag, attrs, bool(inside))
+        doubt, form = _unwanted(tag, attrs, bool(inside))
         if doubt and tag in _VOID:
             continue
-        if doubt and tag in ("p", "li"):
+        if doubt and not form and tag in ("p", "li"):
             doubt = 3.0  # out for certain, also without an end tag
         if tag in _ENDS_P:
             up = node
@@ -153,7 +166,7 @@ def _tree(page: str) -> _Node:
                 node = up.parent
                 if tag == "tr" and node.tag == "tr":
                     node = node.parent
-        new = _Node(tag, node, doubt)
+        new = _Node(tag, node, doubt, form, attrs)
         node.kids.append(new)
         if tag not in _VOID:
             node = new
@@ -225,6 +238,30 @@ def _without(root: _Node, nodes: list[_Node], out: set[int]) -> tuple[list[_Node
     return nodes, _measure(nodes)
 
 
+def _class(n: _Node) -> str:
+    """An element's class as written."""
+    return next((v[1] or v[2] or v[3] for v in _ATTR.findall(n.attrs) if v[0].lower() == "class"), "")
+
+
+def _like(n: _Node) -> tuple[int, list[_Node]]:
+    """How many children of an element are most alike (by tag and class; bare paragraphs don't count), and those that aren't headings."""
+    inner = [k for k in n.kids if type(k) is _Node and k.tag not in ("h1", "h2", "h3", "h4", "br", "hr")]
+    names = Counter((k.tag, _class(k)) for k in inner)
+    return max((c for (tag, name), c in names.items() if tag != "p" or name), default=0), inner
+
+
+def _has_form(n: _Node) -> bool:
+    """Whether an element looks like what its name says, if that has a form: short or full of links, or a row of like elements."""
+    if n.form == "short":
+        return n.chars - n.links < _LONG or n.links > 0.3 * n.chars
+    if n.form != "row":
+        return True
+    most, inner = _like(n)
+    if most < 2 and len(inner) == 1:  # a list or table around the row
+        most, inner = _like(inner[0])
+    return most > 1 and 2 * most > len(inner)
+
+
 def _prune(root: _Node, nodes: list[_Node]) -> tuple[list[_Node], dict[int, int]]:
     """Takes out what is never content, then elements in doubt unless they hold the article or much of the page's text."""
     certain = {id(n) for n in nodes if n.doubt == 3 or (n.doubt == 1 and n.closed)}
@@ -235,7 +272,7 @@ def _prune(root: _Node, nodes: list[_Node]) -> tuple[list[_Node], dict[int, int]
         if n.parent is not None and (large or id(n) in holds):
             holds.add(id(n.parent))
     share = lambda n: 0.5 if n.doubt == 1 else n.doubt  # noqa: E731  1 here: its end tag is missing
-    return _without(root, nodes, {id(n) for n in nodes if n.doubt and id(n) not in holds and n.chars - n.links <= share(n) * most}) if any(n.doubt for n in nodes) else (nodes, commas)
+    return _without(root, nodes, {id(n) for n in nodes if n.doubt and id(n) not in holds and n.chars - n.links <= share(n) * most and _has_form(n)}) if any(n.doubt for n in nodes) else (nodes, commas)
 
 
 def _density(n: _Node) -> float:
@@ -247,11 +284,28 @@ def _link_list(n: _Node) -> bool:
     return n.tag in ("ul", "ol", "div", "section", "table", "dl") and (n.links > 0.9 * n.chars or (n.links > 0.5 * n.chars and n.chars < 40 * n.anchors))
 
 
+def _alone(nodes: list[_Node]) -> list[_Node]:
+    """The nodes of the page's one article element, or else of its one main, if that holds prose; none if there isn't one."""
+    for tag in ("article", "main"):
+        outer = [n for n in nodes if n.tag == tag and not any(up.tag == tag for up in _above(n))]
+        if len(outer) == 1:
+            inner = _all(outer[0])
+            long_ = [n.chars for n in inner if n.tag in ("p", "pre", "blockquote") and n.chars > 80 and _density(n) < 0.25]
+            if len(long_) > 1 or sum(long_) > 400:
+                return inner
+    return []
+
+
+def _above(n: _Node):
+    while (n := n.parent) is not None:
+        yield n
+
+
 def _kept(nodes: list[_Node]) -> list[_Node]:
     """The best container and the siblings that read like it, or the article around if those are most of it."""
     worth = lambda n: n.points * (1 - _density(n))
     own = lambda n: n.chars - n.links
-    best = max(nodes, key=worth)
+    best = max(_alone(nodes) or nodes, key=worth)
     if best.points <= 0:
         return [nodes[0]] if _density(nodes[0]) < 0.5 else []
     kept = [best]

@@ -1,6 +1,7 @@
 """Unwanted elements inside articles and wrappers."""
 
 import random
+import re
 
 import pytest
 
@@ -57,15 +58,33 @@ def test_references_stay_and_link_lists_go():
     assert text == f"{A} {B} Smith, J. (2019). On the origin of the long titles of papers Jones, K. (2020). A reply to the origin of the long titles"
 
 
-#: Class and the share of the page's text up to which it is refused.
-CLASSES = {"": 0, "ad": 2, "comments": 2, "page with-sidebar": 0, "story ad": 0.5, "story comments": 0.9, "market-share": 0}
+CLASSES = ["", "ad", "comments", "page with-sidebar", "story ad", "story comments", "market-share", "article-ad", "js-comments-area", "alert", "share", "discussion", "reader-opinions", "story discussion", "notice", "site-notice-bar", "lead notice"]
+
+
+def _refusal(tag, cls):
+    """(share of the page's text up to which it is refused, form that it needs) by the words of each name of a class."""
+    share = 0.5 if tag == "form" else 0.0
+    strong, weak, form = html_text._BAD, html_text._WEAK, html_text._FORM
+    hits, whole = set(), True
+    for name in cls.split():
+        words = re.findall("[a-z]+", name)
+        marks = {w for w in words if w in strong or w in weak}
+        out = bool(marks) and not any(w in html_text._AROUND for w in words) and (any(w in strong for w in words) or all(w in weak or w in form for w in words))
+        hits |= marks if out else set()
+        whole = whole and out
+    if tag in ("body", "main") or not hits or tag == "article" and not hits & html_text._COMMENT:
+        return share, ""
+    needs = "row" if hits & html_text._ROW else "short"
+    if share or any(w not in html_text._SHORT and w not in html_text._ROW for w in hits):
+        needs = ""
+    return (2.0 if whole else 0.9 if hits & html_text._COMMENT else 0.5), needs
 
 
 def _random_tree(rng, depth=0):
     tag = rng.choice(["div", "div", "section", "p", "p", "a", "nav", "form", "footer", "header", "ul", "main"] if depth else ["body"])
     if tag == "main" and rng.random() < 0.5:
         tag = "article"
-    cls = rng.choice(list(CLASSES)) if rng.random() < 0.3 and tag not in ("a", "body", "main", "article") else ""
+    cls = rng.choice(CLASSES) if rng.random() < 0.3 and tag not in ("a", "body", "main", "article") else ""
     if tag in ("p", "a"):
         return tag, cls, [" ".join(rng.choice(["alpha", "beta,", "gamma", "delta"]) for _ in range(rng.randrange(1, 40 if tag == "p" else 6)))]
     kids = [_random_tree(rng, depth + 1) for _ in range(rng.randrange(1, 6))] if depth < 4 else [("p", "", ["the end"])]
@@ -92,19 +111,33 @@ def _slow_main_text(tree):
         out = []
         for k in n[2]:
             if not isinstance(k, str):
-                if k[0] in ("nav", "footer") or (k[0] == "header" and not inside) or (k[0] in ("p", "li") and CLASSES[k[1]]):
+                if k[0] in ("nav", "footer") or (k[0] == "header" and not inside) or (k[0] in ("p", "li") and _refusal(k[0], k[1])[0] and not _refusal(k[0], k[1])[1]):
                     continue
                 k = certain(k, inside or k[0] in ("article", "main"))
             out.append(k)
         return n[0], n[1], out
 
+    def alike(n):
+        inner = [k for k in kids(n) if k[0] not in ("h1", "h2")]
+        return max([sum(x[:2] == k[:2] for x in inner) for k in inner if k[0] != "p" or k[1]], default=0), inner
+
+    def formed(n, needs):
+        if needs == "short":
+            return own(n) < 160 or links(n) > 0.3 * len(text(n))
+        if needs == "row":
+            most, inner = alike(n)
+            if most < 2 and len(inner) == 1:
+                most, inner = alike(inner[0])
+            return most > 1 and most > len(inner) / 2
+        return True
+
     def doubtful(n, most):
         out = []
         for k in n[2]:
             if not isinstance(k, str):
-                share = max(CLASSES[k[1]], 0.5 if k[0] == "form" else 0)
+                share, needs = _refusal(k[0], k[1])
                 holds = any(x is not k and x[0] in ("main", "article") and own(x) >= 0.3 * most for x in walk(k))
-                if share and not holds and own(k) <= share * most:
+                if share and not holds and own(k) <= share * most and formed(k, needs):
                     continue
                 k = doubtful(k, most)
             out.append(k)
@@ -132,7 +165,14 @@ def _slow_main_text(tree):
         return total
 
     worth = lambda n: points(n) * (1 - density(n))
-    best = max(nodes, key=worth)
+    judged = nodes
+    for tag in ("main", "article"):  # the latter wins
+        tops = [n for n in nodes if n[0] == tag and not any(n is not o and o[0] == tag and any(x is n for x in walk(o)) for o in nodes)]
+        if len(tops) == 1:
+            sizes = [len(text(x)) for x in walk(tops[0]) if x[0] == "p" and len(text(x)) > 80 and density(x) < 0.25]
+            if len(sizes) > 1 or sum(sizes) > 400:
+                judged = [n for n in nodes if any(x is n for x in walk(tops[0]))]
+    best = max(judged, key=worth)
     if points(best) <= 0:
         kept = [root] if density(root) < 0.5 else []
     else:
@@ -165,3 +205,46 @@ def test_random_trees_against_plain_recursion():
     for _ in range(400):
         tree = _random_tree(rng)
         assert html_text.main_text(_written(tree)) == _slow_main_text(tree), _written(tree)
+
+
+PROSE = "Paragraph {} of the article has many words, with commas, and it goes on for a good while so that it counts as prose."
+COMMENT = '<div class="c" id="c{0}"><b>user{0}</b> <p>I, for one, think that this is remark {0} of some length, and it goes on and on, really.</p></div>'
+ARTICLE = "<h1>Title</h1>" + "".join(f"<p>{PROSE.format(i)}</p>" for i in range(4))
+WHOLE = " ".join(["Title", *(PROSE.format(i) for i in range(4))])
+
+
+@pytest.mark.parametrize("name", "discussion reader-opinions user-comments-list js-comments-area story-comment-thread responses talkback".split())
+@pytest.mark.parametrize("count", [3, 8, 30])
+def test_reader_comments_go_inside_and_beside_the_article(name, count):
+    row = "".join(COMMENT.format(i) for i in range(count))
+    box, items = f'<section class="{name}"><h2>Say something</h2>{row}</section>', "".join(f"<li>{COMMENT.format(i)}</li>" for i in range(count))
+    for page in (f"<article>{ARTICLE}</article>{box}", f"<article>{ARTICLE}{box}</article>", f'<main>{ARTICLE}</main><div id="{name}"><ul>{items}</ul></div>', f'<div class="x">{ARTICLE}</div><div class="{name}"><ul>{items}</ul></div>'):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == WHOLE, page[:80]
+
+
+@pytest.mark.parametrize("name", "article-ad google-ads ad-placement adsbygoogle native-ad div-gpt-ad-1 dfp-ad-unit sticky-promo-bar site-cookie-policy-bar c-newsletter-form".split())
+def test_adverts_and_notices_go_inside_and_beside_the_article(name):
+    box = f'<div class="{name}"><p>Buy this now, it is cheap, it is good, and it is yours, for a small price, today only, in all shops.</p></div>'
+    for page in (f"<article>{ARTICLE}{box}</article>", f"{box}<article>{ARTICLE}</article>", f'<div class="x">{ARTICLE}</div>{box}'):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == WHOLE
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<p class="alert">{0} {1}</p>',
+        '<ul class="share"><li>{0}</li><li>{1}</li></ul>',
+        '<div class="reply"><p>{0}</p><p>{1}</p></div>',
+        '<section class="discussion"><h2>Discussion</h2><p>{0}</p><p>{1}</p></section>',
+        '<div class="market-share"><p>{0}</p><p>{1}</p></div>',
+        '<div class="has-sidebar"><p>{0}</p><p>{1}</p></div>',
+    ],
+)
+def test_parts_of_the_article_stay_whatever_their_names(part):
+    text = html_text.main_text(f"<html><body><article>{ARTICLE}{part.format(PROSE.format(7), PROSE.format(8))}</article></body></html>")
+    assert PROSE.format(7) in text and PROSE.format(8) in text
+
+
+@pytest.mark.parametrize("part", ['<p class="alert">Log in to read on</p>', '<ul class="share"><li><a href="x">Post it</a></li><li><a href="y">Send it</a></li></ul>', '<div class="search">find things</div>'])
+def test_short_and_linked_parts_go_by_their_names(part):
+    assert html_text.main_text(f"<html><body><article>{ARTICLE}{part}</article></body></html>") == WHOLE
