@@ -945,3 +945,73 @@ def lexicon_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     rows = lexicon.occurrences(table(spark, sf, "documents").select("doc_id", "text"), "text", names)
     spelt = F.transform("found", lambda m: m["name"])
     return rows.select("doc_id", F.size("found").cast("long").alias("hits"), F.size(F.array_distinct(spelt)).cast("long").alias("names"), F.aggregate("found", F.lit(0).cast("long"), lambda a, m: a + m["end"] - m["start"]).alias("chars"), tx.sha256(F.array_join(spelt, "|")).alias("digest"))
+
+
+@query(r"""with d as (select doc_id k, 'Co' || doc_id % 5 company, coalesce(regexp_extract(text, '[A-Za-z]{3,}'), '') w, doc_id % 2 = 0 issuer from documents),
+c as (select k, company, w, issuer, case when k % 6 = 4 then 'no such words' else w end q, case k % 6 when 0 then '公司披露：' || w when 2 then w || ' 77' when 3 then ' ' else w end st, case k % 4 when 0 then 'Elsewhere' when 1 then company when 2 then w else '' end en, case when k % 8 = 2 then '77' end pe, k % 6 = 5 lost from d),
+r as (select *, case when trim(st) = '' then st when st like '公司披露%' then st when issuer then '公司披露：' || st else '来源称：' || st end said, case when lost then 'unknown chunk' when q = '' or k % 6 = 4 then 'quote not in source' when trim(st) = '' or en = '' then 'statement or entity missing'
+  when k % 6 = 2 and pe is null then 'unsupported number' when en = 'Elsewhere' then 'entity not mentioned' end reason from c)
+select reason name, count(*) n from r where reason is not null group by 1 union all select 'admitted', count(*) from r where reason is null union all select 'propositions', count(*) from (select distinct en, said, pe from r where reason is null)""")
+def document_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """A claim on the first word of every document, with faults by number."""
+    k = F.col("doc_id")
+    docs = table(spark, sf, "documents").withColumn("w", F.coalesce(F.regexp_extract("text", "[A-Za-z]{3,}", 0), F.lit(""))).withColumn("company", F.concat(F.lit("Co"), (k % 5).cast("string")))
+    chunks = docs.select(k.alias("chunk_id"), "company", "text", F.when(k % 2 == 0, "issuer_disclosure").otherwise("other").alias("source_role"))
+    said = F.when(k % 6 == 0, F.concat(F.lit("公司披露："), "w")).when(k % 6 == 2, F.concat("w", F.lit(" 77"))).when(k % 6 == 3, " ").otherwise(F.col("w"))
+    whose = F.when(k % 4 == 0, "Elsewhere").when(k % 4 == 1, F.col("company")).when(k % 4 == 2, F.col("w")).otherwise("")
+    claims = docs.select(F.when(k % 6 == 5, -1 - k).otherwise(k).alias("chunk_id"), k.alias("seq"), F.when(k % 6 == 4, "no such words").otherwise(F.col("w")).alias("quote"), said.alias("statement"), whose.alias("entity_name"), F.when(k % 8 == 2, "77").alias("period_end"))
+    props, grounds, rejected = agenda.document_claims(claims, chunks)
+    count = lambda rows, name: rows.groupBy(F.lit(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return rejected.groupBy(F.col("reason").alias("name")).agg(F.count(F.lit(1)).alias("n")).union(count(grounds, "admitted")).union(count(props, "propositions"))
+
+
+@query(r"""with o as (select *, row_number() over (partition by o_custkey order by o_orderkey) n from orders), f as (select o_custkey c, list(o_orderkey order by n) ids, bool_or(o_orderstatus = 'F') filter (n = 1 or (n = 2 and o_custkey % 7 <> 1)) att from o where n <= 8 group by 1),
+p as (select c_custkey c, ids, att, case when c_custkey % 7 = 1 then ids[1:1] when c_custkey % 7 = 2 then list_append(ids[1:2], -1) else ids[1:2] end pre, case c_custkey % 5 when 0 then 'order ' || ids[1] when 1 then 'order 99999999' when 2 then ' ' else '公司披露 order ' || ids[1] end st, c_custkey % 11 = 3 bare from customer left join f on c_custkey = c)
+select c proposal_id, case when ids is null then 'unknown question' when len(pre) < 2 then 'fewer than two premises' when list_contains(pre, -1) then 'unknown premise' when trim(st) = '' or bare then 'statement or warrant missing' when c % 5 = 1 then 'unsupported number'
+  when att and st not like '公司披露%' then 'attribution missing' when c % 3 = 0 then 'reportable' else 'candidate' end outcome from p""")
+def analysis_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """A conclusion for every customer from its first orders, with faults by number."""
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    first = table(spark, sf, "orders").withColumn("n", turn).where("n <= 8")
+    premises = first.select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("statement"), F.when(F.col("o_orderstatus") == "F", "attributed").otherwise("fact").alias("kind"))
+    ids = first.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "o_orderkey"))), lambda x: x["o_orderkey"]).alias("ids"))
+    c = F.col("c_custkey")
+    two = F.slice("ids", 1, 2)
+    given = F.when(c % 7 == 1, F.slice("ids", 1, 1)).when(c % 7 == 2, F.array_append(two, F.lit(-1).cast("long"))).otherwise(two)
+    head = F.get("ids", 0).cast("string")
+    said = F.when(c % 5 == 0, F.concat(F.lit("order "), head)).when(c % 5 == 1, "order 99999999").when(c % 5 == 2, " ").otherwise(F.concat(F.lit("公司披露 order "), head))
+    rows = table(spark, sf, "customer").select("c_custkey").join(ids, "c_custkey", "left")
+    proposals = rows.select(c.alias("proposal_id"), c.alias("question_id"), said.alias("statement"), given.alias("premise_ids"), F.when(c % 11 == 3, "").otherwise("w").alias("warrant"))
+    verdicts = rows.where("c_custkey % 3 <> 2").select(c.alias("proposal_id"), F.when(c % 3 == 0, "accepted").otherwise("rejected").alias("verdict"))
+    props, _, rejected = agenda.analyses(proposals, premises, verdicts)
+    return props.select("proposal_id", F.col("status").alias("outcome")).union(rejected.select("proposal_id", "reason"))
+
+
+@query(r"""with t as (select conv_id section_id, turn seq, case turn % 5 when 0 then 'turn ' || turn || '。' when 1 then 'two。three。' when 2 then 'turn 12345。' when 3 then '公司称 turn ' || turn || ' of 2024' else ' ' end x from conversations)
+select section_id, seq, case when trim(x) = '' or seq % 5 = 1 or seq % 6 = 5 then 'not one sentence on claims of its section' when seq % 4 = 0 and seq % 5 <> 3 then 'attribution missing' when seq % 5 = 2 then 'unlicensed number' when section_id % 3 = 0 then 'not accepted' end reason from t""")
+def report_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """A report sentence for every turn of every conversation, on the turn's own claim, with faults by number."""
+    t, n = table(spark, sf, "conversations").select(F.col("conv_id").alias("section_id"), F.col("turn").alias("seq")), F.col("seq")
+    number = n.cast("string")
+    text = F.when(n % 5 == 0, F.concat(F.lit("turn "), number, F.lit("。"))).when(n % 5 == 1, "two。three。").when(n % 5 == 2, "turn 12345。").when(n % 5 == 3, F.concat(F.lit("公司称 turn "), number, F.lit(" of 2024"))).otherwise(" ")
+    own = F.concat_ws(":", "section_id", "seq")
+    sentences = t.select("section_id", "seq", text.alias("text"), F.when(n % 6 == 5, F.array(own, F.lit("other"))).otherwise(F.array(own, own)).alias("claim_ids"))
+    claims = t.select("section_id", own.alias("id"), F.concat(F.lit("turn "), number).alias("statement"), F.when(n % 4 == 0, "attributed").otherwise("fact").alias("kind"), F.lit(None).cast("string").alias("display"), F.lit(None).cast("string").alias("period_end"))
+    return agenda.reviewed_sentences(sentences, claims, t.select("section_id", "seq", (F.col("section_id") % 3 != 0).alias("accepted")), "600000 2024-06-30").select("section_id", "seq", "reason")
+
+
+@query(r"""with p as (select s_suppkey k, s_suppkey % 5 + 2 n, s_suppkey % 7 f from supplier),
+e as (select *, case when n < 3 then 'not 3 to 10 sections' when f = 3 then 'section without a title' when f = 4 then 'section without questions' when f = 5 then 'no question' end error from p)
+select k plan_id, case when error is null then n else 0 end::bigint sections, case when error is null then n * 2 else 0 end::bigint questions, case when error is null then n else 0 end::bigint required, error from e""")
+def seed_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan of sections and questions for every supplier, some with a fault by number."""
+    k, f = F.col("s_suppkey"), F.col("s_suppkey") % 7
+    asked = lambda i, j: F.struct(F.concat(F.lit("Q"), i.cast("string"), F.lit(j)).alias("text"), F.lit("required" if j == "a" else "maybe").alias("priority"), F.when(f == 5, "guess").otherwise("fact" if j == "a" else "valuation").alias("answer_mode"), F.array(F.lit(" t "), F.lit(" ")).alias("search_terms"))
+    unasked = lambda i: F.struct(F.lit("").alias("text"), F.lit("required").alias("priority"), F.lit("fact").alias("answer_mode"), F.array(F.lit("t")).alias("search_terms"))
+    section = lambda i: F.struct(F.when((f == 3) & (i == 1), " ").otherwise("S").alias("title"), F.lit(None).cast("string").alias("purpose"), F.when(~((f == 4) & (i == 1)), F.array(asked(i, "a"), asked(i, "b"), unasked(i))).alias("questions"))
+    plans = table(spark, sf, "supplier").select(k.alias("plan_id"), F.transform(F.sequence(F.lit(1), (k % 5 + 2).cast("int")), section).alias("sections"))
+    sections, questions, wrong = agenda.seeded(plans)
+    n = sections.groupBy("plan_id").agg(F.count(F.lit(1)).alias("sections"))
+    q = questions.groupBy("plan_id").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("priority") == "required").alias("required"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return plans.select("plan_id").join(n, "plan_id", "left").join(q, "plan_id", "left").join(wrong, "plan_id", "left").select("plan_id", zero("sections"), zero("questions"), zero("required"), "error")

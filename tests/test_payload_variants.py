@@ -174,3 +174,24 @@ def test_conversation_is_found_from_the_root():
     flat = [{"_1": 2, "_3": 4}, "a", {"_5": 6}, "b", {"_5": 7}, "linear_conversation", [8], [9], "first", "second"]
     assert landed.conversation(landed.hydrate(flat)[0]) == ["first"]
     assert landed.conversation(landed.hydrate([[1, 0], 5])[0]) == []
+
+
+def test_report_and_gates(spark):
+    from ledgerloom.operators import agenda
+
+    sections = spark.createDataFrame([("s1", "One", 0), ("s2", "Two", 1)], "section_id string, title string, order int")
+    printed = spark.createDataFrame([("s1", 2, "句子。。", ["e1", "e2"]), ("s1", 1, "first", [])], "section_id string, seq int, text string, refs array<string>")
+    cites = spark.createDataFrame([("e1", "T", "P", "2024-01-02", "p 1", "u"), ("e3", "T", "P", "2024-01-02", "p 1", "u"), ("e2", "T", "P", None, "p 2", "v")], "evidence_id string, title string, publisher string, published_at string, locator string, url string")
+    none = spark.createDataFrame([], "place int, question string, missing string")
+    lines = [r.line for r in agenda.report("公司", "2024-06-30", sections, printed, cites, none).collect()]
+    assert lines == ["# 公司研究报告", "资料截止：2024-06-30（北京时间）。仅呈现可追溯的研究内容；未解决问题见附录。", "## One", "first。", "句子。[^e1][^e2]", "## Two", "本节尚无通过证据与推论检查的可写结论。", "## 未解决的研究问题", "- 无已识别的开放问题；这不代表材料已穷尽。", "## 来源与证据定位", "[^e1]: T，P，2024-01-02，p 1。u", "[^e2]: T，P，p 2。v"]
+    gaps = spark.createDataFrame([(1, "b", "m"), (0, "a", "m")], "place int, question string, missing string")
+    lines = [r.line for r in agenda.report("公司", "2024-06-30", sections, printed, cites, gaps).collect()]
+    assert [x for x in lines if x.startswith("- ")] == ["- a：m", "- b：m"]
+
+    claims = spark.createDataFrame([("c1", 1, "营 收 12", "收入12", "X", None), ("c1", 2, "营收12", "公司披露：收入12", "X", ""), ("c1", 3, None, None, None, None)], "chunk_id string, seq int, quote string, statement string, entity_name string, period_end string")
+    chunks = spark.createDataFrame([("c1", "X", "其营收12元", "issuer_disclosure")], "chunk_id string, company string, text string, source_role string")
+    props, grounds, rejected = agenda.document_claims(claims, chunks)
+    assert [r.statement for r in props.collect()] == ["公司披露：收入12"] and grounds.count() == 2 and [r.reason for r in rejected.collect()] == ["quote not in source"]
+    nothing = agenda.seeded(spark.createDataFrame([("p", None)], "plan_id string, sections array<struct<title:string,purpose:string,questions:array<struct<text:string,priority:string,answer_mode:string,search_terms:array<string>>>>>"))
+    assert nothing[0].count() == nothing[1].count() == 0 and nothing[2].first().error == "not 3 to 10 sections"
