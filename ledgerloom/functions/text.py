@@ -155,6 +155,7 @@ def escape_html(x: Column | str) -> Column:
 
 
 def fnv1a(x: Column | str) -> Column:
-    """32-bit FNV-1a over the characters of the basic plane."""
-    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619).bitwiseAND(0xFFFFFFFF)
-    return F.aggregate(F.filter(F.split(_c(x), ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)
+    """32-bit FNV-1a over the UTF-16 units of a text; a character beyond the basic plane is two units."""
+    digits = F.hex(F.encode(_c(x), "UTF-16BE"))
+    units = F.transform(F.regexp_extract_all(digits, F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * 16777619).bitwiseAND(0xFFFFFFFF))

@@ -174,6 +174,18 @@ def missing_fields(json: Column) -> Column:
     return F.array_except(F.array(*map(F.lit, ROOT_FIELDS)), F.json_object_keys(json))
 
 
+#: The root fields that make a graph's state; the others are about its run: fixed values.
+STATE_FIELDS = ("schema_version", "graph_id", "document", "source_objects", "nodes", "edges")
+
+
+def state_payload(json: Column) -> Column:
+    """The state fields of a graph document as JSON, absent ones as null, lists empty; the rest is left out."""
+    document = F.try_parse_json(json)
+    lists = STATE_FIELDS[3:]
+    field = lambda f: F.coalesce(F.to_json(F.try_variant_get(document, f"$.{f}", "variant")), F.lit("[]" if f in lists else "null"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{f}":'), field(f)) for f in sorted(STATE_FIELDS)]), F.lit("}"))
+
+
 def state_hash(table: DataFrame) -> DataFrame:
     """One digest of a table's rows, whatever their order and partitions.
 

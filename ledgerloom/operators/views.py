@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fnv1a
 from .graph import neighbourhood
 
 #: Seeds, depth and edge types of the viewer's modes: fixed values.
@@ -33,6 +34,13 @@ def label_ranks(nodes: DataFrame, bucket: str, degree: str, order: str, most: in
     return nodes.withColumn("rank", n).where(F.col("rank") <= most)
 
 
+def layout_order(nodes: DataFrame) -> DataFrame:
+    """Nodes with their place (from 1) among those of their type: core ones first, then supporting ones, then by hash of id."""
+    rank = F.when(F.col("importance") == "core", 0).when(F.col("importance") == "supporting", 1).otherwise(2)
+    turn = F.row_number().over(Window.partitionBy("node_type").orderBy(rank, fnv1a("id"), "id"))
+    return nodes.withColumn("place", turn)
+
+
 def node_evidence(own: DataFrame, edge_evidence: DataFrame) -> DataFrame:
     """Evidence of a node and of its incident edges, once per source and quote."""
     return own.unionByName(edge_evidence).dropDuplicates(["node_id", "source_id", "quote"])

@@ -75,9 +75,19 @@ def candidates(files: DataFrame, kind: str) -> DataFrame:
 
 
 def reusable(checkpoints: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Checkpoints that answer a wanted digest (model, digest) in full, and the wanted ones without any."""
-    good = checkpoints.where("finish_reason = 'stop'").join(wanted, ["model", "digest"], "left_semi")
-    return good, wanted.join(good.select("model", "digest"), ["model", "digest"], "left_anti")
+    """Checkpoints that answer what is wanted in full, and what is wanted without any.
+
+    Both have model and digest; if wanted has source_ids (an array), a checkpoint must be for the same ones in the same order.
+    """
+    keys = ["model", "digest", *(c for c in ("source_ids",) if c in wanted.columns)]
+    good = checkpoints.where("finish_reason = 'stop'").join(wanted.select(*keys), keys, "left_semi")
+    return good, wanted.join(good.select(*keys), keys, "left_anti")
+
+
+def complete(answers: DataFrame) -> DataFrame:
+    """Fresh answers (digest, finish_reason, ...); reading them fails if one was cut off, as a graph of it would lack parts."""
+    cut = F.concat(F.lit("answer was cut off, the graph would be incomplete: "), F.coalesce("digest", F.lit("?")))
+    return answers.withColumn("digest", F.when(F.col("finish_reason") == "stop", F.col("digest")).otherwise(F.raise_error(cut)))
 
 
 def recovered_json(x: Column) -> Column:

@@ -195,3 +195,19 @@ def test_report_and_gates(spark):
     assert [r.statement for r in props.collect()] == ["公司披露：收入12"] and grounds.count() == 2 and [r.reason for r in rejected.collect()] == ["quote not in source"]
     nothing = agenda.seeded(spark.createDataFrame([("p", None)], "plan_id string, sections array<struct<title:string,purpose:string,questions:array<struct<text:string,priority:string,answer_mode:string,search_terms:array<string>>>>>"))
     assert nothing[0].count() == nothing[1].count() == 0 and nothing[2].first().error == "not 3 to 10 sections"
+
+
+def test_hash_of_utf16_units_and_cut_off_answers(spark):
+    def plain(text):
+        h, raw = 2166136261, text.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = ((h ^ (raw[i] << 8 | raw[i + 1])) * 16777619) & 0xFFFFFFFF
+        return h
+
+    texts = ["", "a", "节点", "😀x", "S_01"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.fnv1a("t").alias("h")).collect()
+    assert {r.t: r.h for r in rows} == {t: plain(t) for t in texts}
+    answers = spark.createDataFrame([("d1", "stop"), ("d2", "length")], "digest string, finish_reason string")
+    assert landed.complete(answers.where("digest = 'd1'")).count() == 1
+    with pytest.raises(Exception, match="d2"):
+        landed.complete(answers).collect()
