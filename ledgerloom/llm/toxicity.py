@@ -144,7 +144,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model holds toxic; all columns, whatever their names, stay as they are."""
+    """docs without the rows that the model holds toxic; all columns, whatever their names, stay as they are.
+
+    Null and empty texts aren't toxic and stay, null ids too; texts of any length are read whole; repeated rows fare alike;
+    an empty table gives an empty result.
+    """
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def each(batches):
