@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import values as vl
-from ..operators import agenda, blocks, evaluation, evidence, graph, ranking, validation, views
+from ..operators import agenda, blocks, evaluation, evidence, graph, ranking, statements, tables, validation, views
 from ..session import table
 from ..sources import landed, sinks
-from .catalogue import _FOLD, _TRADE, _TURNS, ORACLES, QUERIES, _chain, _geo, _trade, _turns, query
+from .catalogue import _FOLD, _RECORDS, _TRADE, _TURNS, ORACLES, QUERIES, _chain, _geo, _records, _trade, _turns, query
 from .rounds import shared_dir
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -259,3 +259,40 @@ def state_payloads(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     parts = [F.lit('{"source_objects":[{"b":2,"a":1}],"extraction_run":{"x":1},"schema_version":"v1"'), F.when(k % 2 == 1, ',"graph_id":"g"').otherwise(""), F.when(k % 3 != 0, F.concat(F.lit(',"edges":['), k.cast("string"), F.lit("]"))).otherwise(""), F.lit(',"document":{"id":'), F.col("o_custkey").cast("string"), F.lit('},"state_hash":"h"}')]
     return table(spark, sf, "orders").select("o_orderkey", validation.state_payload(F.concat(*parts)).alias("payload"))
+
+
+@query("""with p as (select event_id id, user_id, event_type, ts::date d, round("value")::bigint v from events where "value" is not null), x as (select user_id, event_type, d from p group by all having min(v) < max(v))
+select id, event_type metric, d::varchar period_end from p join x using (user_id, event_type, d)""")
+def conflict_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a user as facts on a day: those that give one kind different values."""
+    value = F.round("value").cast("long").cast("string").alias("value")
+    fixed = [F.lit(v).alias(c) for c, v in (("kind", "fact"), ("scope", "day"), ("unit", "CNY"))]
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("entity"), F.col("event_type").alias("metric"), F.to_date("ts").cast("string").alias("period_end"), value, *fixed)
+    return statements.conflict_members(rows).select("id", "metric", "period_end")
+
+
+@query("""with b as (select user_id, ts, round("value", 2)::decimal(18,2) v from events where "value" is not null and ts < timestamp '2024-01-19 16:00:00' and ts >= timestamp '2024-01-19 16:00:00' - interval 60 day),
+r as (select *, row_number() over (partition by user_id order by date_trunc('millisecond', ts) desc, v) n from b)
+select user_id::varchar entity, v::double "value", v || '元/股' display, (ts + interval 8 hour)::date::varchar period_end from r where n = 1""")
+def last_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """The last event of every user before the end of a Shanghai day, as a price."""
+    bars = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("entity"), F.unix_millis(F.col("ts").cast("timestamp")).alias("date_ms"), F.round("value", 2).cast("decimal(18,2)").cast("string").alias("close_price"))
+    return statements.prices(bars, "2024-01-19")[0].select("entity", F.col("value").cast("double").alias("value"), "display", "period_end")
+
+
+@query(_RECORDS + r""", y as (select entity, "year", sum(volume)::bigint v from rec group by 1, 2), x as (select *, row_number() over (partition by entity order by "year") n, count(*) over (partition by entity) c from y),
+p as (select entity, ("year" + 25) || 'E' period, v::varchar raw from x where n <= 5 and c >= 5),
+i as (select *, 'ENT_' || upper(substr(sha256('company' || chr(31) || lower(entity)), 1, 16)) ent, 'MET_' || upper(substr(sha256('营业收入'), 1, 16)) met, 'PER_' || upper(substr(sha256(lower(period)), 1, 16)) per from p)
+select 'DATA_' || upper(substr(sha256(concat_ws(chr(31), ent, met, per, 'scalar', raw, raw, 'None', 'None', 'forecast')), 1, 16)) id, '营业收入 ' || period || ' = ' || raw "label", 3::bigint mentions, 3::bigint evidence from i""")
+def periodic_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Year tables of nations, each in two documents and twice in one of them, as nodes with merged evidence."""
+    years = _records(spark, sf).groupBy("entity", "year").agg(F.sum("volume").cast("long").alias("v"))
+    ordered = years.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("year", "v"))).alias("x"))
+    head = F.array_join(F.transform("x", lambda r: F.concat((r["year"] + 25).cast("string"), F.lit("E"))), " ")
+    row = F.concat(F.lit("营业收入 "), F.array_join(F.transform("x", lambda r: r["v"].cast("string")), " "))
+    text = F.concat(head, F.lit("\n"), row)
+    place = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(n).alias("sequence")) for d, n in (("a", 1), ("a", 2), ("b", 1))])).alias("at")
+    docs = ordered.select("entity", text.alias("text"), place).select(F.concat_ws("-", "entity", "at.d").alias("doc_id"), "entity", F.lit(1).alias("page"), "at.sequence", F.lit("table_like").alias("object_type"), "text")
+    nodes, proof = tables.periodic_nodes(tables.periodic(docs), docs.select("doc_id", F.col("entity").alias("issuer")).distinct())
+    n = proof.groupBy(F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("evidence"))
+    return nodes.join(n, "id").select("id", "label", "mentions", "evidence")
