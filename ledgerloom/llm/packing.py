@@ -22,7 +22,7 @@ from .common import ARROW_ROWS, materialize, running_offsets
 
 LENGTH, END = 1024, 0
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: The pre-tokenisation pattern of byte-level BPE, a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -69,13 +69,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     counts, rows = labelled(docs, labels, "toxic", per_class)
     if len(counts) < 2:
         return Model()
-    bags, y, held, seen = [], [], (Counter(), Counter()), set()
+    bags, y, held, seen, number = [], [], (Counter(), Counter()), set(), {}  # a text is held as its words' numbers and counts
     for _, text, label in rows:
         words = Counter(_WORD.findall(text.lower()))
         if (mark := hash(frozenset(words.items()))) in seen:
             continue  # a copy teaches nothing new
         seen.add(mark)
-        bags.append(words)
+        bags.append((np.array([number.setdefault(w, len(number)) for w in words], np.int32), np.array(list(words.values()), np.int32)))
         y.append(label)
         held[label].update({f for w in words for f in features(w)})
     n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
@@ -83,10 +83,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     rate = lambda f: (held[1][f] / n1, held[0][f] / n0)
     apart = {f: (a - b) ** 2 / (a + b) for f, n in held[1].items() if n >= least for a, b in [rate(f)] if a >= RATIO * b}
     known = {f: i for i, f in enumerate(sorted(apart, key=lambda f: (-apart[f], f))[:FEATURES])}
-    hits, x = _Hits(known), np.zeros((len(bags), len(known)))
-    for row, words in enumerate(bags):
-        for w, n in words.items():
-            for i in hits[w]:
+    found, x = [tuple(i for f in features(w) if (i := known.get(f)) is not None) for w in number], np.zeros((len(bags), len(known)))
+    for row, (words, times) in enumerate(bags):
+        for w, n in zip(words.tolist(), times.tolist(), strict=True):
+            for i in found[w]:
                 x[row, i] += n
     y, total = np.array(y), x.sum(axis=1)
     cuts = np.quantile(total[y == 1], [1 / 3, 2 / 3]) if (y == 1).any() else [0, 0]
