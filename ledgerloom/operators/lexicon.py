@@ -22,10 +22,16 @@ HIT = "struct<start:int,end:int,name:string>"
 _END = ""
 
 
-def _folded(c: str) -> str:
-    """A code point without its case, if that is one code point as well."""
-    low = c.lower()
-    return low if len(low) == 1 else c
+class _Fold(dict):
+    """Code points without their case, if that is one code point as well; for str.translate."""
+
+    def __missing__(self, code: int) -> int:
+        low = chr(code).lower()
+        self[code] = found = ord(low) if len(low) == 1 else code
+        return found
+
+
+_FOLD = _Fold()
 
 
 class Trie:
@@ -35,27 +41,26 @@ class Trie:
         self.root: dict = {}
         for name in sorted(names, reverse=True):
             node = self.root
-            for c in name:
-                node = node.setdefault(_folded(c), {})
+            for c in name.translate(_FOLD):
+                node = node.setdefault(c, {})
             if name:
                 node[_END] = name
 
-    def longest(self, text: str, start: int) -> tuple[int, str] | None:
-        """The end and the spelling of the longest name that begins at a place."""
-        node, found = self.root, None
-        for at in range(start, len(text)):
-            node = node.get(_folded(text[at]))
-            if node is None:
-                break
-            if _END in node:
-                found = at + 1, node[_END]
-        return found
-
-    def marks(self, text: str) -> Iterator[tuple[int, int, str]]:
-        """(start, end, name) of the longest name at every place that begins one."""
-        for start, c in enumerate(text):
-            if _folded(c) in self.root and (found := self.longest(text, start)):
-                yield start, *found
+    def marks(self, text: str, apart: bool = False) -> Iterator[tuple[int, int, str]]:
+        """(start, end, name) of the longest name at every place that begins one; apart: from each on to the next behind it."""
+        low, root, n, start = text.translate(_FOLD), self.root, len(text), 0
+        while start < n:
+            node, at, end, name = root.get(low[start]), start + 1, 0, ""
+            while node is not None:
+                if _END in node:
+                    end, name = at, node[_END]
+                if at == n:
+                    break
+                node = node.get(low[at])
+                at += 1
+            if end:
+                yield start, end, name
+            start = end if end and apart else start + 1
 
 
 def thinned(marks: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -86,6 +91,7 @@ def occurrences(texts: DataFrame, column: str, lexicon: DataFrame, out: str = "f
     """
     spark, rows = texts.sparkSession, texts.select(F.struct(*[c for c in texts.columns if c != out]).alias("row"), F.col(column).alias("text"), F.array().cast(f"array<{HIT}>").alias("found"))
     blocks = _blocks(lexicon, most)
+    only = len(blocks) == 1
     for i, block in enumerate(blocks):
         last = i == len(blocks) - 1
         held = spark.sparkContext.broadcast(block.toArrow().column("name").to_pylist())  # `most` code points, or so
@@ -95,8 +101,8 @@ def occurrences(texts: DataFrame, column: str, lexicon: DataFrame, out: str = "f
             for batch in batches:
                 made = []
                 for text, before in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                    marks = [(m["start"], m["end"], m["name"]) for m in before] + list(trie.marks(text or ""))
-                    made.append([{"start": s, "end": e, "name": n} for s, e, n in (thinned(marks) if last else marks)])
+                    marks = [(m["start"], m["end"], m["name"]) for m in before] + list(trie.marks(text or "", only))
+                    made.append([{"start": s, "end": e, "name": n} for s, e, n in (thinned(marks) if last and not only else marks)])
                 at = batch.schema.get_field_index("found")
                 yield batch.set_column(at, "found", pa.array(made, batch.schema.field(at).type))
 
