@@ -88,11 +88,22 @@ def clamp(x: Column | str) -> Column:
     return F.least(F.greatest(_c(x), F.lit(0.0)), F.lit(1.0))
 
 
-def display_number(value, unit) -> Column:
-    """T17."""
+def rounded(x: Column, places: int = 2) -> Column:
+    """A double rounded half away from zero after it is scaled in double precision, as SQL's round does."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
+def half_even_double(x: Column, places: int = 2) -> Column:
+    """A double rounded half even after it is scaled in double precision, as SQL's round_even does."""
+    return F.rint(x * 10.0**places) / 10.0**places
+
+
+def display_number(value, unit, double: bool = False) -> Column:
+    """T17. double: quotients are doubles, as in SQL, so that a tie such as 150.015 may fall to either side; else exact decimals."""
     v, u = _c(value).cast(DECIMAL), _c(unit)
     two = lambda x: F.bround(x, 2).cast("decimal(38,2)").cast("string")
-    cny = F.when(F.abs(v) >= 100000000, F.concat(two(v / 100000000), F.lit("亿元"))).when(F.abs(v) >= 10000, F.concat(two(v / 10000), F.lit("万元"))).otherwise(F.concat(two(v), F.lit("元")))
+    over = lambda n: half_even_double(v.cast("double") / n).cast("decimal(38,2)").cast("string") if double else two(v / n)
+    cny = F.when(F.abs(v) >= 100000000, F.concat(over(100000000), F.lit("亿元"))).when(F.abs(v) >= 10000, F.concat(over(10000), F.lit("万元"))).otherwise(F.concat(two(v), F.lit("元")))
     return F.when(u == "CNY", cny).when(u == "CNY/share", F.concat(two(v), F.lit("元/股"))).when(u == "%", F.concat(two(v), F.lit("%"))).otherwise(F.concat(_c(value).cast("string"), u))
 
 

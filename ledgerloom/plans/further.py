@@ -206,11 +206,11 @@ select event_id, case u when 'CNY' then case when abs(y) >= 100000000 then round
 def display_values(spark: SparkSession, sf: str) -> DataFrame:
     """Event values as numbers of four units: displayed, clamped and scaled."""
     k = F.col("event_id")
-    v = F.round("value", 2).cast("decimal(18,2)")
+    v = vl.rounded(F.col("value")).cast("decimal(18,2)")
     unit = F.element_at(F.array(*map(F.lit, ("CNY", "CNY/share", "%", "GB"))), (k % 4 + 1).cast("int"))
     y = F.when(unit == "CNY", v * 10000 * (k % 3 * 5000 + 1).cast("decimal(10,0)")).otherwise(v).cast("decimal(30,2)")
     rows = table(spark, sf, "events").select("event_id", unit.alias("u"), y.alias("y"), v.alias("v"))
-    return rows.select("event_id", vl.display_number("y", F.col("u")).alias("display"), vl.clamp(F.col("v").cast("double") / 50).alias("clamped"), vl.base_value(F.lit("100"), F.col("v").cast("string")).cast("double").alias("base"))
+    return rows.select("event_id", vl.display_number("y", F.col("u"), double=True).alias("display"), vl.clamp(F.col("v").cast("double") / 50).alias("clamped"), vl.base_value(F.lit("100"), F.col("v").cast("string")).cast("double").alias("base"))
 
 
 @query("""select o_orderstatus stage, count(*) calls, sum(o_orderkey % 100)::bigint "seconds", sum(case when o_orderkey % 3 <> 0 then o_custkey else 0 end)::bigint tokens from orders group by 1""")

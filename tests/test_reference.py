@@ -250,3 +250,18 @@ def test_entry_queries_have_matching_names(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_display_values_divide_as_their_sql(spark, tmp_path):
+    """Ties of exact decimals that double precision moves to either side (150 * 1.0001 = 150.015 and the like)."""
+    import duckdb
+
+    from ledgerloom.plans.further import ORACLES, QUERIES
+
+    values = [150.0, 550.0, 650.0, 50.0, 0.145, 1.005, 149.996, 2.675]
+    rows = [(12 * i + j, v) for i, v in enumerate(values) for j in range(12)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in QUERIES["display_values"](spark, str(tmp_path)).orderBy("event_id").collect()]
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == con.execute(f"select * from ({ORACLES['display_values']}) order by event_id").fetchall()
