@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,25 +202,35 @@ class Topological:
 def admit_acyclic(relations: DataFrame, split: bool = False) -> DataFrame:
     """Relations (graph_id, proposal_id, source_id, target_id, explicit, confidence) with column admitted.
 
-    Within each graph they are admitted one by one (explicit first, then by confidence, then by id) unless they would
-    close a cycle. The order is the meaning, so this is a grouped pandas function with an order of the nodes that is kept
-    as edges come. Graphs are the unit of parallelism; split: weakly connected parts of graphs are, which decide nothing
-    about each other, for graphs too large for a task.
+    Within each graph they are admitted one by one (explicit first, then by confidence, then by id; nulls last) unless they
+    would close a cycle. The order is the meaning: Spark sorts each graph's relations into it, and a task goes through its
+    graphs one after another with an order of the nodes that is kept as edges come, of one graph at a time. Graphs are the
+    unit of parallelism; split: weakly connected parts of graphs are, which decide nothing about each other, for graphs too
+    large for a task.
     """
-    schema = f"{relations.select('graph_id', 'proposal_id', 'source_id', 'target_id').schema.simpleString()[7:-1]},admitted:boolean"
-
-    def admit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["explicit", "confidence", "proposal_id"], ascending=[False, False, True], kind="stable")
-        order = Topological()
-        flags = [order.add(s, t) for s, t in zip(pdf.source_id, pdf.target_id, strict=True)]
-        return pdf.assign(admitted=flags)[["graph_id", "proposal_id", "source_id", "target_id", "admitted"]]
-
+    out = ["graph_id", "proposal_id", "source_id", "target_id"]
     if not split:
-        return relations.groupBy("graph_id").applyInPandas(admit, schema)
-    end = lambda c: F.struct("graph_id", F.col(c).alias("id"))
-    parts = weak_parts(relations.select(end("source_id").alias("source_id"), end("target_id").alias("target_id")))
-    held = relations.join(parts.select("id.graph_id", F.col("id.id").alias("source_id"), F.col("part.id").alias("part")), ["graph_id", "source_id"])
-    return held.groupBy("graph_id", "part").applyInPandas(admit, schema)
+        held, unit = relations, ["graph_id"]
+    else:
+        end = lambda c: F.struct("graph_id", F.col(c).alias("id"))
+        parts = weak_parts(relations.select(end("source_id").alias("source_id"), end("target_id").alias("target_id")))
+        held = relations.join(parts.select("id.graph_id", F.col("id.id").alias("source_id"), F.col("part.id").alias("part")), ["graph_id", "source_id"])
+        unit = ["graph_id", "part"]
+    sure = F.nanvl(F.col("confidence").cast("double"), F.lit(None).cast("double"))
+    order = [*unit, F.desc_nulls_last("explicit"), sure.desc_nulls_last(), F.asc_nulls_last("proposal_id")]
+    rows = held.repartition(*unit).sortWithinPartitions(*order).select(*out, F.struct(*unit).alias("unit"))
+
+    def admit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = object(), Topological()
+        for batch in batches:
+            flags = []
+            for graph, s, t in zip(*(batch.column(c).to_pylist() for c in ("unit", "source_id", "target_id")), strict=True):
+                if graph != now:
+                    now, seen = graph, Topological()
+                flags.append(seen.add(s, t))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(flags, pa.bool_())], [*out, "admitted"])
+
+    return rows.mapInArrow(admit, rows.select(*out, F.lit(True).alias("admitted")).schema)
 
 
 def reasoning_steps(admitted: DataFrame) -> DataFrame:

@@ -112,3 +112,43 @@ def test_admission_by_parts(spark):
         own = sorted((r for r in rows if r[0] == g), key=lambda r: (not r[4], -r[5], r[1]))
         want += [(g, r[1], r[2], r[3], f) for r, f in zip(own, greedy([(r[2], r[3]) for r in own]), strict=True)]
     assert whole == sorted(want)
+
+
+def test_admission_takes_nulls_and_nan_last_over_small_batches(spark):
+    """Graphs that run over batches' ends, a graph without id, confidences that are null or no number, a repeated id."""
+    from ledgerloom.operators import graph
+
+    rng, rows = random.Random(7), []
+    for g in [*range(30), None]:
+        for i in range(rng.randrange(1, 40)):
+            sure = rng.choice([0.5, 0.9, None, float("nan")])
+            rows.append((g, f"p{i // 2 if i % 9 == 0 else i}", rng.randrange(8), rng.randrange(8), rng.choice([True, False, None]), sure))
+    df = spark.createDataFrame(rows, "graph_id long, proposal_id string, source_id long, target_id long, explicit boolean, confidence double")
+    df = df.dropDuplicates(["graph_id", "proposal_id"])
+    want = {}
+    last = lambda x: x is None or x != x
+    rank = lambda r: (last(r.explicit), not r.explicit, last(r.confidence), 0 if last(r.confidence) else -r.confidence, r.proposal_id)
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.graph_id, []).append(r)
+    for g, rs in by.items():
+        down = {}
+        for r in sorted(rs, key=rank):
+            todo, seen = [r.target_id], {r.target_id}
+            while todo:
+                for x in down.get(todo.pop(), ()):
+                    if x not in seen:
+                        seen.add(x)
+                        todo.append(x)
+            want[g, r.proposal_id] = r.source_id not in seen
+            if want[g, r.proposal_id]:
+                down.setdefault(r.source_id, []).append(r.target_id)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        plan = graph.admit_acyclic(df)
+        assert {(r.graph_id, r.proposal_id): r.admitted for r in plan.collect()} == want
+        assert "FlatMapGroups" not in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
