@@ -19,7 +19,7 @@ from ..functions import values as vl
 from ..functions import variants as vr
 from ..operators import agenda, audit, blocks, candidates, closure, cycles, evaluation, evidence, facts, graph, lexicon, payload, ranking, statements, tables, validation, views
 from ..session import table
-from ..plans.rounds import shared_dir
+from ..plans.rounds import shared_dir, written
 from ..sources import announcements, landed, sinks
 
 QUERIES: dict = {}
@@ -125,14 +125,20 @@ def stable_ids_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _records(spark, sf):
-    """Quarterly revenue, discount, tax and quantity of each nation."""
-    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    dims = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(dims, F.col("o_custkey") == F.col("c_custkey"))
+    """Quarterly revenue, discount, tax and quantity of each nation.
+
+    Lines are summed by order before they meet the orders, and the few rows that result are written, as they are read several
+    times.
+    """
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    dims = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     exact = lambda c, t: F.col(c).cast(t)  # noqa: E731  decimals before products: the same sums everywhere
     price, off, tax = exact("l_extendedprice", "decimal(12,2)"), exact("l_discount", "decimal(4,2)"), exact("l_tax", "decimal(4,2)")
-    money = lambda x: F.sum(x).cast("double")
-    return rows.groupBy(F.col("n_name").alias("entity"), F.year("o_orderdate").cast("long").alias("year"), F.quarter("o_orderdate").cast("long").alias("quarter")).agg(money(price).alias("revenue"), money(price * off).alias("cost"), money(price * tax).alias("research"), money(exact("l_quantity", "decimal(12,2)")).alias("volume"))
+    parts = {"revenue": price, "cost": price * off, "research": price * tax, "volume": exact("l_quantity", "decimal(12,2)")}
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(*[F.sum(x).alias(n) for n, x in parts.items()])
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(dims, F.col("o_custkey") == F.col("c_custkey"))
+    keys = [F.col("n_name").alias("entity"), F.year("o_orderdate").cast("long").alias("year"), F.quarter("o_orderdate").cast("long").alias("quarter")]
+    return written(rows.groupBy(*keys).agg(*[F.sum(n).cast("double").alias(n) for n in parts]), "records")
 
 
 _RECORDS = """

@@ -103,3 +103,10 @@ def test_last_price(spark):
     got = {(r.entity, r.value, r.period_end, r.display, r.scope, r.status) for r in made.propositions.collect()}
     assert got == {("A", "12.5", "2020-12-31", "12.50元/股", "security", "reportable"), ("C", "4", "2020-12-31", "4.00元/股", "security", "reportable")}
     assert made.edges.count() == 4 and made.evidence.count() == 2 and made.sources.count() == 2
+
+
+def test_records_are_read_from_files_written_once(spark, sf):
+    from ledgerloom.plans import catalogue
+
+    plan = catalogue._records(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "l_orderkey" not in plan
