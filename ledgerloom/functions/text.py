@@ -130,14 +130,16 @@ def metric_occurrences(x: Column | str) -> Column:
 
 def decimal_text(x: Column | str) -> Column:
     """A number's text without an exponent, all its digits kept; null if it is no finite number."""
-    part = lambda i: F.regexp_extract(F.trim(_c(x).cast("string")), r"^([-+]?)(\d*)\.?(\d*)(?:[eE]([-+]?\d+))?$", i)
+    text = F.trim(_c(x).cast("string"))
+    part = lambda i: F.regexp_extract(text, r"^([-+]?)(\d*)\.?(\d*)(?:[eE]([-+]?\d+))?$", i)
     digits = F.concat(part(2), part(3))
     point = F.length(part(2)) + F.coalesce(F.nullif(part(4), F.lit("")).try_cast("int"), F.lit(0))  # digits before the point
     n = F.length(digits)
     whole = F.when(point <= 0, "0").otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, "0"))
     rest = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).when(point < n, F.substring(digits, point + 1, n))
     whole = F.coalesce(F.nullif(F.regexp_replace(whole, "^0+(?=.)", ""), F.lit("")), F.lit("0"))
-    return F.when(n > 0, F.concat(F.when(part(1) == "-", "-").otherwise(""), whole, F.when(F.length(rest) > 0, F.concat(F.lit("."), rest)).otherwise("")))
+    moved = F.when(n > 0, F.concat(F.when(part(1) == "-", "-").otherwise(""), whole, F.when(F.length(rest) > 0, F.concat(F.lit("."), rest)).otherwise("")))
+    return F.when(text.rlike(r"\A-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"), text).otherwise(moved)  # most numbers are plain: one match instead of dozens
 
 
 def truncate(x: Column | str, n: int = 88) -> Column:

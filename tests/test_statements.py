@@ -110,3 +110,12 @@ def test_records_are_read_from_files_written_once(spark, sf):
 
     plan = catalogue._records(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "l_orderkey" not in plan
+
+
+def test_plain_numbers_are_told_by_one_match(spark):
+    from ledgerloom.functions.text import decimal_text
+
+    got = [r.n for r in spark.createDataFrame([("1.50",), ("-0",), ("007",), ("5.",), ("12\n",), ("1e3",), ("-1.2E-3",), ("x",), (None,)], "x string").select(decimal_text("x").alias("n")).collect()]
+    assert got == ["1.50", "-0", "7", "5", "12", "1000", "-0.0012", None, None]
+    plan = spark.range(1).select(decimal_text("id"))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("RLIKE") < plan.index("regexp_extract")
