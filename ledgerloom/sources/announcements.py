@@ -12,15 +12,21 @@ import json
 import re
 from collections.abc import Iterator
 from datetime import date
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .landed import announcement_reasons
 
 #: Fixed values of the service: hits of a page, categories, base address, forms of a security's code.
 PAGE_SIZE = 30
+#: Pages that a worker turns into a batch at once: Spark itself would gather 10,000 rows of Python objects.
+BATCH = 128
 CATEGORIES = {
     "annual_report": "category_ndbg_szsh",
     "half_year_report": "category_bndbg_szsh",
@@ -97,8 +103,8 @@ class File(InputPartition):
 
 
 class PageReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, schema: StructType):
+        self.path, self.schema = path, to_arrow_schema(schema)
 
     def partitions(self) -> list[File]:
         from pyarrow import fs
@@ -107,7 +113,12 @@ class PageReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
         return [File(f.path) for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
 
-    def read(self, partition: File) -> Iterator[tuple]:
+    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+        rows = self._rows(partition)
+        while some := list(islice(rows, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), self.schema, strict=True)], schema=self.schema)
+
+    def _rows(self, partition: File) -> Iterator[tuple]:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.path)
@@ -134,7 +145,7 @@ class LandedPages(DataSource):
         path = self.options.get("path")
         if not path:
             raise ValueError("landed_announcements needs a path")
-        return PageReader(path if "://" in path else path.replace("file:", "", 1) if path.startswith("file:") else path)
+        return PageReader(path if "://" in path else path.replace("file:", "", 1) if path.startswith("file:") else path, schema)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
