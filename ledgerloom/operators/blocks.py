@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from ..functions.text import LEGAL_MARKERS, LOOSE_NUMBER, NORM_STEPS, strip
 
 
@@ -76,11 +77,11 @@ def source_blocks(pages: DataFrame, most: int = 2800) -> DataFrame:
     """Pages (doc_id, page, text) to citeable blocks.
 
     Columns: block (from 1 in its page), block_id, object_type, raw_text, normalized_text, sha256 (of the raw text),
-    char_start and char_end (null if the block isn't found in the page). Texts are worked on page by page in Arrow batches.
+    char_start and char_end (null if the block isn't found in the page). Texts are worked on page by page in parts of Arrow batches.
     """
 
     def each(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for i, (page, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for n, (raw, norm, start) in enumerate(page_blocks(text or "", most), 1):

@@ -79,3 +79,14 @@ def test_specifications_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, evaluation.match_nodes(nodes, specs).collect()))
     monkeypatch.setattr(evaluation, "SPEC_BLOCK", 4)
     assert sorted(map(tuple, evaluation.match_nodes(nodes, specs).collect())) == whole and len(whole) == 30
+
+
+def test_texts_are_worked_on_in_parts_of_a_batch():
+    import pyarrow as pa
+
+    from ledgerloom.functions.batches import slices
+
+    whole = pa.RecordBatch.from_pydict({"x": list(range(300))})
+    parts = list(slices([whole, whole.slice(0, 0), whole.slice(5, 3)]))
+    assert [p.num_rows for p in parts] == [128, 128, 44, 3]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [*range(300), 5, 6, 7]
