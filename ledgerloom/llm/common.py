@@ -17,6 +17,8 @@ HOT_SHARE = 1 / 1000
 BROADCAST_ROWS = 1_000_000
 #: Rows of whole texts or shingle sets that go to a Python worker at once; what they take is held outside of the heap.
 ARROW_ROWS = 500
+#: Rows of such batches where a worker holds more of each row than its text: whole rows that come back, shingle sets.
+WHOLE_ROWS = 128
 
 
 def materialize(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:

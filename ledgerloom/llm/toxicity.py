@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_held_out
+from .common import WHOLE_ROWS, crc_held_out, materialize
 from .training import labelled
 
 #: Labelled rows of each class that are learned from, at most; features kept, at most.
@@ -157,4 +157,4 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([m.at_least(t, hits)[0] < CUT for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return materialize(docs.mapInArrow(each, docs.schema), "kept", WHOLE_ROWS)  # whole rows go to Python and back
