@@ -1,25 +1,34 @@
 """Evidence of propositions along an argument graph, as sets of bits that are carried instead of (ancestor, descendant) pairs.
 
 Evidence is numbered densely, near the proposition that holds it, and a proposition's set is rows (id, word, bits) of 64
-pieces of evidence each. Long chains are contracted before anything is carried along them: in each round an independent set
-of nodes with at most one parent, or without children, is taken out (its own bits and its parent pass to its children), so
-a chain loses a third of its nodes a round and rounds grow with the logarithm of its length. What can't be contracted, a
-core in which every node has several parents or stands on a cycle, is settled by passing on only bits that are new. Then
-the nodes that were taken out get their sets in reverse order, each from its parents'.
+pieces of evidence each. What rests on near ids is settled first, in passes over the rows sorted by id: in a task, a few
+thousand rows at a time pass their sets on among themselves, and only edges that leave them stay. Where passes no longer
+help, long chains are contracted before anything is carried along them: in each round an independent set of nodes with at
+most one parent, or without children, is taken out (its own bits and its parent pass to its children), so a chain loses a
+third of its nodes a round and rounds grow with the logarithm of its length. What can't be contracted, a core in which
+every node has several parents or stands on a cycle, is settled by passing on only bits that are new. Then the nodes that
+were taken out get their sets in reverse order, each from its parents'.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from ..plans.rounds import drop_written, written
 
 SETS = ["id", "word", "bits"]
 #: Rounds of contraction, by which chains become a seventh as long or so, and rounds of carrying that follow, in turn.
 CONTRACTIONS, CARRIES = 5, 24
+#: Rows of edges and sets, sorted by id, that are settled together; the rows they make are a quarter of its square at most.
+NEAR = 2048
+#: Nodes above which the parents that a pass leaves meet their sets in a shuffle instead of a broadcast.
+BROADCAST = 1_000_000
 
 
 def numbered(grounded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,12 +65,15 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return fit.join(beaten, "id", "left_anti").select("id")
 
 
-def _state(edges: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges and sets after one job has written both."""
+def _rows(edges: DataFrame, sets: DataFrame) -> DataFrame:
     null = lambda c, like: F.lit(None).cast(like.schema[c].dataType).alias(c)
     rows = edges.select(F.lit("edge").alias("kind"), "id", "parent_id", null("word", sets), null("bits", sets))
-    rows = rows.union(sets.select(F.lit("set"), "id", null("parent_id", edges), "word", "bits"))
-    held = written(rows, "state", by="kind")
+    return rows.union(sets.select(F.lit("set"), "id", null("parent_id", edges), "word", "bits"))
+
+
+def _state(edges: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and sets after one job has written both."""
+    held = written(_rows(edges, sets), "state", by="kind")
     return held.where("kind = 'edge'").select("id", "parent_id"), held.where("kind = 'set'").select(*SETS)
 
 
@@ -73,8 +85,113 @@ def evidence_sets(parents: DataFrame, own: DataFrame) -> DataFrame:
     stand for contracted ones, which never outnumber them. A parent of very many is a skewed key of an inner join, which
     adaptive execution splits; a node of very many parents is pre-aggregated.
     """
-    edges = parents.select("id", "parent_id").where("id <> parent_id").distinct()
-    (edges, sets), levels, done = _state(edges, _united(own.where("id is not null"))), [], False
+    edges, sets = _state(parents.select("id", "parent_id").where("id <> parent_id").distinct(), _united(own.where("id is not null")))
+    return _by_passes(edges, sets, edges.count()) if isinstance(edges.schema["id"].dataType, AtomicType) else _by_rounds(edges, sets)
+
+
+def _by_passes(edges: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The sets of all nodes, by passes over near ids for as long as each leaves half of the `n` edges at most."""
+    if not n:
+        return sets
+    rows = _rows(edges, sets).select("id", "parent_id", "word", "bits")
+    schema = rows.select(F.lit("").alias("kind"), "*").schema
+    most, parts = NEAR, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    settled = rows.repartitionByRange(min(n // NEAR + 1, parts), "id").sortWithinPartitions("id").mapInArrow(lambda batches: _near(batches, most), schema)
+    held = written(settled, "near", by="kind")
+    after, done = held.where("kind = 'edge'").select("id", "parent_id"), held.where("kind = 'done'").select(*SETS)
+    left = after.count()
+    if not left:
+        return held.where("kind <> 'edge'").select(*SETS)
+    above = written(after.select(F.col("parent_id").alias("id")).distinct(), "above")
+    above = F.broadcast(above) if above.count() <= BROADCAST else above
+    tops = written(done.join(above, "id", "left_semi"), "tops")
+    open_sets = held.where("kind = 'set'").select(*SETS).union(tops)
+    known = open_sets.select(F.col("id").alias("parent_id")).union(after.select("id")).distinct()  # other parents hold nothing
+    after = written(after.join(known, "parent_id", "left_semi").select("id", "parent_id"), "edges")
+    left = after.count()
+    rest = _by_passes(after, open_sets, left) if left <= n / 2 else _by_rounds(after, open_sets)
+    return done.union(rest.join(tops.select("id").distinct(), "id", "left_anti").select(*SETS))
+
+
+def _near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, parent_id, word, bits), sorted by id, settled about `most` at a time, cut between nodes.
+
+    A node of more rows than that goes through as it is.
+    """
+    held, begun = None, False  # begun: the first node of held has had rows before
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            piece = batch.slice(at, most)
+            held = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(held.columns, piece.columns, strict=True)], schema=piece.schema) if held is not None else piece
+            if held.num_rows < most:
+                continue
+            nodes = held.column(0).dictionary_encode().indices.to_pylist()
+            last = nodes.index(nodes[-1])
+            if last:
+                yield _settled(held.slice(0, last), begun)
+                held, begun = held.slice(last), False
+            else:
+                yield _settled(held, True)
+                held, begun = None, True
+    if held is not None:
+        yield _settled(held, begun)
+
+
+def _settled(rows: pa.RecordBatch, begun: bool) -> pa.RecordBatch:
+    """Rows with a kind once sets have passed among their nodes, from parents to children.
+
+    A node's set holds those of its ancestors here, and its edges lead to what these rest on elsewhere: to a parent's only
+    edge instead of the parent, to nothing if it has none, so edges never outnumber the given ones. Sets are `done` if no
+    edge is left. On and below cycles, and for a first node that has `begun` before, nothing changes.
+    """
+    n, field = rows.num_rows, rows.schema.field
+    both = pa.concat_arrays([rows.column(0), rows.column(1)]).dictionary_encode()
+    code, words, bits = both.indices.to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist()
+    parents, own = {}, {}
+    for i, p, w, b in zip(code[:n], code[n:], words, bits, strict=True):
+        above, held = parents.setdefault(i, []), own.setdefault(i, {})
+        if p is None:
+            held[w] = held.get(w, 0) | b
+        else:
+            above.append(p)
+    inside = parents.keys() - {code[0]} if begun else parents.keys()
+    children, waits = {}, {}
+    for i in inside:
+        waits[i] = 0
+        for p in parents[i]:
+            if p in inside:
+                children.setdefault(p, []).append(i)
+                waits[i] += 1
+    rests, ready = {}, [i for i in waits if not waits[i]]
+    for i in ready:  # grows on the way
+        held, up = own[i], set()
+        for p in parents[i]:
+            if p not in rests:
+                up.add(p)
+                continue
+            for w, b in own[p].items():
+                held[w] = held.get(w, 0) | b
+            up |= rests[p] if len(rests[p]) < 2 else {p}
+        rests[i] = up
+        for c in children.get(i, ()):
+            waits[c] -= 1
+            if not waits[c]:
+                ready.append(c)
+    out = []
+    for i, held in own.items():
+        up = rests.get(i, parents[i])
+        out += [("edge", i, p, None, None) for p in up]
+        kind = "set" if up or i not in rests else "done"
+        out += [(kind, i, None, w, b) for w, b in held.items()]
+    kinds, ids, ups, words, bits = zip(*out, strict=True) if out else ((),) * 5
+    named = lambda codes: both.dictionary.take(pa.array(codes, both.indices.type))
+    columns = [pa.array(kinds, pa.string()), named(ids), named(ups), pa.array(words, field(2).type), pa.array(bits, field(3).type)]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", *rows.schema.names])
+
+
+def _by_rounds(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of all nodes, by contraction and carrying."""
+    (edges, sets), levels, done = _state(edges, _united(sets)), [], False
     while not done:
         contracted = 0
         while contracted < CONTRACTIONS and not edges.isEmpty():

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from ledgerloom.operators import audit, closure
+from ledgerloom.plans.rounds import written
 
 
 def reach(edges, ids):
@@ -56,6 +57,27 @@ def test_sets_without_edges_or_evidence(spark):
     check_sets(spark, [("a", "b")], [])
 
 
+def test_near_chains_settle_without_rounds(spark, monkeypatch):
+    """Before, the rounds of a chain of 64 wrote dozens of folders for any number of rows."""
+    labels = []
+    monkeypatch.setattr(closure, "written", lambda df, label="round", by=None: labels.append(label) or written(df, label, by))
+    edges = [(g * 64 + i, g * 64 + i - 1) for g in range(30) for i in range(1, 64)]
+    parents = spark.createDataFrame(edges, "id long, parent_id long")
+    own, _ = closure.numbered(spark.createDataFrame([(i, 3 * i) for i in range(30 * 64) if i % 64], "id long, evidence_id long"))
+    assert {r.id: r.n for r in closure.sizes(closure.evidence_sets(parents, own)).collect()} == {i: i % 64 for i in range(30 * 64) if i % 64}
+    assert "gone" not in labels and len(labels) <= 14
+
+
+@pytest.mark.parametrize("near", [1, 5, 40, 4096])
+def test_sets_whatever_settles_together(spark, monkeypatch, near):
+    monkeypatch.setattr(closure, "NEAR", near)
+    rng = random.Random(near)
+    edges = [(f"n{i:03}", f"n{i - d:03}") for i in range(1, 80) for d in (1, 2, 7) if i >= d and rng.random() < 0.6]
+    edges += [("n010", "n012"), ("n070", "n020"), ("n020", "n075"), ("z1", "n050"), ("z2", "z1"), ("z2", "a0")] + [("big", f"n{i:03}") for i in range(0, 60, 2)]
+    grounded = [(f"n{i:03}", f"e{rng.randrange(200)}") for i in range(80) for _ in range(rng.randrange(3))] + [("a0", "top"), ("alone", "x")] + [("big", f"b{i}") for i in range(100)]
+    check_sets(spark, edges, grounded)
+
+
 def test_section_claims_and_baseline(spark):
     asked = spark.createDataFrame([("s1", "q1", 1), ("s1", "q2", 2), ("s2", "q3", 1)], "section_id string, question_id string, place int")
     answers = spark.createDataFrame([("q2", "p2", 1), ("q1", "p1", 2), ("q1", "p9", 1), ("q2", "p1", 9), ("q3", "p3", 1)], "question_id string, id string, seq int")
