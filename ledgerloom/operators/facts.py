@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rounds import partitions
 from .graph import reportable
 
 
@@ -54,8 +55,14 @@ def margins(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def conflicts(facts: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Keys with two or more different values. The keys should name the entity as well, for tables of many."""
-    return facts.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("facts"), F.count_distinct(value).alias("distinct_values")).where("distinct_values >= 2")
+    """Keys with two or more different values. The keys should name the entity as well, for tables of many.
+
+    Facts go by keys and value first, so the values of a frequent key are told apart in many tasks.
+    """
+    n = partitions(facts)
+    held = facts.select(*keys, value).where(F.col(value).isNotNull())
+    each = held.repartition(n, *keys, value).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("facts"))
+    return each.repartition(n, *keys).groupBy(*keys).agg(F.sum("facts").alias("facts"), F.count(F.lit(1)).alias("distinct_values")).where("distinct_values >= 2")
 
 
 def contested(props: DataFrame, parents: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a partition, about, where their number follows the input (`partitions`).
+SPREAD_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +37,16 @@ def written(df: DataFrame, label: str = "round", by: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions(df: DataFrame, each: int = 1) -> int:
+    """How many partitions df's rows, or `each` times as many, need at SPREAD_ROWS each; at least the session's number.
+
+    What is repartitioned by that number and then grouped by the same keys takes a memory of a task that doesn't follow the
+    input. df is counted for it, which for a Parquet table reads footers only.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, df.select(F.lit(1)).count() * each // SPREAD_ROWS + 1)
+
+
 def appended(frames: Iterator[DataFrame], label: str) -> DataFrame:
     """Frames of one schema written one after another into one folder, and read back.
 
