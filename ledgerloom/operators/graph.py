@@ -63,7 +63,8 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 def degree(edges: DataFrame) -> DataFrame:
     """In, out and total degree of every end."""
-    ends = edges.select(F.col("source_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("target_id", F.lit(0), F.lit(1)))
+    end = lambda c, o: F.struct(F.col(c).alias("id"), F.lit(o).alias("o"), F.lit(1 - o).alias("i"))
+    ends = edges.select(F.inline(F.array(end("source_id", 1), end("target_id", 0))))
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count(F.lit(1)).alias("degree"))
 
 

@@ -19,7 +19,7 @@ from ..functions import values as vl
 from ..functions import variants as vr
 from ..operators import agenda, audit, blocks, candidates, closure, cycles, evaluation, evidence, facts, graph, lexicon, payload, ranking, statements, tables, validation, views
 from ..session import table
-from ..plans.rounds import shared_dir, written
+from ..plans.rounds import partitions, shared_dir, written
 from ..sources import announcements, landed, sinks
 
 QUERIES: dict = {}
@@ -240,7 +240,8 @@ def contested_propagation(spark: SparkSession, sf: str) -> DataFrame:
 def _trade(spark, sf):
     """Supplier to part edges of the order lines, with their dearest line's confidence."""
     lines = table(spark, sf, "lineitem")
-    return lines.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"), (1 - F.min("l_discount")).alias("confidence")).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), F.lit("SUPPORTS").alias("edge_type"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_id"), "n", "confidence")
+    near = lines.repartition(partitions(lines), "l_suppkey", "l_partkey")
+    return near.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"), (1 - F.min("l_discount")).alias("confidence")).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), F.lit("SUPPORTS").alias("edge_type"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_id"), "n", "confidence")
 
 
 _TRADE = """

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import facts
-from ledgerloom.plans import rounds
+from ledgerloom.operators import facts, graph
+from ledgerloom.plans import catalogue, rounds
 
 
 @pytest.fixture
@@ -26,3 +26,11 @@ def test_conflicts(spark, small):
             want.setdefault(k, []).append(v)
     assert {r.k: (r.facts, r.distinct_values) for r in out.collect()} == {k: (len(v), len(set(v))) for k, v in want.items() if len(set(v)) > 1}
     assert most(out) < 60
+
+
+def test_trade_and_degree(spark, sf, small):
+    trade = catalogue._trade(spark, sf)
+    assert most(trade) < trade.count() / 20
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "b"), ("c", None)], "source_id string, target_id string")
+    got = {(r.id, r.out_degree, r.in_degree, r.degree) for r in graph.degree(edges).collect()}
+    assert got == {("a", 2, 0, 2), ("b", 1, 3, 4), ("c", 1, 0, 1), (None, 0, 1, 1)}
