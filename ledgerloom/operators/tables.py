@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import METRIC_NAMES, PERIOD, TABLE_NUMBER, sha256, stable_id, strip
 from ..functions.values import DECIMAL, table_unit
+from ..plans.rounds import partitions
 from .lexicon import occurrences, segments
 
 PERIODS = 5
+#: Points of a block, about, by which `capacity` sets its number of partitions.
+POINTS = 4
 #: Fixed patterns of a capacity row and of a change of capacity.
 ROW = r"(?i)^(iPhone\s+\S+)\s+(20\d{2}\.\d{2})\s+(\d+GB)\s+(\d+GB)(?:\s+.*)?$"
 CHANGE = r"(?i)(内存容量|存储容量)\s*[：:]\s*从\s*(\d+GB)\s*向\s*(\d+GB)\s*升级"
@@ -73,7 +76,7 @@ def capacity(blocks: DataFrame) -> DataFrame:
 
     A row's line gives its reported memory and storage; each change of capacity in the same line gives the point before it
     and the point after it, of the same subject and period. A point named several times keeps its first endpoint; mentions
-    counts its distinct lines by block.
+    counts its distinct lines by block, told apart before points come together, since a document's lines may be many.
     """
     rows = blocks.select("doc_id", "sequence", F.posexplode(F.transform(F.split("text", "\n"), strip)).alias("n", "line")).where(F.col("line").rlike(ROW))
     part = lambda i: F.regexp_extract("line", ROW, i)
@@ -82,6 +85,8 @@ def capacity(blocks: DataFrame) -> DataFrame:
     change = lambda c, i: F.regexp_extract(c, CHANGE, i)
     moved = F.flatten(F.transform(F.regexp_extract_all("line", F.lit(CHANGE), F.lit(0)), lambda c: F.array(point(change(c, 1), change(c, 2), "before"), point(change(c, 1), change(c, 3), "after"))))
     points = rows.select("doc_id", "sequence", "n", "line", part(1).alias("subject"), part(2).alias("period"), F.posexplode(F.concat(own, moved)).alias("i", "x")).select("*", "x.*")
-    order = F.struct("sequence", "n", "i")
-    out = points.groupBy("doc_id", "subject", "metric", "period", "raw").agg(F.min_by("endpoint", order).alias("endpoint"), F.count_distinct("sequence", "line").alias("mentions"))
+    first = F.min(F.struct("sequence", "n", "i", "endpoint")).alias("first")
+    n, key = partitions(blocks, POINTS), ["doc_id", "subject", "metric", "period", "raw"]
+    lines = points.repartition(n, "doc_id", "line").groupBy(*key, "sequence", "line").agg(first)
+    out = lines.repartition(n, *key).groupBy(*key).agg(F.min("first").getField("endpoint").alias("endpoint"), F.count("sequence").alias("mentions"))
     return out.withColumn("number", F.regexp_extract("raw", r"\d+", 0).cast("long"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import facts, graph
+from ledgerloom.operators import facts, graph, tables
 from ledgerloom.plans import catalogue, rounds
 
 
@@ -34,3 +34,13 @@ def test_trade_and_degree(spark, sf, small):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "b"), ("c", None)], "source_id string, target_id string")
     got = {(r.id, r.out_degree, r.in_degree, r.degree) for r in graph.degree(edges).collect()}
     assert got == {("a", 2, 0, 2), ("b", 1, 3, 4), ("c", 1, 0, 1), (None, 0, 1, 1)}
+
+
+def test_capacity(spark, small):
+    line = "iPhone {0} 2020.{1:02} 4GB 64GB 内存容量：从 4GB 向 6GB 升级"
+    blocks = [(d, q, line.format(d, q % 2 + 1)) for d in range(100) for q in range(4)] + [(0, 0, line.format(0, 1)), (0, None, line.format(0, 1))]
+    out = tables.capacity(spark.createDataFrame(blocks, "doc_id int, sequence int, text string"))
+    got = {(r.doc_id, r.period, r.metric, r.raw): (r.endpoint, r.mentions) for r in out.collect()}
+    want = {(d, f"2020.0{p}", m, raw): (end, 2) for d in range(100) for p in (1, 2) for m, raw, end in (("内存容量", "4GB", "reported"), ("内存容量", "6GB", "after"), ("存储容量", "64GB", "reported"))}
+    assert got == want
+    assert most(out) < out.count() / 20
