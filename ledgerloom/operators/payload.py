@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rounds import partitions
 from .views import counts
 
 # Fields of the viewer's nodes and edges.
@@ -51,8 +52,11 @@ def node_documents(nodes: DataFrame, evidence: DataFrame, matches: DataFrame, ed
         ends.select(F.col("end").alias("id"), F.lit("edges").alias("kind"), text("edge_id").alias("order"), F.col("link").alias("edges")),
     ]
     parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), bag)
-    turn = F.row_number().over(Window.partitionBy("id", "kind").orderBy("order"))
-    few = parts.withColumn("turn", turn).where(F.col("turn") <= max(shown.values()))
+    n, most = partitions(parts.select("id")), max(shown.values())
+    # By id, kind and order first, so that a hub's parts are cut in many tasks before they come together.
+    near = parts.withColumn("share", F.pmod(F.xxhash64("order"), F.lit(n))).repartition(n, "id", "kind", "share")
+    first = lambda rows, *keys: rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("order"))).where(F.col("turn") <= most)
+    few = first(first(near, "id", "kind", "share").drop("turn", "share").repartition(n, "id", "kind"), "id", "kind")
     listed = lambda k: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("turn") <= shown[k]), F.struct("turn", k)))), lambda x: x[k]).alias(k)
     nested = few.groupBy("id").agg(*[listed(k) for k in SHOWN])
     totals = parts.groupBy("id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in SHOWN])

@@ -1,9 +1,11 @@
 """Groups of queries whose tasks once held more the larger the input was: partitions follow the number of rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import facts, graph, tables
+from ledgerloom.operators import facts, graph, payload, tables
 from ledgerloom.plans import catalogue, rounds
 
 
@@ -44,3 +46,18 @@ def test_capacity(spark, small):
     want = {(d, f"2020.0{p}", m, raw): (end, 2) for d in range(100) for p in (1, 2) for m, raw, end in (("内存容量", "4GB", "reported"), ("内存容量", "6GB", "after"), ("存储容量", "64GB", "reported"))}
     assert got == want
     assert most(out) < out.count() / 20
+
+
+def test_node_documents(spark, small):
+    """A hub and many small nodes; before, all parts of a node met in one of the session's few partitions."""
+    nodes = spark.createDataFrame([(f"n{i}", "Entity") for i in range(400)] + [("hub", "Entity")], "id string, node_type string")
+    proof = spark.createDataFrame([(f"n{i % 400}", i, f"q{i}") for i in range(1200)] + [("hub", i, f"h{i}") for i in range(600)], "node_id string, seq long, quote string")
+    none = spark.createDataFrame([], "object_id string, item_id string, description string, status string")
+    edges = spark.createDataFrame([(f"e{i:03}", f"n{i}", "hub") for i in range(400)], "id string, source_id string, target_id string")
+    out = payload.node_documents(nodes, proof, none, edges, {"evidence": 2, "edges": 1})
+    got = {r.id: json.loads(r.json) for r in out.collect()}
+    assert len(got) == 401 and {len(d["evidence"]) for d in got.values()} == {2}
+    assert [e["quote"] for e in got["hub"]["evidence"]] == ["h0", "h1"] and got["hub"]["n_evidence"] == 600 and got["hub"]["n_edges"] == 400
+    assert [e["id"] for e in got["hub"]["edges"]] == ["e000"] and [e["quote"] for e in got["n7"]["evidence"]] == ["q7", "q407"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
