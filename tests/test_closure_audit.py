@@ -225,3 +225,24 @@ def test_every_table_is_scanned_twice_at_most(spark, tmp_path, monkeypatch):
     whole = "\n".join([*plans, plan(found)])
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert {t: whole.count(f"/{t}_table]") for t in at} == {"headers": 1, "files": 1, "sources": 2, "nodes": 1, "edges": 1}
+
+
+def test_items_are_written_whole_and_names_met_once(spark, monkeypatch):
+    """Before, items were exploded and sorted into folders to be written, and names were grouped three times."""
+    g, made, keep = sound(), [], audit.written
+    monkeypatch.setattr(audit, "written", lambda df, *a, **k: made.append((keep(df, *a, **k), a, k)) or made[-1][0])
+    monkeypatch.setattr("ledgerloom.plans.rounds.SPREAD_ROWS", 3)
+    g["nodes"].append(g["nodes"][3])  # a hub named twice, and met by many references
+    g["edges"] += [g["edges"][4] | {"id": f"h{i}", "edge_type": "ABOUT", "source_id": "E1", "target_id": "E1" if i % 2 else f"lost{i}"} for i in range(40)]
+    of = lambda t, ddl: spark.createDataFrame([tuple(r.get(c.split()[0]) for c in names(ddl)) for r in g[t]], ddl)
+    found, _ = audit.audit(of("headers", HEADER), of("files", "local_path string, content binary"), of("sources", SOURCE), of("nodes", NODE), of("edges", EDGE), "v1")
+    got = sorted((r.code, r.object_id, r.detail) for r in found.collect())
+    lost = [("EDGE_TARGET", f"h{i}", None) for i in range(0, 40, 2)]
+    assert got == sorted([("UNIQUE_IDS", "E1", None), ("NODE_IDS", "E1", None), ("DUPLICATE_EDGE", " k ABOUT E1 E1", None), *lost], key=str)
+    items, a, k = made[0]
+    assert len(made) == 1 and a == ("items",) and not k
+    assert items.count() == 1 + len(g["sources"]) + len(g["nodes"]) + len(g["edges"])
+    whole = found._jdf.queryExecution()
+    met = [x for x in whole.executedPlan().toString().splitlines() if "FullOuter" in x]
+    assert met and all("ShuffledHashJoin" in x and "BuildRight" in x for x in met)  # a sort-merge join would hold all references to the hub
+    assert sum("Aggregate [graph_id" in x and x.count("count(") >= 7 for x in whole.optimizedPlan().toString().splitlines()) == 1
