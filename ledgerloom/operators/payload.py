@@ -1,8 +1,8 @@
 """The viewer's payload as rows of JSON: a header, then sources, nodes, edges, warnings and benchmark ids, one document each.
 
 A node's document nests what belongs to it: the first pieces of its evidence, the first benchmark items it matches, the
-first of its incident edges, and how many there are of each. All of that is one bag of parts keyed by node, of which a
-ranking limit keeps the first few of each kind already before the shuffle, so a hub's document is no larger than another's.
+first of its incident edges, and how many there are of each. All of that is one bag of parts keyed by node, which is shuffled
+once and of which a ranking limit keeps the first few of each kind, so a hub's document is no larger than another's.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.rounds import partitions
+from ..plans.rounds import hub_rows, spread, written
 from .views import counts
 
 # Fields of the viewer's nodes and edges.
@@ -28,8 +28,14 @@ def kept(rows: DataFrame, fields: list[str]) -> list[str]:
     return [c for c in fields if c in rows.columns]
 
 
-def _parts(rows: DataFrame, kind: str, order: Column, element: Column) -> DataFrame:
-    return rows.select("id", F.lit(kind).alias("kind"), order.alias("order"), element.alias(kind))
+def _cut(parts: DataFrame, most: dict[str, int], *keys: str) -> DataFrame:
+    """The first parts of each kind by keys, with their kind and turn. What orders them isn't shuffled, but made here from the part."""
+    kind = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in SHOWN])
+    text = F.coalesce(F.to_json("evidence"), *[F.col(k)["id"].cast("string") for k in ("benchmark_matches", "edges")])
+    turn = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("seq", "text"))
+    first = parts.withColumn("kind", kind).withColumn("text", text).withColumn("turn", turn).where(F.col("turn") <= max(most.values()))
+    limit = reduce(lambda a, k: F.when(F.col("kind") == k, F.lit(most[k])).otherwise(a), SHOWN, F.lit(0))
+    return first.where(F.col("turn") <= limit).drop("text")
 
 
 def node_documents(nodes: DataFrame, evidence: DataFrame, matches: DataFrame, edges: DataFrame, shown: dict[str, int] | None = None) -> DataFrame:
@@ -38,28 +44,27 @@ def node_documents(nodes: DataFrame, evidence: DataFrame, matches: DataFrame, ed
     evidence: node_id, seq and any columns to show; matches: object_id, item_id, description, status; edges: id, source_id,
     target_id and any of EDGE_FIELDS. Evidence is shown by seq, matches by item, edges by id; a loop counts once. Parts of
     unknown nodes are left out, of repeated node rows one is taken. What a document shows is bounded by `shown`, whatever a
-    node's degree; a hub's parts are cut to that number in every task that reads them.
+    node's degree; a hub's parts are dealt to many tasks and cut to that number in each.
     """
     shown = SHOWN | (shown or {})
     own = nodes.select("id", F.struct(*kept(nodes, NODE_FIELDS)).alias("node"))
     quote = F.struct(*[c for c in evidence.columns if c not in ("node_id", "seq")])
     link = F.struct(*kept(edges, EDGE_FIELDS))
-    ends = edges.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("end"), F.col("id").alias("edge_id"), link.alias("link"))
-    text = lambda c: F.struct(F.lit(0).cast("long"), F.col(c).cast("string"))
     bag = [
-        _parts(evidence.withColumn("id", F.col("node_id")), "evidence", F.struct(F.col("seq").cast("long"), F.to_json(quote)), quote),
-        _parts(matches.withColumn("id", F.col("object_id")), "benchmark_matches", text("item_id"), F.struct(F.col("item_id").alias("id"), "description", "status")),
-        ends.select(F.col("end").alias("id"), F.lit("edges").alias("kind"), text("edge_id").alias("order"), F.col("link").alias("edges")),
+        evidence.select(F.col("node_id").alias("id"), F.col("seq").cast("long").alias("seq"), quote.alias("evidence")),
+        matches.select(F.col("object_id").alias("id"), F.struct(F.col("item_id").alias("id"), "description", "status").alias("benchmark_matches")),
+        edges.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"), link.alias("edges")),
     ]
-    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), bag)
-    n, most = partitions(parts.select("id")), max(shown.values())
-    # By id, kind and order first, so that a hub's parts are cut in many tasks before they come together.
-    near = parts.withColumn("share", F.pmod(F.xxhash64("order"), F.lit(n))).repartition(n, "id", "kind", "share")
-    first = lambda rows, *keys: rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("order"))).where(F.col("turn") <= most)
-    few = first(first(near, "id", "kind", "share").drop("turn", "share").repartition(n, "id", "kind"), "id", "kind")
-    listed = lambda k: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("turn") <= shown[k]), F.struct("turn", k)))), lambda x: x[k]).alias(k)
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), bag).where("id is not null")
+    totals = written(parts.groupBy("id").agg(*[F.count(k).alias(f"n_{k}") for k in SHOWN], F.count(F.lit(1)).alias("n")), "totals")
+    n = spread(totals.sparkSession, totals.agg(F.sum("n")).first()[0] or 0)
+    # A node's parts come together at once, but for hubs: those, which are few, are cut by shares first.
+    hubs = totals.where(F.col("n") > hub_rows()).select("id", F.lit(True).alias("hub"))
+    share = F.when(F.col("hub"), F.pmod(F.xxhash64("seq", *SHOWN), F.lit(n))).otherwise(0)
+    near = parts.join(F.broadcast(hubs), "id", "left").select(*parts.columns, share.alias("share")).repartition(n, "id", "share")
+    few = _cut(_cut(near, shown, "id", "share").select(*parts.columns).repartition(n, "id"), shown, "id")
+    listed = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("turn", k)))), lambda x: x[k]).alias(k)
     nested = few.groupBy("id").agg(*[listed(k) for k in SHOWN])
-    totals = parts.groupBy("id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in SHOWN])
     once = own.groupBy("id").agg(F.min(F.to_json("node")).alias("fields"))
     whole = once.join(totals, "id", "left").join(nested, "id", "left")
     rest = F.struct(*[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in SHOWN], *[F.when(F.size(k) > 0, F.col(k)).alias(k) for k in SHOWN])

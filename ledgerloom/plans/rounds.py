@@ -43,8 +43,17 @@ def partitions(df: DataFrame, each: int = 1) -> int:
     What is repartitioned by that number and then grouped by the same keys takes a memory of a task that doesn't follow the
     input. df is counted for it, which for a Parquet table reads footers only.
     """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, df.select(F.lit(1)).count() * each // SPREAD_ROWS + 1)
+    return spread(df.sparkSession, df.select(F.lit(1)).count() * each)
+
+
+def spread(spark: SparkSession, rows: int) -> int:
+    """`partitions` of a known number of rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // SPREAD_ROWS + 1)
+
+
+def hub_rows() -> int:
+    """Rows of one key above which it is dealt to several partitions: a tenth of one, so ten times as many keys as partitions at most."""
+    return SPREAD_ROWS // 10
 
 
 def appended(frames: Iterator[DataFrame], label: str) -> DataFrame:

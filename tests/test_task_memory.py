@@ -61,3 +61,27 @@ def test_node_documents(spark, small):
     assert [e["id"] for e in got["hub"]["edges"]] == ["e000"] and [e["quote"] for e in got["n7"]["evidence"]] == ["q7", "q407"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def shuffled_rows(spark):
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_node_parts_are_shuffled_once(spark, monkeypatch):
+    """Before, a node's parts were dealt to shares of it, each below the limit, so that all of them were shuffled again."""
+    monkeypatch.setattr(rounds, "SPREAD_ROWS", 2000)
+    nodes = spark.createDataFrame([(f"n{i}", "Entity") for i in range(400)] + [("hub", "Entity"), (None, "Entity")], "id string, node_type string")
+    rows = [(f"n{i % 400}", i // 2, f"q{i}") for i in range(12000)] + [("hub", i % 3000, f"h{i:04}") for i in range(6000)] + [(None, 1, "lost")]
+    proof = spark.createDataFrame(rows, "node_id string, seq long, quote string").coalesce(2)
+    none = spark.createDataFrame([], "object_id string, item_id string, description string, status string")
+    edges = spark.createDataFrame([("e1", "n1", "n1"), (None, "n1", "hub")], "id string, source_id string, target_id string")
+    before = shuffled_rows(spark)
+    got = {r.id: json.loads(r.json) for r in payload.node_documents(nodes, proof, none, edges, {"evidence": 2, "edges": 1}).where("id is not null").collect()}
+    assert shuffled_rows(spark) - before < 1.5 * len(rows)
+    want = {}
+    for i, s, q in sorted(rows[:-1], key=lambda r: (r[1], r[2])):
+        want.setdefault(i, []).append(q)
+    assert len(got) == 401 and all([e["quote"] for e in got[i]["evidence"]] == q[:2] and got[i]["n_evidence"] == len(q) for i, q in want.items())
+    assert got["n1"]["n_edges"] == 2 and got["n1"]["edges"] == [{"source_id": "n1", "target_id": "hub"}] and got["hub"]["n_edges"] == 1
